@@ -102,3 +102,18 @@ def norm_slope(c, n: int, position: str = "bar", w: WindowSpec | None = None, si
     level = mean if signed else F.abs(mean)
     slope = F.regr_slope(col(c), F.col(position).cast("double")).over(f)
     return full(slope / (level + F.lit(1e-9)), c, f, n)
+
+
+def centred_rank(c, keys: list[str]) -> Column:
+    """Percentile rank within ``keys``, ties averaged, centred on zero."""
+    w = Window.partitionBy(*keys)
+    ties = F.count("*").over(w.partitionBy(*keys, c))
+    return (F.rank().over(w.orderBy(c)) + (ties - 1) / 2) / F.count("*").over(w) - 0.5
+
+
+def percentile_of_score(c, keys: list[str]) -> Column:
+    """Percentile of each value in its own group, counting ties half below and half above."""
+    w = Window.partitionBy(*keys)
+    below = F.rank().over(w.orderBy(c)) - 1
+    ties = F.count("*").over(w.partitionBy(*keys, c))
+    return (2 * below + ties + 1) * 50.0 / F.count("*").over(w)

@@ -101,3 +101,28 @@ def momentum_set(bars: DataFrame) -> DataFrame:
         .withColumn("macd_hist", F.col("macd_line") - F.col("macd_signal"))
         .drop("_move", "_tr", "_up", "_down", "_pdm", "_ndm", "_gain", "_loss")
     )
+
+
+def directional(bars: DataFrame, n: int = 14) -> DataFrame:
+    """Directional system: plus_di, minus_di and adx."""
+    up, down = F.col("high") - ind.lag("high"), ind.lag("low") - F.col("low")
+    moves = bars.select(
+        "*", ind.true_range().alias("_tr"),
+        F.when((up > down) & (up > 0), up).otherwise(F.lit(0.0)).alias("_up"),
+        F.when((down > up) & (down > 0), down).otherwise(F.lit(0.0)).alias("_down"))
+    out = averages(moves, {"atr": (F.col("_tr"), wilder(n)), "_pdm": (F.col("_up"), wilder(n)),
+                           "_ndm": (F.col("_down"), wilder(n))})
+    return _adx(out, n).drop("_tr", "_up", "_down", "_pdm", "_ndm")
+
+
+def _adx(df: DataFrame, n: int) -> DataFrame:
+    a = F.nullif(F.col("atr"), F.lit(0.0))
+    df = df.withColumn("plus_di", 100 * F.col("_pdm") / a).withColumn("minus_di", 100 * F.col("_ndm") / a)
+    both = F.nullif(F.col("plus_di") + F.col("minus_di"), F.lit(0.0))
+    return averages(df, {"adx": (100 * F.abs(F.col("plus_di") - F.col("minus_di")) / both, wilder(n))})
+
+
+def elder_power(bars: DataFrame, n: int = 13) -> DataFrame:
+    """Bull and bear power: the bar's extremes against its EMA."""
+    return averages(bars, {"ema": (F.col("close"), span(n))}).withColumn(
+        "bull_power", F.col("high") - F.col("ema")).withColumn("bear_power", F.col("low") - F.col("ema"))

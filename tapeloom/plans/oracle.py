@@ -30,7 +30,8 @@ bars AS MATERIALIZED (
   FROM walk GROUP BY ticker, date)"""
 
 FRAGMENTS["bench"] = """bench AS MATERIALIZED (
-  SELECT date, round(avg(open), 3) AS open, round(avg(close), 3) AS close FROM bars GROUP BY date)"""
+  SELECT date, sum(CAST(round(open * 10000) AS BIGINT)) / (count(*) * 10000.0 :: DOUBLE) AS open,
+         sum(CAST(round(close * 10000) AS BIGINT)) / (count(*) * 10000.0 :: DOUBLE) AS close FROM bars GROUP BY date)"""
 
 FRAGMENTS["hourly"] = """ticks AS (
   SELECT event_type AS ticker, date_trunc('hour', ts) AS slot,
@@ -141,7 +142,54 @@ ind AS MATERIALIZED (
   FROM bars b JOIN rec USING (ticker, date))"""
 
 
+def ewm(name: str, source: str, specs: dict[str, tuple[str, str]], key: str = "ticker") -> str:
+    """Recursive CTE ``name(key, rn, ...)`` over ``source``: one average per ``out: (column, alpha)``."""
+    first = ", ".join(f"CAST({c} AS DOUBLE) AS {o}" for o, (c, _) in specs.items())
+    step = ", ".join(
+        f"CASE WHEN r.{o} IS NULL THEN s.{c} WHEN s.{c} IS NULL THEN r.{o} ELSE r.{o} + (s.{c} - r.{o}) * {a} END"
+        for o, (c, a) in specs.items())
+    return (f"{name} AS (SELECT {key}, rn, {first} FROM {source} WHERE rn = 1 UNION ALL "
+            f"SELECT s.{key}, s.rn, {step} FROM {name} r JOIN {source} s ON s.{key} = r.{key} AND s.rn = r.rn + 1)")
+
+
+FRAGMENTS["weekly"] = """week_days AS (
+  SELECT *, date + CAST((12 - isodow(date)) % 7 AS INTEGER) AS week FROM bars),
+weekly AS MATERIALIZED (
+  SELECT ticker, week AS date, min_by(open, date) AS open, max(high) AS high, min(low) AS low, max_by(close, date) AS close,
+         sum(volume) AS volume, count(*) AS sessions, row_number() OVER (PARTITION BY ticker ORDER BY week) AS rn
+  FROM week_days GROUP BY ticker, week
+  QUALIFY count(*) >= 4 OR week < max(week) OVER (PARTITION BY ticker))"""
+
+FRAGMENTS["weekly_ind"] = (
+    ewm("weekly_ema", "weekly", {"ema12": ("close", "2.0/13"), "ema13": ("close", "2.0/14"), "ema26": ("close", "2.0/27")})
+    + ", weekly_macd AS MATERIALIZED (SELECT *, ema12 - ema26 AS line FROM weekly_ema), "
+    + ewm("weekly_signal", "weekly_macd", {"signal": ("line", "0.2")})
+    + ", weekly_ind AS MATERIALIZED (SELECT w.*, ema13, ema26, line - signal AS macd_hist FROM weekly w "
+      "JOIN weekly_macd USING (ticker, rn) JOIN weekly_signal USING (ticker, rn))")
+
+
+def _bound(text: str, side: str) -> str:
+    if text == "u":
+        return f"UNBOUNDED {side}"
+    n = int(text)
+    return "CURRENT ROW" if n == 0 else f"{abs(n)} {'PRECEDING' if n < 0 else 'FOLLOWING'}"
+
+
+def _frame(m: re.Match) -> str:
+    keys = m.group(1) or "ticker"
+    if m.group(2) is None:
+        return f"OVER (PARTITION BY {keys} ORDER BY date)"
+    lo, hi = m.group(2).split(",")
+    return (f"OVER (PARTITION BY {keys} ORDER BY date "
+            f"ROWS BETWEEN {_bound(lo, 'PRECEDING')} AND {_bound(hi, 'FOLLOWING')})")
+
+
 def expand(sql: str) -> str:
-    """Replace every ``@fragment`` and make the statement's WITH recursive."""
+    """Replace every ``@fragment`` and make the statement's WITH recursive.
+
+    ``OVER[-19,0]`` is a row frame over one ticker's bars and ``OVER[]`` the plain
+    ordered window; ``u`` is unbounded.
+    """
     out = re.sub(r"@(\w+)", lambda m: FRAGMENTS[m.group(1)], sql)
+    out = re.sub(r"OVER\[()(?:(-?\w+,-?\w+))?\]", _frame, out)
     return re.sub(r"^\s*WITH\s+(?!RECURSIVE)", "WITH RECURSIVE ", out, count=1)

@@ -71,10 +71,9 @@ def daily_bars(lineitem: DataFrame, part: DataFrame) -> DataFrame:
 
 
 def benchmark_bars(bars: DataFrame) -> DataFrame:
-    """bench(date, open, close): equal-weight mean of all tickers, rounded to a price."""
-    return bars.groupBy("date").agg(
-        F.round(F.avg("open"), 3).alias("open"), F.round(F.avg("close"), 3).alias("close")
-    )
+    """bench(date, open, close): equal-weight mean of all tickers, exact in any summation order."""
+    mean = lambda c: F.sum(F.round(F.col(c) * 10000).cast("long")) / (F.count("*") * 10000.0)
+    return bars.groupBy("date").agg(mean("open").alias("open"), mean("close").alias("close"))
 
 
 def hourly_bars(events: DataFrame) -> DataFrame:
