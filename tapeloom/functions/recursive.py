@@ -22,6 +22,8 @@ from pyspark.sql.window import Window
 # Largest exponent used inside a block, and the decay after which a carry is nil.
 MAX_EXPONENT = 600.0
 NIL_EXPONENT = 45.0
+# An average this close to its input is the input: a constant series stays exactly constant.
+SETTLED = 1e-13
 
 
 def span(n: int) -> float:
@@ -70,7 +72,9 @@ def averages(
         local.append((F.pow(F.lit(q), j) * F.coalesce(total, F.lit(0.0))).alias(f"_l_{n}"))
         carry = F.last(F.when(j == size - 1, F.col(f"_l_{n}")), ignorenulls=True).over(before)
         y = F.col(f"_l_{n}") + F.pow(F.lit(q), j + 1) * F.coalesce(carry, F.lit(0.0))
-        final.append(F.when(F.col(f"_p_{n}") >= 0, y).alias(n))
+        x = F.col(f"_x_{n}")
+        settled = F.when(F.abs(y - x) <= F.abs(x) * SETTLED, x).otherwise(y)
+        final.append(F.when(F.col(f"_p_{n}") >= 0, settled).alias(n))
     return out.select("*", *local).select(*keep, *final)
 
 

@@ -49,8 +49,9 @@ def value_zone(price: Column, fast: Column, slow: Column) -> Column:
 def zone(c: str, n: int = 120) -> Column:
     """Against the 5% and 95% reference lines of the last n bars."""
     f = ind.rows(-(n - 1), 0)
-    low, high = F.percentile(c, F.lit(0.05)).over(f), F.percentile(c, F.lit(0.95)).over(f)
-    return F.when(F.col(c) >= high, "Overbought").when(F.col(c) <= low, "Oversold").otherwise("Neutral")
+    line = lambda p: F.round(F.percentile(c, F.lit(p)).over(f), 9)
+    value = F.round(c, 9)
+    return F.when(value >= line(0.95), "Overbought").when(value <= line(0.05), "Oversold").otherwise("Neutral")
 
 
 def volume_level(n: int = 10, pct: float = 25.0) -> Column:

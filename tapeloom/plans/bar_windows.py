@@ -27,7 +27,7 @@ def full(value: str, column: str, lo: int, hi: int, need: int) -> str:
 
 
 query("m1_bars", "ticker date:d open:f high:f low:f close:f volume:f", "WITH @bars SELECT * FROM bars")(lambda t: t.bars)
-query("m2_benchmark", "date:d open:f close:f", "WITH @bars, @bench SELECT * FROM bench")(lambda t: t.bench)
+query("m2_benchmark", "date:d open:f8 close:f8", "WITH @bars, @bench SELECT * FROM bench")(lambda t: t.bench)
 query("m3_hourly_bars", "ticker day:d hour:i open:f high:f low:f close:f volume:f", "WITH @hourly SELECT * FROM hourly")(
     lambda t: t.hourly)
 

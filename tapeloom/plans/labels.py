@@ -94,11 +94,11 @@ query("p3_macd_labels", "ticker date:d macd_cross trend_health macd_hist_extreme
 query("p4_adx_regime", "ticker date:d di_bias adx_regime", LABELLED)(labelled)
 query("p5_oscillator_zone", "ticker date:d rsi_zone stoch_zone",
       """WITH @bars, @rec, @full_ind SELECT *,
-      CASE WHEN rsi >= quantile_cont(rsi, 0.95) OVER[-119,0] THEN 'Overbought' WHEN rsi <= quantile_cont(rsi, 0.05) OVER[-119,0]
-        THEN 'Oversold' ELSE 'Neutral' END AS rsi_zone,
-      CASE WHEN round(stoch_k, 9) >= quantile_cont(round(stoch_k, 9), 0.95) OVER[-119,0] THEN 'Overbought'
-        WHEN round(stoch_k, 9) <= quantile_cont(round(stoch_k, 9), 0.05) OVER[-119,0] THEN 'Oversold' ELSE 'Neutral' END AS stoch_zone FROM full_ind""")(
-    lambda t: labels.daily_set(t.bars).withColumn("stoch_k", F.round("stoch_k", 9)).select(
+      CASE WHEN round(rsi, 9) >= round(quantile_cont(rsi, 0.95) OVER[-119,0], 9) THEN 'Overbought'
+        WHEN round(rsi, 9) <= round(quantile_cont(rsi, 0.05) OVER[-119,0], 9) THEN 'Oversold' ELSE 'Neutral' END AS rsi_zone,
+      CASE WHEN round(stoch_k, 9) >= round(quantile_cont(stoch_k, 0.95) OVER[-119,0], 9) THEN 'Overbought'
+        WHEN round(stoch_k, 9) <= round(quantile_cont(stoch_k, 0.05) OVER[-119,0], 9) THEN 'Oversold' ELSE 'Neutral' END AS stoch_zone FROM full_ind""")(
+    lambda t: labels.daily_set(t.bars).select(
         "ticker", "date", labels.zone("rsi").alias("rsi_zone"), labels.zone("stoch_k").alias("stoch_zone")))
 query("p6_volume_and_force", "ticker date:d volume_vs_avg force_short_zone force_long_bias", LABELLED)(labelled)
 query("p7_impulse", "ticker date:d impulse_daily", LABELLED)(labelled)
@@ -125,8 +125,8 @@ query("p10_board", BOARD_OUT,
         quantile_cont(rsi, 0.05) OVER[-119,0] AS r05, quantile_cont(stoch_k, 0.95) OVER[-119,0] AS s95,
         quantile_cont(stoch_k, 0.05) OVER[-119,0] AS s05 FROM labelled),
       l AS (SELECT *, date AS run_date, close AS price, ema22 AS ma22, ema50 AS ma50, ema200 AS ma200, atr / close * 100 AS atr_pct,
-        CASE WHEN rsi >= r95 THEN 'Overbought' WHEN rsi <= r05 THEN 'Oversold' ELSE 'Neutral' END AS rsi_zone,
-        CASE WHEN stoch_k >= s95 THEN 'Overbought' WHEN stoch_k <= s05 THEN 'Oversold' ELSE 'Neutral' END AS stoch_zone
+        CASE WHEN round(rsi, 9) >= round(r95, 9) THEN 'Overbought' WHEN round(rsi, 9) <= round(r05, 9) THEN 'Oversold' ELSE 'Neutral' END AS rsi_zone,
+        CASE WHEN round(stoch_k, 9) >= round(s95, 9) THEN 'Overbought' WHEN round(stoch_k, 9) <= round(s05, 9) THEN 'Oversold' ELSE 'Neutral' END AS stoch_zone
         FROM z QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1),
       w AS (SELECT * FROM weekly_lab QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1)
       SELECT l.*, d.* EXCLUDE (ticker), coalesce(w.weekly_trend, 'Flat') AS weekly_trend, coalesce(impulse_weekly, 'Blue') AS impulse_weekly,

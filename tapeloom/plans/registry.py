@@ -55,12 +55,12 @@ def _spark_cast(name: str, kind: str) -> Column:
 
 def _sql_cast(name: str, kind: str) -> str:
     if kind[0] == "f":
-        return f"round(CAST({name} AS DOUBLE), {_digits(kind)}) + 0.0 AS {name}"
+        return f'round(CAST("{name}" AS DOUBLE), {_digits(kind)}) + 0.0 AS "{name}"'
     if kind == "i":
-        return f"CAST({name} AS BIGINT) AS {name}"
+        return f'CAST("{name}" AS BIGINT) AS "{name}"'
     if kind == "b":
-        return f"CAST(CAST({name} AS INTEGER) AS BIGINT) AS {name}"
-    return f"CAST({name} AS VARCHAR) AS {name}"
+        return f'CAST(CAST("{name}" AS INTEGER) AS BIGINT) AS "{name}"'
+    return f'CAST("{name}" AS VARCHAR) AS "{name}"'
 
 
 REGISTRY: dict[str, Query] = {}
