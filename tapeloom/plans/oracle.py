@@ -142,6 +142,16 @@ ind AS MATERIALIZED (
   FROM bars b JOIN rec USING (ticker, date))"""
 
 
+FRAGMENTS["positions"] = """positions AS MATERIALIZED (
+  SELECT trade_id AS position_id, book, ticker, entry_date, least(exit_date, entry_date + 60) AS as_of, entry_price, shares,
+         entry_price * (1 - (5 + trade_id % 4) / 100.0 :: DOUBLE) AS stop_price, entry_price * (1 + (8 + trade_id % 5) / 100.0 :: DOUBLE) AS target_price
+  FROM trades WHERE status = 'O')"""
+
+FRAGMENTS["dividends"] = """dividends AS MATERIALIZED (
+  SELECT ticker, min(date) AS ex_date, CAST(round(min_by(open, date) * 100) AS BIGINT) AS units
+  FROM bars GROUP BY ticker, date_trunc('quarter', date))"""
+
+
 def ewm(name: str, source: str, specs: dict[str, tuple[str, str]], key: str = "ticker") -> str:
     """Recursive CTE ``name(key, rn, ...)`` over ``source``: one average per ``out: (column, alpha)``."""
     first = ", ".join(f"CAST({c} AS DOUBLE) AS {o}" for o, (c, _) in specs.items())

@@ -205,3 +205,21 @@ def report_tags(documents: DataFrame, labels: DataFrame) -> DataFrame:
         F.when(F.col("doc_id") % 5 == 0, "upgrade").when(F.col("doc_id") % 5 == 1, "downgrade")
         .when(F.col("doc_id") % 5 == 2, "initiate").otherwise("reiterate").alias("action"),
     )
+
+
+def positions(trades_: DataFrame, max_days: int = 60) -> DataFrame:
+    """positions(position_id, ticker, entry_date, as_of, entry_price, shares, stop_price, target_price).
+
+    Open orders as positions, each looked at no later than ``max_days`` after its entry.
+    """
+    i, p = F.col("trade_id"), F.col("entry_price")
+    return trades_.where("status = 'O'").select(
+        i.alias("position_id"), "book", "ticker", "entry_date", F.least("exit_date", F.date_add("entry_date", max_days)).alias("as_of"),
+        "entry_price", "shares", (p * (1 - (5 + i % 4) / 100)).alias("stop_price"), (p * (1 + (8 + i % 5) / 100)).alias("target_price"))
+
+
+def dividends(bars: DataFrame) -> DataFrame:
+    """dividends(ticker, ex_date, units): one payment on the first session of each quarter, in 1/10000 of a dollar per share."""
+    first = bars.groupBy("ticker", F.date_trunc("quarter", "date").alias("q")).agg(
+        F.min("date").alias("ex_date"), F.min_by("open", "date").alias("open"))
+    return first.select("ticker", "ex_date", F.round(F.col("open") * 100).cast("long").alias("units"))

@@ -68,3 +68,11 @@ class Tables:
     @cached_property
     def tags(self) -> DataFrame:
         return bridge.report_tags(self.documents, self.labels)
+
+    @cached_property
+    def positions(self) -> DataFrame:
+        return bridge.positions(self.trades)
+
+    @cached_property
+    def dividends(self) -> DataFrame:
+        return bridge.dividends(self.bars)
