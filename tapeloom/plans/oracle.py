@@ -81,7 +81,7 @@ FRAGMENTS["sectors"] = """sectors AS MATERIALIZED (
     FROM part GROUP BY p_brand, p_type) WHERE r = 1)"""
 
 FRAGMENTS["reports"] = """reports AS MATERIALIZED (
-  SELECT doc_id AS report_id, DATE '1998-01-01' + CAST(doc_id % 700 AS INTEGER) AS published, source AS theme,
+  SELECT doc_id AS report_id, doc_id % 24 AS hour, DATE '1998-01-01' + CAST(doc_id % 700 AS INTEGER) AS published, source AS theme,
          lang, n_chars,
          list_distinct_ordered AS tickers
   FROM (SELECT *, CASE doc_id % 3
@@ -152,6 +152,26 @@ FRAGMENTS["dividends"] = """dividends AS MATERIALIZED (
   FROM bars GROUP BY ticker, date_trunc('quarter', date))"""
 
 
+FRAGMENTS["transactions"] = """transactions AS MATERIALIZED (
+  SELECT trade_id * 2 AS tx_id, trade_id, book, status, ticker, shares, reason, 'BUY' AS side, entry_date AS trade_date, entry_price AS price,
+         floor(entry_price * shares * 100 + 0.5000001) / 100 AS amount FROM trades
+  UNION ALL
+  SELECT trade_id * 2 + 1, trade_id, book, status, ticker, shares, reason, 'SELL', exit_date, exit_price, floor(exit_price * shares * 100 + 0.5000001) / 100 FROM trades)"""
+
+FRAGMENTS["intents"] = """intents AS MATERIALIZED (
+  SELECT trade_id AS intent_id, ticker, entry_date AS signal_date, CASE status WHEN 'F' THEN 'EXECUTED' WHEN 'O' THEN 'PENDING' ELSE 'SKIPPED' END AS intent_status,
+         entry_price AS planned, CASE WHEN status = 'F' THEN entry_price END AS executed_price, entry_price * (1 - (5 + trade_id % 4) / 100.0 :: DOUBLE) AS stop_price,
+         CASE WHEN trade_id % 7 <> 0 THEN (trade_id % 5) / 2.0 + 1 END AS rr, trade_id % 10 AS priority, exit_date AS processed_at FROM trades)"""
+
+FRAGMENTS["earnings"] = "earnings AS MATERIALIZED (SELECT ticker, ex_date + 25 AS report_date FROM dividends)"
+
+FRAGMENTS["subjects"] = """subjects AS MATERIALIZED (
+  SELECT report_id, published, hour, tickers[1] AS symbol, lang AS exchange, theme AS company, len(tickers) AS listed FROM reports)"""
+
+FRAGMENTS["symbol_map"] = """symbol_map AS MATERIALIZED (
+  SELECT DISTINCT symbol, exchange, company, symbol || '.TO' AS market_symbol FROM subjects WHERE report_id % 4 <> 3)"""
+
+
 def ewm(name: str, source: str, specs: dict[str, tuple[str, str]], key: str = "ticker") -> str:
     """Recursive CTE ``name(key, rn, ...)`` over ``source``: one average per ``out: (column, alpha)``."""
     first = ", ".join(f"CAST({c} AS DOUBLE) AS {o}" for o, (c, _) in specs.items())

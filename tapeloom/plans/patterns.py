@@ -66,7 +66,7 @@ lc AS (SELECT *, greatest(least(entry - 1.5 * atr, sl * 0.99), entry * 0.93) AS
 ld AS (SELECT *, greatest(entry - stop, 0.01) AS risk FROM lc),
 lr AS (SELECT d.ticker, d.date, min(p.high) AS res FROM ld d JOIN la p ON p.ticker = d.ticker AND p.peak AND p.rn BETWEEN d.rn - 249 AND d.rn - 2 AND p.high > d.entry + 2 * d.risk GROUP BY ALL),
 levels AS MATERIALIZED (SELECT d.*, risk / entry * 100 AS risk_pct, coalesce(res, entry + 2 * risk) AS target_2r, entry + 3 * risk AS target_3r, res IS NOT NULL AS resistance_based,
-  (coalesce(res, entry + 2 * risk) - entry) / greatest(entry - stop, 0.01) AS rr FROM ld d LEFT JOIN lr USING (ticker, date))"""
+  round((coalesce(res, entry + 2 * risk) - entry) / greatest(entry - stop, 0.01), 6) AS rr FROM ld d LEFT JOIN lr USING (ticker, date))"""
 FR["regime"] = """regime AS MATERIALIZED (SELECT date, close, sma, coalesce(close >= sma, true) AS market_ok FROM (SELECT *, CASE WHEN count(*) OVER y = 200 THEN avg(close) OVER y END AS sma
   FROM bench WINDOW y AS (ORDER BY date ROWS 199 PRECEDING)))"""
 BEST = "@bars, @rec, @vcp, @pullback, @basebrk, @mombrk, @best"
@@ -78,7 +78,7 @@ query("p25_base_breakout", PO, "WITH @bars, @basebrk SELECT * FROM basebrk")(lam
 query("p26_momentum_breakout", PO, "WITH @bars, @mombrk SELECT * FROM mombrk")(lambda t: pat.momentum_breakout(t.bars))
 best = lambda t: pat.best_pattern(pat.all_patterns(t.bars))
 query("p27_best_pattern", PO, f"WITH {BEST} SELECT * FROM best")(best)
-LV = "ticker date:d pattern state entry:f2 stop:f4 risk_pct:f4 target_2r:f4 target_3r:f4 atr:f4 resistance_based:b"
+LV = "ticker date:d pattern state entry:f2 stop:f risk_pct:f target_2r:f target_3r:f atr:f4 resistance_based:b"
 levels = lambda t: pat.with_levels(best(t), t.bars)
 query("p28_trade_levels", LV, f"WITH {BEST}, @levels SELECT * FROM levels")(levels)
 query("p29_position_size", "ticker date:d shares:i position_value:f2 account_pct:f4",

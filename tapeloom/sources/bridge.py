@@ -179,7 +179,7 @@ def sectors(part: DataFrame) -> DataFrame:
 
 
 def reports(documents: DataFrame) -> DataFrame:
-    """reports(report_id, published, theme, lang, tickers): documents as broker notes.
+    """reports(report_id, hour, published, theme, lang, n_chars, tickers): documents as broker notes.
 
     Each note names one to three brands in order; the first is its subject.
     """
@@ -188,6 +188,7 @@ def reports(documents: DataFrame) -> DataFrame:
     listed = F.array(brand(i * 7), brand(i * 11 + 3), brand(i * 13 + 5))
     return documents.select(
         i.alias("report_id"),
+        (i % 24).cast("int").alias("hour"),
         F.date_add(F.lit("1998-01-01").cast("date"), (i % 700).cast("int")).alias("published"),
         F.col("source").alias("theme"),
         "lang",
@@ -223,3 +224,40 @@ def dividends(bars: DataFrame) -> DataFrame:
     first = bars.groupBy("ticker", F.date_trunc("quarter", "date").alias("q")).agg(
         F.min("date").alias("ex_date"), F.min_by("open", "date").alias("open"))
     return first.select("ticker", "ex_date", F.round(F.col("open") * 100).cast("long").alias("units"))
+
+
+def transactions(trades_: DataFrame) -> DataFrame:
+    """transactions(tx_id, trade_id, book, side, ticker, trade_date, price, shares, amount, reason): two rows per trade."""
+    amount = lambda p: F.floor(F.col(p) * F.col("shares") * 100 + 0.5000001) / 100
+    leg = lambda n, side, d, p: F.struct((F.col("trade_id") * 2 + n).alias("tx_id"), F.lit(side).alias("side"), F.col(d).alias("trade_date"),
+                                         F.col(p).alias("price"), amount(p).alias("amount"))
+    legs = F.array(leg(0, "BUY", "entry_date", "entry_price"), leg(1, "SELL", "exit_date", "exit_price"))
+    return trades_.select("trade_id", "book", "status", "ticker", "shares", "reason", F.explode(legs).alias("l")).select(
+        "trade_id", "book", "status", "ticker", "shares", "reason", "l.*")
+
+
+def intents(trades_: DataFrame) -> DataFrame:
+    """intents(intent_id, ticker, signal_date, status, planned, executed_price, stop_price, rr, priority, processed_at)."""
+    i, p = F.col("trade_id"), F.col("entry_price")
+    return trades_.select(
+        i.alias("intent_id"), "ticker", F.col("entry_date").alias("signal_date"),
+        F.when(F.col("status") == "F", "EXECUTED").when(F.col("status") == "O", "PENDING").otherwise("SKIPPED").alias("intent_status"),
+        p.alias("planned"), F.when(F.col("status") == "F", p).alias("executed_price"), (p * (1 - (5 + i % 4) / 100)).alias("stop_price"),
+        F.when(i % 7 != 0, (i % 5) / 2.0 + 1).alias("rr"), (i % 10).alias("priority"), F.col("exit_date").alias("processed_at"))
+
+
+def earnings(bars: DataFrame) -> DataFrame:
+    """earnings(ticker, report_date): the 25th day after each quarter's first session."""
+    return dividends(bars).select("ticker", F.date_add("ex_date", 25).alias("report_date"))
+
+
+def subjects(reports_: DataFrame) -> DataFrame:
+    """subjects(report_id, symbol, exchange, company): the first ticker of each note."""
+    return reports_.select("report_id", "published", "hour", F.col("tickers")[0].alias("symbol"), F.col("lang").alias("exchange"),
+                           F.col("theme").alias("company"), F.size("tickers").alias("listed"))
+
+
+def symbol_map(reports_: DataFrame) -> DataFrame:
+    """symbol_map(symbol, exchange, company, market_symbol): the subjects resolved so far."""
+    return subjects(reports_).where("report_id % 4 <> 3").select(
+        "symbol", "exchange", "company", F.concat("symbol", F.lit(".TO")).alias("market_symbol")).distinct()

@@ -76,3 +76,23 @@ class Tables:
     @cached_property
     def dividends(self) -> DataFrame:
         return bridge.dividends(self.bars)
+
+    @cached_property
+    def transactions(self) -> DataFrame:
+        return bridge.transactions(self.trades)
+
+    @cached_property
+    def intents(self) -> DataFrame:
+        return bridge.intents(self.trades)
+
+    @cached_property
+    def earnings(self) -> DataFrame:
+        return bridge.earnings(self.bars)
+
+    @cached_property
+    def subjects(self) -> DataFrame:
+        return bridge.subjects(self.reports)
+
+    @cached_property
+    def symbol_map(self) -> DataFrame:
+        return bridge.symbol_map(self.reports)
