@@ -89,3 +89,40 @@ def macd(df: DataFrame, close: str = "close", prefix: str = "macd") -> DataFrame
     out = out.withColumn(line, F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
     out = averages(out, {signal: (F.col(line), span(9))})
     return out.withColumn(f"{prefix}_hist", F.col(line) - F.col(signal))
+
+
+def averages_with_gaps(
+    df: DataFrame, specs: dict[str, tuple[Column, float]], keys: list[str] = ["ticker"], order: str = "date"
+) -> DataFrame:
+    """Recursive averages over series with NULLs inside: the old weight keeps decaying through a gap.
+
+    After a gap of g rows, ``y = (q**g y' + a x) / (q**g + a)``: the same blocked
+    prefix sum with a factor that varies by row, held as a running log.
+    """
+    lengths = _block_groups([a for _, a in specs.values()])
+    bar = Window.partitionBy(*keys).orderBy(order)
+    before = bar.rowsBetween(Window.unboundedPreceding, -1)
+    keep = df.columns
+    out = df.select("*", F.row_number().over(bar).alias("_rn"), *[x.alias(f"_x_{n}") for n, (x, _) in specs.items()])
+    out = out.select("*", *[F.last(F.when(F.col(f"_x_{n}").isNotNull(), F.col("_rn")), True).over(before).alias(f"_v_{n}") for n in specs])
+    for size in set(lengths.values()):
+        out = out.withColumn(f"_b_{size}", F.floor((F.col("_rn") - 1) / size))
+    block = lambda n: Window.partitionBy(*keys, f"_b_{lengths[specs[n][1]]}").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    logs = []
+    for n, (_, a) in specs.items():
+        gap = F.col("_rn") - F.col(f"_v_{n}")
+        seen, first = F.col(f"_x_{n}").isNotNull(), F.col(f"_v_{n}").isNull()
+        total = F.pow(F.lit(1.0 - a), gap) + a
+        step = F.when(seen & ~first, gap * math.log1p(-a) - F.ln(total)).otherwise(0.0)
+        share = F.when(seen, F.when(first, F.col(f"_x_{n}")).otherwise(F.col(f"_x_{n}") * a / total))
+        logs += [F.sum(step).over(block(n)).alias(f"_c_{n}"), share.alias(f"_s_{n}")]
+    out = out.select("*", *logs)
+    out = out.select("*", *[(F.exp(f"_c_{n}") * F.coalesce(F.sum(F.col(f"_s_{n}") * F.exp(-F.col(f"_c_{n}"))).over(block(n)), F.lit(0.0))).alias(f"_l_{n}")
+                            for n in specs])
+    final = []
+    for n, (_, a) in specs.items():
+        size = lengths[a]
+        carry = F.last(F.when((F.col("_rn") - 1) % size == size - 1, F.col(f"_l_{n}")), True).over(before)
+        y = F.col(f"_l_{n}") + F.exp(f"_c_{n}") * F.coalesce(carry, F.lit(0.0))
+        final.append(F.when(F.col(f"_x_{n}").isNotNull() | F.col(f"_v_{n}").isNotNull(), y).alias(n))
+    return out.select(*keep, *final)

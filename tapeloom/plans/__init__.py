@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-THEMES = ("bar_windows", "labels", "screener", "patterns", "ledger", "studies")
+THEMES = ("bar_windows", "labels", "screener", "patterns", "ledger", "studies", "panel")
 
 
 def catalogue():
