@@ -69,6 +69,11 @@ def parse_published(c: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(body, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(body, F.lit("d MMM yyyy HH:mm Z")))
 
 
+def toronto_time(instant: Column) -> Column:
+    """Wall-clock time in Toronto, whatever the session's zone."""
+    return F.convert_timezone(F.current_timezone(), F.lit("America/Toronto"), instant.cast("timestamp_ntz"))
+
+
 def clock_time(day: Column, text: Column, as_of: Column) -> Column:
     """A 12-hour clock reading on a day, moved to the day before when it is later than ``as_of``."""
     h, m, half = (F.regexp_extract(text, "(\\d{1,2}):(\\d{2})([ap])m", i) for i in (1, 2, 3))

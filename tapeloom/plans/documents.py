@@ -56,12 +56,14 @@ query("k5_dedupe_then_limit", "url cik:i", f"{HITS}, d AS (SELECT cik, max(url)
 FR["shortvol"] = "shortvol AS MATERIALIZED (SELECT event_type AS symbol, ts :: DATE AS date, count_if(value < 20) AS short, count(*) AS total, count_if(value < 20) / count(*) AS ratio FROM events GROUP BY 1, 2)"
 short = lambda t: doc.short_volume(raw.short_volume_lines(t.events))
 query("s11_short_volume_scan", "symbol date:d short:f total:f ratio:f", "WITH @shortvol SELECT * FROM shortvol")(short)
-query("n5_rss_items", "feed guid title link published",
+query("n5_rss_items", "feed guid title link published:i",
       """SELECT 'feed' || (user_id % 4) AS feed, event_id || s AS guid, CASE s WHEN 'a' THEN 'Release ' || event_type ELSE 'Follow-up' END AS title, 'https://news.example/en/' || event_id AS link,
-      strftime(date_trunc('second', ts) + INTERVAL 5 HOUR, '%Y-%m-%d %H:%M:%S') AS published FROM events, (VALUES ('a'), ('b')) v(s)""")(lambda t: doc.feed_items(raw.rss_documents(t.events)))
-query("x3_publication_time", "guid published toronto",
-      """SELECT event_id || s AS guid, strftime(date_trunc('second', ts) + INTERVAL 5 HOUR, '%Y-%m-%d %H:%M:%S') AS published, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS toronto FROM events, (VALUES ('a'), ('b')) v(s)""")(
-    lambda t: doc.feed_items(raw.rss_documents(t.events)).withColumn("toronto", F.from_utc_timestamp("published", "America/Toronto")))
+      CAST(epoch(date_trunc('second', ts) + INTERVAL 5 HOUR) AS BIGINT) AS published FROM events, (VALUES ('a'), ('b')) v(s)""")(
+    lambda t: doc.feed_items(raw.rss_documents(t.events)).withColumn("published", F.unix_timestamp("published")))
+query("x3_publication_time", "guid published:i toronto",
+      """SELECT event_id || s AS guid, CAST(epoch(date_trunc('second', ts) + INTERVAL 5 HOUR) AS BIGINT) AS published, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS toronto FROM events, (VALUES ('a'), ('b')) v(s)""")(
+    lambda t: doc.feed_items(raw.rss_documents(t.events)).withColumn(
+        "toronto", F.date_format(text.toronto_time(F.col("published")), "yyyy-MM-dd HH:mm:ss")).withColumn("published", F.unix_timestamp("published")))
 query("n5_json_list_items", "feed guid title symbol",
       """SELECT event_type AS feed, 'news:' || (event_id * 10) AS guid, 'News ' || user_id AS title, event_type AS symbol FROM events
       UNION ALL SELECT event_type, 'news:' || (event_id * 10 + 2), 'Third', event_type FROM events WHERE event_id % 2 = 0""")(lambda t: doc.list_items(raw.list_responses(t.events)))
