@@ -255,19 +255,21 @@ def select_buys(queue: DataFrame, owned: DataFrame, sectors: DataFrame, min_date
     order = ["priority", "intent_id"]
     held = owned.select("run", "ticker").distinct().withColumn("_owned", F.lit(True))
     q = queue.join(held, ["run", "ticker"], "left").join(sectors, "ticker", "left").withColumn("sector", F.coalesce("sector", F.lit("Unknown")))
-    stale = F.col("signal_date") < min_date
-    first = F.row_number().over(Window.partitionBy("run", "ticker", "_stale").orderBy(*order)) == 1
-    q = q.withColumn("_stale", stale).withColumn("_first", first)
-    base = (F.when(F.col("_stale"), "stale_intent").when(~F.col("_first"), "duplicate_pending").when(F.col("_owned"), "already_owned"))
-    q = q.withColumn("_why", base)
+    q = q.withColumn("_stale", F.col("signal_date") < min_date)
+    first = q.where("not _stale").groupBy("run", "ticker").agg(F.min(F.struct(*order)).alias("_f")).select("run", "ticker", "_f.intent_id", F.lit(True).alias("_first"))
+    q = q.join(first, ["run", "ticker", "intent_id"], "left")
+    q = q.withColumn("_why", F.when(F.col("_stale"), "stale_intent").when(F.col("_first").isNull(), "duplicate_pending").when(F.col("_owned"), "already_owned"))
+    done = q.where("_why is not null").select("run", "intent_id", "ticker", "sector", "priority", F.lit("SKIPPED").alias("status"), F.col("_why").alias("reason"),
+                                              F.lit(None).cast("bigint").alias("shares"))
+    # What is left has one row per run and ticker, so the running counts see at most the listed tickers.
+    q = q.where("_why is null")
     counts = owned.select("run", "ticker").distinct().join(sectors, "ticker", "left").groupBy(
         "run", F.coalesce("sector", F.lit("Unknown")).alias("sector")).agg(F.count("*").alias("_in_sector"))
     total = held.groupBy("run").agg(F.count("*").alias("_held"))
     q = q.join(counts, ["run", "sector"], "left").join(total, "run", "left").na.fill(0, ["_in_sector", "_held"])
-    open_ = F.col("_why").isNull()
     up = lambda *k: Window.partitionBy("run", *k).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    q = q.withColumn("_rank", F.sum(open_.cast("int")).over(up("sector")))
-    fits = open_ & (F.col("_rank") + F.col("_in_sector") <= per_sector)
+    q = q.withColumn("_rank", F.count("*").over(up("sector")))
+    fits = F.col("_rank") + F.col("_in_sector") <= per_sector
     q = q.withColumn("_fits", fits).withColumn("_slot", F.sum(F.col("_fits").cast("int")).over(up()))
     left = F.lit(slots) - F.col("_held")
     risk = F.col("planned") - F.col("stop_price")
@@ -275,11 +277,11 @@ def select_buys(queue: DataFrame, owned: DataFrame, sectors: DataFrame, min_date
     taken = F.col("_fits") & (F.col("_slot") <= left)
     # Once the slots are full every later open row is refused for that, whatever its sector.
     full = F.col("_slot") - F.col("_fits").cast("int") >= left
-    why = (F.when(~open_, F.col("_why")).when(full, "no_slot_left").when(~F.col("_fits"), F.concat(F.lit("sector_cap_"), F.col("sector")))
+    why = (F.when(full, "no_slot_left").when(~F.col("_fits"), F.concat(F.lit("sector_cap_"), F.col("sector")))
            .when(~(risk > 0), "invalid_stop").when(shares <= 0, "too_small"))
     q = q.withColumn("reason", why).withColumn("shares", F.when(taken & F.col("reason").isNull(), shares))
-    return q.select("run", "intent_id", "ticker", "sector", "priority", F.when(F.col("reason").isNull(), "EXECUTED").otherwise("SKIPPED").alias("status"),
-                    "reason", "shares")
+    return done.unionByName(q.select("run", "intent_id", "ticker", "sector", "priority", F.when(F.col("reason").isNull(), "EXECUTED").otherwise("SKIPPED").alias("status"),
+                                     "reason", "shares"))
 
 
 def week_of(c: str) -> Column:
@@ -312,8 +314,8 @@ def regime_override(view: DataFrame, bench: DataFrame) -> DataFrame:
     """HOLD becomes SELL while the newest market regime is risk-off."""
     from tapeloom.operators.patterns import market_regime
 
-    regime = market_regime(bench).agg(F.max_by("market_ok", "date").alias("market_ok"))
-    return view.join(F.broadcast(regime)).withColumn("status", F.when(~F.col("market_ok"), "SELL").otherwise(F.col("status")))
+    ok = market_regime(bench).agg(F.max_by("market_ok", "date")).scalar()
+    return view.withColumn("status", F.when(~ok, "SELL").otherwise(F.col("status")))
 
 
 def position_view(positions: DataFrame, bars: DataFrame, min_bars: dict[str, int]) -> DataFrame:
@@ -335,9 +337,9 @@ def fill_prices(trades: DataFrame, bars: DataFrame) -> DataFrame:
 
 
 def summary(marked: DataFrame, trades: DataFrame) -> DataFrame:
-    realized = trades.where("status <> 'O'").agg(F.sum((F.col("exit_price") - F.col("entry_price")) * F.col("shares")).alias("realized"))
+    realized = trades.where("status <> 'O'").agg(F.sum((F.col("exit_price") - F.col("entry_price")) * F.col("shares")))
     held = marked.agg(F.count("*").alias("positions"), F.sum("cost").alias("cost"), F.sum("value").alias("value"), F.sum("unrealized").alias("unrealized"))
-    return held.join(F.broadcast(realized))
+    return held.withColumn("realized", realized.scalar())
 
 
 def reconcile(transactions: DataFrame, trades: DataFrame) -> DataFrame:

@@ -39,9 +39,8 @@ def feed(reports: DataFrame, tags: DataFrame, since: str | None = None, ticker:
 
 def feed_page(rows: DataFrame, size: int) -> DataFrame:
     """Newest rows of a feed with the total and whether the page is cut."""
-    total = rows.agg(F.count("*").alias("total"))
     page = rows.orderBy(F.col("published").desc(), "report_id").limit(size)
-    return page.join(F.broadcast(total)).withColumn("truncated", F.col("total") > size)
+    return page.withColumn("total", rows.agg(F.count("*")).scalar()).withColumn("truncated", F.col("total") > size)
 
 
 def company_notes(reports: DataFrame, most: int = 2) -> DataFrame:
@@ -172,8 +171,7 @@ def watch_items(releases: DataFrame) -> DataFrame:
 
 def price_history(items: DataFrame, bars: DataFrame) -> DataFrame:
     """Closes of a watched ticker from the day it was flagged."""
-    end = bars.agg(F.max("date").alias("end"))
-    days = items.where("status = 'watching'").join(F.broadcast(end)).where("flagged <= end").withColumn("date", F.explode(F.sequence("flagged", "end")))
+    days = items.where("status = 'watching'").withColumn("end", bars.agg(F.max("date")).scalar()).where("flagged <= end").withColumn("date", F.explode(F.sequence("flagged", "end")))
     return days.join(bars.select("ticker", "date", "close"), ["ticker", "date"]).select("user_id", "ticker", "guid", "date", "close")
 
 
@@ -229,15 +227,14 @@ def highlight_rows(reports: DataFrame, subjects: DataFrame, tags: DataFrame, sym
 
 def stale_releases(releases: DataFrame, days: int = 7) -> DataFrame:
     """Older than ``days`` before the newest release; an unreadable time is not stale."""
-    now = releases.agg(F.max("ts").alias("now"))
     read = F.when(F.col("guid") % 9 != 0, F.col("ts"))
-    return releases.join(F.broadcast(now)).select("guid", F.coalesce(F.col("now") - read > F.expr(f"INTERVAL {days} DAYS"), F.lit(False)).alias("stale"))
+    return releases.select("guid", F.coalesce(releases.agg(F.max("ts")).scalar() - read > F.expr(f"INTERVAL {days} DAYS"), F.lit(False)).alias("stale"))
 
 
 def listed_requests(events: DataFrame) -> DataFrame:
     """Releases naming a company without a suffix, resolved to the first market symbol with earlier history."""
     suffix = F.when(F.col("user_id") % 3 == 0, ".V").when(F.col("user_id") % 3 == 1, ".CN").otherwise("")
     name = F.concat(F.lit("U"), F.col("user_id").cast("string"))
-    start = events.agg(F.to_date(F.min("ts")).alias("first_date"))
-    known = events.select(F.concat(name, suffix).alias("symbol")).distinct().join(F.broadcast(start))
+    start = events.agg(F.to_date(F.min("ts"))).scalar()
+    known = events.select(F.concat(name, suffix).alias("symbol")).distinct().withColumn("first_date", start)
     return first_listed(events.select(F.col("event_id").alias("guid"), F.to_date("ts").alias("day"), name.alias("listing")), known)

@@ -57,8 +57,8 @@ def relative_strength(bars: DataFrame, bench: DataFrame) -> DataFrame:
 def staleness(bars: DataFrame) -> DataFrame:
     """Days between each ticker's last bar and the newest bar of the table."""
     last = bars.groupBy("ticker").agg(F.max("date").alias("last_date"))
-    newest = last.agg(F.max("last_date").alias("as_of"))
-    return last.join(F.broadcast(newest)).withColumn("days_stale", F.datediff("as_of", "last_date"))
+    newest = last.agg(F.max("last_date")).scalar()
+    return last.withColumn("days_stale", F.datediff(newest, "last_date"))
 
 
 def momentum_extremes(bars: DataFrame, period: int = 10, lookback: int = 20) -> DataFrame:

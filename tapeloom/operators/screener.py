@@ -271,8 +271,7 @@ def swing_universe(metrics: DataFrame, **limits: float) -> DataFrame:
 
 
 def with_staleness(metrics: DataFrame) -> DataFrame:
-    newest = metrics.agg(F.max("date").alias("as_of"))
-    return metrics.join(F.broadcast(newest)).withColumn("days_stale", F.datediff("as_of", "date")).drop("as_of")
+    return metrics.withColumn("days_stale", F.datediff(metrics.agg(F.max("date")).scalar(), "date"))
 
 
 def weekly_universe(bars: DataFrame, bench: DataFrame, **limits: float) -> DataFrame:

@@ -33,17 +33,15 @@ def align_to_calendar(bars: DataFrame, sessions: DataFrame, max_fill: int = 5) -
     numbered = sessions.select("date").distinct().withColumn(
         "session", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("date")))
     w = Window.partitionBy("ticker").orderBy("session")
-    end = numbered.agg(F.max("session").alias("_end"))
     held = (
         bars.join(numbered, "date")
         .withColumn("_next", F.lead("session").over(w))
         .withColumn("_first", F.row_number().over(w) == 1)
-        .join(F.broadcast(end))
-        .withColumn("_last", F.coalesce(F.col("_next") - 1, F.col("_end")))
+        .withColumn("_last", F.coalesce(F.col("_next") - 1, numbered.agg(F.max("session")).scalar()))
         .withColumn("_own", F.col("session"))
         .withColumn("_from", F.when(F.col("_first"), F.lit(1)).otherwise(F.col("session")))
         .withColumn("session", F.explode(F.sequence("_from", "_last")))
-        .drop("date", "_next", "_first", "_end", "_last", "_from")
+        .drop("date", "_next", "_first", "_last", "_from")
         .join(numbered, "session")
     )
     traded = F.col("session") == F.col("_own")
@@ -80,7 +78,7 @@ def session_neighbours(days: DataFrame, holidays: list[str]) -> DataFrame:
     return (days.withColumn("is_session", is_session)
             .withColumn("previous", F.last(s, True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
             .withColumn("on_or_before", F.last(s, True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-            .withColumn("next", F.first(s, True).over(w.rowsBetween(1, Window.unboundedFollowing))))
+            .withColumn("next", F.last(s, True).over(Window.partitionBy(F.lit(0)).orderBy(F.col("day").desc()).rowsBetween(Window.unboundedPreceding, -1))))
 
 
 def calendar_days(dates: DataFrame) -> DataFrame:
@@ -107,10 +105,10 @@ def intraday_checkpoints(hourly: DataFrame, daily: DataFrame, hours: list[int])
 
 def equal_folds(df: DataFrame, n: int, bounds: DataFrame | None = None) -> DataFrame:
     """Adds ``fold``: n equal spans of time over the table, the last one closed on the right."""
-    b = (bounds if bounds is not None else df).agg(F.min("date").alias("_a"), F.max("date").alias("_b"))
-    share = F.datediff("date", "_a") * n / F.nullif(F.datediff("_b", "_a"), F.lit(0))
-    return df.join(F.broadcast(b)).withColumn("fold", F.least(F.floor(F.coalesce(share, F.lit(0.0))), F.lit(n - 1)).cast("int")).drop(
-        "_a", "_b")
+    span = (bounds if bounds is not None else df).agg(F.struct(F.min("date").alias("a"), F.max("date").alias("b"))).scalar()
+    out = df.withColumn("_s", span)
+    share = F.datediff("date", "_s.a") * n / F.nullif(F.datediff("_s.b", "_s.a"), F.lit(0))
+    return out.withColumn("fold", F.least(F.floor(F.coalesce(share, F.lit(0.0))), F.lit(n - 1)).cast("int")).drop("_s")
 
 
 def sliding_windows(dates: DataFrame, in_sample: int, out_sample: int, step: int) -> DataFrame:
@@ -134,9 +132,11 @@ def walk_forward_cuts(dates: DataFrame, years: list[int], embargo: int) -> DataF
 def walk_forward_splits(panel: DataFrame, years: list[int], embargo: int) -> DataFrame:
     """Rows of the panel labelled ``train`` or ``test`` for every test year they serve."""
     cuts = walk_forward_cuts(panel, years, embargo)
-    part = F.when(F.year("date") == F.col("test_year"), "test").when(F.col("date") <= F.col("train_end"), "train")
-    # One row per test year.
-    return panel.join(F.broadcast(cuts.withColumnRenamed("year", "test_year"))).withColumn("part", part).where("part is not null")
+    # At most one row per requested year, so the range condition is tested against a handful of rows.
+    cuts = cuts.withColumnRenamed("year", "test_year")
+    test = F.year("date") == F.col("test_year")
+    j = panel.join(F.broadcast(cuts), test | (F.col("date") <= F.col("train_end")))
+    return j.withColumn("part", F.when(test, "test").otherwise("train"))
 
 
 def year_folds(bars: DataFrame, min_sessions: int, last_n: int) -> DataFrame:

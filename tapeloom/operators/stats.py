@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tapeloom.functions import indicators as ind
+from tapeloom.operators.ranks import quantiles, running_counts
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -84,7 +85,7 @@ def bootstrap_means(values: DataFrame, value: str, replicates: int, seed: int, b
     """
     n = values.agg(F.count("*").alias("n"))
     spark = values.sparkSession
-    draws = spark.range(replicates).withColumnRenamed("id", "b").join(F.broadcast(n)).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    draws = spark.range(replicates).withColumnRenamed("id", "b").withColumn("n", n.scalar()).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
     start = hash_draw(F.col("b"), F.floor(F.col("i") / block), F.col("n"), seed)
     draws = draws.withColumn("pos", (start + F.col("i") % block) % F.col("n"))
     return draws.join(values.select(F.col("pos").cast("bigint").alias("pos"), value), "pos").groupBy("b").agg(F.avg(value).alias("mean"))
@@ -159,24 +160,19 @@ def qlike(real: Column, forecast: Column, floor: float = 1e-8) -> Column:
 
 
 def auc(df: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
-    """Area under the ROC curve by average ranks.
-
-    Equal forecasts are counted together first, so the ranking window of a group
-    sees its distinct forecasts, not its rows.
-    """
-    v = df.groupBy(*keys, p).agg(F.count("*").alias("c"), F.sum(F.col(y).cast("double")).alias("c1"))
-    w = Window.partitionBy(*keys).orderBy(p).rowsBetween(Window.unboundedPreceding, 0)
-    rank = F.sum("c").over(w) - (F.col("c") - 1) / 2
-    g = v.withColumn("_r", rank).groupBy(*keys).agg(F.sum(F.col("_r") * F.col("c1")).alias("r1"), F.sum("c1").alias("n1"), F.sum("c").alias("n"))
+    """Area under the ROC curve by average ranks."""
+    v = running_counts(df, keys, p, {"c1": F.col(y).cast("double")})
+    rank = F.col("below") + (F.col("count") + 1) / 2
+    g = v.withColumn("_r", rank).groupBy(*keys).agg(F.sum(F.col("_r") * F.col("c1")).alias("r1"), F.sum("c1").alias("n1"), F.sum("count").alias("n"))
     n1, n0 = F.col("n1"), F.col("n") - F.col("n1")
     return g.select(*keys, F.when((n1 > 0) & (n0 > 0), (F.col("r1") - n1 * (n1 + 1) / 2) / (n1 * n0)).alias("auc"))
 
 
 def calibration(df: DataFrame, keys: list[str], y: str, p: str, bins: int = 10) -> DataFrame:
     """Mean forecast and outcome per quantile bin of the forecast; equal edges merge."""
-    probs = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    edges = df.groupBy(*keys).agg(F.array_distinct(F.percentile(p, probs)).alias("edges"))
-    j = df.join(F.broadcast(edges), keys) if keys else df.join(F.broadcast(edges))
+    names = [f"q{i}" for i in range(bins + 1)]
+    edges = quantiles(df, keys, p, {n: i / bins for i, n in enumerate(names)}).select(*keys, F.array_distinct(F.array(*names)).alias("edges"))
+    j = df.join(edges, keys)
     # Bins are right-closed; the first one also takes its left edge.
     above = F.size(F.filter("edges", lambda e: e < F.col(p)))
     return j.withColumn("bin", F.greatest(above - 1, F.lit(0))).groupBy(*keys, "bin").agg(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tapeloom.functions import indicators as ind
-from tapeloom.operators import patterns, shaping
+from tapeloom.operators import patterns, ranks, shaping
 from tapeloom.operators.asof import asof_join
 
 
@@ -223,12 +223,6 @@ def welch_t(df: DataFrame, keys: list[str], test: Column, value: str) -> DataFra
     return g.withColumn("t", (F.col("mean_a") - F.col("mean_b")) / F.nullif(se, F.lit(0.0))).drop("va", "vb")
 
 
-def mean_without_top(df: DataFrame, keys: list[str], value: str, n: int = 5) -> DataFrame:
-    """Mean of a column without its n largest values per group."""
-    w = Window.partitionBy(*keys).orderBy(F.col(value).desc())
-    return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") > n).groupBy(*keys).agg(F.avg(value).alias("mean_rest"))
-
-
 # --- momentum rotation ------------------------------------------------------------------------------------------
 
 def rotation_picks(bars: DataFrame, bench: DataFrame, cells: list[tuple[int, int, int, bool]], min_price: float, min_dollar: float) -> DataFrame:
@@ -360,24 +354,10 @@ def horizon_summary(long: DataFrame, group: str) -> DataFrame:
     pool = pooled_beat(long).select("horizon", "pool_beat")
     n, beat, p = F.col("n"), F.col("beat"), F.col("pool_beat")
     g = long.groupBy(group, "horizon").agg(
-        F.count("*").alias("n"), F.avg("x").alias("mean"), F.percentile("x", F.lit(0.5)).alias("median"), F.avg((F.col("x") > 0).cast("double")).alias("beat"))
-    t = trimmed_mean(long, [group, "horizon"], "x")
+        F.count("*").alias("n"), F.avg("x").alias("mean"), F.avg((F.col("x") > 0).cast("double")).alias("beat"))
+    t = ranks.trimmed_mean(long, [group, "horizon"], "x").join(ranks.quantiles(long, [group, "horizon"], "x", {"median": 0.5}), [group, "horizon"])
     z = F.when((p > 0) & (p < 1), (beat - p) / F.sqrt(p * (1 - p) / n))
-    return g.join(t, [group, "horizon"]).join(F.broadcast(pool), "horizon").withColumn("z", z)
-
-
-def trimmed_mean(df: DataFrame, keys: list[str], value: str, percent: int = 1) -> DataFrame:
-    """Mean without the lowest and highest ``n * percent // 100`` values of each group.
-
-    Equal values are counted together first, so ranks are running counts over the
-    distinct values of a group and ties at the cut are split exactly.
-    """
-    v = df.groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*keys)
-    upto = F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    v = v.withColumn("_hi", upto).withColumn("_n", F.sum("_c").over(w)).withColumn("_k", F.floor(F.col("_n") * percent / 100))
-    kept = F.greatest(F.lit(0), F.least("_hi", F.col("_n") - F.col("_k")) - F.greatest(F.col("_hi") - F.col("_c"), F.col("_k")))
-    return v.withColumn("_m", kept).groupBy(*keys).agg((F.sum(F.col("_m") * F.col(value)) / F.sum("_m")).alias("trimmed"))
+    return g.join(t, [group, "horizon"]).join(pool, "horizon").withColumn("z", z)
 
 
 def track_record(notes: DataFrame, horizons: list[int], dip: float = 0.10) -> DataFrame:
@@ -395,8 +375,8 @@ def track_record(notes: DataFrame, horizons: list[int], dip: float = 0.10) -> Da
     member = F.explode(F.filter(F.array(*[F.when(r, F.lit(n)) for n, r in rules.items()]), lambda x: x.isNotNull()))
     legs = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), (F.col(f"ret_{h}") - F.col(f"bench_{h}")).alias("x")) for h in horizons]))
     long = notes.withColumn("label", member).select("label", legs.alias("l")).select("label", "l.*").where("x is not null")
-    return long.groupBy("label", "horizon").agg(F.count("*").alias("n"), F.avg("x").alias("avg_excess"), F.percentile("x", F.lit(0.5)).alias("median_excess"),
-                                                F.avg((F.col("x") > 0).cast("double")).alias("hit_rate"))
+    return long.groupBy("label", "horizon").agg(F.count("*").alias("n"), F.avg("x").alias("avg_excess"), F.avg((F.col("x") > 0).cast("double")).alias("hit_rate")).join(
+        ranks.quantiles(long, ["label", "horizon"], "x", {"median_excess": 0.5}), ["label", "horizon"])
 
 
 def same_day_diagnostic(returns: DataFrame, daily: DataFrame, n: int = 20) -> DataFrame:
@@ -414,7 +394,7 @@ def same_day_diagnostic(returns: DataFrame, daily: DataFrame, n: int = 20) -> Da
 def variant_mean_without_top(bars: DataFrame, n: int = 5) -> DataFrame:
     events, _ = breakout_study(bars)
     e = events.where("exit = 'hold_20'")
-    return e.groupBy("variant").agg(F.count("*").alias("n")).join(mean_without_top(e, ["variant"], "ret", n), "variant")
+    return e.groupBy("variant").agg(F.count("*").alias("n")).join(ranks.mean_without_top(e, ["variant"], "ret", n), "variant")
 
 
 def outcomes(t) -> DataFrame:

@@ -109,16 +109,16 @@ query("j28_fill_prices", "trade_id:i fill_date:d next_open:f close_fill:f",
       SELECT trade_id, n.date AS fill_date, n.open AS next_open, CASE WHEN want - c.date <= 10 THEN c.close END AS close_fill FROM w
       ASOF LEFT JOIN bars n ON w.ticker = n.ticker AND w.want < n.date ASOF LEFT JOIN bars c ON w.ticker = c.ticker AND w.want >= c.date""")(lambda t: ledger.fill_prices(t.trades, t.bars))
 query("s18_ledger_append", "tx_id:i side ticker trade_date:d price:f shares:f amount:f2", f"WITH {TX} SELECT * FROM transactions")(lambda t: t.transactions)
-query("s19_ordered_ledger", "tx_id:i place:i",
-      f"WITH {TX} SELECT tx_id, row_number() OVER (PARTITION BY ticker ORDER BY trade_date, tx_id) AS place FROM transactions")(
-    lambda t: t.transactions.withColumn("place", F.row_number().over(Window.partitionBy("ticker").orderBy("trade_date", "tx_id"))))
+query("s19_ordered_ledger", "tx_id:i ticker trade_date:d",
+      f"WITH {TX} SELECT tx_id, ticker, trade_date FROM transactions ORDER BY trade_date, tx_id")(
+    lambda t: t.transactions.orderBy("trade_date", "tx_id"))
 query("u1_union_open_and_closed", "trade_id:i status stop_price:f exit_price:f",
       f"WITH {PJ} SELECT trade_id, 'closed' AS status, NULL AS stop_price, exit_price FROM trades WHERE status <> 'O' UNION ALL SELECT position_id, 'open', stop_price, NULL FROM positions")(
     lambda t: t.trades.where("status <> 'O'").select("trade_id", F.lit("closed").alias("status"), "exit_price").unionByName(
         t.positions.select(F.col("position_id").alias("trade_id"), F.lit("open").alias("status"), "stop_price"), allowMissingColumns=True))
-query("k3_nulls_last_by_rr", "intent_id:i place:i",
-      "WITH @bars, @trades, @intents SELECT intent_id, row_number() OVER (PARTITION BY ticker ORDER BY rr DESC NULLS LAST, intent_id) AS place FROM intents WHERE intent_status = 'PENDING'")(
-    lambda t: t.intents.where("intent_status = 'PENDING'").withColumn("place", F.row_number().over(Window.partitionBy("ticker").orderBy(F.col("rr").desc_nulls_last(), "intent_id"))))
+query("k3_nulls_last_by_rr", "intent_id:i rr:f",
+      "WITH @bars, @trades, @intents SELECT intent_id, rr FROM intents WHERE intent_status = 'PENDING' ORDER BY rr DESC NULLS LAST, intent_id")(
+    lambda t: t.intents.where("intent_status = 'PENDING'").orderBy(F.col("rr").desc_nulls_last(), "intent_id"))
 
 MK = "@bars, @trades, @positions, @marked"
 FR["marked"] = """mk0 AS (SELECT p.*, CASE WHEN p.as_of - b.date <= 10 THEN b.close ELSE p.entry_price END AS price FROM positions p ASOF LEFT JOIN bars b ON p.ticker = b.ticker AND p.as_of >= b.date),

@@ -78,8 +78,8 @@ terms AS MATERIALIZED (SELECT guid, 45 + value * 2 AS issue_price, CASE WHEN gui
 relview AS MATERIALIZED (SELECT r.*, headline, verdict, issue_price, offering_type FROM releases r LEFT JOIN parsed USING (guid) LEFT JOIN analysis USING (guid) LEFT JOIN terms USING (guid))"""
 RV = "@releases, @relview"
 query("j13_unparsed_backlog", "guid:i", f"WITH {RV} SELECT guid FROM releases WHERE guid NOT IN (SELECT guid FROM parsed)")(lambda t: notes.backlog(t.releases, notes.parsed_of(t.releases)))
-query("k7_oldest_first_backlog", "guid:i place:i", f"WITH {RV} SELECT guid, row_number() OVER (PARTITION BY ticker ORDER BY ts, guid) AS place FROM releases WHERE guid NOT IN (SELECT guid FROM parsed)")(
-    lambda t: notes.backlog(t.releases, notes.parsed_of(t.releases)).withColumn("place", F.row_number().over(Window.partitionBy("ticker").orderBy("ts", "guid"))))
+query("k7_oldest_first_backlog", "guid:i ts:s", f"WITH {RV} SELECT guid, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM releases WHERE guid NOT IN (SELECT guid FROM parsed)")(
+    lambda t: notes.backlog(t.releases, notes.parsed_of(t.releases)).orderBy("ts", "guid").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")))
 query("j17_release_view", "guid:i headline verdict issue_price:f offering_type", f"WITH {RV} SELECT * FROM relview")(lambda t: notes.release_view(t.releases))
 query("j31_release_events", "guid:i headline verdict", f"WITH {RV} SELECT guid, headline, verdict FROM releases JOIN parsed USING (guid) LEFT JOIN analysis USING (guid) WHERE ticker <> ''")(lambda t: notes.release_events(t.releases))
 FR["fin"] = """fin AS MATERIALIZED (SELECT o.guid, o.ticker, issue_price, offered, outstanding, offering_type, pre_close, issue_price / pre_close - 1 AS discount, offered / outstanding AS dilution FROM outcomes o JOIN terms USING (guid))"""
@@ -121,7 +121,7 @@ query("j22_first_listed_symbol", "guid:i symbol",
       SELECT event_id AS guid, k.symbol FROM events e JOIN k USING (user_id) WHERE e.ts :: DATE > (SELECT min(ts) :: DATE FROM events)""")(lambda t: notes.listed_requests(t.events))
 query("j27_insider_evidence", "ticker accession sector:s", "WITH @form4 SELECT f.ticker, accession, 'T' || length(f.ticker) AS sector FROM form4 f WHERE code = 'P'")(
     lambda t: documents.open_market_buys(documents.form4_transactions(raw.form4_filings(t.events))).join(
-        F.broadcast(t.events.select(F.col("event_type").alias("ticker")).distinct().withColumn("sector", F.concat(F.lit("T"), F.length("ticker").cast("string")))), "ticker"))
+        t.events.select(F.col("event_type").alias("ticker")).distinct().withColumn("sector", F.concat(F.lit("T"), F.length("ticker").cast("string"))), "ticker"))
 query("a27_coverage_counts", "category releases:i parsed:i analysed:i", f"WITH {RV} SELECT category, count(*) AS releases, count(headline) AS parsed, count(verdict) AS analysed FROM relview GROUP BY 1")(
     lambda t: notes.release_view(t.releases).groupBy("category").agg(F.count("*").alias("releases"), F.count("headline").alias("parsed"), F.count("verdict").alias("analysed")))
 query("a23_survivorship", "total:i scored:i no_data:i", f"WITH {OUTCOMES} SELECT (SELECT count(*) FROM releases) AS total, count_if(complete) AS scored, (SELECT count(*) FROM releases) - count(*) AS no_data FROM outcomes")(

@@ -79,21 +79,27 @@ def benchmark_bars(bars: DataFrame) -> DataFrame:
 def hourly_bars(events: DataFrame) -> DataFrame:
     """hourly(ticker, day, hour, open, high, low, close, volume) from the event stream.
 
-    Same walk as the daily bars, with (ticker, hour) as the block.
+    Same walk as the daily bars, with a minute as the block.
     """
     ticks = events.select(
         F.col("event_type").alias("ticker"),
-        F.date_trunc("hour", "ts").alias("slot"),
+        F.date_trunc("minute", "ts").alias("minute"),
         "ts",
         "event_id",
         ((F.round(F.col("value") * 100).cast("long") % 11) - 5).alias("step"),
     )
-    w = Window.partitionBy("ticker", "slot").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    hours = (
+    w = Window.partitionBy("ticker", "minute").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    minutes = (
         ticks.withColumn("cum", F.sum("step").over(w))
+        .groupBy("ticker", "minute")
+        .agg(F.sum("step").alias("step"), F.max("cum").alias("top"), F.min("cum").alias("bottom"), F.count("*").alias("volume"))
+        .withColumn("slot", F.date_trunc("hour", "minute"))
+    )
+    hours = (
+        _chain(minutes, ["ticker", "slot"], "minute")
         .groupBy("ticker", "slot")
-        .agg(F.sum("step").alias("step"), F.max("cum").alias("top"), F.min("cum").alias("bottom"),
-             F.count("*").cast("double").alias("volume"))
+        .agg(F.sum("step").alias("step"), F.max(F.col("base") + F.col("top")).alias("top"),
+             F.min(F.col("base") + F.col("bottom")).alias("bottom"), F.sum("volume").cast("double").alias("volume"))
     )
     base = F.col("base")
     return _chain(hours, ["ticker"], "slot").select(

@@ -18,15 +18,17 @@ def load_bars(bars: DataFrame, tickers: list[str] | None, start: str, end: str)
 def as_known(bars: DataFrame, as_of_dates: DataFrame) -> DataFrame:
     """What was known on each as-of date: bar count and last close per ticker."""
     w = Window.partitionBy("ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    seen = bars.select("ticker", F.col("date").alias("d"), "close", F.count("*").over(w).alias("bars"))
-    points = bars.select("ticker").distinct().join(F.broadcast(as_of_dates.select(F.col("date").alias("as_of"))))
-    return asof_join(points, seen, "ticker", "as_of", "d", {"bars": "bars", "close": "last_close"}).where("bars is not null")
+    until = F.lead("date").over(Window.partitionBy("ticker").orderBy("date"))
+    seen = bars.select("ticker", "date", F.col("close").alias("last_close"), F.count("*").over(w).alias("bars"), until.alias("_next"))
+    last = F.greatest("date", F.coalesce(F.date_sub("_next", 1), as_of_dates.agg(F.max("date")).scalar()))
+    # Every bar stands for the days up to the next one; only the as-of days are kept.
+    days = seen.withColumn("as_of", F.explode(F.sequence("date", last)))
+    return days.join(as_of_dates.select(F.col("date").alias("as_of")).distinct(), "as_of", "left_semi")
 
 
 def quality_slice(bars: DataFrame, days: int, need: int) -> DataFrame:
     """Bars of the last ``days + 60`` calendar days, for tickers with more than ``need`` of them and a positive last close."""
-    newest = bars.agg(F.max("date").alias("_z"))
-    recent = bars.join(F.broadcast(newest)).where(F.col("date") >= F.date_sub("_z", days + 60)).drop("_z")
+    recent = bars.where(F.col("date") >= F.date_sub(bars.agg(F.max("date")).scalar(), days + 60))
     good = recent.groupBy("ticker").agg(F.count("*").alias("n"), F.max_by("close", "date").alias("last")).where((F.col("n") > need) & (F.col("last") > 0))
     return recent.join(good.select("ticker"), "ticker", "left_semi")
 
@@ -132,8 +134,7 @@ def upsert_latest(old: DataFrame, new: DataFrame, keys: list[str], version: str)
 
 def latest_snapshot(table: DataFrame, run: str = "run_date") -> DataFrame:
     """Rows of the newest run."""
-    newest = table.agg(F.max(run).alias(run))
-    return table.join(F.broadcast(newest), run, "left_semi")
+    return table.where(F.col(run) == table.agg(F.max(run)).scalar())
 
 
 def new_documents(found: DataFrame, ingested: DataFrame) -> DataFrame:

@@ -92,8 +92,8 @@ def bursts(releases: DataFrame, gap: str = "30 minutes", delay: str = "1 hour")
 
 def pick_flag_day(scanned: DataFrame, sent: DataFrame, backfill: int = 5) -> DataFrame:
     """Newest scanned day not yet sent, looking back at most ``backfill`` days from the newest scan."""
-    newest = scanned.agg(F.max("day").alias("z"))
-    todo = scanned.join(sent, "day", "left_anti").join(F.broadcast(newest)).where(F.col("day") >= F.date_sub("z", backfill))
+    newest = scanned.agg(F.max("day")).scalar()
+    todo = scanned.where(F.col("day") >= F.date_sub(newest, backfill)).join(sent, "day", "left_anti")
     return todo.agg(F.max("day").alias("day"))
 
 
