@@ -76,9 +76,13 @@ def adx_regime(df: DataFrame, wake: float = 4.0) -> DataFrame:
 
 def trend_labels(ind_df: DataFrame) -> DataFrame:
     """Labels that read only daily indicator columns, for every bar."""
+    return label_columns(adx_regime(ind_df.withColumn("bar", ind.bar_number())))
+
+
+def label_columns(df: DataFrame) -> DataFrame:
+    """Labels with a bounded look-back; ``df`` has the indicator columns, ``bar`` and ``adx_regime``."""
     c = F.col
-    out = ind_df.withColumn("bar", ind.bar_number())
-    out = out.select(
+    out = df.select(
         "*",
         slope_label("ema22", 10).alias("ma_slope"),
         slope_label("close", 5).alias("price_slope"),
@@ -91,7 +95,6 @@ def trend_labels(ind_df: DataFrame) -> DataFrame:
         scans.extreme_reading("macd_hist", 63).alias("macd_hist_extreme"),
         volume_level().alias("volume_vs_avg"),
     )
-    out = adx_regime(out)
     return out.select(
         "*",
         above_below(c("close"), c("ema22"), ("Above", "Below", "At")).alias("price_vs_ma"),
@@ -119,44 +122,44 @@ def weekly_labels(bars: DataFrame) -> DataFrame:
                     impulse(slope_label("ema13", 2), slope_label("macd_hist", 2)).alias("impulse_weekly"))
 
 
-def divergences(df: DataFrame, indicators: dict[str, bool], order: int = 3, gap: tuple[int, int] = (20, 40)) -> DataFrame:
-    """Per ticker, price against each indicator at its last two pivots.
+def with_divergences(df: DataFrame, indicators: dict[str, bool], order: int = 3, gap: tuple[int, int] = (20, 40)) -> DataFrame:
+    """Price against each indicator at the last two pivots of the bars seen so far.
 
     ``indicators`` maps a column to whether it must cross zero between the pivots.
-    Bullish wins over bearish.  One aggregation per ticker after the pivots are known.
+    Bullish wins over bearish.  A pivot carries the pivot before it and running
+    counts of the bars above and below zero, so the answer is read off growing
+    windows without any join.  A pivot is known ``order`` bars late; read the last
+    row of a ticker, or a row ``order`` bars after the pivot.
     """
-    piv = runs.with_pivots(df.withColumn("bar", ind.bar_number()), "close", order)
-    w = Window.partitionBy("ticker", "kind").orderBy(F.col("bar").desc())
-    ends = (
-        piv.where("pivot_low or pivot_high")
-        .select("ticker", "bar", F.when(F.col("pivot_low"), "low").otherwise("high").alias("kind"))
-        .withColumn("r", F.row_number().over(w)).where("r <= 2")
-        .groupBy("ticker").agg(*[
-            f(F.when((F.col("kind") == k) & (F.col("r") == r), F.col("bar"))).alias(f"{k}{2 - r + 1}")
-            for k in ("low", "high") for r, f in ((1, F.max), (2, F.max))])
-    )
-    j = piv.select("ticker", "bar", "close", *indicators).join(ends, "ticker")
-    at = lambda c, p: F.max(F.when(F.col("bar") == F.col(p), F.col(c)))
-    between = lambda k: (F.col("bar") > F.col(f"{k}1")) & (F.col("bar") < F.col(f"{k}2"))
-    aggs = [F.max(p).alias(p) for p in ("low1", "low2", "high1", "high2")]
-    for c in ["close", *indicators]:
-        aggs += [at(c, p).alias(f"{c}_{p}") for p in ("low1", "low2", "high1", "high2")]
-    for c, cross in indicators.items():
+    c, so_far, before = F.col, ind.to_date(), ind.rows(Window.unboundedPreceding, -1)
+    crossing = [n for n, x in indicators.items() if x]
+    df = runs.with_pivots(df.withColumn("bar", ind.bar_number()), "close", order)
+    df = df.select("*", *[F.sum((c(n) > 0).cast("int")).over(so_far).alias(f"_up_{n}") for n in crossing],
+                   *[F.sum((c(n) < 0).cast("int")).over(so_far).alias(f"_dn_{n}") for n in crossing])
+    kept = ["bar", "close", *indicators, *[f"_{k}_{n}" for n in crossing for k in ("up", "dn")]]
+    df = df.select("*", *[F.when(c(f"pivot_{k}"), F.struct(*kept)).alias(f"_{k}") for k in ("low", "high")])
+    df = df.select("*", *[F.when(c(f"pivot_{k}"), F.struct(c(f"_{k}").alias("b"), F.last(f"_{k}", True).over(before).alias("a"))).alias(f"_{k}2") for k in ("low", "high")])
+    df = df.select("*", *[F.last(f"_{k}2", True).over(so_far).alias(f"_{k}s") for k in ("low", "high")])
+
+    def found(k: str, n: str, cross: bool) -> Column:
+        a, b = c(f"_{k}s.a"), c(f"_{k}s.b")
+        lower = k == "low"
+        hit = (b["bar"] - a["bar"]).between(*gap)
+        hit = hit & ((b["close"] < a["close"]) & (b[n] > a[n]) if lower else (b["close"] > a["close"]) & (b[n] < a[n]))
         if cross:
-            aggs += [F.coalesce(F.bool_or(F.when(between("low"), F.col(c) > 0)), F.lit(False)).alias(f"{c}_above"),
-                     F.coalesce(F.bool_or(F.when(between("high"), F.col(c) < 0)), F.lit(False)).alias(f"{c}_below")]
-    g = j.groupBy("ticker").agg(*aggs)
-    spaced = lambda k: (F.col(f"{k}2") - F.col(f"{k}1")).between(*gap)
-
-    def label(c: str, cross: bool) -> Column:
-        bull = spaced("low") & (F.col("close_low2") < F.col("close_low1")) & (F.col(f"{c}_low2") > F.col(f"{c}_low1"))
-        bear = spaced("high") & (F.col("close_high2") > F.col("close_high1")) & (F.col(f"{c}_high2") < F.col(f"{c}_high1"))
-        if cross:
-            bull, bear = bull & F.col(f"{c}_above"), bear & F.col(f"{c}_below")
-        return F.when(bull, "Bullish").when(bear, "Bearish").otherwise("None").alias(f"{c}_divergence")
+            kind = "_up_" if lower else "_dn_"
+            at_b = (b[n] > 0 if lower else b[n] < 0).cast("int")
+            hit = hit & (b[kind + n] - at_b - a[kind + n] > 0)
+        return F.coalesce(hit, F.lit(False))
+
+    labels = [F.when(found("low", n, x), "Bullish").when(found("high", n, x), "Bearish").otherwise("None").alias(f"{n}_divergence") for n, x in indicators.items()]
+    drop = [x for x in df.columns if x.startswith("_")]
+    return df.select("*", *labels).drop(*drop, "pivot_low", "pivot_high")
+
 
-    found = g.select("ticker", *[label(c, x) for c, x in indicators.items()])
-    return df.select("ticker").distinct().join(found, "ticker", "left").na.fill("None")
+def last_bars(df: DataFrame, n: int) -> DataFrame:
+    w = Window.partitionBy("ticker").orderBy(F.col("date").desc())
+    return df.withColumn("back", F.row_number().over(w)).where(F.col("back") <= n)
 
 
 BOARD_DIVERGENCES = {"macd_hist": True, "rsi": False, "stoch_k": False, "obv": False, "ad": False,
@@ -166,12 +169,12 @@ BOARD_DIVERGENCES = {"macd_hist": True, "rsi": False, "stoch_k": False, "obv": F
 def board(bars: DataFrame) -> DataFrame:
     """One row per ticker at its last bar, with every indicator and label."""
     c = F.col
-    daily = daily_set(bars)
-    labelled = trend_labels(daily).select(
-        "*", (c("close") / ind.lag("close") - 1).alias("_r"), zone("rsi").alias("rsi_zone"), zone("stoch_k").alias("stoch_zone"))
-    last = labelled.withColumn("_n", F.row_number().over(Window.partitionBy("ticker").orderBy(F.col("date").desc()))).where("_n = 1")
+    daily = adx_regime(with_divergences(daily_set(bars), BOARD_DIVERGENCES))
+    # The other labels look back at most 120 bars, so only those go on.
+    recent = label_columns(last_bars(daily, 140))
+    labelled = recent.select("*", (c("close") / ind.lag("close") - 1).alias("_r"), zone("rsi").alias("rsi_zone"), zone("stoch_k").alias("stoch_zone"))
     week = scans.latest(weekly_labels(bars)).drop("date")
-    out = last.join(divergences(daily, BOARD_DIVERGENCES), "ticker").join(week, "ticker", "left")
+    out = labelled.where("back = 1").join(week, "ticker", "left")
     return out.select(
         "ticker", c("date").alias("run_date"), c("close").alias("price"), (c("_r") * 100).alias("pct_chg"),
         c("ema22").alias("ma22"), c("ema50").alias("ma50"), c("ema200").alias("ma200"), "ma_slope", "price_vs_ma", "value_zone",

@@ -14,6 +14,7 @@ from tapeloom.functions.recursive import averages_with_gaps, wilder
 from tapeloom.operators import stats
 from tapeloom.operators.asof import asof_join
 from tapeloom.operators.scans import benchmark_returns
+from tapeloom.sources.workspace import stored
 from tapeloom.operators.shaping import align_to_calendar, walk_forward_splits
 
 # Feature, market and label columns of the panel.
@@ -125,7 +126,7 @@ def rule_predictions(panel: DataFrame) -> DataFrame:
 
 def with_predictions(panel: DataFrame, years: list[int], embargo: int = HORIZON) -> DataFrame:
     """Test rows of each year with the training base rate and the volatility rule per target, in long form."""
-    split = walk_forward_splits(panel.persist(), years, embargo)
+    split = walk_forward_splits(panel, years, embargo)
     all_targets = TARGETS + ["fwd_rvol"]
     base = split.where("part = 'train'").groupBy("test_year").agg(*[F.avg(c).alias(f"base_{c}") for c in all_targets])
     test = rule_predictions(split.where("part = 'test'")).join(F.broadcast(base), "test_year")
@@ -133,8 +134,7 @@ def with_predictions(panel: DataFrame, years: list[int], embargo: int = HORIZON)
     keep = ["test_year", "ticker", "date", "mkt_above_200", "fwd_ret"]
     long = test.select(*keep, F.explode(legs).alias("l")).select(*keep, "l.*").where("y is not null and p_rule is not null")
     loss = lambda p: F.when(F.col("target") == "fwd_rvol", stats.qlike(F.col("y"), F.col(p))).otherwise(stats.brier(F.col("y"), F.col(p)))
-    # Read by every metric of an evaluation, so it is kept after the first use.
-    return long.withColumn("loss_base", loss("p_base")).withColumn("loss_rule", loss("p_rule")).persist()
+    return long.withColumn("loss_base", loss("p_base")).withColumn("loss_rule", loss("p_rule"))
 
 
 def evaluate(long: DataFrame, lag: int = HORIZON) -> DataFrame:
@@ -188,7 +188,7 @@ def lookahead_check(bars: DataFrame, bench_of, cut: str) -> DataFrame:
 
 # --- models -----------------------------------------------------------------------------------------------------
 
-def design(panel: DataFrame, split: DataFrame) -> DataFrame:
+def design(split: DataFrame) -> DataFrame:
     """Cross-sectional ranks, training-only z-scores, log volatility and rule logits."""
     ranked = split.select("*", *[ind.centred_rank(c, ["test_year", "part", "date"]).alias(f"rank_{c}") for c in FEATURES])
     z = split.where("part = 'train'").groupBy("test_year").agg(
@@ -236,7 +236,7 @@ def fit_predict(rows: DataFrame, target: str, model: str) -> DataFrame:
 
 def walk_forward_models(panel: DataFrame, years: list[int], jobs: list[tuple[str, str]]) -> DataFrame:
     """Out-of-sample predictions of each (target, model) over the test years."""
-    d = design(panel, walk_forward_splits(panel, years, HORIZON)).persist()
+    d = stored(design(walk_forward_splits(panel, years, HORIZON)), "design")
     parts = [fit_predict(d.where(F.col("test_year") == y), t, m) for y in years for t, m in jobs]
     return reduce(DataFrame.unionByName, parts)
 
@@ -250,3 +250,7 @@ def compare_models(predictions: DataFrame, long: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.avg("loss_model").alias("loss_model"), F.avg("loss_base").alias("loss_base"), F.avg("loss_rule").alias("loss_rule"))
     return g.withColumn("skill_vs_base", stats.skill(F.col("loss_model"), F.col("loss_base"))).withColumn(
         "skill_vs_rule", stats.skill(F.col("loss_model"), F.col("loss_rule")))
+
+
+def model_table(panel: DataFrame, years: list[int], jobs: list[tuple[str, str]]) -> DataFrame:
+    return compare_models(walk_forward_models(panel, years, jobs), with_predictions(panel, years))

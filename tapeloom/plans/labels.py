@@ -110,7 +110,7 @@ query("p8_triple_screen_alignment", "ticker date:d weekly_trend impulse_weekly d
     lambda t: labels.weekly_with_daily(t.bars))
 query("p9_divergence", "ticker macd_hist_divergence rsi_divergence stoch_k_divergence obv_divergence ad_divergence "
       "force_short_divergence force_long_divergence", "WITH @bars, @rec, @full_ind, @diverged SELECT * FROM diverged")(
-    lambda t: labels.divergences(labels.daily_set(t.bars), labels.BOARD_DIVERGENCES))
+    lambda t: labels.last_bars(labels.with_divergences(labels.daily_set(t.bars), labels.BOARD_DIVERGENCES), 1))
 
 BOARD_OUT = (
     "ticker run_date:d price:f pct_chg:f ma22:f4 ma50:f4 ma200:f4 ma_slope price_vs_ma value_zone macd_line:f4 macd_signal:f4 "

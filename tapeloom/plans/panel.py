@@ -11,6 +11,7 @@ from tapeloom.plans import oracle
 from tapeloom.plans.ledger import X as EXCESS
 from tapeloom.plans.registry import query
 from tapeloom.sources.bridge import benchmark_bars
+from tapeloom.sources.workspace import stored
 
 FR = oracle.FRAGMENTS
 YEARS = [1998, 1999, 2000]
@@ -84,7 +85,9 @@ pdl AS (SELECT test_year, ticker, date, mkt_above_200, fwd_ret, unnest([{', '.jo
 preds AS MATERIALIZED (SELECT *, CASE WHEN target = 'fwd_rvol' THEN (greatest(y, 1e-8) / p_base) ** 2 - ln((greatest(y, 1e-8) / p_base) ** 2) - 1 ELSE (p_base - y) ** 2 END AS loss_base,
   CASE WHEN target = 'fwd_rvol' THEN (greatest(y, 1e-8) / p_rule) ** 2 - ln((greatest(y, 1e-8) / p_rule) ** 2) - 1 ELSE (p_rule - y) ** 2 END AS loss_rule FROM pdl WHERE y IS NOT NULL AND p_rule IS NOT NULL)"""
 PR = f"{P}, @rules, @preds"
-preds = lambda t: panel.with_predictions(the_panel(t), YEARS)
+# Several steps read the panel and the predictions, so both are written once.
+stored_panel = lambda t: stored(the_panel(t), "panel")
+preds = lambda t: stored(panel.with_predictions(stored_panel(t), YEARS), "predictions")
 query("x5_normal_cdf", "ticker date:d rule_y_stop_hit:f rule_y_up10:f rule_y_dn10:f", f"WITH {P}, @rules SELECT * FROM rules")(lambda t: panel.rule_predictions(the_panel(t)))
 query("v10_predictions", "test_year:i ticker date:d target p_base:f p_rule:f", f"WITH {PR} SELECT * FROM preds")(preds)
 query("v7_forecast_losses", "test_year:i target n:i brier:f log_loss:f mse:f",
@@ -139,11 +142,11 @@ query("v12_design_matrix", "test_year:i part ticker date:d rank_vol_20:f rank_re
       SELECT sp.*, (rank() OVER (PARTITION BY test_year, part, date ORDER BY vol_20) + (count(*) OVER (PARTITION BY test_year, part, date, vol_20) - 1) / 2.0) / count(*) OVER (PARTITION BY test_year, part, date) - 0.5 AS rank_vol_20,
         (rank() OVER (PARTITION BY test_year, part, date ORDER BY ret_21) + (count(*) OVER (PARTITION BY test_year, part, date, ret_21) - 1) / 2.0) / count(*) OVER (PARTITION BY test_year, part, date) - 0.5 AS rank_ret_21,
         (mkt_vol_20 - m) / sd AS z_mkt_vol_20, ln(greatest(vol_20, 1e-4)) AS log_vol_20, ln(least(greatest(rule_y_up10, 1e-4), 1 - 1e-4) / (1 - least(greatest(rule_y_up10, 1e-4), 1 - 1e-4))) AS logit_y_up10 FROM sp JOIN z USING (test_year)""")(
-    lambda t: panel.design(the_panel(t), shaping.walk_forward_splits(the_panel(t), YEARS, 20)))
+    lambda t: panel.design(shaping.walk_forward_splits(stored_panel(t), YEARS, 20)))
 MODEL_JOBS = [("y_stop_hit", "logistic"), ("y_up10", "gbm"), ("fwd_rvol", "ridge")]
-query("v13_walk_forward_models", "test_year:i ticker date:d target model p_model:f4")(lambda t: panel.walk_forward_models(the_panel(t), [1999, 2000], MODEL_JOBS))
+query("v13_walk_forward_models", "test_year:i ticker date:d target model p_model:f4")(lambda t: panel.walk_forward_models(stored_panel(t), [1999, 2000], MODEL_JOBS))
 query("v14_model_comparison", "test_year:i target model n:i loss_model:f4 loss_base:f4 loss_rule:f4 skill_vs_base:f4 skill_vs_rule:f4")(
-    lambda t: panel.compare_models(panel.walk_forward_models(the_panel(t), [1999, 2000], MODEL_JOBS), panel.with_predictions(the_panel(t), [1999, 2000])))
+    lambda t: panel.model_table(stored_panel(t), [1999, 2000], MODEL_JOBS))
 
 # --- small-table statistics -------------------------------------------------------------------------------------
 

@@ -11,8 +11,9 @@ from tapeloom.plans.patterns import BEST
 from tapeloom.plans.registry import query
 from tapeloom.plans.studies import O as OUTCOMES
 from tapeloom.sources.tables import Tables
+from tapeloom.sources.workspace import work_folder
 from tapeloom.streaming import rules
-from tapeloom.streaming.runtime import folder_stream, run_append, run_batches, run_latest, table_stream, work_folder, write_version
+from tapeloom.streaming.runtime import folder_stream, run_append, run_batches, run_latest, table_stream, write_version
 
 
 def stream(t: Tables) -> DataFrame:

@@ -41,7 +41,7 @@ def daily_bars(lineitem: DataFrame, part: DataFrame) -> DataFrame:
         "l_discount", "l_tax", "l_returnflag", "l_linestatus",
     )
     in_block = (
-        Window.partitionBy("ticker", "date", "block")
+        Window.partitionBy("date", "ticker", "block")
         .orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
                  "l_discount", "l_tax", "l_returnflag", "l_linestatus")
         .rowsBetween(Window.unboundedPreceding, 0)

@@ -35,7 +35,12 @@ class Tables:
 
     @cached_property
     def bars(self) -> DataFrame:
-        return bridge.daily_bars(self.lineitem, self.part)
+        """The daily bars: one row per ticker and session, the input of nearly every study.
+
+        They stand for a stored bar table, so they are built from the fills once per
+        session and kept; the size is tickers times sessions, not fills.
+        """
+        return bridge.daily_bars(self.lineitem, self.part).persist()
 
     @cached_property
     def bench(self) -> DataFrame:

@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's shared checkpoint folder; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tapeloom-")
-    return f"{base.rstrip('/')}/tapeloom/{name}-{uuid.uuid4().hex}"
+from tapeloom.sources.workspace import work_folder
 
 
 def table_stream(spark: SparkSession, directory: str, table: str, files_per_batch: int = 1) -> DataFrame:
