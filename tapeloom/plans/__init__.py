@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-THEMES = ("bar_windows", "labels", "screener", "patterns", "ledger", "studies", "panel", "documents", "notes", "streams")
+THEMES = ("bar_windows", "labels", "screener", "patterns", "ledger", "studies", "panel", "documents", "notes", "streams", "surface")
 
 
 def catalogue():
