@@ -52,7 +52,13 @@ def asof_join(
     columns: dict[str, str],
     direction: str = "backward",
     strict: bool = False,
+    points: DataFrame | None = None,
 ) -> DataFrame:
-    """Left join of ``left`` with the nearest right row on its key (see ``asof_map``)."""
-    lookup = asof_map(left, right, key, on, right_on, columns, direction, strict)
+    """Left join of ``left`` with the nearest right row on its key (see ``asof_map``).
+
+    ``points`` names a cheaper table that holds every (key, on) of ``left``.  A chain
+    of as-of joins passes the table it started from: otherwise each step would read
+    the steps before it twice, and the plan would double with every join.
+    """
+    lookup = asof_map(left if points is None else points, right, key, on, right_on, columns, direction, strict)
     return left.join(lookup, ([key] if key else []) + [on], "left")

@@ -89,7 +89,7 @@ def dividends_in_hold(trades: DataFrame, dividends: DataFrame) -> DataFrame:
     w = Window.partitionBy("ticker").orderBy("ex_date").rowsBetween(Window.unboundedPreceding, 0)
     paid = dividends.withColumn("paid", F.sum("units").over(w)).select("ticker", "ex_date", "paid")
     j = asof_join(trades, paid, "ticker", "entry_date", "ex_date", {"paid": "_before"})
-    j = asof_join(j, paid, "ticker", "exit_date", "ex_date", {"paid": "_after"})
+    j = asof_join(j, paid, "ticker", "exit_date", "ex_date", {"paid": "_after"}, points=trades)
     units = F.coalesce("_after", F.lit(0)) - F.coalesce("_before", F.lit(0))
     return j.withColumn("dividends", units * F.col("shares") / 10000).drop("_before", "_after")
 
@@ -132,9 +132,9 @@ def trade_excess(trades: DataFrame, bench: DataFrame, dividends: DataFrame, sect
     r = market_regime(bench).where("sma is not null").select(
         F.col("date").alias("r_date"), F.when(F.col("close") >= F.col("sma"), "above_200d").otherwise("below_200d").alias("regime"))
     t = dividends_in_hold(trades, dividends)
-    t = asof_join(t, b, None, "entry_date", "b_date", {"open": "b_open"}, direction="forward")
-    t = asof_join(t, b, None, "exit_date", "b_date", {"close": "b_close"})
-    t = asof_join(t, r, None, "entry_date", "r_date", {"regime": "regime"}, strict=True)
+    t = asof_join(t, b, None, "entry_date", "b_date", {"open": "b_open"}, direction="forward", points=trades)
+    t = asof_join(t, b, None, "exit_date", "b_date", {"close": "b_close"}, points=trades)
+    t = asof_join(t, r, None, "entry_date", "r_date", {"regime": "regime"}, strict=True, points=trades)
     t = t.join(sectors, "ticker", "left")
     n0, n1 = F.col("entry_price") * F.col("shares"), F.col("exit_price") * F.col("shares")
     t = t.withColumn("entry_notional", n0).withColumn("bench_ret", F.col("b_close") / F.col("b_open") - 1)
@@ -228,10 +228,10 @@ def persistence(history: DataFrame, min_days: int, cap: int) -> DataFrame:
     return g.where(F.col("days") >= min_days).orderBy(F.round("weighted", 6).desc(), "ticker").limit(cap)
 
 
-def near_close(requests: DataFrame, bars: DataFrame, max_age: int = 10) -> DataFrame:
+def near_close(requests: DataFrame, bars: DataFrame, max_age: int = 10, points: DataFrame | None = None) -> DataFrame:
     """Close on a date, else the last close at most ``max_age`` days old."""
     px = bars.select("ticker", F.col("date").alias("px_date"), "close", F.col("date").alias("at"))
-    j = asof_join(requests, px, "ticker", "want", "px_date", {"close": "close", "at": "at"})
+    j = asof_join(requests, px, "ticker", "want", "px_date", {"close": "close", "at": "at"}, points=points)
     return j.withColumn("fill", F.when(F.datediff("want", "at") <= max_age, F.col("close")))
 
 
@@ -333,7 +333,7 @@ def fill_prices(trades: DataFrame, bars: DataFrame) -> DataFrame:
     """Next open after, and last fresh close at, an order date up to eight days after each exit."""
     want = trades.select("trade_id", "ticker", F.date_add("exit_date", (F.col("trade_id") % 9).cast("int")).alias("want"))
     a = next_open(want, bars).withColumnRenamed("fill", "next_open")
-    return near_close(a, bars).withColumnRenamed("fill", "close_fill")
+    return near_close(a, bars, points=want).withColumnRenamed("fill", "close_fill")
 
 
 def summary(marked: DataFrame, trades: DataFrame) -> DataFrame:
@@ -372,5 +372,5 @@ def stale_positions(positions: DataFrame, bars: DataFrame) -> DataFrame:
     sessions = sessions.select(F.col("date").alias("session"), F.lag("date").over(w).alias("previous"))
     px = bars.select("ticker", F.col("date").alias("px_date"), F.col("date").alias("at"))
     j = asof_join(positions, px, "ticker", "as_of", "px_date", {"at": "last_bar"})
-    j = asof_join(j, sessions, None, "as_of", "session", {"previous": "previous"})
+    j = asof_join(j, sessions, None, "as_of", "session", {"previous": "previous"}, points=positions)
     return j.select("position_id", "last_bar", F.coalesce(F.col("last_bar") < F.col("previous"), F.lit(True)).alias("stale"))

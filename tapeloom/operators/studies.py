@@ -301,17 +301,21 @@ def release_outcomes(releases: DataFrame, bars: DataFrame, bench: DataFrame, hor
     are computed once per such pair and joined to the releases.
     """
     b = bars.select("ticker", F.col("date").alias("d"), "open", "close", F.lag("close").over(Window.partitionBy("ticker").orderBy("date")).alias("prior_close"))
-    r = releases.withColumn("_want", entry_day("ts")).withColumn("_known", known_day("ts"))
+    base = releases.withColumn("_want", entry_day("ts")).withColumn("_known", known_day("ts"))
+    r = base
     r = asof_join(r, b.withColumn("at", F.col("d")), "ticker", "_want", "d", {"at": "entry_date", "open": "entry_open", "prior_close": "prior_close"}, direction="forward")
-    r = asof_join(r, b, "ticker", "_known", "d", {"close": "pre_close"}).where("entry_date is not null")
+    r = asof_join(r, b, "ticker", "_known", "d", {"close": "pre_close"}, points=base).where("entry_date is not null")
     w = Window.partitionBy(F.lit(0)).orderBy("date")
     cal = bench.select("date", "open", "close", F.row_number().over(w).alias("s"), *[F.lead("date", h - 1).over(w).alias(f"x{h}") for h in horizons],
                        *[F.lead("close", h - 1).over(w).alias(f"c{h}") for h in horizons])
-    pairs = r.select("ticker", "entry_date", "entry_open").distinct()
+    # Entries depend on the wanted day alone, so the pairs come from the bars, not from the releases.
+    days = bars.select("ticker", F.col("date").alias("entry_date"), F.col("open").alias("entry_open"))
+    pairs = days
     cols = {"open": "b_open", **{f"x{h}": f"x{h}" for h in horizons}, **{f"c{h}": f"c{h}" for h in horizons}}
     pairs = asof_join(pairs, cal.withColumnRenamed("date", "bd"), None, "entry_date", "bd", cols, direction="forward").where("b_open is not null")
+    start = pairs
     for h in horizons:
-        pairs = asof_join(pairs, b, "ticker", f"x{h}", "d", {"close": f"p{h}"})
+        pairs = asof_join(pairs, b, "ticker", f"x{h}", "d", {"close": f"p{h}"}, points=start)
     pairs = pairs.select("ticker", "entry_date", *[F.when(F.col(f"x{h}").isNotNull(), F.col(f"p{h}") / F.col("entry_open") - 1).alias(f"ret_{h}d") for h in horizons],
                          *[(F.col(f"c{h}") / F.col("b_open") - 1).alias(f"bench_ret_{h}d") for h in horizons])
     out = r.join(pairs, ["ticker", "entry_date"])
@@ -327,9 +331,10 @@ def note_outcomes(subjects: DataFrame, bars: DataFrame, bench: DataFrame, horizo
     n = asof_join(subjects.withColumn("ticker", F.col("symbol")).withColumn("_want", want), b, "ticker", "_want", "d", cols, direction="forward")
     n = n.where("entry_date is not null")
     bench_px = bench.select(F.col("date").alias("bd"), "close")
-    n = asof_join(n, bench_px, None, "entry_date", "bd", {"close": "b0"})
+    start = bars.select(F.col("date").alias("entry_date"), *[ind.lead("date", h).alias(f"x{h}") for h in horizons])
+    n = asof_join(n, bench_px, None, "entry_date", "bd", {"close": "b0"}, points=start)
     for h in horizons:
-        n = asof_join(n, bench_px, None, f"x{h}", "bd", {"close": f"b{h}"})
+        n = asof_join(n, bench_px, None, f"x{h}", "bd", {"close": f"b{h}"}, points=start)
     return n.select("report_id", "symbol", "published", "entry_date", "entry_close", *[(F.col(f"c{h}") / F.col("entry_close") - 1).alias(f"ret_{h}") for h in horizons],
                     *[(F.col(f"b{h}") / F.col("b0") - 1).alias(f"bench_{h}") for h in horizons])
 

@@ -25,7 +25,7 @@ query("j7_open_or_next", "trade_id:i b_open:f8 b_close:f8",
       f"""WITH {T}, @bench SELECT trade_id, o.open AS b_open, c.close AS b_close FROM trades t ASOF LEFT JOIN bench o ON t.entry_date <= o.date
       ASOF LEFT JOIN bench c ON t.exit_date >= c.date""")(
     lambda t: asof_join(asof_join(t.trades, t.bench.withColumnRenamed("date", "b"), None, "entry_date", "b", {"open": "b_open"}, "forward"),
-                        t.bench.withColumnRenamed("date", "b"), None, "exit_date", "b", {"close": "b_close"}))
+                        t.bench.withColumnRenamed("date", "b"), None, "exit_date", "b", {"close": "b_close"}, points=t.trades))
 FR["excess"] = """xr AS (SELECT date, CASE WHEN close >= sma THEN 'above_200d' ELSE 'below_200d' END AS regime FROM regime WHERE sma IS NOT NULL),
 xd AS (SELECT trade_id, sum(units) AS u FROM trades t JOIN dividends d ON d.ticker = t.ticker AND ex_date > entry_date AND ex_date <= exit_date GROUP BY 1),
 xa AS (SELECT t.*, coalesce(u, 0) * shares / 10000 AS dividends, c.close / o.open - 1 AS bench_ret, coalesce(r.regime, 'unknown') AS regime, coalesce(s.sector, 'Unknown') AS sector,

@@ -155,7 +155,7 @@ def trades(orders: DataFrame, lineitem: DataFrame, part: DataFrame, bars: DataFr
     )
     px = bars.select("ticker", F.col("date").alias("px_date"), "close")
     entered = asof_join(raw, px, "ticker", "entry_date", "px_date", {"close": "entry_price"})
-    return asof_join(entered, px, "ticker", "exit_date", "px_date", {"close": "exit_price"}).where(
+    return asof_join(entered, px, "ticker", "exit_date", "px_date", {"close": "exit_price"}, points=raw).where(
         "entry_price is not null"
     )
 
