@@ -210,7 +210,9 @@ def company_matches(left: DataFrame, right: DataFrame) -> DataFrame:
         "key", F.explode(F.when(F.size(t) == 1, F.array(F.lit(""))).otherwise(F.array_distinct(F.slice(t, 2, 2**30)))))
     multi = keyed(a, "ta").where("key <> ''").join(keyed(b, "tb").where("key <> ''"), ["first", "key"])
     # A one-word name matches any name with that first word, so those pairs are real results.
-    short = a.withColumn("first", F.get("ta", F.lit(0))).join(b.withColumn("first", F.get("tb", F.lit(0))), "first").where("size(ta) = 1 or size(tb) = 1")
+    lead = lambda df, t: df.withColumn("first", F.get(t, F.lit(0)))
+    fa, fb = lead(a, "ta"), lead(b, "tb")
+    short = fa.where("size(ta) = 1").join(fb, "first").unionByName(fa.where("size(ta) > 1").join(fb.where("size(tb) = 1"), "first"))
     pairs = multi.select("name_a", "name_b", "ta", "tb").unionByName(short.select("name_a", "name_b", "ta", "tb")).dropDuplicates(["name_a", "name_b"])
     return pairs.where(text.names_match(F.col("ta"), F.col("tb"))).select("name_a", "name_b")
 
