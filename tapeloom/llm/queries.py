@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import packing, token_counts
+from tapeloom.llm import language, packing, quality, token_counts, toxicity
 
 #: Vocabulary files are a parameter of the operators; these are the ones the queries use.
 WORD_BPE = "word_bpe_49k.json"
@@ -26,11 +26,54 @@ def query(run: Callable[[SparkSession, str], DataFrame]):
     return run
 
 
+@query
+def op1_language_id(spark: SparkSession, directory: str) -> DataFrame:
+    return language.language_id(table(spark, directory, "documents"))
+
+
 @query
 def op4_best_fit_packing(spark: SparkSession, directory: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, directory, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+@query
+def op7_toxicity(spark: SparkSession, directory: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, directory, "documents"), table(spark, directory, "labels"))
+
+
+@query
+def op8_quality_rules(spark: SparkSession, directory: str) -> DataFrame:
+    return quality.quality_rules(table(spark, directory, "documents"))
+
+
+SQL["op8_quality_rules"] = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
+win AS (SELECT rid, i, array_to_string(words[i:i + 4], ' ') AS five FROM (SELECT rid, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)),
+often AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, five) AS c FROM win) WHERE c > 1),
+rep AS (SELECT rid, count(DISTINCT i + k) AS n FROM often CROSS JOIN (SELECT unnest(range(0, 5)) AS k) GROUP BY rid),
+lines AS (SELECT rid, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d)),
+judged AS (
+  SELECT rid, line, n, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars,
+    (n >= 3 AND 3 * (length(line) - length(replace(replace(line, '|', ''), '>', ''))) >= n)
+    OR regexp_matches(lower(line), 'all rights reserved|licensed under|released under the|cookie policy|privacy policy|terms of use|terms of service|click here|subscribe to our|sign up for|enable javascript|skip to content')
+    OR length(line) - length(regexp_replace(line, '[!-/:-@\[-`{-~]', '', 'g')) > n
+    OR NOT regexp_matches(line, '(?:[.!?]|…)(?:["'')\]]|»|”)*(?:[ \t\x0b\x0c\r]|$)') AS failed
+  FROM lines WHERE n > 0),
+per AS (SELECT rid, count(*) - count(DISTINCT line) AS dup, count(*) FILTER (failed) AS n_failed, coalesce(sum(chars) FILTER (failed), 0) AS lost FROM judged GROUP BY rid),
+base AS (
+  SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, CAST(length(regexp_replace(w.text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(w.text) - length(regexp_replace(w.text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(per.dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+    coalesce(per.n_failed, 0) AS n_failed_lines, coalesce(per.lost, 0) AS lost
+  FROM w LEFT JOIN per USING (rid) LEFT JOIN rep USING (rid)),
+flagged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * lost <= 50 * word_chars AS kept,
+  CAST(n_failed_lines AS BIGINT) AS n_failed_lines
+FROM flagged
+"""
+
+
 @query
 def op10_token_counts(spark: SparkSession, directory: str) -> DataFrame:
     return token_counts.token_counts(table(spark, directory, "documents"), public_tokenizers.path(WORD_BPE))
