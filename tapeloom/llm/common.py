@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that a task works on at once; a single longer text is still taken whole.
 BATCH_BYTES = 8 << 20
 #: Entries that a worker's word memory may hold before it is emptied.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_500_000
 #: Characters after which a long text may be cut at the next white space.
 LONG_TEXT = 1 << 20
 

@@ -42,8 +42,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int =
         for b in balanced(batches):
             out: list[tuple] = []
             for doc_id, parts in zip(b.column(0).to_pylist(), ids.batch(b.column(1).to_pylist())):
-                parts.append(end)
-                raw = b"".join(parts)
+                raw = b"".join(parts) + end
                 out += [(doc_id, k, at // 4, (min(len(raw), at + step) - at) // 4, zlib.crc32(raw[at : at + step])) for k, at in enumerate(range(0, len(raw), step))]
             cols = list(zip(*out)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])

@@ -10,6 +10,8 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain, filterfalse
+from unicodedata import is_normalized
 
 import numpy as np
 
@@ -17,10 +19,10 @@ from tapeloom.llm.common import LONG_TEXT, REMEMBERED
 
 #: Stands between new chunks when they are encoded together; it is a token by itself.
 MARK = "\x01"
-#: str.split() cuts at these, the library does not.
-_NOT_SPACE = re.compile("[\x1c-\x1f\x01]")
+#: str.split() cuts at the first four, the library does not; the fifth is the mark.
+_NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f", MARK)
 #: Lower-cased by context or into two characters, or perhaps a special string; left to the library.
-_OWN_CASE = re.compile("[Σİ]|<\\|")
+_OWN_CASE = ("Σ", "İ", "<|")
 #: A word and the marks after it.
 _ENDED = re.compile(r"(\w+)([!-/:-@\[-^`{-~]+)")
 _SPACE = re.compile(r"\s")
@@ -45,11 +47,17 @@ class ChunkIds:
 
     def __init__(self, path: str, store: Callable[[np.ndarray], object], remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        #: The same vocabulary for lower-case letters only, which need neither folding nor cutting.
+        self.words = Tokenizer.from_file(path)
+        self.words.no_truncation()
+        self.words.no_padding()
+        self.words.normalizer = normalizers.Sequence([])
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.store, self.remembered = store, remembered
         self.known: dict[str, object] = {}
         (self.mark,) = self.tok.encode(MARK, add_special_tokens=False).ids
@@ -59,31 +67,32 @@ class ChunkIds:
 
     def chunks(self, text: str) -> list[str] | None:
         """The chunks of a text; None where only the library can cut it."""
-        if _NOT_SPACE.search(text):
+        if any(c in text for c in _NOT_SPACE):
             return None
-        return (text if _OWN_CASE.search(text) else text.lower()).split()
+        return (text if any(c in text for c in _OWN_CASE) else text.lower()).split()
 
     def learn(self, chunks: set[str]) -> None:
-        """Encode the chunks that are not remembered yet.  Letters and the marks after them never share a token, so they go apart."""
-        new = [c for c in chunks if c not in self.known]
-        ended = {c: m.groups() for c in new if (m := _ENDED.fullmatch(c)) and m[1].isalpha() and "İ" not in c}
-        wanted = {c for c in new if c not in ended}
+        """Encode chunks that are not remembered yet.  Letters and the marks after them never share a token, so they go apart."""
+        ended = {c: m.groups() for c in chunks if (m := _ENDED.fullmatch(c)) and m[1].isalpha() and "İ" not in c}
+        wanted = chunks.difference(ended)
         wanted.update(p for parts in ended.values() for p in parts if p not in self.known)
-        group: list[str] = []
-        held = 0
-        for c in wanted:
-            group.append(c)
-            held += len(c)
-            if held > _JOINED:
-                self._encode(group)
-                group, held = [], 0
-        if group:
-            self._encode(group)
+        plain = {c for c in wanted if c.isalpha() and c.islower() and is_normalized("NFC", c)}
+        for tok, some in ((self.words, plain), (self.tok, wanted - plain)):
+            group: list[str] = []
+            held = 0
+            for c in some:
+                group.append(c)
+                held += len(c)
+                if held > _JOINED:
+                    self._encode(tok, group)
+                    group, held = [], 0
+            if group:
+                self._encode(tok, group)
         for c, (letters, marks) in ended.items():
             self.known[c] = self.known[letters] + self.known[marks]
 
-    def _encode(self, group: list[str]) -> None:
-        (got,) = self.tok.encode_batch_fast([f" {MARK} ".join(group)], add_special_tokens=False)
+    def _encode(self, tok, group: list[str]) -> None:
+        (got,) = tok.encode_batch_fast([f" {MARK} ".join(group)], add_special_tokens=False)
         ids = np.array(got.ids, dtype=np.uint32)
         cuts = np.flatnonzero(ids == self.mark).tolist()
         if len(cuts) == len(group) - 1:
@@ -93,7 +102,7 @@ class ChunkIds:
         store = self.store
         self.known.update((c, store(p)) for c, p in zip(group, parts))
 
-    def batch(self, texts: list[str]) -> Iterator[list]:
+    def batch(self, texts: list[str]) -> Iterator[Iterator]:
         """What is stored for the chunks of each text, in order."""
         if len(self.known) > self.remembered:
             self.known.clear()
@@ -102,11 +111,11 @@ class ChunkIds:
         for parts in cut:
             for p in parts:
                 if p is not None:
-                    wanted.update(p)
+                    wanted.update(filterfalse(self.known.__contains__, p))
         self.learn(wanted)
         get = self.known.__getitem__
         for t, parts in zip(texts, cut):
             if any(p is None for p in parts):
-                yield [self.store(self.whole(t))]
+                yield iter([self.store(self.whole(t))])
             else:
-                yield [x for p in parts for x in map(get, p)]
+                yield map(get, chain.from_iterable(parts))
