@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import bpe, language, packing, quality, token_counts, topk, toxicity, urls
+from tapeloom.llm import bpe, language, ngram_join, packing, quality, suffix_dedup, token_counts, topk, toxicity, urls
 
 #: Vocabulary files are a parameter of the operators; these are the ones the queries use.
 WORD_BPE = "word_bpe_49k.json"
@@ -31,6 +31,11 @@ def op1_language_id(spark: SparkSession, directory: str) -> DataFrame:
     return language.language_id(table(spark, directory, "documents"))
 
 
+@query
+def op2_ngram_jaccard_join(spark: SparkSession, directory: str) -> DataFrame:
+    return ngram_join.ngram_jaccard_join(table(spark, directory, "documents"), width=4, similar=85)
+
+
 @query
 def op3_url_filters(spark: SparkSession, directory: str) -> DataFrame:
     return urls.url_filters(table(spark, directory, "pages"), urls.labelled_urls(spark))
@@ -41,6 +46,11 @@ def op4_best_fit_packing(spark: SparkSession, directory: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, directory, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+@query
+def op5_suffix_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, directory, "documents"))
+
+
 @query
 def op6_bpe_round_trip(spark: SparkSession, directory: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, directory, "documents"), public_tokenizers.path(BYTE_BPE))
@@ -91,10 +101,10 @@ def op9_exact_top_k(spark: SparkSession, directory: str) -> DataFrame:
 
 SQL["op9_exact_top_k"] = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)),
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), i -> q.e[i] * c.e[i])) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
