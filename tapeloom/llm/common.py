@@ -6,7 +6,7 @@ empty and a null id passes through.  Each operator states what else it does with
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -50,3 +50,28 @@ def rows_per_batch(df: DataFrame, rows: int = 4096) -> DataFrame:
     """Ask for Arrow batches of fewer rows, since texts may be long."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df
+
+
+def rewritten(docs: DataFrame, judge: Callable[[], Callable[[list[str]], list[str | None]]], text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """The rows of ``docs`` with all their columns and another text; a row whose new text is None goes.
+
+    ``judge()`` is called once a task and gives what turns texts into new ones.  The length column, where there is one, follows the text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        new_texts = judge()
+        for b in balanced(batches, text_col):
+            at = b.schema.get_field_index(text_col)
+            old = [t or "" for t in b.column(at).to_pylist()]
+            new = new_texts(old)
+            keep = [i for i, t in enumerate(new) if t is not None]
+            kept = b.take(pa.array(keep, pa.int64()))
+            columns = list(kept.columns)
+            columns[at] = pa.array([new[i] for i in keep], b.schema.field(at).type)
+            if (length := b.schema.get_field_index(length_col)) >= 0:
+                same = [new[i] == old[i] for i in keep]
+                counted = pa.array([len(new[i]) for i in keep], pa.int64()).cast(b.schema.field(length).type)
+                columns[length] = pc.if_else(pa.array(same, pa.bool_()), columns[length], counted)
+            yield pa.RecordBatch.from_arrays(columns, b.schema.names)
+
+    return rows_per_batch(docs).mapInArrow(run, docs.schema)

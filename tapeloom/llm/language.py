@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import balanced, held_out, rows_per_batch
+from tapeloom.llm.common import balanced, held_out, rewritten, rows_per_batch, texts_of
 
 WINDOW = 48
 HIDDEN = 12
@@ -223,22 +223,45 @@ def language_id(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str =
     return predict(docs, net, id_col, text_col)
 
 
+class Judge:
+    """Languages and scores of whole texts."""
+
+    def __init__(self, net: Network | None):
+        import regex
+
+        self.net, self.letter = net, regex.compile(r"\p{L}").search
+
+    def __call__(self, texts: list[str]) -> tuple[list[str], list[float]]:
+        lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        full = [i for i, t in enumerate(texts) if self.letter(t)]
+        if full and self.net is not None:
+            cut = [windows_of(texts[i].encode("utf-8", "surrogatepass")) for i in full]
+            starts = np.cumsum([0, *(len(w) for w in cut[:-1])])
+            means = self.net.document_means(np.concatenate(cut), starts)
+            for i, k, p in zip(full, means.argmax(axis=1), means.max(axis=1)):
+                lang[i], score[i] = self.net.languages[k], min(1.0, float(p))
+        return lang, score
+
+
 def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    text = F.col(f"`{text_col}`").cast("string")
-    known = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.when(known, text).otherwise(F.lit("")).alias("text"))
+    """``doc_id, held_out, lang_pred, score`` by a fitted network."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(net)
         for b in balanced(batches):
-            cut = [windows_of(t.encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()]
-            lang, score = [UNKNOWN] * len(cut), [0.0] * len(cut)
-            full = [i for i, w in enumerate(cut) if len(w)]
-            if full and net is not None:
-                starts = np.cumsum([0, *(len(cut[i]) for i in full[:-1])])
-                means = net.document_means(np.concatenate([cut[i] for i in full]), starts)
-                for i, k, p in zip(full, means.argmax(axis=1), means.max(axis=1)):
-                    lang[i], score[i] = net.languages[k], float(p)
+            lang, score = judge(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    found = rows_per_batch(rows).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    found = rows_per_batch(texts_of(docs, id_col, text_col)).mapInArrow(run, "doc_id long, lang_pred string, score double")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def only_certain(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The documents with a language whose score is at least ``least``, all columns as they are."""
+    net = fit(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
+
+    def judge():
+        of = Judge(net)
+        return lambda texts: [t if k != UNKNOWN and p >= least else None for t, k, p in zip(texts, *of(texts))]
+
+    return rewritten(docs, judge, text_col)

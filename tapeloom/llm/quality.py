@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tapeloom.llm.common import balanced, rows_per_batch, texts_of
+from tapeloom.llm.common import balanced, rewritten, rows_per_batch, texts_of
 
 SYMBOLS = b"#*$%&|<>"
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -83,7 +83,7 @@ def _renamed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.unique(a * (int(b.max()) + 1) + b, return_inverse=True)[1].astype(np.int64)
 
 
-def judge(text: str, rules: Rules = Rules()) -> tuple:
+def judge_text(text: str, rules: Rules = Rules()) -> tuple:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_failed_lines, cleaned text."""
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
@@ -120,8 +120,20 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), with_text: bool = Fal
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in balanced(batches):
-            rows = [judge(t, rules)[: len(columns)] for t in b.column(1).to_pylist()]
+            rows = [judge_text(t, rules)[: len(columns)] for t in b.column(1).to_pylist()]
             cols = list(zip(*rows)) if rows else [[]] * len(columns)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, (_, t) in zip(cols, columns))], ["doc_id", *(n for n, _ in columns)])
 
     return rows_per_batch(texts_of(docs, id_col, text_col)).mapInArrow(run, SCHEMA + (", cleaned string" if with_text else ""))
+
+
+def only_kept(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text") -> DataFrame:
+    """The documents that are not rejected, without their failed lines and with all other columns as they are."""
+
+    def judge():
+        def clean(texts: list[str]) -> list[str | None]:
+            return [j[8] if j[6] else None for j in (judge_text(t, rules) for t in texts)]
+
+        return clean
+
+    return rewritten(docs, judge, text_col)

@@ -328,7 +328,7 @@ def _merge_bucket(length: int):
 
 
 def _cut(texts: DataFrame) -> DataFrame:
-    """``did, th, n_removed, n_spans, kept_sha256, kept`` from ``did, th, raw, spans``."""
+    """``did, th, n_removed, n_spans, kept_sha256, kept`` from ``did, th, raw, spans``; the kept text has no halves of characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in balanced(batches, "raw"):
@@ -342,11 +342,11 @@ def _cut(texts: DataFrame) -> DataFrame:
                 removed.append(int(gone.sum()))
                 runs.append(int((np.diff(np.r_[False, gone].astype(np.int8)) == 1).sum()))
                 digest.append(hashlib.sha256(rest).hexdigest())
-                kept.append(rest)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary())],
+                kept.append(rest.decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string())],
                                              ["did", "th", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return texts.mapInArrow(run, "did long, th long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return texts.mapInArrow(run, "did long, th long, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
 def shortened(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -374,3 +374,14 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     joined = every.join(less, ["did", "th"], "left")
     return joined.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"),
                          F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """The rows of ``docs`` with all their columns and what is left of the text; the length column, where there is one, follows it."""
+    less = shortened(docs, length, id_col, text_col).select(F.col("did").alias("_did"), F.col("th").alias("_th"), F.col("kept").alias("_kept"))
+    did, th = same_document(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    joined = docs.withColumns({"_d": did, "_t": th}).join(less, (F.col("_d") == F.col("_did")) & (F.col("_t") == F.col("_th")), "left")
+    new = {text_col: F.coalesce("_kept", F.col(f"`{text_col}`"))}
+    if length_col in docs.columns:
+        new[length_col] = F.when(F.col("_kept").isNull(), F.col(f"`{length_col}`")).otherwise(F.length("_kept").cast(docs.schema[length_col].dataType))
+    return joined.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
