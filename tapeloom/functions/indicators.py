@@ -92,25 +92,16 @@ def change_pct(c="close", n: int = 1, w: WindowSpec | None = None) -> Column:
     return col(c) / lag(c, n, w) - 1
 
 
-SHORT_SLOPE = 12
-
-
 def norm_slope(c, n: int, position: str = "bar", w: WindowSpec | None = None, signed: bool = False) -> Column:
     """Least-squares slope over n bars divided by the mean level, NULL when short.
 
     ``signed`` divides by the signed mean, otherwise by its absolute value.
     """
-    if n <= SHORT_SLOPE:
-        # A short slope is a fixed combination of lags; any missing one makes it NULL.
-        past = [col(c)] + [lag(c, i, w) for i in range(1, n)]
-        centre = (n - 1) / 2
-        slope = sum(((centre - i) * y for i, y in enumerate(past)), F.lit(0.0)) / (n * (n * n - 1) / 12)
-        mean = sum(past[1:], past[0]) / n
-        return slope / ((mean if signed else F.abs(mean)) + F.lit(1e-9))
     f = rows(-(n - 1), 0, w)
     mean = F.avg(col(c)).over(f)
     level = mean if signed else F.abs(mean)
-    slope = F.regr_slope(col(c), F.col(position).cast("double")).over(f)
+    at = F.col(position) if position == "bar" else col(position)
+    slope = F.regr_slope(col(c), at.cast("double")).over(f)
     return full(slope / (level + F.lit(1e-9)), c, f, n)
 
 

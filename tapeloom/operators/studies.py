@@ -148,7 +148,7 @@ def breakout_study(bars: DataFrame, holds: list[int] = [5, 20, 60], n_folds: int
     return events, base
 
 
-def baseline_sample(bars: DataFrame, step: int = 5) -> DataFrame:
+def baseline_sample(bars: DataFrame, step: int = 1) -> DataFrame:
     """Every ``step``-th eligible day of a ticker, with its trailing-stop return."""
     m = patterns.breakout_masks(bars).where("eligible")
     w = Window.partitionBy("ticker").orderBy("date")
@@ -406,7 +406,7 @@ def outcomes(t) -> DataFrame:
     """Release outcomes of a data directory, against the mean of its session bars."""
     from tapeloom.sources.bridge import benchmark_bars
 
-    return release_outcomes(t.releases, t.day_bars, benchmark_bars(t.day_bars), [1, 5, 10])
+    return release_outcomes(t.releases, t.day_bars, benchmark_bars(t.day_bars), [1, 5, 20, 60])
 
 
 def deduped_outcomes(t) -> DataFrame:

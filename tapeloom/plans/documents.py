@@ -16,7 +16,7 @@ FR = oracle.FRAGMENTS
 query("n1_article_text", "page_id:i body")(lambda t: doc.article_text(t.pages))
 query("x10_html_body_lines", "page_id:i lines:i")(lambda t: doc.article_text(t.pages).select("page_id", F.size(F.split("body", "\n")).alias("lines")))
 
-FR["form4"] = """f4 AS (SELECT * FROM events WHERE event_id % 5 < 3),
+FR["form4"] = """f4 AS (SELECT * FROM events),
 form4 AS MATERIALIZED (SELECT 'acc-' || event_id AS accession, event_type AS ticker, ts :: DATE AS filing_date, 'Owner ' || (user_id % 40) AS owner, event_id % 2 = 1 AS is_director, event_id % 3 % 2 = 1 AS is_officer,
   CASE WHEN event_id % 4 = 0 THEN 'P' ELSE 'S' END AS code, event_id % 100 + 1 AS shares, value AS price, ts :: DATE AS date FROM f4
   UNION ALL SELECT 'acc-' || event_id, event_type, ts :: DATE, 'Owner ' || (user_id % 40), event_id % 2 = 1, event_id % 3 % 2 = 1, 'A', event_id % 7 + 1, value, ts :: DATE FROM f4)"""
@@ -34,7 +34,7 @@ query("f12_materiality_floor", "accession value:f4", "WITH @form4 SELECT accessi
     lambda t: doc.open_market_buys(form4(t)).withColumn("value", F.col("shares") * F.col("price")).where("value >= 500"))
 FR["activist"] = """activist AS MATERIALIZED (SELECT 'https://filings.example/' || (event_id % 500) || '.txt' AS url, CASE WHEN event_id % 4 <> 0 THEN 'T' || user_id END AS ticker,
   'Fund ' || (event_id % 13) || CASE WHEN event_id % 2 = 0 THEN '; Fund ' || (event_id % 7 + 20) ELSE '' END AS filer, 'Target ' || user_id AS subject,
-  greatest(event_id % 90 + 0.5, CASE WHEN event_id % 3 = 0 THEN event_id % 40 ELSE 0 END) AS pct FROM events WHERE event_id % 11 = 0)"""
+  greatest(event_id % 90 + 0.5, CASE WHEN event_id % 3 = 0 THEN event_id % 40 ELSE 0 END) AS pct FROM events)"""
 activist = lambda t: doc.activist_filings(raw.activist_texts(t.events))
 query("n3_activist_filings", "url ticker filer subject pct:f", "WITH @activist SELECT * FROM activist")(activist)
 query("x2_regex_percent", "url pct:f", "WITH @activist SELECT url, pct FROM activist")(activist)

@@ -61,7 +61,7 @@ query("e8_spikes_by_earnings", "ticker date:d volx:f tag",
       SELECT s.ticker, s.date, s.volx, CASE WHEN EXISTS (SELECT 1 FROM d WHERE d.ticker = s.ticker AND s.date IN (d.d0, d.d1)) THEN 'spike_on_earnings' ELSE 'spike_no_earnings' END AS tag
       FROM s JOIN k USING (ticker, bar)""")(lambda t: studies.spike_events(t.bars, t.earnings))
 query("e10_baseline_pool", "ticker date:d trail:f",
-      """WITH @bars, @masks, z AS (SELECT *, row_number() OVER[] - 1 AS n FROM masks WHERE eligible), cool AS MATERIALIZED (SELECT * FROM z WHERE n % 5 = 0), @trail
+      """WITH @bars, @masks, z AS (SELECT *, row_number() OVER[] - 1 AS n FROM masks WHERE eligible), cool AS MATERIALIZED (SELECT * FROM z), @trail
       SELECT c.ticker, date, trail FROM cool c JOIN trail USING (ticker, bar)""")(lambda t: studies.baseline_sample(t.bars))
 FR["folded"] = """span AS (SELECT min(date) AS a, max(date) AS z FROM bars), hr AS MATERIALIZED (SELECT ticker, date, row_number() OVER[] AS bar, lead(close, 5) OVER[] / lead(open) OVER[] - 1.01 AS hold_5,
   lead(close, 20) OVER[] / lead(open) OVER[] - 1.01 AS hold_20, lead(close, 60) OVER[] / lead(open) OVER[] - 1.01 AS hold_60 FROM bars),
@@ -155,7 +155,7 @@ query("e20_walk_forward_choice", "month:d cell:i ret:f equal_weight:f",
       """WITH @bars, @bench, @rot, p AS (SELECT *, avg(ret - equal_weight) OVER w AS past, count(*) OVER w AS n FROM rot WINDOW w AS (PARTITION BY cell ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
       SELECT month :: DATE AS month, cell, ret, equal_weight FROM p WHERE n >= 12 QUALIFY row_number() OVER (PARTITION BY month ORDER BY round(past, 10) DESC, cell) = 1""")(lambda t: studies.walk_forward_choice(rot(t)))
 
-H = [1, 5, 10]
+H = [1, 5, 20, 60]
 FR["outcomes"] = """rx AS (SELECT *, CASE WHEN hour(ts) * 60 + minute(ts) < 570 THEN ts :: DATE ELSE ts :: DATE + 1 END AS want, CASE WHEN hour(ts) >= 16 THEN ts :: DATE ELSE ts :: DATE - 1 END AS known FROM releases),
 rd AS MATERIALIZED (SELECT ticker, date, open, close, lag(close) OVER[] AS prior_close FROM day_bars),
 dbench AS MATERIALIZED (SELECT date, sum(CAST(round(open * 10000) AS BIGINT)) / (count(*) * 10000.0 :: DOUBLE) AS open, sum(CAST(round(close * 10000) AS BIGINT)) / (count(*) * 10000.0 :: DOUBLE) AS close FROM day_bars GROUP BY date),
@@ -170,10 +170,10 @@ query("j4_first_tradeable_session", "guid:i entry_date:d entry_open:f", f"WITH {
 query("j5_last_finished_close", "guid:i pre_close:f prior_close:f", f"WITH {O} SELECT * FROM outcomes")(lambda t: studies.outcomes(t))
 query("e16_release_outcomes", "guid:i entry_date:d entry_open:f prior_close:f pre_close:f " + " ".join(f"ret_{h}d:f bench_ret_{h}d:f" for h in H) + " complete:b", f"WITH {O} SELECT * FROM outcomes")(lambda t: studies.outcomes(t))
 FR["oevents"] = """oevents AS MATERIALIZED (SELECT * FROM outcomes QUALIFY row_number() OVER (PARTITION BY ticker, entry_date ORDER BY (materiality = 'high') :: INT + (category = 'financing') :: INT DESC, guid) = 1),
-olong AS MATERIALIZED (SELECT category, unnest([1, 5, 10]) AS horizon, unnest([ret_1d - bench_ret_1d, ret_5d - bench_ret_5d, ret_10d - bench_ret_10d]) AS x FROM oevents)"""
+olong AS MATERIALIZED (SELECT category, unnest([1, 5, 20, 60]) AS horizon, unnest([ret_1d - bench_ret_1d, ret_5d - bench_ret_5d, ret_20d - bench_ret_20d, ret_60d - bench_ret_60d]) AS x FROM oevents)"""
 query("u4_event_deduplication", "guid:i ticker entry_date:d", f"WITH {O}, @oevents SELECT * FROM oevents")(lambda t: studies.deduped_outcomes(t))
 olong = lambda t: studies.excess_by_horizon(studies.outcomes(t), ["category"], H)
-FR["oall"] = """oall AS MATERIALIZED (SELECT category, unnest([1, 5, 10]) AS horizon, unnest([ret_1d - bench_ret_1d, ret_5d - bench_ret_5d, ret_10d - bench_ret_10d]) AS x FROM outcomes)"""
+FR["oall"] = """oall AS MATERIALIZED (SELECT category, unnest([1, 5, 20, 60]) AS horizon, unnest([ret_1d - bench_ret_1d, ret_5d - bench_ret_5d, ret_20d - bench_ret_20d, ret_60d - bench_ret_60d]) AS x FROM outcomes)"""
 query("a15_outcome_summary", "category horizon:i n:i mean:f trimmed:f median:f beat:f z:f4",
       f"""WITH {O}, @oall, p AS (SELECT horizon, avg((x > 0) :: INT) AS pool FROM oall WHERE x IS NOT NULL GROUP BY 1),
       r AS (SELECT *, row_number() OVER (PARTITION BY category, horizon ORDER BY x) AS k, count(*) OVER (PARTITION BY category, horizon) AS n FROM oall WHERE x IS NOT NULL),

@@ -13,7 +13,7 @@ from tapeloom.plans.registry import query
 query("d1_column_functions", "ticker date:d sma:f tr:f slope:f8",
       """WITH @bars, x AS (SELECT *, row_number() OVER[] AS rn, greatest(high - low, abs(high - lag(close) OVER[]), abs(low - lag(close) OVER[])) AS tr FROM bars)
       SELECT *, CASE WHEN rn >= 10 THEN avg(close) OVER[-9,0] END AS sma, CASE WHEN rn >= 5 THEN regr_slope(close, rn) OVER[-4,0] / (abs(avg(close) OVER[-4,0]) + 1e-9) END AS slope FROM x""")(
-    lambda t: t.bars.select("ticker", "date", ind.sma("close", 10).alias("sma"), ind.true_range().alias("tr"), ind.norm_slope("close", 5).alias("slope")))
+    lambda t: t.bars.withColumn("bar", ind.bar_number()).select("ticker", "date", ind.sma("close", 10).alias("sma"), ind.true_range().alias("tr"), ind.norm_slope("close", 5).alias("slope")))
 query("d2_recursive_transforms", "ticker date:d ema26:f4 rsi:f4", "WITH @bars, @rec SELECT * FROM ind")(
     lambda t: t.bars.transform(technicals.rsi).transform(lambda df: ema(df, "ema26", "close", 26)))
 

@@ -50,7 +50,7 @@ def form4_filings(events: DataFrame) -> DataFrame:
         F.lit("<ownershipDocument><reportingOwner><name>Owner "), _s(F.col("user_id") % 40), F.lit("</name><isDirector>"), _s(i % 2), F.lit("</isDirector><isOfficer>"), _s(i % 3 % 2),
         F.lit("</isOfficer></reportingOwner><transactions>"), lot(F.when(i % 4 == 0, "P").otherwise("S"), i % 100 + 1), lot(F.lit("A"), i % 7 + 1),
         F.lit("</transactions></ownershipDocument>"))
-    return events.where("event_id % 5 < 3").select(
+    return events.select(
         F.concat(F.lit("acc-"), _s("event_id")).alias("accession"), F.col("event_type").alias("ticker"), F.to_date("ts").alias("filing_date"), xml.alias("xml"))
 
 
@@ -61,7 +61,7 @@ def activist_texts(events: DataFrame) -> DataFrame:
         block("SUBJECT COMPANY", F.concat(F.lit("Target "), _s("user_id"))), block("FILED BY", F.concat(F.lit("Fund "), _s(i % 13))),
         F.when(i % 2 == 0, block("FILED BY", F.concat(F.lit("Fund "), _s(i % 7 + 20)))).otherwise(""),
         F.lit("\nPercent of Class represented: "), _s(i % 90), F.lit(".5%\n"), F.when(i % 3 == 0, F.concat(F.lit("Percent  of class (row 13) "), _s(i % 40), F.lit("%"))).otherwise(""))
-    return events.where("event_id % 11 = 0").select(
+    return events.select(
         F.concat(F.lit("https://filings.example/"), _s(i % 500), F.lit(".txt")).alias("url"), F.when(i % 4 != 0, F.concat(F.lit("T"), _s("user_id"))).alias("ticker"), body.alias("body"))
 
 
@@ -107,4 +107,4 @@ def company_facts(customers: DataFrame) -> DataFrame:
         F.when(k % 5 < 3, tag("LiabilitiesAndStockholdersEquity", e(b + 20000, "2000-03-31"))),
         tag("Revenues", e(k * 10.5, "2000-03-31", "1999-04-01"), e(k * 2.5, "1999-12-31", "1999-10-01")),
         F.when(k % 4 != 0, tag("ProfitLoss", e(k * 1.5, "2000-03-31", "2000-01-01"))))
-    return customers.select(k.alias("cik"), F.concat(F.lit("{"), parts, F.lit("}")).alias("json"))
+    return customers.select(k.alias("cik"), F.when(k % 2 == 0, F.concat(F.lit("{\"facts\": {\"us-gaap\": {"), parts, F.lit("}}}"))).otherwise(F.concat(F.lit("{"), parts, F.lit("}"))).alias("json"))

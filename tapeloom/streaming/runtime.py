@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from tapeloom.sources.workspace import work_folder
 
 
-def table_stream(spark: SparkSession, directory: str, table: str, files_per_batch: int = 1) -> DataFrame:
-    """A stored table as a file stream."""
-    pattern = f"{table}.parquet"
-    schema = spark.read.parquet(f"{directory}/{pattern}").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_batch).parquet(directory))
+def table_stream(spark: SparkSession, directory: str, table: str, files_per_batch: int = 1000) -> DataFrame:
+    """A stored table, one file or a folder of part files, as a file stream."""
+    path = f"{directory}/{table}.parquet"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{table}.parquet").parquet(directory)
 
 
 def folder_stream(spark: SparkSession, folder: str, schema, files_per_batch: int = 1) -> DataFrame:
