@@ -13,14 +13,24 @@ from tapeloom.plans.studies import O as OUTCOMES
 from tapeloom.sources.tables import Tables
 from tapeloom.sources.workspace import work_folder
 from tapeloom.streaming import rules
-from tapeloom.streaming.runtime import folder_stream, run_append, run_batches, run_latest, table_stream, write_version
+from tapeloom.streaming.runtime import earlier, folder_stream, run_append, run_batches, run_latest, table_stream, write_version
 
 
 def stream(t: Tables) -> DataFrame:
     return rules.release_stream(table_stream(t.spark, t.directory, "events"))
 
 
-query("r1_exactly_once_items", "guid:i ticker", "WITH @releases SELECT guid, ticker FROM releases")(lambda t: run_append(rules.first_seen(rules.repeated(stream(t))).select("guid", "ticker"), "r1"))
+def exactly_once(releases: DataFrame, folder: str | None = None) -> DataFrame:
+    """Releases as they were first polled; the table of the seen ones is what earlier batches wrote."""
+    spark = releases.sparkSession
+
+    def each(df: DataFrame, i: int, out: str) -> None:
+        write_version(rules.first_seen(df, earlier(spark, out, i, "guid bigint, ticker string")), i, out)
+
+    return spark.read.parquet(f"{run_batches(releases, 'r1', each, folder=folder)}/rows").select("guid", "ticker")
+
+
+query("r1_exactly_once_items", "guid:i ticker", "WITH @releases SELECT guid, ticker FROM releases")(lambda t: exactly_once(rules.repeated(stream(t))))
 query("r2_two_lanes", "slot lane n:i newest:i",
       "WITH @releases SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS slot, CASE WHEN materiality = 'high' THEN 'now' ELSE 'hourly' END AS lane, count(*) AS n, max(guid) AS newest FROM releases GROUP BY 1, 2")(
     lambda t: run_latest(rules.lanes(stream(t)), "r2", ["slot", "lane"]))
@@ -53,31 +63,35 @@ query("r6_watched_prices", "item:i guid:i value:f",
 
 
 def state_machine(t: Tables) -> DataFrame:
-    """Best patterns replayed in three batches of sessions through the streaming state machine."""
+    """Best patterns replayed in three slices of sessions; the stream stops after each and goes on from its checkpoint."""
     best = patterns.best_pattern(patterns.all_patterns(t.bars)).select("ticker", "pattern", "date", "state").persist()
-    folder = work_folder(t.spark, "r7-input")
+    slices, out = work_folder(t.spark, "r7-input"), work_folder(t.spark, "r7")
     cuts = ["1900-01-01", "1997-01-01", "1999-01-01", "2100-01-01"]
     for a, b in zip(cuts, cuts[1:]):
         part = best.where((F.col("date") >= F.lit(a).cast("date")) & (F.col("date") < F.lit(b).cast("date")))
-        part.coalesce(1).write.mode("append").parquet(folder)
-    return run_append(rules.signal_states(folder_stream(t.spark, folder, best.schema)), "r7")
+        part.write.mode("append").parquet(slices)
+        rows = run_append(rules.signal_states(folder_stream(t.spark, slices, best.schema, 100_000)), "r7", out)
+    best.unpersist()
+    return rows
 
 
 query("r7_signal_state_machine", "ticker pattern date:d state days_in_state:i first_seen:d changed:b", f"WITH {BEST}, @states SELECT * FROM states")(state_machine)
 
 
 def settled(t: Tables) -> DataFrame:
-    """Outcome statuses: final ones are written once and skipped by later batches."""
+    """Outcome statuses: pending releases are looked at again in every batch until they are settled."""
     outcomes = studies.outcomes(t).select("guid", "complete")
+    return statuses(stream(t).select("guid", "ts"), outcomes)
 
-    def each(df: DataFrame, i: int, folder: str) -> None:
-        before = None
-        if i > 0:
-            before = df.sparkSession.read.parquet(f"{folder}/rows").where("status <> 'pending'")
-        write_version(rules.settle(df, outcomes, before, 14, "2024-01-31"), i, folder)
 
-    out = run_batches(stream(t).select("guid", "ts"), "r8", each)
-    return t.spark.read.parquet(f"{out}/rows").select("guid", "status")
+def statuses(releases: DataFrame, outcomes: DataFrame, folder: str | None = None, as_of: str = "2024-01-31") -> DataFrame:
+    spark = releases.sparkSession
+
+    def each(df: DataFrame, i: int, out: str) -> None:
+        write_version(rules.settle(df, outcomes, earlier(spark, out, i, "guid bigint, ts timestamp, status string"), 14, as_of), i, out)
+
+    rows = spark.read.parquet(f"{run_batches(releases, 'r8', each, folder=folder)}/rows")
+    return rows.groupBy("guid").agg(F.max_by("status", "batch").alias("status"))
 
 
 query("r8_outcome_status", "guid:i status",
@@ -93,15 +107,16 @@ query("r10_first_triggers", "ticker day:d guid:i value:f",
 
 
 def flag_day(t: Tables) -> DataFrame:
-    """The day to send after each batch, never one already sent."""
-    def each(df: DataFrame, i: int, folder: str) -> None:
-        day = F.col("ts").cast("date")
-        scanned = df.where("materiality = 'high'").select(day.alias("day")).distinct()
-        sent = df.where(F.dayofmonth("ts") % 3 == 0).select(day.alias("day")).distinct()
-        write_version(rules.pick_flag_day(scanned, sent), i, folder)
+    """The day to send after each batch, never one already sent: the days sent before the start, and those of earlier batches."""
+    day = F.col("ts").cast("date").alias("day")
+    before = t.releases.where(F.dayofmonth("ts") % 3 == 0).select(day).distinct()
+
+    def each(df: DataFrame, i: int, out: str) -> None:
+        scanned = df.where("materiality = 'high'").select(day).distinct()
+        sent = before.union(earlier(t.spark, out, i, "day date").where("day is not null").select("day")).distinct()
+        write_version(rules.pick_flag_day(scanned, sent), i, out)
 
-    out = run_batches(stream(t), "r11", each)
-    return t.spark.read.parquet(f"{out}/rows").select("day")
+    return t.spark.read.parquet(f"{run_batches(stream(t), 'r11', each)}/rows").select("day")
 
 
 query("r11_flag_day", "day:d",

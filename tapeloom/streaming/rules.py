@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from tapeloom.sources import bridge
 
 
-def first_seen(releases: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Each release once, however often it is polled within the watermark."""
-    return releases.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["guid"])
+def first_seen(batch: DataFrame, seen: DataFrame) -> DataFrame:
+    """Releases of a batch that no batch before it has seen, each once; nothing is ever forgotten."""
+    once = batch.groupBy("guid").agg(F.min(F.struct("ts", "ticker")).alias("r")).select("guid", "r.ticker")
+    return once.join(seen.select("guid"), "guid", "left_anti")
 
 
 def repeated(releases: DataFrame) -> DataFrame:
@@ -25,10 +26,10 @@ def repeated(releases: DataFrame) -> DataFrame:
     return releases.withColumn("poll", F.explode(F.array(F.lit(1), F.lit(2))))
 
 
-def lanes(releases: DataFrame) -> DataFrame:
-    """Releases per lane and hour: high ones go at once, the rest in hourly bundles."""
+def lanes(releases: DataFrame, delay: str = "1 day") -> DataFrame:
+    """Releases per lane and hour: high ones go at once, the rest in hourly bundles; an hour is forgotten once it is ``delay`` old."""
     lane = F.when(F.col("materiality") == "high", "now").otherwise("hourly")
-    return releases.groupBy(F.window("ts", "60 minutes").alias("w"), lane.alias("lane")).agg(F.count("*").alias("n"), F.max("guid").alias("newest")).select(
+    return releases.withWatermark("ts", delay).groupBy(F.window("ts", "60 minutes").alias("w"), lane.alias("lane")).agg(F.count("*").alias("n"), F.max("guid").alias("newest")).select(
         F.col("w.start").alias("slot"), "lane", "n", "newest")
 
 
@@ -66,9 +67,10 @@ def watched_prices(ticks: DataFrame, items: DataFrame) -> DataFrame:
     return ticks.join(w, ["user_id", "ticker"]).where(F.to_date("ts") >= F.col("flagged")).select("item", "guid", "ts", "value")
 
 
-def session_volume(ticks: DataFrame) -> DataFrame:
-    """Volume so far of each session."""
-    return ticks.groupBy("ticker", F.to_date("ts").alias("date")).agg(F.count("*").cast("double").alias("volume"))
+def session_volume(ticks: DataFrame, delay: str = "1 day") -> DataFrame:
+    """Volume so far of each session; a session is forgotten once it is ``delay`` old."""
+    day = F.window("ts", "1 day").alias("w")
+    return ticks.withWatermark("ts", delay).groupBy("ticker", day).agg(F.count("*").cast("double").alias("volume")).select("ticker", F.to_date("w.start").alias("date"), "volume")
 
 
 def first_triggers(ticks: DataFrame, intents: DataFrame) -> DataFrame:
@@ -97,12 +99,16 @@ def pick_flag_day(scanned: DataFrame, sent: DataFrame, backfill: int = 5) -> Dat
     return todo.agg(F.max("day").alias("day"))
 
 
-def settle(batch: DataFrame, outcomes: DataFrame, final: DataFrame | None, grace: int, as_of: str) -> DataFrame:
-    """Status of releases not settled before: complete, no_data after the grace period, else pending."""
-    todo = batch if final is None else batch.join(final.select("guid"), "guid", "left_anti")
+def settle(batch: DataFrame, outcomes: DataFrame, before: DataFrame, grace: int, as_of: str) -> DataFrame:
+    """``guid, ts, status`` of new releases and of those still pending: complete, no_data after the grace period, else pending.
+
+    ``before(guid, ts, status, batch)`` holds what earlier batches wrote; the newest status of a release counts, and a final one stays.
+    """
+    known = before.groupBy("guid").agg(F.max_by(F.struct("ts", "status"), "batch").alias("k")).select("guid", "k.*")
+    todo = batch.select("guid", "ts").join(known.select("guid"), "guid", "left_anti").unionByName(known.where("status = 'pending'").select("guid", "ts")).dropDuplicates(["guid"])
     j = todo.join(outcomes.select("guid", "complete"), "guid", "left")
     old = F.datediff(F.lit(as_of).cast("date"), F.to_date("ts")) > grace
-    return j.select("guid", F.when(F.coalesce("complete", F.lit(False)), "complete").when(old, "no_data").otherwise("pending").alias("status"))
+    return j.select("guid", "ts", F.when(F.coalesce("complete", F.lit(False)), "complete").when(old, "no_data").otherwise("pending").alias("status"))
 
 
 STATE = "state string, days int, first_seen date"
