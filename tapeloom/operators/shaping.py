@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -159,3 +162,30 @@ def newest_blocks(bars: DataFrame) -> DataFrame:
     blocks = bars.groupBy(F.date_format("date", "yyyyMM").alias("label")).agg(F.count("*").alias("rows"))
     dated = blocks.withColumn("run_date", F.to_date(F.concat("label", F.lit("01")), "yyyyMMdd"))
     return dated.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("run_date").desc())))
+
+
+def exchange_holidays(years: Iterable[int]) -> list[str]:
+    """Days without a session by rule: fixed days move to the next weekday, the others are counted weekdays or follow Easter."""
+
+    def counted(year: int, month: int, nth: int) -> datetime.date:
+        first = datetime.date(year, month, 1)
+        return first + datetime.timedelta((7 - first.weekday()) % 7 + 7 * (nth - 1))
+
+    def good_friday(year: int) -> datetime.date:
+        century, golden = year // 100, year % 19
+        epact = (century - century // 4 - (8 * century + 13) // 25 + 19 * golden + 15) % 30
+        epact -= epact // 28 * (1 - 29 // (epact + 1) * ((21 - golden) // 11))
+        moon = datetime.date(year, 3, 21) + datetime.timedelta(epact)
+        return moon + datetime.timedelta(7 - (moon.weekday() + 1) % 7 - 2)
+
+    out: set[datetime.date] = set()
+    for y in years:
+        victoria = datetime.date(y, 5, 24)
+        days = [good_friday(y), victoria - datetime.timedelta(victoria.weekday()), counted(y, 8, 1), counted(y, 9, 1), counted(y, 10, 2)]
+        days += [counted(y, 2, 3)] if y >= 2008 else []
+        for fixed in (datetime.date(y, 1, 1), datetime.date(y, 7, 1), datetime.date(y, 12, 25), datetime.date(y, 12, 26)):
+            while fixed.weekday() > 4 or fixed in days:
+                fixed += datetime.timedelta(1)
+            days.append(fixed)
+        out.update(days)
+    return sorted(d.isoformat() for d in out)

@@ -162,7 +162,7 @@ query("t5_wide_close", "date:d a:f b:f c:f",
       """WITH @bars SELECT date, max(CASE WHEN ticker = 'Brand#1' THEN close END) AS a, max(CASE WHEN ticker = 'Brand#2' THEN close END) AS b,
       max(CASE WHEN ticker = 'Brand#3' THEN close END) AS c FROM bars GROUP BY date""")(
     lambda t: shaping.wide_close(t.bars, ["Brand#1", "Brand#2", "Brand#3"]).toDF("date", "a", "b", "c"))
-HOLIDAYS = ["1997-01-01", "1997-02-17", "1997-03-28", "1997-05-19", "1997-07-01", "1997-08-04", "1997-09-01", "1997-10-13", "1997-12-25"]
+HOLIDAYS = shaping.exchange_holidays(range(1990, 2005))
 query("t6_trading_calendar", "day:d is_session:b previous:d on_or_before:d next:d",
       f"""WITH @bars, d AS (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS day FROM bars),
       s AS (SELECT day, isodow(day) < 6 AND CAST(day AS VARCHAR) NOT IN ({', '.join(repr(h) for h in HOLIDAYS)}) AS is_session FROM d)

@@ -14,7 +14,7 @@ from tapeloom.sources.bridge import benchmark_bars
 from tapeloom.sources.workspace import stored
 
 FR = oracle.FRAGMENTS
-YEARS = [1998, 1999, 2000]
+YEARS = [1998, 1999, 2000, 2001]
 
 
 def roll(f: str, c: str, n: int) -> str:
@@ -78,7 +78,7 @@ def cdf(x: str) -> str:
 FR["rules"] = f"""rua AS (SELECT *, nullif(vol_20, 0) AS s, ln(1 + stop_dist_pct) AS d FROM panel), rub AS (SELECT *, (d - 0.5826 * s) / (s * sqrt(20)) AS zb, ln(1.1) / (s * sqrt(20)) AS zu, ln(0.9) / (s * sqrt(20)) AS zd FROM rua),
 rules AS MATERIALIZED (SELECT *, least(greatest(CASE WHEN d >= 0 THEN 1 ELSE 2 * ({cdf('zb')}) END, 0), 1) AS rule_y_stop_hit, 1 - ({cdf('zu')}) AS rule_y_up10, {cdf('zd')} AS rule_y_dn10, 0.5 AS rule_y_beat_mkt, vol_20 AS rule_fwd_rvol FROM rub)"""
 TL = panel.TARGETS + ["fwd_rvol"]
-FR["preds"] = f"""pds AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos FROM (SELECT DISTINCT date FROM panel)), pdf AS (SELECT year(date) AS test_year, min(pos) AS p FROM pds WHERE year(date) IN (1998, 1999, 2000) GROUP BY 1),
+FR["preds"] = f"""pds AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos FROM (SELECT DISTINCT date FROM panel)), pdf AS (SELECT year(date) AS test_year, min(pos) AS p FROM pds WHERE year(date) IN ({', '.join(map(str, YEARS))}) GROUP BY 1),
 pdc AS (SELECT test_year, date AS cut FROM pdf JOIN pds ON pos = p - 21), pdb AS (SELECT test_year, {', '.join(f'avg({c}) AS base_{c}' for c in TL)} FROM panel JOIN pdc ON date <= cut GROUP BY 1),
 pdl AS (SELECT test_year, ticker, date, mkt_above_200, fwd_ret, unnest([{', '.join(repr(c) for c in TL)}]) AS target, unnest([{', '.join(f'CAST({c} AS DOUBLE)' for c in TL)}]) AS y, unnest([{', '.join('base_' + c for c in TL)}]) AS p_base,
   unnest([{', '.join(f'CAST(rule_{c} AS DOUBLE)' for c in TL)}]) AS p_rule FROM rules JOIN pdb ON year(date) = test_year JOIN pdc USING (test_year)),

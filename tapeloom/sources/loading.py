@@ -96,8 +96,20 @@ def screener_rows(files: DataFrame) -> DataFrame:
 
 
 def read_screener_dir(spark, pattern: str) -> DataFrame:
-    """CSV files of a directory, ready for ``screener_rows``."""
-    return spark.read.option("header", True).csv(pattern).withColumn("path", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    """``path, ticker`` of dated snapshot files, CSV with a header of their own or JSON lists of records, ready for ``screener_rows``.
+
+    Headers differ from file to file, so each file is read by its own one; a snapshot is one day's screen and fits in a row.
+    """
+    whole = spark.read.text(pattern, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("path"), "value")
+    cells = lambda line: F.transform(F.split(line, ",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"), lambda c: F.trim(F.regexp_replace(c, "^\\s*\"|\"\\s*$", "")))
+    lines = F.filter(F.split(F.regexp_replace("value", "^\ufeff", ""), "\\r?\\n"), lambda line: F.trim(line) != "")
+    csv = whole.where(~F.lower("path").endswith(".json")).select("path", lines.alias("lines")).where(F.size("lines") > 1)
+    csv = csv.select("path", cells(F.get("lines", F.lit(0))).alias("header"), F.explode(F.slice("lines", 2, 2**30)).alias("line"))
+    at = F.filter(F.array(*[F.array_position("header", c) for c in TICKER_SPELLINGS]), lambda i: i > 0)
+    found = csv.select("path", F.try_element_at(cells(F.col("line")), F.get(at, F.lit(0)).cast("int")).alias("ticker"))
+    records = whole.where(F.lower("path").endswith(".json")).select("path", F.explode(F.from_json("value", "array<map<string,string>>")).alias("r"))
+    named = records.select("path", F.coalesce(*[F.nullif(F.trim(F.try_element_at("r", F.lit(c))), F.lit("")) for c in TICKER_SPELLINGS]).alias("ticker"))
+    return found.unionByName(named)
 
 
 def ticker_list(lines: DataFrame) -> DataFrame:

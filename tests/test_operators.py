@@ -205,3 +205,12 @@ def test_dated_screener_files(spark, tmp_path):
     (tmp_path / "run_20240105_b.csv").write_text("Ticker,score\nAA,3\n,4\n")
     rows = loading.screener_rows(loading.read_screener_dir(spark, str(tmp_path)))
     assert sorted((str(r.date), r.ticker) for r in rows.collect()) == [("2024-01-05", "AA"), ("2024-01-05", "BB")]
+
+
+def test_screener_files_with_their_own_headers(spark, tmp_path):
+    (tmp_path / "screen_2024-01-02.csv").write_text("Ticker,score\naa,1\n\"bb\",2\n")
+    (tmp_path / "screen_2024-01-03.csv").write_text("score,name,symbol\n5,\"Co, Inc\",cc\n6,x,\n")
+    (tmp_path / "screen_20240104.json").write_text('[{"TICKER": "dd", "score": 1}, {"ticker": "ee"}, {"score": 2}]')
+    rows = loading.screener_rows(loading.read_screener_dir(spark, str(tmp_path)))
+    assert sorted((str(r["date"]), r["ticker"]) for r in rows.collect()) == [
+        ("2024-01-02", "AA"), ("2024-01-02", "BB"), ("2024-01-03", "CC"), ("2024-01-04", "DD"), ("2024-01-04", "EE")]
