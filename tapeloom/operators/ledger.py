@@ -170,16 +170,22 @@ def excess_scenarios(excess: DataFrame) -> DataFrame:
 
 
 def trade_stats(trades: DataFrame, keys: list[str]) -> DataFrame:
-    """Count, win rate, mean win and loss, profit factor and holding time."""
+    """Count, win rate, mean win and loss in money and in per cent, profit factor and holding time.
+
+    A mean without a trade is 0, and the profit factor without a loss is infinite.
+    """
     pnl = (F.col("exit_price") - F.col("entry_price")) * F.col("shares")
     pct = (F.col("exit_price") / F.col("entry_price") - 1) * 100
     t = trades.withColumn("pnl", pnl).withColumn("pct", pct)
-    won = F.sum(F.when(F.col("pnl") > 0, F.col("pnl")))
-    lost = F.abs(F.sum(F.when(F.col("pnl") < 0, F.col("pnl"))))
+    zero = F.lit(0.0)
+    won = F.coalesce(F.sum(F.when(F.col("pnl") > 0, F.col("pnl"))), zero)
+    lost = F.abs(F.coalesce(F.sum(F.when(F.col("pnl") <= 0, F.col("pnl"))), zero))
+    mean = lambda c, test: F.coalesce(F.avg(F.when(test, F.col(c))), zero)
     return t.groupBy(*keys).agg(
         F.count("*").alias("trades"), (F.avg((F.col("pnl") > 0).cast("double")) * 100).alias("win_rate"),
-        F.avg(F.when(F.col("pnl") > 0, F.col("pct"))).alias("avg_win"), F.avg(F.when(F.col("pnl") <= 0, F.col("pct"))).alias("avg_loss"),
-        (won / F.nullif(lost, F.lit(0.0))).alias("profit_factor"), F.avg(F.datediff("exit_date", "entry_date")).alias("avg_hold"),
+        mean("pnl", F.col("pnl") > 0).alias("avg_win"), mean("pnl", F.col("pnl") <= 0).alias("avg_loss"),
+        mean("pct", F.col("pnl") > 0).alias("avg_win_pct"), mean("pct", F.col("pnl") <= 0).alias("avg_loss_pct"),
+        F.when(lost > 0, won / lost).otherwise(F.lit(float("inf"))).alias("profit_factor"), F.avg(F.datediff("exit_date", "entry_date")).alias("avg_hold"),
         F.sum("pnl").alias("total_pnl"))
 
 

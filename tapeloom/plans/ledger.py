@@ -144,11 +144,12 @@ def stats_sql(keys: str) -> str:
     group = f"GROUP BY {keys}" if keys else ""
     lead = keys + "," if keys else ""
     return f"""WITH {T}, p AS (SELECT *, (exit_price - entry_price) * shares AS pnl, (exit_price / entry_price - 1) * 100 AS pct FROM trades)
-      SELECT {lead} count(*) AS trades, avg((pnl > 0) :: INT) * 100 AS win_rate, avg(pct) FILTER (pnl > 0) AS avg_win, avg(pct) FILTER (pnl <= 0) AS avg_loss,
-        sum(pnl) FILTER (pnl > 0) / abs(sum(pnl) FILTER (pnl < 0)) AS profit_factor, avg(exit_date - entry_date) AS avg_hold, sum(pnl) AS total_pnl FROM p {group}"""
+      SELECT {lead} count(*) AS trades, avg((pnl > 0) :: INT) * 100 AS win_rate, coalesce(avg(pnl) FILTER (pnl > 0), 0) AS avg_win, coalesce(avg(pnl) FILTER (pnl <= 0), 0) AS avg_loss,
+        coalesce(avg(pct) FILTER (pnl > 0), 0) AS avg_win_pct, coalesce(avg(pct) FILTER (pnl <= 0), 0) AS avg_loss_pct,
+        CASE WHEN sum(pnl) FILTER (pnl <= 0) < 0 THEN coalesce(sum(pnl) FILTER (pnl > 0), 0) / abs(sum(pnl) FILTER (pnl <= 0)) ELSE 'Infinity' :: DOUBLE END AS profit_factor, avg(exit_date - entry_date) AS avg_hold, sum(pnl) AS total_pnl FROM p {group}"""
 
 
-ST = "trades:i win_rate:f avg_win:f avg_loss:f profit_factor:f avg_hold:f total_pnl:f2"
+ST = "trades:i win_rate:f avg_win:f4 avg_loss:f4 avg_win_pct:f avg_loss_pct:f profit_factor:f avg_hold:f total_pnl:f2"
 query("a5_trade_stats", ST, stats_sql(""))(lambda t: ledger.trade_stats(t.trades, []))
 query("a6_trade_stats_by_ticker", "ticker " + ST, stats_sql("ticker"))(lambda t: ledger.trade_stats(t.trades, ["ticker"]))
 query("a25_sector_groups", "sector trades:i place:i",

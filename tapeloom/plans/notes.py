@@ -166,9 +166,10 @@ dg AS (SELECT ticker, count(*) FILTER (signal_type = 'darkpool_ratio_rising') >
   count(*) FILTER (signal_type = 'call_put_skew' AND direction = 'bearish') > 0 AS lp, count(*) FILTER (signal_type = 'call_put_skew' AND direction = 'neutral') > 0 AS le FROM dnew GROUP BY 1),
 dh AS (SELECT g.*, (SELECT count(*) FROM insig i WHERE i.ticker = g.ticker) AS buys FROM dg g),
 di AS (SELECT *, (buys > 0) :: INT + dk :: INT + cov :: INT - prs :: INT + (uc AND NOT up) :: INT - (up AND NOT uc) :: INT + lc :: INT - lp :: INT AS score, buys > 0 OR dk OR cov OR prs OR uc OR up AS raised,
-  concat_ws('; ', CASE WHEN buys > 0 THEN buys || CASE WHEN buys = 1 THEN ' insider buy on record' ELSE ' insider buys on record' END END, CASE WHEN dk THEN 'dark-pool ratio rose 3wks straight' END, CASE WHEN cov THEN 'short volume fell 3 sessions straight' END,
-  CASE WHEN prs THEN 'short volume rose 3 sessions straight' END, CASE WHEN uc AND up THEN 'unusual volume on both calls and puts' END, CASE WHEN uc AND NOT up THEN 'unusual call volume' END, CASE WHEN up AND NOT uc THEN 'unusual put volume' END,
-  CASE WHEN lc THEN 'flow leans calls' END, CASE WHEN lp THEN 'flow leans puts' END, CASE WHEN le THEN 'flow is balanced' END) AS reasons FROM dh)"""
+  concat_ws('; ', CASE WHEN buys > 0 THEN 'insider buys: ' || buys END, CASE WHEN dk THEN 'dark pool rising' END, CASE WHEN cov THEN 'shorts covering' END,
+  CASE WHEN prs THEN 'shorts pressing' END, CASE WHEN uc AND up THEN 'option volume on both sides' END, CASE WHEN uc AND NOT up THEN 'call volume' END, CASE WHEN up AND NOT uc THEN 'put volume' END,
+  CASE WHEN lc THEN 'calls lead' END, CASE WHEN lp THEN 'puts lead' END, CASE WHEN le THEN 'calls and puts level' END,
+  CASE WHEN (lc OR lp OR le) AND NOT (buys > 0 OR dk OR cov OR prs OR uc OR up) THEN 'nothing unusual' END) AS reasons FROM dh)"""
 signals = lambda t: dark(t).unionByName(shortsig(t)).unionByName(optsig(t)).unionByName(
     demand.insider_signals(documents.open_market_buys(documents.form4_transactions(raw.form4_filings(t.events)))))
 DM = "@bars, @venue, @dark, @shortvol, @shortsig, @options, @form4, @demand"
