@@ -158,10 +158,11 @@ query("t3_duplicate_dates", "o_custkey:i date:d o_orderkey:i o_totalprice:f2",
         t.orders.select("o_custkey", F.to_date("o_orderdate").alias("date"), "o_orderkey", "o_totalprice"), ["o_custkey", "date"], "o_orderkey"))
 query("t4_month_ends", "month:d date:d", "WITH @bars SELECT date_trunc('month', date) :: DATE AS month, max(date) AS date FROM bars GROUP BY 1")(
     lambda t: shaping.month_ends(t.bars))
-query("t5_wide_close", "date:d a:f b:f c:f",
-      """WITH @bars SELECT date, max(CASE WHEN ticker = 'Brand#1' THEN close END) AS a, max(CASE WHEN ticker = 'Brand#2' THEN close END) AS b,
-      max(CASE WHEN ticker = 'Brand#3' THEN close END) AS c FROM bars GROUP BY date""")(
-    lambda t: shaping.wide_close(t.bars, ["Brand#1", "Brand#2", "Brand#3"]).toDF("date", "a", "b", "c"))
+BRANDS = [f"Brand#{k}" for k in range(1, 26)]
+WIDE = [f"b{k}" for k in range(1, 26)]
+query("t5_wide_close", "date:d " + " ".join(f"{c}:f" for c in WIDE),
+      "WITH @bars SELECT date, " + ", ".join(f"max(CASE WHEN ticker = '{b}' THEN close END) AS {c}" for b, c in zip(BRANDS, WIDE)) + " FROM bars GROUP BY date")(
+    lambda t: shaping.wide_close(t.bars, BRANDS).toDF("date", *WIDE))
 HOLIDAYS = shaping.exchange_holidays(range(1990, 2005))
 query("t6_trading_calendar", "day:d is_session:b previous:d on_or_before:d next:d",
       f"""WITH @bars, d AS (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS day FROM bars),

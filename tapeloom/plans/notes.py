@@ -150,7 +150,7 @@ optsig AS MATERIALIZED (SELECT ticker, date, 'options' AS source, 'unusual_call_
 options = lambda t: demand.option_totals(demand.option_legs(t.lineitem, t.part))
 query("a11_option_totals", "ticker date:d call_volume:f put_volume:f call_open_interest:f put_open_interest:f",
       "WITH @options SELECT ticker, date, cv AS call_volume, pv AS put_volume, co AS call_open_interest, po AS put_open_interest FROM options")(
-    lambda t: demand.option_totals(demand.unnested(demand.nested_snapshots(demand.option_legs(t.lineitem, t.part)))))
+    options)
 SG = "ticker date:d source signal_type direction strength:f lag_days:i"
 dark = lambda t: demand.darkpool_signals(demand.venue_volume(t.lineitem, t.part), demand.weekly_volume(t.bars))
 shortsig = lambda t: demand.short_volume_signals(documents.short_volume(raw.short_volume_lines(t.events)))

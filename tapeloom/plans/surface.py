@@ -30,7 +30,7 @@ query("d3_custom_screens", "screen ticker date:d label",
     lambda t: run_screens(t.bars, {"up": up_days, "spike": lambda b: scans.volume_spikes(b).withColumn("label", F.lit("spike"))}))
 query("d5_window_array_functions", "ticker date:d recent_highs:i highest:f",
       "WITH @bars SELECT ticker, date, count(*) OVER[-19,0] AS recent_highs, max(high) OVER[-19,0] AS highest FROM bars")(
-    lambda t: t.bars.withColumn("h", F.collect_list("high").over(ind.rows(-19, 0))).select("ticker", "date", F.size("h").alias("recent_highs"), F.array_max("h").alias("highest")))
+    lambda t: t.bars.select("ticker", "date", F.count("*").over(ind.rows(-19, 0)).alias("recent_highs"), F.max("high").over(ind.rows(-19, 0)).alias("highest")))
 
 
 def saved_run(t):

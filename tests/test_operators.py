@@ -214,3 +214,12 @@ def test_screener_files_with_their_own_headers(spark, tmp_path):
     rows = loading.screener_rows(loading.read_screener_dir(spark, str(tmp_path)))
     assert sorted((str(r["date"]), r["ticker"]) for r in rows.collect()) == [
         ("2024-01-02", "AA"), ("2024-01-02", "BB"), ("2024-01-03", "CC"), ("2024-01-04", "DD"), ("2024-01-04", "EE")]
+
+
+def test_nested_option_snapshots(spark):
+    from tapeloom.operators import demand
+
+    nested = spark.sql("SELECT 'A' AS ticker, DATE '2024-01-02' AS date, 1L AS snapshot, array(named_struct('type', 'call', 'volume', 3.0D, 'open_interest', 2.0D), named_struct('type', 'put', 'volume', 1.0D, 'open_interest', 4.0D)) AS legs")
+    legs = demand.unnested(nested)
+    assert demand.nested_snapshots(legs.withColumn("snapshot", F.lit(1))).first()["legs"] == nested.first()["legs"]
+    assert tuple(demand.option_totals(legs).first())[2:] == (3.0, 2.0, 1.0, 4.0)
