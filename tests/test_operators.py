@@ -149,6 +149,10 @@ def test_page_text_rules():
     html = "<html><script>x</script><article><p>One &amp; two<p>three<table><tr><td>a</td><td> b </td></tr></table><style>s</style></article><p>out"
     assert documents.page_text(html) == "One & two\nthree\na | b"
     assert documents.page_text("<p>no article</p>") is None
+    marked = "<article><p>teaser</article><div itemprop='articleBody'><div>One</div><p>two<table><tr><th>x<p>y<td></td><td>z</tr></table></div><p>after"
+    assert documents.page_text(marked) == "One\ntwo\nx y | z"
+    assert documents.page_text('<article>a<article id="release">b<br/>c</article>d</article>') == "b\nc"
+    assert documents.page_text("<article>1 < 2 &lt; 3<!-- <p>no --><script>if (a<b) {}</script></article>") == "1 < 2 < 3"
 
 
 def test_whole_page_text_is_kept(spark, tables):
