@@ -4,12 +4,11 @@ A document's set holds the hashes of its distinct ``width``-word shingles; ASCII
 space.  Two documents link when intersection / union reaches ``similar`` per cent.  At most m = n - ceil(similar n / 100) tokens of a set of n
 can be missing from a partner, which gives every bound below.
 
-1. *Prune.*  A set's index is the part of it below a fixed hash value, a quarter of all values, or the whole set where that part has not
-   more than m tokens.  A document stays only if all but m tokens of its index occur elsewhere.  Only (token, document) rows of the index are
-   shuffled, and a token that many documents of one batch share is sent for two of them and counted for the rest on the spot, so a very
-   frequent passage does not pile up anywhere.
-2. *Group.*  Documents with equal sets become one.  The rest is partitioned by the smallest token under a second hash.  A member that links
-   to its partition's leader joins the leader's core, whose members are one class already; cores and leftovers are cut into groups of bounded
+1. *Prune.*  Documents with equal sets become one.  A set's index is the part of it below a fixed hash value, a quarter of all values, or the
+   whole set where it is small or that part has not more than m tokens.  A set stays only if enough tokens of its index occur in other sets.
+   Only (token, set) rows of the index are shuffled, and a token that many sets of one batch share is sent for two of them and counted for
+   the rest on the spot, so a very frequent passage does not pile up anywhere.
+2. *Group.*  What stays is partitioned by the smallest token under a second hash.  A member that links to its partition's leader joins the leader's core, whose members are one class already; cores and leftovers are cut into groups of bounded
    size.
 3. *Bound.*  The matrix has a row for each token and group whose union holds it.  A query must meet at least one of its m + 1 rarest index
    tokens in a group that has a partner: other groups stay closed, and so does a core for its own members.
@@ -21,6 +20,8 @@ No pairs of a group are listed: a group is read as one bitmap-like index per chu
 A document without words, or with a null text, has an empty set, links with nothing and is its own class; with fewer words than ``width`` the
 whole sequence is its one shingle.  A null id is returned without a class.  Rows that repeat an id are one node: where their texts
 differ, one of them, the smallest by set, stands for the id in links.  An empty table gives an empty result.
+
+The ids that stay are broadcast to their texts while there are at most ``BROADCAST_IDS`` of them, and joined by a shuffle beyond.
 """
 
 from __future__ import annotations
@@ -40,8 +41,12 @@ from tapeloom.sources.workspace import stored
 
 #: Index tokens lie below this.
 QUARTER = np.uint64(1 << 62)
-#: Documents of one batch that may each send a token that they share.
+#: Sets up to this size are indexed as a whole.
+WHOLE = 100
+#: Sets of one batch that may each send a token that they share.
 SENDERS = 2
+#: Ids that may be broadcast, 8 MB of them.
+BROADCAST_IDS = 1 << 20
 GROUP_SIZE = 256
 QUERY_CHUNK = 1024
 
@@ -83,131 +88,168 @@ def missing(n: int | np.ndarray, similar: int) -> int | np.ndarray:
 
 def index_of(tokens: np.ndarray, similar: int) -> np.ndarray:
     low = int(np.searchsorted(tokens, QUARTER))
-    return tokens[:low] if low > missing(len(tokens), similar) else tokens
+    return tokens[:low] if len(tokens) > WHOLE and low > missing(len(tokens), similar) else tokens
+
+
+def _needed(n: int, n_index: int, similar: int) -> int:
+    """Index tokens of a set of ``n`` that must occur elsewhere.
+
+    A partner of a set that is indexed as a whole may itself be indexed in part, and then one token in common is all that is sure.
+    """
+    if n_index < n or 100 * n <= WHOLE * similar:
+        return n_index - missing(n, similar)
+    return 1
+
+
+def _signature(raw: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(r) for r in raw), np.int64).reshape(-1, 2)
+
+
+def signatures(docs: DataFrame, width: int) -> DataFrame:
+    """``doc_id, n, s1, s2``: sizes and 128-bit signatures of the sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in balanced(batches):
+            raw = [shingles(t, width, hashes).tobytes() for t in b.column(1).to_pylist()]
+            s = _signature(raw)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(r) // 8 for r in raw], pa.int64()), pa.array(s[:, 0]), pa.array(s[:, 1])], ["doc_id", "n", "s1", "s2"])
+
+    return rows_per_batch(docs).mapInArrow(run, "doc_id long, n long, s1 long, s2 long")
 
 
 def _index_rows(docs: DataFrame, width: int, similar: int) -> DataFrame:
-    """``doc_id, lack, tokens``: index tokens to look up, and how many of them must be found elsewhere."""
+    """``s1, lack, tokens``: index tokens to look up, and how many of them must be found elsewhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in balanced(batches):
-            ids, indexes, lacks = [], [], []
+            indexes: dict[int, np.ndarray] = {}  # equal sets of a batch once
+            lacks = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 tokens = shingles(text, width, hashes)
-                if doc_id is not None and len(tokens):
-                    ids.append(doc_id)
-                    indexes.append(index_of(tokens, similar))
-                    lacks.append(len(indexes[-1]) - missing(len(tokens), similar))
-            if not ids:
+                if doc_id is not None and len(tokens) and (s1 := int(_signature([tokens.tobytes()])[0, 0])) not in indexes:
+                    indexes[s1] = index_of(tokens, similar)
+                    lacks.append(_needed(len(tokens), len(indexes[s1]), similar))
+            if not indexes:
                 continue
-            sizes = np.array(list(map(len, indexes)))
-            flat, owner = np.concatenate(indexes), np.repeat(np.arange(len(ids)), sizes)
+            sizes = np.array(list(map(len, indexes.values())))
+            flat, owner = np.concatenate(list(indexes.values())), np.repeat(np.arange(len(sizes)), sizes)
             order = np.argsort(flat, kind="stable")
             first = np.flatnonzero(np.r_[True, np.diff(flat[order].view(np.int64)) != 0])
             place = np.arange(len(flat)) - np.repeat(first, np.diff(np.r_[first, len(flat)]))
             sent = np.ones(len(flat), bool)
             sent[order[place >= SENDERS]] = False
-            known = np.bincount(owner[~sent], minlength=len(ids))
-            kept = np.split(flat[sent].view(np.int64), np.cumsum(np.bincount(owner[sent], minlength=len(ids)))[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(lacks) - known, pa.int64()), pa.array(kept, pa.list_(pa.int64()))], ["doc_id", "lack", "tokens"])
+            known = np.bincount(owner[~sent], minlength=len(sizes))
+            kept = np.split(flat[sent].view(np.int64), np.cumsum(np.bincount(owner[sent], minlength=len(sizes)))[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(list(indexes), pa.int64()), pa.array(np.array(lacks) - known, pa.int64()), pa.array(kept, pa.list_(pa.int64()))], ["s1", "lack", "tokens"])
 
-    return rows_per_batch(docs).mapInArrow(run, "doc_id long, lack long, tokens array<long>")
+    return rows_per_batch(docs).mapInArrow(run, "s1 long, lack long, tokens array<long>")
 
 
 def survivors(docs: DataFrame, width: int, similar: int) -> DataFrame:
-    """``doc_id`` of the documents that may have a partner."""
+    """``s1`` of the sets that may have a partner."""
     rows = _index_rows(docs, width, similar)
-    # a document whose tokens were all counted on the spot keeps one row of its own
-    own = F.array(-F.abs(F.xxhash64("doc_id")) - 1)
-    rows = rows.select("doc_id", "lack", F.explode(F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(own)).alias("token"))
-    found = rows.withColumn("f", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("f > 1 OR lack <= 0")
-    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("lack").alias("lack")).where("lack <= 0 OR n >= lack").select("doc_id")
+    # a set whose tokens were all counted on the spot keeps one row of its own
+    own = F.array(-F.abs(F.xxhash64("s1")) - 1)
+    rows = rows.select("s1", "lack", F.explode(F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(own)).alias("token"))
+    same = Window.partitionBy("token")
+    found = rows.withColumn("low", F.min("s1").over(same)).withColumn("high", F.max("s1").over(same)).where("low < high OR lack <= 0")
+    per_set = found.groupBy("s1").agg(F.size(F.collect_set(F.when(F.col("low") < F.col("high"), F.col("token")))).alias("n"), F.min("lack").alias("lack"))
+    return per_set.where("lack <= 0 OR n >= lack").select("s1")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n, s1, s2, tokens``: the whole sets with a 128-bit signature."""
+    """``doc_id, n, family, tokens`` of rows ``doc_id, text, s1, s2`` whose set has that signature; ``family`` is the smallest token under a second hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in balanced(batches):
-            sets = [shingles(t, width, hashes) for t in b.column(1).to_pylist()]
-            raw = [s.tobytes() for s in sets]
-            signature = np.frombuffer(b"".join(xxhash.xxh3_128_digest(r) for r in raw), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(signature[:, 0]), pa.array(signature[:, 1]), pa.array(raw, pa.binary())],
-                                             ["doc_id", "n", "s1", "s2", "tokens"])
+            ids, n, family, raw = [], [], [], []
+            for doc_id, text, s1, s2 in zip(*(c.to_pylist() for c in b.columns)):
+                tokens = shingles(text, width, hashes)
+                if len(tokens) and _signature([tokens.tobytes()])[0].tolist() == [s1, s2]:
+                    ids.append(doc_id)
+                    n.append(len(tokens))
+                    family.append(int(_mixed(tokens + np.uint64(0x5851F42D4C957F2D)).min().view(np.int64)))
+                    raw.append(tokens.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(family, pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "n", "family", "tokens"])
 
-    return rows_per_batch(docs).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, tokens binary")
+    return rows_per_batch(docs.select("doc_id", "text", "s1", "s2")).mapInArrow(run, "doc_id long, n long, family long, tokens binary")
 
 
 def _linked(n_a: int | np.ndarray, n_b: int | np.ndarray, common: int | np.ndarray, similar: int):
     return 100 * common >= similar * (n_a + n_b - common)
 
 
-def _with_family(sets: DataFrame) -> DataFrame:
-    """Add ``family``, the smallest token under a second hash."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            family = [int(_mixed(np.frombuffer(t, np.uint64) + np.uint64(0x5851F42D4C957F2D)).min().view(np.int64)) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(family, pa.int64())], [*b.schema.names, "family"])
-
-    return sets.select("doc_id", "n", "tokens").mapInArrow(run, "doc_id long, n long, tokens binary, family long")
-
-
 def _stars(sets: DataFrame, similar: int) -> DataFrame:
-    """Link members to the leader of their family: ``class`` is the leader's id or the own one; groups are numbered by family, kind and slot."""
-    families = sets.groupBy("family").agg(F.min(F.struct("doc_id", "n", "tokens")).alias("leader"), F.count(F.lit(1)).alias("members"))
-    slots = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("members") / GROUP_SIZE))
-    joined = sets.join(families, "family").select("doc_id", "n", "tokens", "family", slots.alias("slot"), F.col("leader.doc_id").alias("leader"), F.col("leader.tokens").alias("leader_tokens"))
+    """``doc_id, gid, core, class``: members that link to the leader of their family have the leader's id as class, others their own.
+
+    Groups are numbered by family, kind and slot.  Only the sets of members of a family of two or more are moved.
+    """
+    narrow = sets.select("doc_id", "family")
+    families = narrow.groupBy("family").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("members"))
+    assigned = narrow.join(families, "family").select("doc_id", "family", "leader", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("members") / GROUP_SIZE)).alias("slot"))
+    follow = assigned.where("leader <> doc_id").select("doc_id", "leader").join(sets.select("doc_id", "tokens"), "doc_id")
+    lead = sets.select(F.col("doc_id").alias("leader"), F.col("tokens").alias("leader_tokens"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = b.to_pydict()
             core = []
-            for mine, theirs in zip(rows["tokens"], rows["leader_tokens"]):
+            for mine, theirs in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 a, c = np.frombuffer(mine, np.uint64), np.frombuffer(theirs, np.uint64)
-                core.append(bool(mine == theirs or _linked(len(a), len(c), len(np.intersect1d(a, c, assume_unique=True)), similar)))
-            label = [lead if ok else own for own, lead, ok in zip(rows["doc_id"], rows["leader"], core)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(core, pa.bool_()), pa.array(label, pa.int64())], [*b.schema.names[:5], "core", "class"])
+                core.append(bool(_linked(len(a), len(c), len(np.intersect1d(a, c, assume_unique=True)), similar)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(core, pa.bool_())], ["of", "core"])
 
-    starred = joined.mapInArrow(run, "doc_id long, n long, tokens binary, family long, slot long, core boolean, class long")
-    return starred.withColumn("gid", F.xxhash64("family", "slot", "core"))
+    linked = follow.join(lead, "leader").select("doc_id", "tokens", "leader_tokens").mapInArrow(run, "of long, core boolean").groupBy("of").agg(F.max("core").alias("core"))
+    joined = assigned.join(linked, assigned["doc_id"] == linked["of"], "left").distinct()
+    core = (F.col("doc_id") == F.col("leader")) | F.coalesce("core", F.lit(False))
+    return joined.select("doc_id", F.xxhash64("family", "slot", core).alias("gid"), core.alias("core"), F.when(core, F.col("leader")).otherwise(F.col("doc_id")).alias("class"))
 
 
-def _index_tokens(groups: DataFrame, similar: int) -> DataFrame:
-    """``doc_id, n_index, most_missing, token`` of each index token."""
+def _index_tokens(sets: DataFrame, similar: int) -> DataFrame:
+    """``doc_id, token`` of each index token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            index = [index_of(np.frombuffer(t, np.uint64), similar) for t in b.column(1).to_pylist()]
-            lost = [missing(n, similar) for n in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lost, pa.int64()), pa.array([i.view(np.int64) for i in index], pa.list_(pa.int64()))], ["doc_id", "lost", "index"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([index_of(np.frombuffer(t, np.uint64), similar).view(np.int64) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], ["doc_id", "index"])
 
-    rows = groups.select("doc_id", "tokens", "n").mapInArrow(run, "doc_id long, lost long, index array<long>")
-    return rows.select("doc_id", "lost", F.size("index").alias("n_index"), F.explode("index").alias("token"))
+    return sets.select("doc_id", "tokens").mapInArrow(run, "doc_id long, index array<long>").select("doc_id", F.explode("index").alias("token"))
 
 
-def _candidates(groups: DataFrame, similar: int) -> DataFrame:
+def _candidates(sets: DataFrame, groups: DataFrame, similar: int) -> DataFrame:
     """``doc_id, gid``: the groups that each query must open."""
-    who = groups.select("doc_id", "gid", "core", "class")
-    tokens = _index_tokens(groups, similar)
+    tokens = _index_tokens(sets, similar)
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    shared = stored(tokens.join(often, "token").join(who, "doc_id"), "shared-tokens")
-    # unshared tokens come first among the rarest and find nothing
-    rarest = F.expr("slice(array_sort(collect_list(struct(f, token))), 1, CAST(greatest(first(lost) + 1 - (first(n_index) - count(1)), 0) AS INT))")
-    probes = shared.groupBy("doc_id", "class").agg(rarest.alias("probe")).select("doc_id", "class", F.explode("probe.token").alias("token"))
-    matrix = shared.select("token", F.col("gid"), F.when(F.col("core"), F.col("class")).alias("gclass")).distinct()
+    shared = tokens.join(often, "token").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("f", "token"))).alias("shared"))
+    by_doc = stored(shared.join(groups, "doc_id").join(_probe_sizes(sets, similar), "doc_id"), "shared-tokens")
+    # tokens that no other set has come first among the rarest and find nothing
+    wanted = F.greatest(F.col("lost") + 1 - (F.col("n_index") - F.size("shared")), F.lit(0)).cast("int")
+    probes = by_doc.select("doc_id", "class", F.explode(F.slice("shared", F.lit(1), wanted)).alias("s")).select("doc_id", "class", "s.token")
+    matrix = by_doc.select("gid", F.when(F.col("core"), F.col("class")).alias("gclass"), F.explode("shared.token").alias("token")).distinct()
     met = probes.join(matrix, "token").where(F.col("gclass").isNull() | (F.col("gclass") != F.col("class")))
     return met.select("doc_id", "gid").distinct()
 
 
-def _open(groups: DataFrame, candidates: DataFrame, similar: int) -> DataFrame:
+def _probe_sizes(sets: DataFrame, similar: int) -> DataFrame:
+    """``doc_id, lost, n_index``: the most tokens that a partner may lack, and the size of the index."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = [np.frombuffer(t, np.uint64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([missing(len(t), similar) for t in raw], pa.int64()), pa.array([len(index_of(t, similar)) for t in raw], pa.int64())], ["doc_id", "lost", "n_index"])
+
+    return sets.select("doc_id", "tokens").mapInArrow(run, "doc_id long, lost long, n_index long").distinct()
+
+
+def _open(sets: DataFrame, groups: DataFrame, candidates: DataFrame, similar: int) -> DataFrame:
     """``a, b``: classes that a query and a member of an opened group link."""
+    labels = groups.select("doc_id", "class")
     per_group = candidates.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / QUERY_CHUNK).alias("chunks"))
-    queries = candidates.join(per_group, "gid").join(groups.select("doc_id", "n", "tokens", "class"), "doc_id")
-    queries = queries.select("gid", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).alias("chunk"), "doc_id", "tokens", "class")
-    members = groups.join(per_group, "gid").select("gid", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "doc_id", "tokens", "class").toDF("gid", "chunk", "doc_id", "tokens", "class")
+    asking = candidates.join(per_group, "gid").select("gid", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).alias("chunk"), "doc_id")
+    held = groups.select("doc_id", "gid").join(per_group, "gid").select("gid", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "doc_id")
+    queries, members = (side.join(labels, "doc_id").join(sets.select("doc_id", "tokens"), "doc_id").select("gid", "chunk", "doc_id", "tokens", "class") for side in (asking, held))
+    members = members.toDF("gid", "chunk", "doc_id", "tokens", "class")
 
     def run(asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(asking) or not len(held):
@@ -235,30 +277,29 @@ def _open(groups: DataFrame, candidates: DataFrame, similar: int) -> DataFrame:
     return queries.groupBy("gid", "chunk").cogroup(members.groupBy("gid", "chunk")).applyInPandas(run, "a long, b long")
 
 
+def _classes(texts: DataFrame, signed: DataFrame, width: int, similar: int) -> DataFrame:
+    firsts = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("first"))
+    copies = signed.where("n > 0 AND doc_id IS NOT NULL").join(firsts, ["s1", "s2", "n"]).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    one = firsts.groupBy("first").agg(F.min(F.struct("s1", "s2")).alias("s")).select(F.col("first").alias("doc_id"), "s.s1", "s.s2")
+    maybe = stored(one.join(survivors(texts, width, similar), "s1", "left_semi").select("doc_id", "s1", "s2"), "survivors")
+    few = maybe.count() <= BROADCAST_IDS
+    sets = stored(_sets(texts.join(F.broadcast(maybe) if few else maybe, "doc_id"), width), "sets")
+    groups = stored(_stars(sets, similar), "groups")
+    found = _open(sets, groups, _candidates(sets, groups, similar), similar)
+    edges = groups.where("class <> doc_id").select(F.col("doc_id").alias("a"), F.col("class").alias("b")).union(found).union(copies)
+    return components(edges).select(F.col("node").alias("doc_id"), F.col("label").alias("component_id"))
+
+
 def classes(docs: DataFrame, width: int = 5, similar: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, component_id`` of the documents that may have a partner; all others are alone."""
+    """``doc_id, component_id`` of the documents that have a partner; all others are alone."""
     texts = texts_of(docs, id_col, text_col)
-    maybe = survivors(texts, width, similar)
-    sets = stored(_sets(texts.join(maybe, "doc_id"), width), "sets")
-    equal = sets.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("first"))
-    copies = stored(sets.select("doc_id", "s1", "s2", "n").join(equal, ["s1", "s2", "n"]).select("doc_id", "first", "s1", "s2"), "copies")
-    firsts = copies.where("doc_id = first").groupBy("doc_id").agg(F.min(F.struct("s1", "s2")).alias("s")).select("doc_id", "s.s1", "s.s2")
-    distinct = sets.join(firsts, ["doc_id", "s1", "s2"]).dropDuplicates(["doc_id", "s1", "s2"])
-    groups = stored(_stars(_with_family(distinct), similar), "groups")
-    found = _open(groups, _candidates(groups, similar), similar)
-    edges = groups.select(F.col("doc_id").alias("a"), F.col("class").alias("b")).union(found).union(copies.select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
-    return components(edges).select(F.col("node").alias("doc_id"), F.col("label").alias("component_id"))
+    return _classes(texts, stored(signatures(texts, width), "signatures"), width, similar)
 
 
 def ngram_jaccard_join(docs: DataFrame, width: int = 5, similar: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every document."""
-    found = classes(docs, width, similar, id_col, text_col)
-
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for b in balanced(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(shingles(t, width, hashes)) for t in b.column(1).to_pylist()], pa.int64())], ["doc_id", "n_shingles"])
-
-    counted = rows_per_batch(texts_of(docs, id_col, text_col)).mapInArrow(sizes, "doc_id long, n_shingles long")
-    alone = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    return counted.join(found, "doc_id", "left").select("doc_id", "n_shingles", alone.alias("component_id"))
+    texts = texts_of(docs, id_col, text_col)
+    signed = stored(signatures(texts, width), "signatures")
+    found = _classes(texts, signed, width, similar)
+    alone = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
+    return signed.select("doc_id", "n").join(found, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
