@@ -8,10 +8,12 @@ can be missing from a partner, which gives every bound below.
    whole set where it is small or that part has not more than m tokens.  A set stays only if enough tokens of its index occur in other sets.
    Only (token, set) rows of the index are shuffled, and a token that many sets of one batch share is sent for two of them and counted for
    the rest on the spot, so a very frequent passage does not pile up anywhere.
-2. *Group.*  What stays is partitioned by the smallest token under a second hash.  A member that links to its partition's leader joins the leader's core, whose members are one class already; cores and leftovers are cut into groups of bounded
-   size.
-3. *Bound.*  The matrix has a row for each token and group whose union holds it.  A query must meet at least one of its m + 1 rarest index
-   tokens in a group that has a partner: other groups stay closed, and so does a core for its own members.
+2. *Group.*  A member that links to the leader of its family, the sets with the same smallest token under a second hash, takes the leader's class.
+   Sets are partitioned by their most frequent index token, which similar sets share, and large parts are cut into groups of bounded size while
+   small ones are put together.
+3. *Bound.*  The matrix has a row for each token and group whose union holds it, with the range of classes of its holders.  A query must meet at
+   least one of its m + 1 rarest index tokens in a group that has a partner: other groups stay closed, and so does a group whose holders of these
+   tokens are all of the query's class.
 4. *Open.*  The queries of a group, in chunks, are intersected with all of its members at once, and links between different classes are kept.
    Classes linked this way are joined to components.
 
@@ -183,14 +185,14 @@ def _linked(n_a: int | np.ndarray, n_b: int | np.ndarray, common: int | np.ndarr
 
 
 def _stars(sets: DataFrame, similar: int) -> DataFrame:
-    """``doc_id, gid, core, class``: members that link to the leader of their family have the leader's id as class, others their own.
+    """``doc_id, class``: members that link to the leader of their family have the leader's id as class, others their own.
 
-    Groups are numbered by family, kind and slot.  Only the sets of members of a family of two or more are moved.
+    Only the sets of members of a family of two or more are moved.
     """
     narrow = sets.select("doc_id", "family")
-    families = narrow.groupBy("family").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("members"))
-    assigned = narrow.join(families, "family").select("doc_id", "family", "leader", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("members") / GROUP_SIZE)).alias("slot"))
-    follow = assigned.where("leader <> doc_id").select("doc_id", "leader").join(sets.select("doc_id", "tokens"), "doc_id")
+    leaders = narrow.groupBy("family").agg(F.min("doc_id").alias("leader"))
+    assigned = narrow.join(leaders, "family").select("doc_id", "leader").distinct()
+    follow = assigned.where("leader <> doc_id").join(sets.select("doc_id", "tokens"), "doc_id")
     lead = sets.select(F.col("doc_id").alias("leader"), F.col("tokens").alias("leader_tokens"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,9 +204,8 @@ def _stars(sets: DataFrame, similar: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(core, pa.bool_())], ["of", "core"])
 
     linked = follow.join(lead, "leader").select("doc_id", "tokens", "leader_tokens").mapInArrow(run, "of long, core boolean").groupBy("of").agg(F.max("core").alias("core"))
-    joined = assigned.join(linked, assigned["doc_id"] == linked["of"], "left").distinct()
-    core = (F.col("doc_id") == F.col("leader")) | F.coalesce("core", F.lit(False))
-    return joined.select("doc_id", F.xxhash64("family", "slot", core).alias("gid"), core.alias("core"), F.when(core, F.col("leader")).otherwise(F.col("doc_id")).alias("class"))
+    joined = assigned.join(linked, assigned["doc_id"] == linked["of"], "left")
+    return joined.select("doc_id", F.when(F.coalesce("core", F.lit(False)), F.col("leader")).otherwise(F.col("doc_id")).alias("class"))
 
 
 def _index_tokens(sets: DataFrame, similar: int) -> DataFrame:
@@ -217,17 +218,30 @@ def _index_tokens(sets: DataFrame, similar: int) -> DataFrame:
     return sets.select("doc_id", "tokens").mapInArrow(run, "doc_id long, index array<long>").select("doc_id", F.explode("index").alias("token"))
 
 
-def _candidates(sets: DataFrame, groups: DataFrame, similar: int) -> DataFrame:
-    """``doc_id, gid``: the groups that each query must open."""
+def _shared_tokens(sets: DataFrame, stars: DataFrame, similar: int) -> DataFrame:
+    """``doc_id, class, lost, n_index, shared, part``: each set's index tokens that others have too, the rarest first, and the most frequent one."""
     tokens = _index_tokens(sets, similar)
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     shared = tokens.join(often, "token").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("f", "token"))).alias("shared"))
-    by_doc = stored(shared.join(groups, "doc_id").join(_probe_sizes(sets, similar), "doc_id"), "shared-tokens")
+    return shared.join(stars, "doc_id").join(_probe_sizes(sets, similar), "doc_id").withColumn("part", F.element_at("shared", -1)["token"])
+
+
+def _grouped(by_doc: DataFrame) -> DataFrame:
+    """Add ``gid``: slots of a large part, or a bucket of small ones."""
+    parts = by_doc.groupBy("part").agg(F.count(F.lit(1)).alias("members"))
+    buckets = max(1, by_doc.count() // GROUP_SIZE)
+    slot = F.xxhash64("part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("members") / GROUP_SIZE)))
+    bucket = F.pmod(F.xxhash64("part"), F.lit(buckets))
+    return by_doc.join(parts, "part").withColumn("gid", F.when(F.col("members") * 2 > GROUP_SIZE, slot).otherwise(bucket)).drop("part", "members")
+
+
+def _candidates(groups: DataFrame) -> DataFrame:
+    """``doc_id, gid``: the groups that each query must open."""
     # tokens that no other set has come first among the rarest and find nothing
     wanted = F.greatest(F.col("lost") + 1 - (F.col("n_index") - F.size("shared")), F.lit(0)).cast("int")
-    probes = by_doc.select("doc_id", "class", F.explode(F.slice("shared", F.lit(1), wanted)).alias("s")).select("doc_id", "class", "s.token")
-    matrix = by_doc.select("gid", F.when(F.col("core"), F.col("class")).alias("gclass"), F.explode("shared.token").alias("token")).distinct()
-    met = probes.join(matrix, "token").where(F.col("gclass").isNull() | (F.col("gclass") != F.col("class")))
+    probes = groups.select("doc_id", "class", F.explode(F.slice("shared", F.lit(1), wanted)).alias("s")).select("doc_id", "class", "s.token")
+    matrix = groups.select("gid", "class", F.explode("shared.token").alias("token")).groupBy("token", "gid").agg(F.min("class").alias("low"), F.max("class").alias("high"))
+    met = probes.join(matrix, "token").where((F.col("low") != F.col("class")) | (F.col("high") != F.col("class")))
     return met.select("doc_id", "gid").distinct()
 
 
@@ -284,9 +298,10 @@ def _classes(texts: DataFrame, signed: DataFrame, width: int, similar: int) -> D
     maybe = stored(one.join(survivors(texts, width, similar), "s1", "left_semi").select("doc_id", "s1", "s2"), "survivors")
     few = maybe.count() <= BROADCAST_IDS
     sets = stored(_sets(texts.join(F.broadcast(maybe) if few else maybe, "doc_id"), width), "sets")
-    groups = stored(_stars(sets, similar), "groups")
-    found = _open(sets, groups, _candidates(sets, groups, similar), similar)
-    edges = groups.where("class <> doc_id").select(F.col("doc_id").alias("a"), F.col("class").alias("b")).union(found).union(copies)
+    stars = stored(_stars(sets, similar), "stars")
+    groups = stored(_grouped(stored(_shared_tokens(sets, stars, similar), "shared-tokens")), "groups")
+    found = _open(sets, groups, stored(_candidates(groups), "candidates"), similar)
+    edges = stars.where("class <> doc_id").select(F.col("doc_id").alias("a"), F.col("class").alias("b")).union(found).union(copies)
     return components(edges).select(F.col("node").alias("doc_id"), F.col("label").alias("component_id"))
 
 
