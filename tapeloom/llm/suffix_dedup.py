@@ -5,7 +5,7 @@ Texts are UTF-8 bytes, matches never cross documents, and all strings are judged
 1. *Anchors.*  In each window of ``length`` bytes the ``GRAM``-byte substring with the least hash is an anchor.  Equal windows have their
    anchor at the same place, so only anchors whose substring occurs twice or more can lie in a repeated window.  Substrings are counted
    over all documents, with partial sums before the shuffle.
-2. *Runs.*  Each task sorts the suffixes at its repeated anchors, ``length`` bytes from the anchor on and then the bytes before it
+2. *Runs.*  A window is judged at its own anchor only, so the bytes around an anchor matter as far as its windows reach.  Each task sorts the suffixes at its repeated anchors, ``length`` bytes from the anchor on and then the bytes before it
    backwards.  Of equal ones only the earliest goes on, since the others are covered by it.  The sorted run is cut by the anchor's
    substring into buckets and front-coded: every suffix is stored as the length of the prefix it shares with the one before and the rest.
 3. *Merge.*  A bucket's runs are combined by a loser tree that knows the common prefix of each head with the last output.  Heads with
@@ -64,15 +64,15 @@ def gram_hashes(raw: np.ndarray) -> np.ndarray:
     return h >> np.uint64(16)
 
 
-def anchors(raw: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of a text's anchors."""
+def anchors(raw: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and hashes of a text's anchors, and the least hash of each window."""
     if len(raw) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     h, wide = gram_hashes(raw), length - GRAM + 1
-    least = _sliding(h, wide, np.minimum)  # of each window
+    least = _sliding(h, wide, np.minimum)
     edge = np.zeros(wide - 1, np.uint64)
     at = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), wide, np.maximum) == h)
-    return at, h[at].astype(np.int64)
+    return at, h[at].astype(np.int64), least
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -101,6 +101,7 @@ def _anchor_rows(documents: DataFrame, length: int, counted: bool) -> DataFrame:
 def _repeated(documents: DataFrame, length: int) -> DataFrame:
     """``did, places``: places of repeated anchors, doubled, and one more where the substring is very frequent."""
     often = _anchor_rows(documents, length, True).groupBy("h").agg(F.sum("n").alias("f")).where("f > 1").select("h", (F.col("f") > FREQUENT).cast("long").alias("frequent"))
+    often = stored(often, "repeated-substrings")  # read from there, a side of the join that Spark can split where it is skewed
     places = _anchor_rows(documents, length, False).join(often, "h")
     return places.groupBy("did").agg(F.collect_set(F.col("at") * 2 + F.col("frequent")).alias("places"))
 
@@ -133,6 +134,13 @@ def _hash_rows(rows: np.ndarray) -> np.ndarray:
     return h
 
 
+def judged_offsets(at: np.ndarray, h: np.ndarray, least: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest distance of an anchor from the start of a window whose anchor it is; these windows are neighbours."""
+    starts = at[:, None] - np.arange(length - GRAM + 1)[None, :]
+    own = (starts >= 0) & (starts < len(least)) & (least[np.clip(starts, 0, max(len(least) - 1, 0))] == h.astype(np.uint64)[:, None])
+    return own.argmax(axis=1), length - GRAM - own[:, ::-1].argmax(axis=1)
+
+
 class Suffixes:
     """Suffixes of a task or bucket as columns: key bytes, owner, place, bytes there are on both sides, and the offsets to judge."""
 
@@ -159,7 +167,7 @@ def reduced(s: Suffixes, length: int) -> tuple[Suffixes, np.ndarray]:
     s = s.take(by_age)
     s = s.take(_order(s.keys))
     kind = s["low"]
-    same = (_prefixes(s.keys) == s.keys.shape[1]) & np.r_[False, (np.diff(kind) == 0) & (np.diff(s["left"]) == 0) & (np.diff(s["right"]) == 0)][: len(kind)]
+    same = (_prefixes(s.keys) == s.keys.shape[1]) & np.r_[False, (np.diff(kind) == 0) & (np.diff(s["high"]) == 0) & (np.diff(s["left"]) == 0) & (np.diff(s["right"]) == 0)][: len(kind)]
     itself = same & np.r_[False, (np.diff(s["did"]) == 0) & (np.diff(s["th"]) == 0) & (np.diff(s["at"]) == 0)][: len(kind)]
     late = s.take(np.flatnonzero(same & ~itself))
     most = np.minimum(late["left"], late["high"])
@@ -274,26 +282,28 @@ def _runs(repeated: DataFrame, buckets: int, length: int) -> DataFrame:
         for b in balanced(batches, "raw"):
             keys, columns, frequent = [], [], []
             for did, th, raw, places in zip(*(c.to_pylist() for c in b.columns)):
-                raw, places = np.frombuffer(raw, np.uint8), np.array(places, np.int64)
-                at = places >> 1
-                fits = at + GRAM <= len(raw)  # a place may belong to another text with this id
-                at, often = at[fits], (places[fits] & 1).astype(bool)
-                keys.append(suffixes_at(raw, at, length))
+                raw, places = np.frombuffer(raw, np.uint8), np.sort(np.array(places, np.int64))
+                every, h, least = anchors(raw, length)
+                k = np.searchsorted(every, places >> 1)
+                fits = (k < len(every)) & (every[np.minimum(k, len(every) - 1)] == places >> 1) if len(every) else np.zeros(len(k), bool)
+                at, often = places[fits] >> 1, (places[fits] & 1).astype(bool)  # other places belong to another text with this id
+                low, high = judged_offsets(at, h[k[fits]], least, length)
                 full = np.full(len(at), 1, np.int64)
-                columns.append(np.stack([did * full, th * full, at, np.minimum(at, before), np.minimum(len(raw) - at, length), 0 * full, before * full]))
+                keys.append(suffixes_at(raw, at, length))
+                columns.append(np.stack([did * full, th * full, at, np.minimum(at, before), np.minimum(len(raw) - at, length), low, high]))
                 frequent.append(often)
             if not keys:
                 continue
             s, often = Suffixes(np.concatenate(keys), np.concatenate(columns, axis=1)), np.concatenate(frequent)
             parts = [(s.take(np.flatnonzero(~often)), 0)]
             if often.any():
-                deep, near = s.take(np.flatnonzero(often)), s.take(np.flatnonzero(often))
-                deep.columns[5] = DEEP
-                near.columns[6] = DEEP - 1
-                near.columns[3] = np.minimum(near["left"], DEEP - 1)
-                near.keys[:, length + DEEP - 1 :] = 0
+                deep, near = (s.take(np.flatnonzero(often & some)) for some in (s["high"] >= DEEP, s["low"] < DEEP))
+                deep.columns[5] = np.maximum(deep["low"], DEEP)
+                near.columns[6] = np.minimum(near["high"], DEEP - 1)
                 parts += [(deep, DEEP), (near, 0)]
             for part, extra in parts:
+                unread = np.concatenate([np.arange(length)[None, :] >= length - part["low"][:, None], np.arange(before)[None, :] >= part["high"][:, None]], axis=1)
+                part.keys[unread] = 0  # bytes that no judged window reaches
                 kept, spans = reduced(part, length)
                 by = _hash_rows(np.concatenate([kept.keys[:, :GRAM], kept.keys[:, length : length + extra]], axis=1))
                 bucket = (by % np.uint64(buckets)).astype(np.int64)
