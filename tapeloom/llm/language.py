@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tapeloom.llm.common import balanced, held_out, rewritten, rows_per_batch, texts_of
 
 WINDOW = 48
-HIDDEN = 12
+HIDDEN = 8
 PER_LANGUAGE = 400
 #: Windows that each sampled row gives to training at most.
 WINDOWS_PER_ROW = 12
@@ -111,21 +111,23 @@ class Network:
     def parameters(self) -> list[np.ndarray]:
         return [*self.ahead.parameters(), *self.backward.parameters(), self.out, self.bias]
 
-    def states(self, by_time: np.ndarray) -> tuple[np.ndarray, list, list]:
-        """States of both readers at every byte, (time, window, 2 x hidden), and what each step saved."""
+    def states(self, by_time: np.ndarray, save: bool) -> tuple[np.ndarray, list, list]:
+        """States of both readers at every byte, (time, window, 2 x hidden), and what each step saved for the way back."""
         steps, n = by_time.shape
         both = np.empty((steps, n, 2 * self.hidden), np.float32)
         saved: list[list] = [[None] * steps, [None] * steps]
         for side, (reader, times) in enumerate(((self.ahead, range(steps)), (self.backward, range(steps - 1, -1, -1)))):
             h = np.zeros((n, self.hidden), np.float32)
             for t in times:
-                saved[side][t] = (h, got := reader.step(by_time[t], h))
+                got = reader.step(by_time[t], h)
+                if save:
+                    saved[side][t] = (h, got)
                 h = got[0]
                 both[t, :, side * self.hidden : (side + 1) * self.hidden] = h
         return both, saved[0], saved[1]
 
-    def probabilities(self, by_time: np.ndarray) -> tuple[np.ndarray, tuple]:
-        states = self.states(by_time)
+    def probabilities(self, by_time: np.ndarray, save: bool = False) -> tuple[np.ndarray, tuple]:
+        states = self.states(by_time, save)
         steps, n, width = states[0].shape
         p = states[0].reshape(-1, width) @ self.out
         p += self.bias
@@ -137,7 +139,7 @@ class Network:
     def gradients(self, windows: np.ndarray, labels: np.ndarray) -> list[np.ndarray]:
         """Backpropagation through time of the mean cross entropy over all bytes."""
         by_time = np.ascontiguousarray(windows.T)
-        p, (both, saved_a, saved_b) = self.probabilities(by_time)
+        p, (both, saved_a, saved_b) = self.probabilities(by_time, save=True)
         p[:, np.arange(len(labels)), labels] -= 1
         p *= _IS_LETTER[by_time][:, :, None]
         p /= by_time.size
@@ -166,7 +168,7 @@ class Network:
         return np.add.reduceat(sums, starts) / np.maximum(np.add.reduceat(letters, starts), 1)[:, None]
 
 
-def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], steps: int = 500, batch: int = 256, rate: float = 0.02, seed: int = 5) -> Network:
+def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], steps: int = 400, batch: int = 192, rate: float = 0.02, seed: int = 5) -> Network:
     """Adam over random batches of windows, the languages drawn alike often."""
     net, draw = Network(languages), np.random.default_rng(seed)
     params = net.parameters()
