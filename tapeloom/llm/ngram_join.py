@@ -258,11 +258,11 @@ def _probe_sizes(sets: DataFrame, similar: int) -> DataFrame:
 
 def _open(sets: DataFrame, groups: DataFrame, candidates: DataFrame, similar: int) -> DataFrame:
     """``a, b``: classes that a query and a member of an opened group link."""
-    labels = groups.select("doc_id", "class")
+    whole = sets.select("doc_id", "tokens").join(groups.select("doc_id", "class"), "doc_id")
     per_group = candidates.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / QUERY_CHUNK).alias("chunks"))
     asking = candidates.join(per_group, "gid").select("gid", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).alias("chunk"), "doc_id")
     held = groups.select("doc_id", "gid").join(per_group, "gid").select("gid", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "doc_id")
-    queries, members = (side.join(labels, "doc_id").join(sets.select("doc_id", "tokens"), "doc_id").select("gid", "chunk", "doc_id", "tokens", "class") for side in (asking, held))
+    queries, members = (side.join(whole, "doc_id").select("gid", "chunk", "doc_id", "tokens", "class") for side in (asking, held))
     members = members.toDF("gid", "chunk", "doc_id", "tokens", "class")
 
     def run(asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
