@@ -13,7 +13,7 @@ from tapeloom.plans.studies import O as OUTCOMES
 from tapeloom.sources.tables import Tables
 from tapeloom.sources.workspace import work_folder
 from tapeloom.streaming import rules
-from tapeloom.streaming.runtime import earlier, folder_stream, run_append, run_batches, run_latest, table_stream, write_version
+from tapeloom.streaming.runtime import earlier, folder_stream, run_append, run_batches, run_latest, run_parts, table_stream, write_version
 
 
 def stream(t: Tables) -> DataFrame:
@@ -33,7 +33,7 @@ def exactly_once(releases: DataFrame, folder: str | None = None) -> DataFrame:
 query("r1_exactly_once_items", "guid:i ticker", "WITH @releases SELECT guid, ticker FROM releases")(lambda t: exactly_once(rules.repeated(stream(t))))
 query("r2_two_lanes", "slot lane n:i newest:i",
       "WITH @releases SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS slot, CASE WHEN materiality = 'high' THEN 'now' ELSE 'hourly' END AS lane, count(*) AS n, max(guid) AS newest FROM releases GROUP BY 1, 2")(
-    lambda t: run_latest(rules.lanes(stream(t)), "r2", ["slot", "lane"]))
+    lambda t: run_parts(stream(t), "r2", rules.lanes, rules.all_lanes))
 
 
 def late_split(t: Tables) -> DataFrame:
@@ -98,7 +98,7 @@ query("r8_outcome_status", "guid:i status",
       f"WITH {OUTCOMES} SELECT r.guid, CASE WHEN coalesce(o.complete, false) THEN 'complete' WHEN DATE '2024-01-31' - r.ts :: DATE > 14 THEN 'no_data' ELSE 'pending' END AS status FROM releases r LEFT JOIN outcomes o USING (guid)")(settled)
 query("r9_session_volume", "ticker date:d volume:f avg_volume:f hot:b",
       "WITH @hourly, @day_bars, a AS (SELECT ticker, date, avg(volume) OVER[-20,-1] AS avg_volume, count(*) OVER[-20,-1] AS n, volume FROM day_bars) SELECT ticker, date, volume, avg_volume, volume > avg_volume AS hot FROM a WHERE n > 0")(
-    lambda t: run_latest(rules.session_volume(stream(t)), "r9", ["ticker", "date"]).join(
+    lambda t: run_parts(stream(t), "r9", rules.session_volume, rules.all_volume).join(
         t.day_bars.select("ticker", "date", F.avg("volume").over(ind.rows(-20, -1)).alias("avg_volume")).where("avg_volume is not null"), ["ticker", "date"]).withColumn("hot", F.col("volume") > F.col("avg_volume")))
 query("r10_first_triggers", "ticker day:d guid:i value:f",
       """WITH @releases, i AS (SELECT ticker, ts :: DATE + 1 AS day, round(avg(value) * 3, 2) AS trigger FROM releases GROUP BY ticker, ts :: DATE)
@@ -125,4 +125,4 @@ query("r12_release_bursts", "user_id:i ticker start n:i",
       """WITH @releases, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS brk FROM releases WINDOW w AS (PARTITION BY user_id, ticker ORDER BY ts, guid)),
       h AS (SELECT *, sum(brk) OVER (PARTITION BY user_id, ticker ORDER BY ts, guid) AS k FROM g), b AS (SELECT user_id, ticker, k, min(ts) AS s, max(ts) + INTERVAL 30 MINUTE AS e, count(*) AS n FROM h GROUP BY 1, 2, 3)
       SELECT user_id, ticker, strftime(s, '%Y-%m-%d %H:%M:%S.%f') AS start, n FROM b WHERE e <= (SELECT max(ts) FROM releases) - INTERVAL 1 HOUR""")(
-    lambda t: run_append(rules.bursts(stream(t)), "r12").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss.SSSSSS")))
+    lambda t: run_parts(stream(t), "r12", rules.bursts, rules.closed_bursts).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss.SSSSSS")))

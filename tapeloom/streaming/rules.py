@@ -1,7 +1,9 @@
 """The collectors' polling rules as streams.
 
 Aggregating rules keep their state in the engine's own aggregation state, which
-combines rows before the shuffle; only the signal state machine needs Python.
+combines rows before the shuffle, or, where files may come in any order, count each
+batch by itself and add the counts up on reading; only the signal state machine
+needs Python.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.sources import bridge
@@ -26,13 +28,18 @@ def repeated(releases: DataFrame) -> DataFrame:
     return releases.withColumn("poll", F.explode(F.array(F.lit(1), F.lit(2))))
 
 
-def lanes(releases: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Releases per lane and hour: high ones go at once, the rest in hourly bundles; an hour is forgotten once it is ``delay`` old."""
+def lanes(batch: DataFrame) -> DataFrame:
+    """Releases of a batch per lane and hour: high ones go at once, the rest in hourly bundles."""
     lane = F.when(F.col("materiality") == "high", "now").otherwise("hourly")
-    return releases.withWatermark("ts", delay).groupBy(F.window("ts", "60 minutes").alias("w"), lane.alias("lane")).agg(F.count("*").alias("n"), F.max("guid").alias("newest")).select(
+    return batch.groupBy(F.window("ts", "60 minutes").alias("w"), lane.alias("lane")).agg(F.count("*").alias("n"), F.max("guid").alias("newest")).select(
         F.col("w.start").alias("slot"), "lane", "n", "newest")
 
 
+def all_lanes(parts: DataFrame) -> DataFrame:
+    """What the batches counted, added up."""
+    return parts.groupBy("slot", "lane").agg(F.sum("n").alias("n"), F.max("newest").alias("newest"))
+
+
 def with_arrival(releases: DataFrame) -> DataFrame:
     """Releases with the time they were collected, up to nine days after publication."""
     return releases.withColumn("arrived", F.col("ts") + F.make_dt_interval((F.col("guid") % 10).cast("int")))
@@ -67,10 +74,14 @@ def watched_prices(ticks: DataFrame, items: DataFrame) -> DataFrame:
     return ticks.join(w, ["user_id", "ticker"]).where(F.to_date("ts") >= F.col("flagged")).select("item", "guid", "ts", "value")
 
 
-def session_volume(ticks: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Volume so far of each session; a session is forgotten once it is ``delay`` old."""
-    day = F.window("ts", "1 day").alias("w")
-    return ticks.withWatermark("ts", delay).groupBy("ticker", day).agg(F.count("*").cast("double").alias("volume")).select("ticker", F.to_date("w.start").alias("date"), "volume")
+def session_volume(batch: DataFrame) -> DataFrame:
+    """Volume of a batch by session."""
+    return batch.groupBy("ticker", F.to_date("ts").alias("date")).agg(F.count("*").cast("double").alias("volume"))
+
+
+def all_volume(parts: DataFrame) -> DataFrame:
+    """Volume so far of each session."""
+    return parts.groupBy("ticker", "date").agg(F.sum("volume").alias("volume"))
 
 
 def first_triggers(ticks: DataFrame, intents: DataFrame) -> DataFrame:
@@ -85,11 +96,23 @@ def daily_triggers(releases: DataFrame) -> DataFrame:
     return d.select("ticker", F.date_add("d", 1).alias("day"), "trigger")
 
 
-def bursts(releases: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
-    """Bursts of releases per user and ticker, separated by a gap; emitted once closed."""
-    w = F.session_window("ts", gap)
-    return releases.withWatermark("ts", delay).groupBy(w.alias("w"), "user_id", "ticker").agg(F.count("*").alias("n")).select(
-        "user_id", "ticker", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+def merged_bursts(spans: DataFrame) -> DataFrame:
+    """``user_id, ticker, start, end, n`` of spans that overlap made one."""
+    w = Window.partitionBy("user_id", "ticker").orderBy("start", "end")
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    numbered = spans.withColumn("apart", F.when(F.col("start") < before, 0).otherwise(1)).withColumn("k", F.sum("apart").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("user_id", "ticker", "k").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("k")
+
+
+def bursts(batch: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """Bursts of releases of a batch per user and ticker, separated by a gap."""
+    return merged_bursts(batch.select("user_id", "ticker", F.col("ts").alias("start"), (F.col("ts") + F.expr(f"INTERVAL {gap}")).alias("end"), F.lit(1).cast("long").alias("n")))
+
+
+def closed_bursts(parts: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
+    """Bursts over all batches, in whatever order their releases came, that ended ``delay`` before the newest release."""
+    newest = parts.agg(F.max("end")).scalar() - F.expr(f"INTERVAL {gap}")
+    return merged_bursts(parts).where(F.col("end") <= newest - F.expr(f"INTERVAL {delay}"))
 
 
 def pick_flag_day(scanned: DataFrame, sent: DataFrame, backfill: int = 5) -> DataFrame:

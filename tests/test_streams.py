@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import time
+from datetime import datetime
+from functools import partial
+
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tapeloom.plans import streams
+from tapeloom.plans import catalogue, streams
 from tapeloom.streaming import rules
 from tapeloom.streaming.runtime import table_stream
 
@@ -35,3 +41,24 @@ def test_pending_outcomes_come_back(spark, tmp_path):
     second = {r["guid"]: r["status"] for r in streams.statuses(parts(spark, tmp_path, [2]).select("guid", "ts"), done, out, "2030-01-01").collect()}
     assert second[min(status)] == "complete" and len(second) == spark.read.parquet(f"{SMALL}/events.parquet").count()
     assert set(second.values()) == {"complete", "no_data"}
+
+
+@pytest.mark.parametrize("name", ["r2_two_lanes", "r9_session_volume", "r12_release_bursts"])
+def test_no_row_is_late_over_parts_in_no_order(spark, tmp_path, monkeypatch, name):
+    """Three parts by time, the newest first, one a batch: the same rows as from one file."""
+    events = spark.read.parquet(f"{SMALL}/events.parquet").withColumn("third", F.ntile(3).over(Window.orderBy("ts")))
+    for third in (3, 1, 2):
+        events.where(F.col("third") == third).drop("third").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+        time.sleep(1.1)  # a file stream takes the oldest file first
+    run = catalogue()[name].run
+    once = run(spark, SMALL).collect()
+    monkeypatch.setattr(streams, "table_stream", partial(table_stream, files_per_batch=1))
+    assert once and sorted(map(tuple, run(spark, str(tmp_path)).collect())) == sorted(map(tuple, once))
+
+
+def test_bursts_meet_across_batches(spark):
+    at = lambda text: datetime.fromisoformat(f"2024-01-01 {text}")
+    rows = [(1, "A", at("10:00")), (1, "A", at("10:40")), (1, "A", at("10:20")), (1, "A", at("11:10")), (2, "A", at("15:00"))]
+    batches = [rules.bursts(spark.createDataFrame(part, "user_id long, ticker string, ts timestamp")) for part in (rows[:2], rows[2:])]
+    got = rules.closed_bursts(batches[0].unionByName(batches[1])).orderBy("start").select(F.date_format("start", "HH:mm"), "n").collect()
+    assert [tuple(r) for r in got] == [("10:00", 3), ("11:10", 1)]
