@@ -143,10 +143,17 @@ query("v12_design_matrix", "test_year:i part ticker date:d rank_vol_20:f rank_re
         (rank() OVER (PARTITION BY test_year, part, date ORDER BY ret_21) + (count(*) OVER (PARTITION BY test_year, part, date, ret_21) - 1) / 2.0) / count(*) OVER (PARTITION BY test_year, part, date) - 0.5 AS rank_ret_21,
         (mkt_vol_20 - m) / sd AS z_mkt_vol_20, ln(greatest(vol_20, 1e-4)) AS log_vol_20, ln(least(greatest(rule_y_up10, 1e-4), 1 - 1e-4) / (1 - least(greatest(rule_y_up10, 1e-4), 1 - 1e-4))) AS logit_y_up10 FROM sp JOIN z USING (test_year)""")(
     lambda t: panel.design(shaping.walk_forward_splits(stored_panel(t), YEARS, 20)))
-MODEL_JOBS = [("y_stop_hit", "logistic"), ("y_up10", "gbm"), ("fwd_rvol", "ridge")]
-query("v13_walk_forward_models", "test_year:i ticker date:d target model p_model:f4")(lambda t: panel.walk_forward_models(stored_panel(t), [1999, 2000], MODEL_JOBS))
+MODEL_JOBS = [(y, m) for y in panel.TARGETS for m in ("logistic", "gbm")] + [("fwd_rvol", "ridge")]
+
+
+def over_test_years(t, study):
+    p = stored_panel(t)
+    return study(p, panel.tested_years(p), MODEL_JOBS)
+
+
+query("v13_walk_forward_models", "test_year:i ticker date:d target model p_model:f4")(lambda t: over_test_years(t, panel.walk_forward_models))
 query("v14_model_comparison", "test_year:i target model n:i loss_model:f4 loss_base:f4 loss_rule:f4 skill_vs_base:f4 skill_vs_rule:f4")(
-    lambda t: panel.model_table(stored_panel(t), [1999, 2000], MODEL_JOBS))
+    lambda t: over_test_years(t, panel.model_table))
 
 # --- small-table statistics -------------------------------------------------------------------------------------
 

@@ -1,0 +1,52 @@
+"""Walk-forward models: every row of every year that can be tested gets a prediction from each pair."""
+
+from __future__ import annotations
+
+import random
+from datetime import date, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from tapeloom.operators import panel
+from tapeloom.plans.panel import MODEL_JOBS
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    """Three years of ten tickers, with sessions without market features, still stocks and a stock whose later volatility is 0."""
+    draw = random.Random(3)
+    out = []
+    for year in (2010, 2011, 2012):
+        for k in range(60):
+            for n in range(10):
+                still = n == 0 and k % 2 == 0
+                vol = 0.0 if still else draw.uniform(0.01, 0.05)
+                market = [None] * 3 if k % 5 == 0 else [float(draw.random() < 0.5), draw.uniform(0.01, 0.02), draw.gauss(0, 0.05)]
+                features = [vol if c == "vol_20" else -draw.uniform(0.01, 0.07) if c == "stop_dist_pct" else draw.gauss(0, 1) for c in panel.FEATURES]
+                labels = [draw.gauss(0, 0.1), 0.0 if still else draw.uniform(0.01, 0.05), *(float(draw.random() < 0.4) for _ in panel.TARGETS)]
+                out.append((f"T{n}", date(year, 1, 4) + timedelta(k), *features, *market, *labels))
+    schema = "ticker string, date date, " + ", ".join(f"{c} double" for c in [*panel.FEATURES, *panel.MARKET, *panel.LABELS])
+    return spark.createDataFrame(out, schema)
+
+
+def test_every_row_of_a_test_year_has_a_prediction(rows):
+    years = panel.tested_years(rows)
+    assert years == [2011, 2012]
+    got = panel.walk_forward_models(rows, years, [("y_up10", "logistic"), ("fwd_rvol", "ridge")])
+    by = {tuple(r)[:2]: tuple(r)[2:] for r in got.groupBy("test_year", "target").agg(F.count("*"), F.count("p_model"), F.count_if(F.isnan("p_model"))).collect()}
+    assert by == {(y, t): (600, 600, 0) for y in years for t in ("y_up10", "fwd_rvol")}
+
+
+def test_trees_and_one_class(rows):
+    split = panel.design(panel.walk_forward_splits(rows, [2012], panel.HORIZON))
+    trees = panel.fit_predict(split, "y_up10", "gbm", rounds=2, least_leaf=20)
+    assert trees.where("p_model between 0 and 1").count() == 600
+    alone = panel.fit_predict(split.withColumn("y_dn10", F.lit(1.0)), "y_dn10", "logistic")
+    assert alone.where("p_model = 1").count() == 600
+
+
+def test_all_pairs_and_no_rows(rows):
+    assert len(set(MODEL_JOBS)) == 9 and {t for t, _ in MODEL_JOBS} == {*panel.TARGETS, "fwd_rvol"}
+    none = rows.limit(0)
+    assert panel.tested_years(none) == [] and panel.walk_forward_models(none, [], MODEL_JOBS).count() == 0
