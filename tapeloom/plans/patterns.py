@@ -143,8 +143,10 @@ elder AS MATERIALIZED (SELECT e.*, w.weekly_trend, CASE WHEN bull > 0 AND bear >
 ELDER = "@bars, @rec, @weekly, @elder"
 query("p39_elder_ray_reads", "ticker date:d bull:f4 bear:f4 trend weekly_trend read", f"WITH {ELDER} SELECT * FROM elder")(lambda t: pat.elder_reads(t.bars))
 query("j2_weekly_trend_asof", "ticker date:d weekly_trend", f"WITH {ELDER} SELECT * FROM elder")(lambda t: pat.elder_reads(t.bars))
+#: The nine pairs of the reference, and one with a slower week.
+ELDER_SPANS = [(d, w) for d in (8, 13, 21) for w in (8, 13, 21)] + [(13, 26)]
 query("p58_elder_ray_grid", "daily_span:i weekly_span:i read n:i")(
-    lambda t: pat.elder_grid(t.bars, [(13, 13), (21, 13), (13, 26)]).groupBy("daily_span", "weekly_span", "read").agg(F.count("*").alias("n")))
+    lambda t: pat.elder_grid(t.bars, ELDER_SPANS).groupBy("daily_span", "weekly_span", "read").agg(F.count("*").alias("n")))
 FR["triple"] = """tsw AS (SELECT w.ticker, w.date, CASE WHEN w.rn < 16 THEN 'FLAT' WHEN e.ema > lag(e.ema, 3) OVER o THEN 'UP' WHEN e.ema < lag(e.ema, 3) OVER o THEN 'DOWN' ELSE 'FLAT' END AS trend
   FROM weekly w JOIN wk13 e USING (ticker, rn) WINDOW o AS (PARTITION BY w.ticker ORDER BY w.rn)),
 tsa AS (SELECT *, close - lag(close, 10) OVER[] AS m, lag(high) OVER[] AS h1, lag(low) OVER[] AS l1, CASE WHEN rn > 20 THEN avg(volume) OVER[-20,-1] END AS v20 FROM ind),

@@ -227,3 +227,14 @@ def test_nested_option_snapshots(spark):
     legs = demand.unnested(nested)
     assert demand.nested_snapshots(legs.withColumn("snapshot", F.lit(1))).first()["legs"] == nested.first()["legs"]
     assert tuple(demand.option_totals(legs).first())[2:] == (3.0, 2.0, 1.0, 4.0)
+
+
+def test_elder_grid_has_all_span_pairs(tables):
+    from tapeloom.plans import catalogue
+
+    rows = catalogue()["p58_elder_ray_grid"].run(tables.spark, tables.directory).collect()
+    bars = {}
+    for r in rows:
+        bars[r["daily_span"], r["weekly_span"]] = bars.get((r["daily_span"], r["weekly_span"]), 0) + r["n"]
+    assert set(bars) >= {(d, w) for d in (8, 13, 21) for w in (8, 13, 21)}
+    assert set(bars.values()) == {tables.bars.count()}
