@@ -14,8 +14,9 @@ Texts are UTF-8 bytes, matches never cross documents, and all strings are judged
    give, for each offset of a window around the anchor, the classes of equal windows.  All but the earliest of a class are covered.
 4. *Cut.*  The covered spans go back to the texts that have any.
 
-A substring that very many places share is cut further by the bytes before it, so that no bucket holds all of them; windows that begin close
-to such an anchor, whose few preceding bytes take few values, are reduced before they are sent.
+A substring that very many places share is cut further by the ``DEEP`` bytes before it.  Windows that begin closer to such an anchor share
+all but ``DEEP - 1`` of their bytes from it on, which cut them instead.  A phrase shorter than ``length`` that very many texts hold, each in
+surroundings of its own, has the same anchor and the same bytes before it everywhere, so its places still meet in one bucket.
 
 Null and empty texts have no bytes.  Documents without an id come last, and rows with one id are ordered by a hash of their text; equal rows
 are one document and are returned alike.  Suffixes are cut off at the end of a text.
@@ -81,8 +82,13 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(raw).alias("th"), raw.alias("raw"))
 
 
+def _text_key() -> Column:
+    """One number for a text and its id, so that texts with one id, or without any, do not meet; no wider than an id."""
+    return F.xxhash64("did", "th").alias("text")
+
+
 def _anchor_rows(documents: DataFrame, length: int, counted: bool) -> DataFrame:
-    """``h, n`` of each task's anchors added up, or ``h, did, at`` of each of them."""
+    """``h, n`` of each task's anchors added up, or ``h, text, at`` of each of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in balanced(batches, "raw"):
@@ -92,18 +98,18 @@ def _anchor_rows(documents: DataFrame, length: int, counted: bool) -> DataFrame:
                 h, n = np.unique(h, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["h", "n"])
             else:
-                did = np.repeat(b.column(0).to_numpy(), [len(f[0]) for f in found])
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(did), pa.array(np.concatenate([f[0] for f in found]))], ["h", "did", "at"])
+                text = np.repeat(b.column(0).to_numpy(), [len(f[0]) for f in found])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(text), pa.array(np.concatenate([f[0] for f in found]))], ["h", "text", "at"])
 
-    return rows_per_batch(documents.select("did", "raw")).mapInArrow(run, "h long, n long" if counted else "h long, did long, at long")
+    return rows_per_batch(documents.select(_text_key(), "raw")).mapInArrow(run, "h long, n long" if counted else "h long, text long, at long")
 
 
 def _repeated(documents: DataFrame, length: int) -> DataFrame:
-    """``did, places``: places of repeated anchors, doubled, and one more where the substring is very frequent."""
+    """``text, places``: places of repeated anchors, doubled, and one more where the substring is very frequent."""
     often = _anchor_rows(documents, length, True).groupBy("h").agg(F.sum("n").alias("f")).where("f > 1").select("h", (F.col("f") > FREQUENT).cast("long").alias("frequent"))
     often = stored(often, "repeated-substrings")  # read from there, a side of the join that Spark can split where it is skewed
     places = _anchor_rows(documents, length, False).join(often, "h")
-    return places.groupBy("did").agg(F.collect_set(F.col("at") * 2 + F.col("frequent")).alias("places"))
+    return places.groupBy("text").agg(F.collect_set(F.col("at") * 2 + F.col("frequent")).alias("places"))
 
 
 def suffixes_at(raw: np.ndarray, at: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -286,7 +292,7 @@ def _runs(repeated: DataFrame, buckets: int, length: int) -> DataFrame:
                 every, h, least = anchors(raw, length)
                 k = np.searchsorted(every, places >> 1)
                 fits = (k < len(every)) & (every[np.minimum(k, len(every) - 1)] == places >> 1) if len(every) else np.zeros(len(k), bool)
-                at, often = places[fits] >> 1, (places[fits] & 1).astype(bool)  # other places belong to another text with this id
+                at, often = places[fits] >> 1, (places[fits] & 1).astype(bool)  # other places belong to another text with this key
                 low, high = judged_offsets(at, h[k[fits]], least, length)
                 full = np.full(len(at), 1, np.int64)
                 keys.append(suffixes_at(raw, at, length))
@@ -295,17 +301,17 @@ def _runs(repeated: DataFrame, buckets: int, length: int) -> DataFrame:
             if not keys:
                 continue
             s, often = Suffixes(np.concatenate(keys), np.concatenate(columns, axis=1)), np.concatenate(frequent)
-            parts = [(s.take(np.flatnonzero(~often)), 0)]
+            parts = [(s.take(np.flatnonzero(~often)), GRAM, 0)]
             if often.any():
                 deep, near = (s.take(np.flatnonzero(often & some)) for some in (s["high"] >= DEEP, s["low"] < DEEP))
                 deep.columns[5] = np.maximum(deep["low"], DEEP)
                 near.columns[6] = np.minimum(near["high"], DEEP - 1)
-                parts += [(deep, DEEP), (near, 0)]
-            for part, extra in parts:
+                parts += [(deep, GRAM, DEEP), (near, length - DEEP + 1, 0)]
+            for part, behind, ahead in parts:
                 unread = np.concatenate([np.arange(length)[None, :] >= length - part["low"][:, None], np.arange(before)[None, :] >= part["high"][:, None]], axis=1)
                 part.keys[unread] = 0  # bytes that no judged window reaches
                 kept, spans = reduced(part, length)
-                by = _hash_rows(np.concatenate([kept.keys[:, :GRAM], kept.keys[:, length : length + extra]], axis=1))
+                by = _hash_rows(np.concatenate([kept.keys[:, :behind], kept.keys[:, length : length + ahead]], axis=1))
                 bucket = (by % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 edges = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0]) if len(order) else np.zeros(0, int)
@@ -362,7 +368,7 @@ def _cut(texts: DataFrame) -> DataFrame:
 def shortened(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``did, th, n_removed, n_spans, kept_sha256, kept`` of the documents that lose bytes."""
     documents = _documents(docs, id_col, text_col)
-    repeated = stored(documents.join(_repeated(documents, length), "did").dropDuplicates(["did", "th"]), "repeated-anchors")
+    repeated = stored(documents.withColumn("text", _text_key()).join(_repeated(documents, length), "text").drop("text").dropDuplicates(["did", "th"]), "repeated-anchors")
     total = repeated.agg(F.sum(F.size("places"))).first()[0] or 0
     buckets = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_ROWS + 1)
     spans = _runs(repeated, buckets, length).groupBy("bucket").applyInPandas(_merge_bucket(length), "did long, th long, start long, stop long")

@@ -135,6 +135,19 @@ def test_suffixes_of_odd_rows(odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count()
 
 
+def test_texts_without_an_id_keep_places_of_their_own(spark):
+    draw = random.Random(8)
+    text = lambda n: "".join(draw.choices("abcdefgh ", k=n))
+    shared = text(300)
+    rows = [(i, text(20 * k + 7) + shared + text(50)) for k, i in enumerate([None] * 12 + [7] * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    documents = suffix_dedup._documents(docs, "doc_id", "text")
+    places = suffix_dedup._repeated(documents, 100).collect()
+    assert len(places) == len(rows) and max(len(r["places"]) for r in places) < 20
+    removed = [r["n_removed"] for r in suffix_dedup.suffix_dedup(docs).collect()]
+    assert sorted(removed)[0] < 100 and all(n >= 300 for n in sorted(removed)[1:])
+
+
 def test_loser_tree_and_front_coding():
     draw = random.Random(5)
     runs = []
