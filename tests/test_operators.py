@@ -12,7 +12,7 @@ from tapeloom.functions.protocol import run_screens
 from tapeloom.operators import documents, notes, panel, patterns, ranks, runs, scans, shaping, stats, studies
 from tapeloom.operators.asof import asof_join
 from tapeloom.sources import bridge, loading
-from conftest import bar_frame
+from bar_frames import bar_frame
 
 
 def test_pivots_hand_traced(spark):

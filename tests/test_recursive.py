@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions import recursive as rec
 from tapeloom.operators import technicals
-from conftest import bar_frame
+from bar_frames import bar_frame
 
 
 def series_frame(spark, values):
