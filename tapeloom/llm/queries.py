@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tapeloom.llm import bpe, language, ngram_join, packing, quality, suffix_dedup, token_counts, topk, toxicity, urls
+from tapeloom.llm import bpe, language, ngram_join, packing, quality, substring_dedup, suffix_dedup, token_counts, topk, toxicity, urls
 
 #: Vocabulary files are a parameter of the operators; these are the ones the queries use.
 WORD_BPE = "word_bpe_49k.json"
@@ -114,3 +115,22 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 @query
 def op10_token_counts(spark: SparkSession, directory: str) -> DataFrame:
     return token_counts.token_counts(table(spark, directory, "documents"), public_tokenizers.path(WORD_BPE))
+
+
+@query
+def op13_substring_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    kept = substring_dedup.kept_words(table(spark, directory, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+SQL["op13_substring_dedup"] = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, 9223372036854775807) AS did, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+win AS (SELECT rid, did, i, array_to_string(words[i:i + 12], ' ') AS run FROM (SELECT rid, did, words, unnest(range(1, len(words) - 11)) AS i FROM w WHERE len(words) >= 13)),
+late AS (SELECT rid, i FROM (SELECT rid, did, i, min(did) OVER (PARTITION BY run) AS least FROM win) WHERE least < did),
+gone AS (SELECT DISTINCT rid, i + k AS i FROM late CROSS JOIN (SELECT unnest(range(0, 13)) AS k)),
+each AS (SELECT rid, i, words[i] AS word FROM (SELECT rid, words, unnest(range(1, len(words) + 1)) AS i FROM w)),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM each ANTI JOIN gone USING (rid, i) GROUP BY rid)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (rid)
+"""
