@@ -38,7 +38,7 @@ from tapeloom.llm.common import balanced, rows_per_batch
 from tapeloom.sources.workspace import stored
 
 WINDOW, GRAM = 13, 6
-#: Places of an anchor that meet in one part, and places that a block is to hold.
+#: Documents with an anchor that meet in one part, and anchors of documents that a block is to hold.
 TOGETHER, BLOCK_PLACES = 256, 60_000
 NO_ID = (1 << 63) - 1
 _SLICE = 1 << 20
@@ -109,7 +109,7 @@ def anchors(raws: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[
 
 
 def _anchor_rows(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """``h, lo, hi, n``: least and greatest id and the number of places of each anchor, added up within a batch."""
+    """``h, lo, hi, n``: least and greatest id and the number of documents with each anchor, added up within a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in balanced(batches, "raw"):
@@ -117,9 +117,11 @@ def _anchor_rows(texts: DataFrame, window: int, gram: int) -> DataFrame:
             did = b.column(0).to_numpy()[text]
             order = np.lexsort((did, h))
             h, did = h[order], did[order]
-            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+            new = np.r_[True, h[1:] != h[:-1]][: len(h)]
+            first = np.flatnonzero(new)
             last = np.r_[first[1:], len(h)] - 1 if len(h) else first
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h[first], did[first], did[last], last - first + 1)], ["h", "lo", "hi", "n"])
+            holders = np.add.reduceat((new | np.r_[True, did[1:] != did[:-1]][: len(h)]).astype(np.int64), first) if len(h) else first
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h[first], did[first], did[last], holders)], ["h", "lo", "hi", "n"])
 
     return rows_per_batch(texts.select("did", "raw")).mapInArrow(run, "h long, lo long, hi long, n long")
 
