@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import bpe, language, ngram_join, packing, quality, substring_dedup, suffix_dedup, token_counts, topk, toxicity, urls
+from tapeloom.llm import bpe, language, ngram_join, packing, prefix_trie, quality, substring_dedup, suffix_dedup, token_counts, topk, toxicity, urls
 
 #: Vocabulary files are a parameter of the operators; these are the ones the queries use.
 WORD_BPE = "word_bpe_49k.json"
@@ -117,6 +117,35 @@ def op10_token_counts(spark: SparkSession, directory: str) -> DataFrame:
     return token_counts.token_counts(table(spark, directory, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+@query
+def op11_conversation_prefix_trie(spark: SparkSession, directory: str) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.grafted(prefix_trie.turn_sequences(table(spark, directory, "conversations"))))
+
+
+#: The unsigned CRC-32 of the decimal digits in ``s``.
+_CRC32 = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(s, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)), 4294967295)"""
+
+SQL["op11_conversation_prefix_trie"] = f"""
+WITH own AS (
+  SELECT conv_id, CAST(conv_id AS VARCHAR) AS s, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, turns, CAST({_CRC32} % 9 AS BIGINT) AS h FROM own),
+seq AS (SELECT h.conv_id, list_concat(coalesce(b.turns[1:h.h], []), h.turns[h.h + 1:]) AS turns FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 5),
+path AS (SELECT conv_id, d, turns[1:d] AS key, len(turns) = d AS ends FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM seq)),
+node AS (
+  SELECT key, d, min(conv_id) AS conv_id, count(*) AS n, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends) AS ids, coalesce(strlen(last(key)[d].t), 0) AS bytes
+  FROM path GROUP BY key, d),
+kids AS (SELECT key[1:d - 1] AS key, count(*) AS n_children FROM node WHERE d > 0 GROUP BY ALL),
+below AS (
+  SELECT key[1:up] AS key, sum(leaf) AS n_leaves, sum(saved) AS saved
+  FROM (SELECT node.key, unnest(range(0, d + 1)) AS up, CASE WHEN n_children IS NULL THEN 1 ELSE 0 END AS leaf, (n - 1) * bytes AS saved FROM node LEFT JOIN kids USING (key)) GROUP BY ALL)
+SELECT CAST(node.conv_id AS BIGINT) AS conv_id, CAST(node.d AS BIGINT) AS depth, CAST(p.conv_id AS BIGINT) AS parent_conv_id, CAST(node.n AS BIGINT) AS n_convs,
+  CAST(coalesce(n_children, 0) AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(node.ids, '')) AS ends_sha256
+FROM node JOIN below USING (key) LEFT JOIN kids USING (key) LEFT JOIN node p ON node.d > 0 AND p.d = node.d - 1 AND p.key = node.key[1:node.d - 1]
+"""
+
+
 @query
 def op13_substring_dedup(spark: SparkSession, directory: str) -> DataFrame:
     kept = substring_dedup.kept_words(table(spark, directory, "documents"))
