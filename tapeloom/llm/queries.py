@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import bpe, language, ngram_join, packing, prefix_trie, quality, substring_dedup, suffix_dedup, token_counts, topk, toxicity, urls
+from tapeloom.llm import bpe, language, ngram_join, packing, prefix_trie, quality, structure_repair, substring_dedup, suffix_dedup, token_counts, topk, toxicity, urls
 
 #: Vocabulary files are a parameter of the operators; these are the ones the queries use.
 WORD_BPE = "word_bpe_49k.json"
@@ -146,6 +146,61 @@ FROM node JOIN below USING (key) LEFT JOIN kids USING (key) LEFT JOIN node p ON
 """
 
 
+@query
+def op12_conversation_repair(spark: SparkSession, directory: str) -> DataFrame:
+    return structure_repair.structure_repair(structure_repair.damaged(table(spark, directory, "conversations")))
+
+
+SQL["op12_conversation_repair"] = rf"""
+WITH RECURSIVE
+named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS s FROM conversations),
+coded AS (SELECT *, {_CRC32} % 20 AS code FROM named),
+hurt AS (
+  SELECT conv_id, turn, CASE code WHEN 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE code WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM coded),
+judged AS (
+  SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, substr(role, 1, 1) AS c, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut FROM hurt),
+r AS (SELECT *, blank OR again AS must, CAST(cut AS BIGINT) AS t, lag(c) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM judged),
+n AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+    count(*) FILTER (cut AND NOT must) AS truncated, count(*) FILTER (before IS NOT NULL AND before || c NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id),
+v(conv_id, i, v0, v1, v2, v3) AS (
+  SELECT conv_id, n + 1, CAST(0 AS BIGINT), CAST(4 AS BIGINT), CAST(2 AS BIGINT), CAST(0 AS BIGINT) FROM n
+  UNION ALL
+  SELECT conv_id, i, least(h0, 2 + h2, 4 + h3), least(h1, 2 + h2, 4 + h3), least(h2, 2 + h3), least(h3, 2 + h2)
+  FROM (
+    SELECT r.conv_id, r.i,
+      least(3 + v0, CASE WHEN NOT must THEN 2 + t + v2 END, CASE WHEN NOT must AND c = 's' THEN t + v1 WHEN NOT must AND c = 'u' THEN t + v2 END) AS h0,
+      least(3 + v1, CASE WHEN NOT must THEN 2 + t + v2 END, CASE WHEN NOT must AND c = 'u' THEN t + v2 END) AS h1,
+      least(3 + v2, CASE WHEN NOT must THEN 2 + t + v3 END, CASE WHEN NOT must AND c = 'a' THEN t + v3 END) AS h2,
+      least(3 + v3, CASE WHEN NOT must THEN 2 + t + v2 END, CASE WHEN NOT must AND c = 'u' THEN t + v2 END) AS h3
+    FROM v JOIN r ON r.conv_id IS NOT DISTINCT FROM v.conv_id AND r.i = v.i - 1)),
+whole AS (
+  SELECT n.conv_id, n.n, rows, costs FROM n
+  JOIN (SELECT conv_id, list(struct_pack(role := role, text := text, c := c, must := must, t := t) ORDER BY i) AS rows FROM r GROUP BY conv_id) a ON a.conv_id IS NOT DISTINCT FROM n.conv_id
+  JOIN (SELECT conv_id, list([v0, v1, v2, v3] ORDER BY i) AS costs FROM v GROUP BY conv_id) b ON b.conv_id IS NOT DISTINCT FROM n.conv_id),
+trace(conv_id, i, q, audit, cost, lines) AS (
+  SELECT conv_id, CAST(1 AS BIGINT), 0, '', CAST(0 AS BIGINT), CAST([] AS VARCHAR[]) FROM whole
+  UNION ALL
+  SELECT conv_id, CASE WHEN edit = 'I' THEN i ELSE i + 1 END, CASE edit WHEN 'D' THEN q WHEN 'K' THEN kept ELSE made END, audit || edit,
+    cost + CASE edit WHEN 'D' THEN 3 WHEN 'I' THEN 2 WHEN 'K' THEN row.t ELSE 2 + row.t END,
+    CASE edit WHEN 'D' THEN lines WHEN 'I' THEN list_append(lines, name || ':') WHEN 'K' THEN list_append(lines, row.role || ':' || row.text) ELSE list_append(lines, name || ':' || row.text) END
+  FROM (
+    SELECT *, CASE WHEN i <= n AND 3 + costs[i + 1][q + 1] = costs[i][q + 1] THEN 'D' WHEN 2 + costs[i][made + 1] = costs[i][q + 1] THEN 'I'
+      WHEN kept IS NOT NULL AND row.t + costs[i + 1][kept + 1] = costs[i][q + 1] THEN 'K' ELSE 'R' END AS edit
+    FROM (
+      SELECT trace.*, n, costs, CASE q WHEN 2 THEN 3 ELSE 2 END AS made, CASE q WHEN 2 THEN 'assistant' ELSE 'user' END AS name, rows[i] AS row,
+        CASE WHEN i > n OR rows[i].must THEN NULL WHEN q = 0 AND rows[i].c = 's' THEN 1 WHEN q <> 2 AND rows[i].c = 'u' THEN 2 WHEN q = 2 AND rows[i].c = 'a' THEN 3 END AS kept
+      FROM trace JOIN whole ON whole.conv_id IS NOT DISTINCT FROM trace.conv_id
+      WHERE i <= n OR costs[i][q + 1] > 0))),
+ended AS (SELECT trace.* FROM trace JOIN whole ON whole.conv_id IS NOT DISTINCT FROM trace.conv_id WHERE i > n AND costs[i][q + 1] = 0)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ended ON ended.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
 @query
 def op13_substring_dedup(spark: SparkSession, directory: str) -> DataFrame:
     kept = substring_dedup.kept_words(table(spark, directory, "documents"))
