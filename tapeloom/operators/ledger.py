@@ -8,17 +8,32 @@ from pyspark.sql.window import Window
 
 from tapeloom.functions import indicators as ind
 from tapeloom.functions.recursive import averages, wilder
+from tapeloom.operators import held
 from tapeloom.operators.asof import asof_join
+from tapeloom.sources.workspace import stored
 
 
-def bars_since_entry(positions: DataFrame, bars: DataFrame) -> DataFrame:
-    """One row per position and bar from its entry to the day it is looked at.
+def last_bars(positions: DataFrame, bars: DataFrame) -> DataFrame:
+    """Positions that hold a bar, with the last one as ``z`` and the number of held bars ``tdays``; no row a day is read."""
+    p = held.located(positions, held.numbered(bars))
+    return p.withColumn("tdays", F.col("b") - F.col("a") + 1)
 
-    Positions expand to their calendar days and meet the bars on (ticker, date),
-    so a ticker with many positions is spread over its dates.
+
+def since_entry(positions: DataFrame, bars: DataFrame, arm_pct: float = 8.0, trail_atr: float = 2.5) -> DataFrame:
+    """Positions with their last bar ``z``, ``tdays``, the highest high ``hh`` and close ``peak`` since entry, and the ratcheting trail ``armed``.
+
+    The trail is the best level reached on any bar since the highest close first gained ``arm_pct``, null before that.  Each position reads
+    aligned blocks of bars, so the work does not grow with the holding time.
     """
-    days = positions.withColumn("date", F.explode(F.sequence("entry_date", "as_of")))
-    return days.join(bars.select("ticker", "date", *[c for c in bars.columns if c not in ("ticker", "date")]), ["ticker", "date"])
+    priced = averages(bars.withColumn("_tr", ind.true_range()), {"atr": (F.col("_tr"), wilder(14))}).drop("_tr")
+    numbered = held.numbered(priced.select("ticker", "date", "high", "low", "close", "atr"))
+    tree = stored(held.block_tree(numbered, trail_atr), "bar-blocks")
+    gained = (F.col("close") / F.col("entry_price") - 1) * 100 >= arm_pct
+    p = stored(held.located(positions, numbered).withColumn("tdays", F.col("b") - F.col("a") + 1), "located")
+    p = stored(held.extremes(p, tree, gained), "located")
+    m = held.first_at(p, tree, gained)
+    trail = held.best_trail(p.join(m, "position_id"), tree, trail_atr)
+    return p.drop("hit").join(trail, "position_id", "left")
 
 
 # Default exit settings.
@@ -29,23 +44,16 @@ def exit_view(positions: DataFrame, bars: DataFrame, stop_atr: float, trail_atr:
               giveback_allow: float, time_days: int, time_profit: float) -> DataFrame:
     """Stop, give-back and time-stop state of every position on the day it is looked at.
 
-    The trailing stop ratchets: it is the best level reached on any bar since the
+    The initial stop is the one planned with the buy, where there is one, else a multiple of the ATR.  The trailing stop ratchets: it is the best level reached on any bar since the
     peak gain armed it.
     """
-    priced = averages(bars.withColumn("_tr", ind.true_range()), {"atr": (F.col("_tr"), wilder(14))}).drop("_tr")
-    j = bars_since_entry(positions, priced)
-    so_far = Window.partitionBy("position_id").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    j = j.withColumn("hh", F.max("high").over(so_far)).withColumn("peak", F.max("close").over(so_far))
-    gain = (F.col("peak") / F.col("entry_price") - 1) * 100
-    level = F.col("hh") - trail_atr * F.col("atr")
-    last = F.max_by(F.struct("close", "low", "atr", "hh", "peak", "date"), "date")
-    g = j.groupBy("position_id", "ticker", "entry_date", "entry_price", "shares", "as_of", "stop_price").agg(
-        last.alias("z"), F.max(F.when(gain >= arm_pct, level)).alias("armed"), F.count("*").alias("tdays"))
+    g = since_entry(positions, bars, arm_pct, trail_atr)
+    atr_stop = F.col("entry_price") - stop_atr * F.col("z.atr")
     g = g.select("*", F.col("z.close").alias("last_close"), F.col("z.low").alias("last_low"), F.col("z.date").alias("last_date"),
-                 ((F.col("z.peak") / F.col("entry_price") - 1) * 100).alias("max_pnl_pct"),
+                 ((F.col("peak") / F.col("entry_price") - 1) * 100).alias("max_pnl_pct"),
                  ((F.col("z.close") / F.col("entry_price") - 1) * 100).alias("pnl_pct"),
-                 (F.col("entry_price") - stop_atr * F.col("z.atr")).alias("initial_stop"),
-                 (F.col("z.hh") - trail_atr * F.col("z.atr")).alias("_trail"))
+                 F.coalesce("planned_stop", atr_stop).alias("initial_stop"),
+                 (F.col("hh") - trail_atr * F.col("z.atr")).alias("_trail"))
     trail = F.greatest("_trail", F.coalesce("armed", F.col("_trail")))
     stop = F.when(F.col("max_pnl_pct") >= arm_pct, F.greatest("initial_stop", trail)).otherwise(F.col("initial_stop"))
     g = g.withColumn("chandelier", trail).withColumn("stop", stop)
@@ -63,8 +71,7 @@ def exit_view(positions: DataFrame, bars: DataFrame, stop_atr: float, trail_atr:
 
 def fixed_exits(positions: DataFrame, bars: DataFrame, max_days: int = 10) -> DataFrame:
     """Stop first, then target, then time, on the day a position is looked at."""
-    g = bars_since_entry(positions, bars).groupBy("position_id", "ticker", "entry_price", "stop_price", "target_price").agg(
-        F.max_by(F.struct("low", "high", "close"), "date").alias("z"), F.count("*").alias("tdays"))
+    g = last_bars(positions, bars)
     hit, top, late = F.col("z.low") <= F.col("stop_price"), F.col("z.high") >= F.col("target_price"), F.col("tdays") >= max_days
     fill = F.when(hit, F.col("stop_price")).when(top, F.col("target_price")).otherwise(F.col("z.close"))
     reason = F.when(hit, "STOP_HIT").when(top, "TARGET_HIT").when(late, "TIME_STOP").otherwise("OK")
@@ -73,8 +80,7 @@ def fixed_exits(positions: DataFrame, bars: DataFrame, max_days: int = 10) -> Da
 
 
 def trailing_status(positions: DataFrame, bars: DataFrame, trail: float) -> DataFrame:
-    g = bars_since_entry(positions, bars).groupBy("position_id", "ticker", "entry_price").agg(
-        F.max("close").alias("peak"), F.max_by("close", "date").alias("current"))
+    g = since_entry(positions, bars).withColumn("current", F.col("z.close"))
     drop = (F.col("peak") - F.col("current")) / F.col("peak")
     return g.select("position_id", "ticker", "peak", "current", drop.alias("drop_from_peak"),
                     ((F.col("current") - F.col("entry_price")) / F.col("entry_price")).alias("gain"), (drop >= trail).alias("flagged"))
@@ -309,13 +315,6 @@ def weekly_buys(intents: DataFrame, trades: DataFrame, sectors: DataFrame) -> Da
                        funds=50000.0, risk_pct=1.0)
 
 
-def ratchet(positions: DataFrame, bars: DataFrame, arm_pct: float = 8.0) -> DataFrame:
-    """Highest high and close since entry on every held bar, and whether the trail is armed."""
-    w = Window.partitionBy("position_id").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    j = bars_since_entry(positions, bars).withColumn("hh", F.max("high").over(w)).withColumn("peak", F.max("close").over(w))
-    return j.withColumn("armed", (F.col("peak") / F.col("entry_price") - 1) * 100 >= arm_pct)
-
-
 def regime_override(view: DataFrame, bench: DataFrame) -> DataFrame:
     """HOLD becomes SELL while the newest market regime is risk-off."""
     from tapeloom.operators.patterns import market_regime

@@ -58,28 +58,25 @@ PJ = "@bars, @trades, @positions"
 FR["held"] = """held AS MATERIALIZED (SELECT p.*, b.date, b.open, b.high, b.low, b.close, b.volume FROM positions p JOIN bars b ON b.ticker = p.ticker AND b.date BETWEEN p.entry_date AND p.as_of)"""
 query("j10_bars_since_entry", "position_id:i bars:i high:f peak:f last_close:f",
       f"WITH {PJ}, @held SELECT position_id, count(*) AS bars, max(high) AS high, max(close) AS peak, max_by(close, date) AS last_close FROM held GROUP BY 1")(
-    lambda t: ledger.bars_since_entry(t.positions, t.bars).groupBy("position_id").agg(
-        F.count("*").alias("bars"), F.max("high").alias("high"), F.max("close").alias("peak"), F.max_by("close", "date").alias("last_close")))
-query("w40_ratcheting_trail", "position_id:i date:d hh:f peak:f armed:b",
-      f"""WITH {PJ}, @held SELECT position_id, date, max(high) OVER w AS hh, max(close) OVER w AS peak, (max(close) OVER w / entry_price - 1) * 100 >= 8 AS armed FROM held
-      WINDOW w AS (PARTITION BY position_id ORDER BY date)""")(lambda t: ledger.ratchet(t.positions, t.bars))
-query("w41_trading_days", "position_id:i tdays:i", f"WITH {PJ}, @held SELECT position_id, count(*) AS tdays FROM held GROUP BY 1")(
-    lambda t: ledger.bars_since_entry(t.positions, t.bars).groupBy("position_id").agg(F.count("*").alias("tdays")))
+    lambda t: ledger.since_entry(t.positions, t.bars).select("position_id", F.col("tdays").alias("bars"), F.col("hh").alias("high"), "peak", F.col("z.close").alias("last_close")))
+query("w41_trading_days", "position_id:i tdays:i", f"WITH {PJ}, @held SELECT position_id, count(*) AS tdays FROM held GROUP BY 1")(lambda t: ledger.last_bars(t.positions, t.bars))
 query("p44_trailing_status", "position_id:i peak:f current:f drop_from_peak:f gain:f flagged:b",
       f"""WITH {PJ}, @held, g AS (SELECT position_id, entry_price, max(close) AS peak, max_by(close, date) AS current FROM held GROUP BY 1, 2)
       SELECT *, (peak - current) / peak AS drop_from_peak, (current - entry_price) / entry_price AS gain, (peak - current) / peak >= 0.05 AS flagged FROM g""")(
     lambda t: ledger.trailing_status(t.positions, t.bars, 0.05))
 FR["exits"] = """ex0 AS (SELECT h.*, i.atr, max(h.high) OVER w AS hh, max(h.close) OVER w AS pk FROM held h JOIN ind i ON i.ticker = h.ticker AND i.date = h.date
   WINDOW w AS (PARTITION BY position_id ORDER BY h.date)),
-ex1 AS (SELECT position_id, ticker, entry_date, entry_price, shares, max(date) AS last_date, max_by(close, date) AS lc, max(hh) AS hh, max(pk) AS pk, max_by(atr, date) AS atr, count(*) AS tdays,
+ex1 AS (SELECT position_id, ticker, entry_date, entry_price, shares, planned_stop, max(date) AS last_date, max_by(close, date) AS lc, max(hh) AS hh, max(pk) AS pk, max_by(atr, date) AS atr, count(*) AS tdays,
   max(CASE WHEN (pk / entry_price - 1) * 100 >= 8 THEN hh - 2.5 * atr END) AS armed FROM ex0 GROUP BY ALL),
-ex2 AS (SELECT *, (lc / entry_price - 1) * 100 AS pnl_pct, (pk / entry_price - 1) * 100 AS max_pnl_pct, entry_price - 2 * atr AS initial_stop, greatest(hh - 2.5 * atr, coalesce(armed, hh - 2.5 * atr)) AS chandelier_stop FROM ex1),
+ex2 AS (SELECT *, (lc / entry_price - 1) * 100 AS pnl_pct, (pk / entry_price - 1) * 100 AS max_pnl_pct, coalesce(planned_stop, entry_price - 2 * atr) AS initial_stop, greatest(hh - 2.5 * atr, coalesce(armed, hh - 2.5 * atr)) AS chandelier_stop FROM ex1),
 ex3 AS (SELECT *, CASE WHEN max_pnl_pct >= 8 THEN greatest(initial_stop, chandelier_stop) ELSE initial_stop END AS stop_level FROM ex2),
-exits AS MATERIALIZED (SELECT *, lc AS last_close, CASE WHEN atr > 0 THEN (lc - entry_price) / (2 * atr) END AS r_multiple,
+exits AS MATERIALIZED (SELECT *, lc AS last_close, CASE WHEN entry_price > initial_stop THEN (lc - entry_price) / (entry_price - initial_stop) END AS r_multiple,
   coalesce(nullif(concat_ws('; ', CASE WHEN lc < stop_level THEN 'STOP_HIT' END, CASE WHEN max_pnl_pct >= 6 AND pnl_pct <= max_pnl_pct - 3 + 1e-9 THEN 'GIVEBACK' END,
   CASE WHEN tdays >= 20 AND pnl_pct < 0 THEN 'TIME_STOP' END), ''), 'OK') AS reason FROM ex3)"""
 EX = "@bars, @rec, @trades, @positions, @held, @exits"
-query("p45_exit_rules", "position_id:i last_date:d last_close:f pnl_pct:f max_pnl_pct:f initial_stop:f4 chandelier_stop:f4 stop_level:f4 tdays:i r_multiple:f4 status reason",
+query("w40_ratcheting_trail", "position_id:i hh:f peak:f trail:f4 armed:b", f"WITH {EX} SELECT position_id, hh, pk AS peak, armed AS trail, armed IS NOT NULL AS armed FROM ex1")(
+    lambda t: ledger.since_entry(t.positions, t.bars).select("position_id", "hh", "peak", F.col("armed").alias("trail"), F.col("armed").isNotNull().alias("armed")))
+query("p45_exit_rules", "position_id:i last_date:d last_close:f pnl_pct:f max_pnl_pct:f initial_stop:f chandelier_stop:f4 stop_level:f tdays:i r_multiple:f4 status reason",
       f"WITH {EX} SELECT *, CASE WHEN reason = 'OK' THEN 'HOLD' ELSE 'SELL' END AS status FROM exits")(lambda t: ledger.exit_view(t.positions, t.bars, **ledger.EXITS))
 query("p46_fixed_exits", "position_id:i tdays:i fill_price:f pnl_pct:f status reason",
       f"""WITH {PJ}, @held, g AS (SELECT position_id, entry_price, stop_price, target_price, max_by(low, date) AS l, max_by(high, date) AS h, max_by(close, date) AS c, count(*) AS tdays FROM held GROUP BY ALL),

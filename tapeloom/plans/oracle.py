@@ -143,8 +143,9 @@ ind AS MATERIALIZED (
 
 
 FRAGMENTS["positions"] = """positions AS MATERIALIZED (
-  SELECT trade_id AS position_id, book, ticker, entry_date, least(exit_date, entry_date + 60) AS as_of, entry_price, shares,
-         entry_price * (1 - (5 + trade_id % 4) / 100.0 :: DOUBLE) AS stop_price, entry_price * (1 + (8 + trade_id % 5) / 100.0 :: DOUBLE) AS target_price
+  SELECT trade_id AS position_id, book, ticker, entry_date, exit_date AS as_of, entry_price, shares,
+         entry_price * (1 - (5 + trade_id % 4) / 100.0 :: DOUBLE) AS stop_price, entry_price * (1 + (8 + trade_id % 5) / 100.0 :: DOUBLE) AS target_price,
+         CASE WHEN trade_id % 3 <> 0 THEN entry_price * (1 - (5 + trade_id % 4) / 100.0 :: DOUBLE) END AS planned_stop
   FROM trades WHERE status = 'O')"""
 
 FRAGMENTS["dividends"] = """dividends AS MATERIALIZED (

@@ -214,15 +214,16 @@ def report_tags(documents: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def positions(trades_: DataFrame, max_days: int = 60) -> DataFrame:
-    """positions(position_id, ticker, entry_date, as_of, entry_price, shares, stop_price, target_price).
+def positions(trades_: DataFrame) -> DataFrame:
+    """positions(position_id, ticker, entry_date, as_of, entry_price, shares, stop_price, target_price, planned_stop).
 
-    Open orders as positions, each looked at no later than ``max_days`` after its entry.
+    Open orders as positions, looked at on their last day; two of three carry the stop planned with the buy.
     """
     i, p = F.col("trade_id"), F.col("entry_price")
+    stop = p * (1 - (5 + i % 4) / 100)
     return trades_.where("status = 'O'").select(
-        i.alias("position_id"), "book", "ticker", "entry_date", F.least("exit_date", F.date_add("entry_date", max_days)).alias("as_of"),
-        "entry_price", "shares", (p * (1 - (5 + i % 4) / 100)).alias("stop_price"), (p * (1 + (8 + i % 5) / 100)).alias("target_price"))
+        i.alias("position_id"), "book", "ticker", "entry_date", F.col("exit_date").alias("as_of"), "entry_price", "shares",
+        stop.alias("stop_price"), (p * (1 + (8 + i % 5) / 100)).alias("target_price"), F.when(i % 3 != 0, stop).alias("planned_stop"))
 
 
 def dividends(bars: DataFrame) -> DataFrame:
