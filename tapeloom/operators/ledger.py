@@ -256,9 +256,13 @@ def next_open(requests: DataFrame, bars: DataFrame) -> DataFrame:
 # --- buy selection ----------------------------------------------------------------------------------------------
 
 def select_buys(queue: DataFrame, owned: DataFrame, sectors: DataFrame, min_date: Column, slots: int, per_sector: int,
-                funds: float, risk_pct: float) -> DataFrame:
+                funds: float, risk_pct: float, gap_pct: float | None = None) -> DataFrame:
     """Buy decisions for each run of a pending queue, in priority order.
 
+    ``queue`` carries the ``price`` a buy would be filled at, null where there is none.  A row with a place is still refused without a price,
+    for a price more than ``gap_pct`` above the planned one, or at or below its stop; its place stays empty.  Shares follow the risk
+    between the fill and the stop, not the planned one.
+
     A row is checked for staleness, a repeated ticker and ownership, then takes a
     place while its sector and the portfolio have one.  A row refused by its sector
     takes no slot, so both limits are running counts.  ``queue`` and ``owned`` carry
@@ -272,7 +276,7 @@ def select_buys(queue: DataFrame, owned: DataFrame, sectors: DataFrame, min_date
     q = q.join(first, ["run", "ticker", "intent_id"], "left")
     q = q.withColumn("_why", F.when(F.col("_stale"), "stale_intent").when(F.col("_first").isNull(), "duplicate_pending").when(F.col("_owned"), "already_owned"))
     done = q.where("_why is not null").select("run", "intent_id", "ticker", "sector", "priority", F.lit("SKIPPED").alias("status"), F.col("_why").alias("reason"),
-                                              F.lit(None).cast("bigint").alias("shares"))
+                                              F.lit(None).cast("bigint").alias("shares"), F.lit(None).cast("double").alias("fill_price"))
     # What is left has one row per run and ticker, so the running counts see at most the listed tickers.
     q = q.where("_why is null")
     counts = owned.select("run", "ticker").distinct().join(sectors, "ticker", "left").groupBy(
@@ -284,16 +288,19 @@ def select_buys(queue: DataFrame, owned: DataFrame, sectors: DataFrame, min_date
     fits = F.col("_rank") + F.col("_in_sector") <= per_sector
     q = q.withColumn("_fits", fits).withColumn("_slot", F.sum(F.col("_fits").cast("int")).over(up()))
     left = F.lit(slots) - F.col("_held")
-    risk = F.col("planned") - F.col("stop_price")
-    shares = F.least(F.floor(F.lit(funds * risk_pct / 100) / risk), F.floor(F.lit(funds) / left / F.col("planned")))
-    taken = F.col("_fits") & (F.col("_slot") <= left)
+    price, stop = F.col("price"), F.col("stop_price")
+    shares = F.least(F.floor(F.lit(funds * risk_pct / 100) / (price - stop)), F.floor(F.lit(funds) / left / price))
     # Once the slots are full every later open row is refused for that, whatever its sector.
     full = F.col("_slot") - F.col("_fits").cast("int") >= left
-    why = (F.when(full, "no_slot_left").when(~F.col("_fits"), F.concat(F.lit("sector_cap_"), F.col("sector")))
-           .when(~(risk > 0), "invalid_stop").when(shares <= 0, "too_small"))
-    q = q.withColumn("reason", why).withColumn("shares", F.when(taken & F.col("reason").isNull(), shares))
-    return done.unionByName(q.select("run", "intent_id", "ticker", "sector", "priority", F.when(F.col("reason").isNull(), "EXECUTED").otherwise("SKIPPED").alias("status"),
-                                     "reason", "shares"))
+    gap = price > F.col("planned") * (1 + gap_pct / 100) if gap_pct is not None else F.lit(False)
+    yes = lambda test: F.coalesce(test, F.lit(False))
+    why = (F.when(left <= 0, "portfolio_full").when(full, "no_slot_left").when(~F.col("_fits"), F.concat(F.lit("sector_cap_"), F.col("sector")))
+           .when(~yes(price > 0), "no_price_data").when(yes(gap), "gap_up").when(~yes(F.col("planned") > stop), "invalid_stop_data")
+           .when(~(price > stop), "price_below_stop").when(shares <= 0, "allocation_too_small"))
+    q = q.withColumn("reason", why)
+    bought = F.col("reason").isNull()
+    return done.unionByName(q.select("run", "intent_id", "ticker", "sector", "priority", F.when(bought, "EXECUTED").otherwise("SKIPPED").alias("status"),
+                                     "reason", F.when(bought, shares).alias("shares"), F.when(bought, price).alias("fill_price")))
 
 
 def week_of(c: str) -> Column:
@@ -310,9 +317,11 @@ def weekly_owned(trades: DataFrame) -> DataFrame:
     return trades.where("status = 'P' and trade_id % 3 = 0").select(week_of("entry_date").alias("run"), "ticker").distinct()
 
 
-def weekly_buys(intents: DataFrame, trades: DataFrame, sectors: DataFrame) -> DataFrame:
-    return select_buys(weekly_queue(intents), weekly_owned(trades), sectors, F.date_add("run", 2), slots=8, per_sector=2,
-                       funds=50000.0, risk_pct=1.0)
+def weekly_buys(intents: DataFrame, trades: DataFrame, sectors: DataFrame, bars: DataFrame, gap_pct: float | None = 5.0) -> DataFrame:
+    """The buys of each week's queue, filled at the first open after the week."""
+    queue = weekly_queue(intents).withColumn("want", F.date_add("run", 6))
+    priced = next_open(queue, bars).withColumnRenamed("fill", "price")
+    return select_buys(priced, weekly_owned(trades), sectors, F.date_add("run", 2), slots=8, per_sector=2, funds=50000.0, risk_pct=1.0, gap_pct=gap_pct)
 
 
 def regime_override(view: DataFrame, bench: DataFrame) -> DataFrame:

@@ -172,20 +172,23 @@ query("f17_stale_positions", "position_id:i last_bar:d stale:b",
 
 FR["queue"] = """queue AS MATERIALIZED (SELECT CAST(date_trunc('week', signal_date) AS DATE) AS run, * FROM intents WHERE intent_status = 'PENDING'),
 owned AS MATERIALIZED (SELECT DISTINCT CAST(date_trunc('week', entry_date) AS DATE) AS run, ticker FROM trades WHERE status = 'P' AND trade_id % 3 = 0),
-q0 AS (SELECT q.*, coalesce(sector, 'Unknown') AS sector, signal_date < run + 2 AS stale, EXISTS (SELECT 1 FROM owned o WHERE o.run = q.run AND o.ticker = q.ticker) AS own FROM queue q LEFT JOIN sectors s USING (ticker)),
+qp AS (SELECT q.*, n.open AS price FROM queue q ASOF LEFT JOIN bars n ON n.ticker = q.ticker AND q.run + 6 < n.date),
+q0 AS (SELECT q.*, coalesce(sector, 'Unknown') AS sector, signal_date < run + 2 AS stale, EXISTS (SELECT 1 FROM owned o WHERE o.run = q.run AND o.ticker = q.ticker) AS own FROM qp q LEFT JOIN sectors s USING (ticker)),
 q1 AS (SELECT *, CASE WHEN stale THEN 'stale_intent' WHEN row_number() OVER (PARTITION BY run, ticker, stale ORDER BY priority, intent_id) > 1 THEN 'duplicate_pending' WHEN own THEN 'already_owned' END AS why0 FROM q0),
 oc AS (SELECT run, coalesce(sector, 'Unknown') AS sector, count(*) AS n FROM owned LEFT JOIN sectors USING (ticker) GROUP BY 1, 2),
 q2 AS (SELECT q1.*, coalesce(oc.n, 0) AS in_sector, (SELECT count(*) FROM owned o WHERE o.run = q1.run) AS held_n,
   count(CASE WHEN why0 IS NULL THEN 1 END) OVER (PARTITION BY q1.run, q1.sector ORDER BY priority, intent_id ROWS UNBOUNDED PRECEDING) AS rk FROM q1 LEFT JOIN oc ON oc.run = q1.run AND oc.sector = q1.sector),
 q3 AS (SELECT *, why0 IS NULL AND rk + in_sector <= 2 AS fits FROM q2),
 q4 AS (SELECT *, coalesce(count(CASE WHEN fits THEN 1 END) OVER (PARTITION BY run ORDER BY priority, intent_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
-  least(floor(500 / (planned - stop_price)), floor(50000.0 / nullif(8 - held_n, 0) / planned)) AS sh FROM q3),
-decided AS MATERIALIZED (SELECT *, CASE WHEN why0 IS NOT NULL THEN why0 WHEN before >= 8 - held_n THEN 'no_slot_left' WHEN NOT fits THEN 'sector_cap_' || sector WHEN sh <= 0 THEN 'too_small' END AS reason FROM q4)"""
+  least(floor(500 / nullif(price - stop_price, 0)), floor(50000.0 / nullif(8 - held_n, 0) / price)) AS sh FROM q3),
+decided AS MATERIALIZED (SELECT *, CASE WHEN why0 IS NOT NULL THEN why0 WHEN held_n >= 8 THEN 'portfolio_full' WHEN before >= 8 - held_n THEN 'no_slot_left' WHEN NOT fits THEN 'sector_cap_' || sector
+  WHEN NOT coalesce(price > 0, false) THEN 'no_price_data' WHEN price > planned * 1.05 THEN 'gap_up' WHEN NOT coalesce(planned > stop_price, false) THEN 'invalid_stop_data'
+  WHEN NOT price > stop_price THEN 'price_below_stop' WHEN sh <= 0 THEN 'allocation_too_small' END AS reason FROM q4)"""
 QQ = "@bars, @trades, @intents, @sectors, @queue"
-query("p51_buy_selection", "run:d intent_id:i ticker sector status", f"WITH {QQ} SELECT *, CASE WHEN reason IS NULL THEN 'EXECUTED' ELSE 'SKIPPED' END AS status FROM decided")(lambda t: ledger.weekly_buys(t.intents, t.trades, t.sectors))
-query("p56_intent_outcomes", "run:d intent_id:i status reason shares:i",
-      f"WITH {QQ} SELECT run, intent_id, CASE WHEN reason IS NULL THEN 'EXECUTED' ELSE 'SKIPPED' END AS status, reason, CASE WHEN reason IS NULL THEN sh END AS shares FROM decided")(
-    lambda t: ledger.weekly_buys(t.intents, t.trades, t.sectors))
+query("p51_buy_selection", "run:d intent_id:i ticker sector status", f"WITH {QQ} SELECT *, CASE WHEN reason IS NULL THEN 'EXECUTED' ELSE 'SKIPPED' END AS status FROM decided")(lambda t: ledger.weekly_buys(t.intents, t.trades, t.sectors, t.bars))
+query("p56_intent_outcomes", "run:d intent_id:i status reason shares:i fill_price:f",
+      f"WITH {QQ} SELECT run, intent_id, CASE WHEN reason IS NULL THEN 'EXECUTED' ELSE 'SKIPPED' END AS status, reason, CASE WHEN reason IS NULL THEN sh END AS shares, CASE WHEN reason IS NULL THEN price END AS fill_price FROM decided")(
+    lambda t: ledger.weekly_buys(t.intents, t.trades, t.sectors, t.bars))
 query("j26_candidates_not_held", "intent_id:i ticker",
       f"WITH {QQ} SELECT intent_id, ticker FROM queue q WHERE NOT EXISTS (SELECT 1 FROM owned o WHERE o.run = q.run AND o.ticker = q.ticker)")(
     lambda t: ledger.weekly_queue(t.intents).join(ledger.weekly_owned(t.trades), ["run", "ticker"], "left_anti"))
