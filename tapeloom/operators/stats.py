@@ -160,8 +160,8 @@ def qlike(real: Column, forecast: Column, floor: float = 1e-8) -> Column:
 
 
 def auc(df: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
-    """Area under the ROC curve by average ranks."""
-    v = running_counts(df, keys, p, {"c1": F.col(y).cast("double")})
+    """Area under the ROC curve by average ranks; forecasts equal to ten places are tied."""
+    v = running_counts(df.withColumn(p, F.round(p, 10)), keys, p, {"c1": F.col(y).cast("double")})
     rank = F.col("below") + (F.col("count") + 1) / 2
     g = v.withColumn("_r", rank).groupBy(*keys).agg(F.sum(F.col("_r") * F.col("c1")).alias("r1"), F.sum("c1").alias("n1"), F.sum("count").alias("n"))
     n1, n0 = F.col("n1"), F.col("n") - F.col("n1")

@@ -226,51 +226,65 @@ def welch_t(df: DataFrame, keys: list[str], test: Column, value: str) -> DataFra
 # --- momentum rotation ------------------------------------------------------------------------------------------
 
 def rotation_picks(bars: DataFrame, bench: DataFrame, cells: list[tuple[int, int, int, bool]], min_price: float, min_dollar: float) -> DataFrame:
-    return _ranked(bars, bench, cells, min_price, min_dollar)[0]
+    """Top-N tickers by momentum per month and cell, with their ``place`` and the number ``i`` of the month among the cell's months with picks."""
+    return _ranked(*_universe(bars, bench, cells, min_price, min_dollar), cells)
 
 
-def _ranked(bars: DataFrame, bench: DataFrame, cells: list[tuple[int, int, int, bool]], min_price: float, min_dollar: float):
-    """Top-N tickers by momentum per month and cell (look-back, skip, N, trend filter), and the equal-weight universe.
+def _universe(bars: DataFrame, bench: DataFrame, cells: list[tuple[int, int, int, bool]], min_price: float, min_dollar: float) -> tuple[DataFrame, DataFrame]:
+    """The stocks that can be bought each month, with what they then earn, and all prices by session.
 
-    Signal on the last session of a month, bought on the next session and sold on
-    the session after the next month's last one.
+    Signal on the last session of a month, bought on the next session and sold on the session after the next month's last one.  Months
+    start once every look-back is inside the calendar, so all cells see the same months.
     """
-    cal = bench.select("date", "close", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("date")).alias("s"))
+    cal = bench.select("date", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("date")).alias("s"))
     w = Window.partitionBy(F.lit(0)).orderBy("a")
     ends = cal.groupBy(F.trunc("date", "MM").alias("month")).agg(F.max("s").alias("a"))
-    legs = ends.withColumn("b", F.lead("a").over(w)).where("b is not null").select("month", "a", (F.col("a") + 1).alias("buy"), (F.col("b") + 1).alias("sell"))
-    px = bars.join(cal.select("date", "s"), "date")
-    px = px.withColumn("_dv", F.col("close") * F.col("volume")).select(
+    legs = ends.select("month", "a", (F.col("a") + 1).alias("buy"), (F.lead("a").over(w) + 1).alias("sell")).where(
+        F.col("sell").isNotNull() & (F.col("a") > max(lb for lb, *_ in cells) + 1))
+    px = bars.join(cal, "date").withColumn("_dv", F.col("close") * F.col("volume")).select(
         "ticker", "s", "close", F.avg("_dv").over(ind.rows(-99, 0)).alias("dv"), F.count("*").over(ind.rows(-99, 0)).alias("n_dv"),
-        F.avg("close").over(ind.rows(-199, 0)).alias("ma200"))
+        F.when(F.count("*").over(ind.rows(-199, 0)) >= 180, F.avg("close").over(ind.rows(-199, 0))).alias("ma200"))
     at = lambda s, name: px.select("ticker", F.col("s").alias(s), F.col("close").alias(name))
     base = px.withColumnRenamed("s", "a").join(F.broadcast(legs), "a").where((F.col("n_dv") >= 80) & (F.col("dv") >= min_dollar) & (F.col("close") >= min_price))
     base = base.join(at("buy", "p0"), ["ticker", "buy"]).join(at("sell", "p1"), ["ticker", "sell"])
-    base = base.withColumn("fwd", F.least(F.col("p1") / F.col("p0") - 1, F.lit(5.0)))
-    ew = base.groupBy("month").agg(F.avg("fwd").alias("equal_weight"), F.count("*").alias("universe"))
-    looks = sorted({lb for lb, *_ in cells} | {sk for _, sk, *_ in cells if sk})
-    rows = base
-    for k in looks:
-        rows = rows.join(px.select("ticker", (F.col("s") + k).alias("a"), F.col("close").alias(f"c_{k}")), ["ticker", "a"], "left")
-    near = lambda sk: F.col("close") if sk == 0 else F.col(f"c_{sk}")
-    legs_ = F.array(*[F.struct(F.lit(i).alias("cell"), F.lit(n).alias("top_n"), F.when(
-        F.lit(not trend) | (F.col("close") > F.col("ma200")), near(sk) / F.col(f"c_{lb}") - 1).alias("mom")) for i, (lb, sk, n, trend) in enumerate(cells)])
-    scored = rows.select("month", "a", "ticker", "fwd", F.explode(legs_).alias("x")).select("month", "a", "ticker", "fwd", "x.*").where("mom is not null")
+    return base.withColumn("fwd", F.least(F.col("p1") / F.col("p0") - 1, F.lit(5.0))), px.select("ticker", "s", "close")
+
+
+def _ranked(base: DataFrame, px: DataFrame, cells: list[tuple[int, int, int, bool]]) -> DataFrame:
+    """All look-backs of a row come from one join; cells (look-back, skip, N, trend filter) are read off that row."""
+    looks = sorted({k for lb, sk, *_ in cells for k in (lb, sk)} - {0})
+    asked = base.select("ticker", "a", F.explode(F.array(*map(F.lit, looks))).alias("k")).withColumn("s", F.col("a") - F.col("k"))
+    past = asked.join(px.withColumnRenamed("close", "then"), ["ticker", "s"]).groupBy("ticker", "a").agg(
+        *[F.max(F.when(F.col("k") == k, F.col("then"))).alias(f"c_{k}") for k in looks])
+    close = lambda k: F.col("close") if k == 0 else F.col(f"c_{k}")
+    legs = F.array(*[F.struct(F.lit(i).alias("cell"), F.lit(n).alias("top_n"), F.when(
+        F.lit(not trend) | (F.col("close") > F.col("ma200")), close(sk) / close(lb) - 1).alias("mom")) for i, (lb, sk, n, trend) in enumerate(cells)])
+    scored = base.join(past, ["ticker", "a"], "left").select("month", "a", "ticker", "fwd", F.explode(legs).alias("x")).select("month", "a", "ticker", "fwd", "x.*").where("mom is not null")
     top = Window.partitionBy("month", "cell").orderBy(F.col("mom").desc(), "ticker")
-    picks = scored.withColumn("r", F.row_number().over(top)).where(F.col("r") <= F.col("top_n"))
-    order = legs.select("month", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("a")).alias("i"))
-    picks = picks.join(F.broadcast(order), "month")
-    return picks, ew
+    picks = scored.withColumn("place", F.row_number().over(top)).where(F.col("place") <= F.col("top_n"))
+    return picks.withColumn("i", F.dense_rank().over(Window.partitionBy("cell").orderBy("a")))
+
+
+def rotation_changes(picks: DataFrame) -> DataFrame:
+    """How many picks of each cell and month were held before, are new, and were given up since the cell's last month with picks."""
+    now = picks.groupBy("month", "cell", "i").agg(F.collect_set("ticker").alias("now"))
+    was = now.select("cell", (F.col("i") + 1).alias("i"), F.col("now").alias("was"))
+    kept = F.size(F.array_intersect("now", F.coalesce("was", F.array().cast("array<string>"))))
+    return now.join(was, ["cell", "i"], "left").select("month", "cell", kept.alias("kept"), (F.size("now") - kept).alias("bought"), (F.coalesce(F.size("was"), F.lit(0)) - kept).alias("sold"))
 
 
 def rotation(bars: DataFrame, bench: DataFrame, cells: list[tuple[int, int, int, bool]], min_price: float, min_dollar: float,
              cost: float = 0.01) -> DataFrame:
-    """Monthly return of each cell net of turnover, with equal-weight and universe size."""
-    picks, ew = _ranked(bars, bench, cells, min_price, min_dollar)
+    """Monthly return of each cell net of turnover, with equal-weight and universe size; a month without a pick earns and costs nothing."""
+    base, px = _universe(bars, bench, cells, min_price, min_dollar)
+    picks = _ranked(base, px, cells)
     held = picks.select("cell", "ticker", (F.col("i") + 1).alias("i"), F.lit(1).alias("kept"))
-    g = picks.join(held, ["cell", "ticker", "i"], "left").groupBy("month", "i", "cell", "top_n").agg(
+    g = picks.join(held, ["cell", "ticker", "i"], "left").groupBy("month", "cell", "top_n").agg(
         F.avg("fwd").alias("gross"), (F.sum(F.when(F.col("kept").isNull(), 1).otherwise(0)) / F.max("top_n")).alias("turnover"))
-    return g.join(ew, "month").select("month", "i", "cell", (F.col("gross") - F.col("turnover") * cost).alias("ret"), "turnover", "equal_weight", "universe")
+    months = base.groupBy("month", F.col("a").alias("i")).agg(F.avg("fwd").alias("equal_weight"), F.count("*").alias("universe"))
+    every = months.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(len(cells) - 1))))
+    ret = F.coalesce(F.col("gross") - F.col("turnover") * cost, F.lit(0.0))
+    return every.join(g, ["month", "cell"], "left").select("month", "i", "cell", ret.alias("ret"), F.coalesce("turnover", F.lit(0.0)).alias("turnover"), "equal_weight", "universe")
 
 
 def walk_forward_choice(rot: DataFrame, min_train: int = 12) -> DataFrame:

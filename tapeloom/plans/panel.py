@@ -96,8 +96,8 @@ query("v7_forecast_losses", "test_year:i target n:i brier:f log_loss:f mse:f",
     lambda t: preds(t).where("target <> 'fwd_rvol'").groupBy("test_year", "target").agg(
         F.count("*").alias("n"), F.avg(stats.brier(F.col("y"), F.col("p_rule"))).alias("brier"), F.avg(stats.log_loss(F.col("y"), F.col("p_rule"))).alias("log_loss"),
         F.avg(stats.brier(F.col("y"), F.col("p_base"))).alias("mse")))
-FR["auct"] = """auct AS MATERIALIZED (SELECT test_year, target, (sum(r) FILTER (y = 1) - count_if(y = 1) * (count_if(y = 1) + 1) / 2) / nullif(count_if(y = 1) * count_if(y = 0), 0) AS auc FROM (SELECT *, rank() OVER (PARTITION BY test_year, target ORDER BY p_rule)
-  + (count(*) OVER (PARTITION BY test_year, target, p_rule) - 1) / 2.0 :: DOUBLE AS r FROM preds WHERE target <> 'fwd_rvol') GROUP BY 1, 2)"""
+FR["auct"] = """auct AS MATERIALIZED (SELECT test_year, target, (sum(r) FILTER (y = 1) - count_if(y = 1) * (count_if(y = 1) + 1) / 2) / nullif(count_if(y = 1) * count_if(y = 0), 0) AS auc FROM (SELECT *, rank() OVER (PARTITION BY test_year, target ORDER BY round(p_rule, 10))
+  + (count(*) OVER (PARTITION BY test_year, target, round(p_rule, 10)) - 1) / 2.0 :: DOUBLE AS r FROM preds WHERE target <> 'fwd_rvol') GROUP BY 1, 2)"""
 FR["calib"] = """cbe AS (SELECT test_year, target, list_distinct(quantile_cont(p_rule, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) AS edges FROM preds WHERE target <> 'fwd_rvol' GROUP BY 1, 2),
 cbb AS (SELECT p.*, greatest(len(list_filter(edges, lambda e: e < p_rule)) - 1, 0) AS bin FROM preds p JOIN cbe USING (test_year, target)),
 calib AS MATERIALIZED (SELECT test_year, target, bin, count(*) AS n, avg(p_rule) AS mean_p, avg(y) AS mean_y FROM cbb GROUP BY ALL)"""

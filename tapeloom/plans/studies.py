@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,15 +34,18 @@ ta AS (SELECT p.*, b - bar AS j, nb.open, nb.high, nb.low, nb.close, max(nb.clos
 trail AS MATERIALIZED (SELECT ticker, bar, coalesce(min_by(close, j) FILTER (close <= peak * 0.8 OR close < stop0), max(close) FILTER (j = 120)) / max(open) FILTER (j = 1) - 1 - 0.01 AS trail FROM ta GROUP BY ticker, bar)"""
 query("e4_trailing_exit", "ticker bar:i trail:f", f"WITH {V}, @trail SELECT * FROM trail")(
     lambda t: studies.trail_returns(cooled(t).select("ticker", "bar", F.col("low").alias("stop0")), t.bars))
+# Profit targets in per cent.
+TARGETS_PCT = [3, 5, 7, 10, 15, 20, 30, 50]
+TARGET_LIST = ", ".join(map(str, TARGETS_PCT))
 query("e5_target_stop_grid", "ticker bar:i target:i stop_mode hold:i ret:f",
       f"""WITH {V}, @trail, en AS (SELECT ticker, bar, open AS entry FROM ta WHERE j = 1),
-      gr AS (SELECT * FROM (SELECT unnest([10, 20, 30]) AS target), (SELECT unnest(['none', 'signal_low']) AS stop_mode), (SELECT unnest([20, 60]) AS hold)),
+      gr AS (SELECT * FROM (SELECT unnest([{TARGET_LIST}]) AS target), (SELECT unnest(['none', 'signal_low']) AS stop_mode), (SELECT unnest([20, 60]) AS hold)),
       x AS (SELECT ta.ticker, ta.bar, stop0, entry, target, stop_mode, hold, min(j) FILTER (high >= entry * (1 + target / 100.0 :: DOUBLE)) AS jt, min(j) FILTER (stop_mode = 'signal_low' AND low < stop0) AS js,
         max(close) FILTER (j = hold) AS c FROM ta JOIN en USING (ticker, bar) JOIN gr ON j <= hold GROUP BY ALL),
       y AS (SELECT x.*, s.open AS so, g.open AS "to" FROM x LEFT JOIN ta s ON s.ticker = x.ticker AND s.bar = x.bar AND s.j = js LEFT JOIN ta g ON g.ticker = x.ticker AND g.bar = x.bar AND g.j = jt)
       SELECT *, CASE WHEN js IS NOT NULL AND (jt IS NULL OR js <= jt) THEN least(so, stop0) WHEN jt IS NOT NULL THEN greatest("to", entry * (1 + target / 100.0 :: DOUBLE)) ELSE c END / entry - 1 - 0.01 AS ret
       FROM y WHERE c IS NOT NULL""")(
-    lambda t: studies.target_grid(cooled(t).select("ticker", "bar", F.col("low").alias("stop0")), t.bars, [10, 20, 30], [20, 60]))
+    lambda t: studies.target_grid(cooled(t).select("ticker", "bar", F.col("low").alias("stop0")), t.bars, TARGETS_PCT, [20, 60]))
 query("e7_persistence_tags", "ticker date:d tag_1 tag_2 tag_4",
       "WITH @bars, @masks, x AS (SELECT *, " + ", ".join(
           f"CASE WHEN lead(close, {d}) OVER[] IS NOT NULL THEN 'D{d}_' || CASE WHEN min(volume) OVER[1,{d}] >= 2 * base_vol AND lead(close, {d}) OVER[] >= close THEN 'confirmed' "
@@ -126,31 +131,35 @@ query("e21_mean_without_top", "variant n:i mean_rest:f",
       f"WITH {V}, @folded, r AS (SELECT variant, ret, row_number() OVER (PARTITION BY variant ORDER BY ret DESC) AS k, count(*) OVER (PARTITION BY variant) AS n FROM ev JOIN hl USING (ticker, date) WHERE exit = 'hold_20') "
       "SELECT variant, any_value(n) AS n, avg(ret) AS mean_rest FROM r WHERE k > 5 GROUP BY 1")(lambda t: studies.variant_mean_without_top(t.bars))
 
-CELLS = [(63, 0, 3, False), (63, 21, 5, True), (126, 0, 3, False), (126, 21, 5, True)]
-
-
-def rot_cell(i: int, lb: int, sk: int, n: int, trend: bool) -> str:
-    near = "close" if sk == 0 else f"lag_{sk}"
-    return f"SELECT month, m, ticker, fwd, {i} AS cell, {n} AS top_n, {near} / lag_{lb} - 1 AS mom FROM rb WHERE lag_{lb} IS NOT NULL AND {near} IS NOT NULL" + (" AND close > ma200" if trend else "")
-
+# Look-backs, skips and sizes of the rotation grid.
+LOOKBACKS, SKIPS, TOP_N = [63, 126, 189, 252], [0, 21], [10, 20, 30]
+CELLS = list(product(LOOKBACKS, SKIPS, TOP_N, [False, True]))
+LAGS = sorted({*LOOKBACKS, *SKIPS} - {0})
 
 FR["rot"] = f"""rc AS MATERIALIZED (SELECT date, row_number() OVER (ORDER BY date) AS s FROM bench), re AS (SELECT date_trunc('month', date) AS month, max(s) AS a FROM rc GROUP BY 1),
-rl AS MATERIALIZED (SELECT month, a, a + 1 AS buy, lead(a) OVER (ORDER BY a) + 1 AS sell, row_number() OVER (ORDER BY a) AS m FROM re QUALIFY lead(a) OVER (ORDER BY a) IS NOT NULL),
-rp AS MATERIALIZED (SELECT b.ticker, s, b.close, avg(b.close * volume) OVER w99 AS dv, count(*) OVER w99 AS n, avg(b.close) OVER w199 AS ma200 FROM bars b JOIN rc USING (date)
+rl AS MATERIALIZED (SELECT * FROM (SELECT month, a, a + 1 AS buy, lead(a) OVER (ORDER BY a) + 1 AS sell FROM re) WHERE sell IS NOT NULL AND a > {max(LOOKBACKS) + 1}),
+rp AS MATERIALIZED (SELECT b.ticker, s, b.close, avg(b.close * volume) OVER w99 AS dv, count(*) OVER w99 AS n, CASE WHEN count(*) OVER w199 >= 180 THEN avg(b.close) OVER w199 END AS ma200 FROM bars b JOIN rc USING (date)
   WINDOW w99 AS (PARTITION BY b.ticker ORDER BY s ROWS 99 PRECEDING), w199 AS (PARTITION BY b.ticker ORDER BY s ROWS 199 PRECEDING)),
-rb AS MATERIALIZED (SELECT month, m, p.ticker, p.close, p.ma200, least(y.close / x.close - 1, 5) AS fwd, l21.close AS lag_21, l63.close AS lag_63, l126.close AS lag_126 FROM rp p JOIN rl ON p.s = a
-  JOIN rp x ON x.ticker = p.ticker AND x.s = buy JOIN rp y ON y.ticker = p.ticker AND y.s = sell LEFT JOIN rp l21 ON l21.ticker = p.ticker AND l21.s = a - 21 LEFT JOIN rp l63 ON l63.ticker = p.ticker AND l63.s = a - 63
-  LEFT JOIN rp l126 ON l126.ticker = p.ticker AND l126.s = a - 126 WHERE p.n >= 80 AND p.dv >= 1000 AND p.close >= 1),
-rk AS ({' UNION ALL '.join(rot_cell(i, *c) for i, c in enumerate(CELLS))}),
-rpick AS MATERIALIZED (SELECT * FROM rk QUALIFY row_number() OVER (PARTITION BY month, cell ORDER BY mom DESC, ticker) <= top_n),
-rew AS (SELECT month, avg(fwd) AS equal_weight, count(*) AS universe FROM rb GROUP BY 1),
-rot AS MATERIALIZED (SELECT p.month, p.m, p.cell, avg(p.fwd) - count_if(q.ticker IS NULL) / p.top_n * 0.01 AS ret, count_if(q.ticker IS NULL) / p.top_n AS turnover, any_value(equal_weight) AS equal_weight, any_value(universe) AS universe
-  FROM rpick p LEFT JOIN rpick q ON q.cell = p.cell AND q.ticker = p.ticker AND q.m = p.m - 1 JOIN rew ON rew.month = p.month GROUP BY p.month, p.m, p.cell, p.top_n)"""
+rb AS MATERIALIZED (SELECT month, a, p.ticker, p.close, p.ma200, least(y.close / x.close - 1, 5) AS fwd FROM rp p JOIN rl ON p.s = a
+  JOIN rp x ON x.ticker = p.ticker AND x.s = buy JOIN rp y ON y.ticker = p.ticker AND y.s = sell WHERE p.n >= 80 AND p.dv >= 1000 AND p.close >= 1),
+rgrid(cell, lb, sk, top_n, trend) AS (VALUES {', '.join(str((i, *c)) for i, c in enumerate(CELLS))}),
+rk AS (SELECT month, a, rb.ticker, fwd, cell, top_n, CASE WHEN sk = 0 THEN rb.close ELSE near.close END / far.close - 1 AS mom FROM rb CROSS JOIN rgrid
+  LEFT JOIN rp near ON near.ticker = rb.ticker AND near.s = a - sk LEFT JOIN rp far ON far.ticker = rb.ticker AND far.s = a - lb WHERE NOT trend OR rb.close > rb.ma200),
+rpick AS MATERIALIZED (SELECT *, dense_rank() OVER (PARTITION BY cell ORDER BY a) AS i FROM (SELECT * FROM rk WHERE mom IS NOT NULL QUALIFY row_number() OVER (PARTITION BY month, cell ORDER BY mom DESC, ticker) <= top_n)),
+rew AS (SELECT month, a, avg(fwd) AS equal_weight, count(*) AS universe FROM rb GROUP BY 1, 2),
+rsum AS (SELECT p.month, p.cell, avg(p.fwd) - count_if(q.ticker IS NULL) / p.top_n * 0.01 AS ret, count_if(q.ticker IS NULL) / p.top_n AS turnover, count(*) AS picks
+  FROM rpick p LEFT JOIN rpick q ON q.cell = p.cell AND q.ticker = p.ticker AND q.i = p.i - 1 GROUP BY p.month, p.cell, p.top_n),
+rot AS MATERIALIZED (SELECT rew.month, rew.a AS m, g.cell, coalesce(ret, 0) AS ret, coalesce(turnover, 0) AS turnover, coalesce(picks, 0) AS picks, equal_weight, universe FROM rew CROSS JOIN rgrid g LEFT JOIN rsum ON rsum.month = rew.month AND rsum.cell = g.cell)"""
 rot = lambda t: studies.rotation(t.bars, t.bench, CELLS, 1.0, 1000.0)
 query("e19_momentum_rotation", "month:d cell:i ret:f turnover:f equal_weight:f universe:i", "WITH @bars, @bench, @rot SELECT * REPLACE (month :: DATE AS month) FROM rot")(rot)
-query("k4_top_n_per_date", "month:d cell:i picks:i turnover:f", "WITH @bars, @bench, @rot SELECT month :: DATE AS month, cell, (SELECT count(*) FROM rpick p WHERE p.month = rot.month AND p.cell = rot.cell) AS picks, turnover FROM rot")(
-    lambda t: rot(t).join(studies.rotation_picks(t.bars, t.bench, CELLS, 1.0, 1000.0).groupBy("month", "cell").agg(F.count("*").alias("picks")), ["month", "cell"]))
-query("u2_turnover_set_difference", "month:d cell:i turnover:f", "WITH @bars, @bench, @rot SELECT month :: DATE AS month, cell, turnover FROM rot")(rot)
+query("k4_top_n_per_date", "month:d cell:i ticker place:i mom:f",
+      "WITH @bars, @bench, @rot SELECT month :: DATE AS month, cell, ticker, mom, row_number() OVER (PARTITION BY month, cell ORDER BY mom DESC, ticker) AS place FROM rpick")(
+    lambda t: studies.rotation_picks(t.bars, t.bench, CELLS, 1.0, 1000.0))
+query("u2_turnover_set_difference", "month:d cell:i kept:i bought:i sold:i",
+      """WITH @bars, @bench, @rot, now AS (SELECT month, cell, list(ticker) AS t, min(i) AS i FROM rpick GROUP BY 1, 2)
+      SELECT now.month :: DATE AS month, now.cell, len(list_intersect(now.t, coalesce(was.t, []))) AS kept, len(now.t) - len(list_intersect(now.t, coalesce(was.t, []))) AS bought,
+        len(coalesce(was.t, [])) - len(list_intersect(now.t, coalesce(was.t, []))) AS sold FROM now LEFT JOIN now was ON was.cell = now.cell AND was.i = now.i - 1""")(
+    lambda t: studies.rotation_changes(studies.rotation_picks(t.bars, t.bench, CELLS, 1.0, 1000.0)))
 query("e20_walk_forward_choice", "month:d cell:i ret:f equal_weight:f",
       """WITH @bars, @bench, @rot, p AS (SELECT *, avg(ret - equal_weight) OVER w AS past, count(*) OVER w AS n FROM rot WINDOW w AS (PARTITION BY cell ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
       SELECT month :: DATE AS month, cell, ret, equal_weight FROM p WHERE n >= 12 QUALIFY row_number() OVER (PARTITION BY month ORDER BY round(past, 10) DESC, cell) = 1""")(lambda t: studies.walk_forward_choice(rot(t)))
