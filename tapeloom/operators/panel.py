@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,10 +10,9 @@ from pyspark.sql.window import Window
 
 from tapeloom.functions import indicators as ind
 from tapeloom.functions.recursive import averages_with_gaps, wilder
-from tapeloom.operators import stats
+from tapeloom.operators import forecasters, stats
 from tapeloom.operators.asof import asof_join
 from tapeloom.operators.scans import benchmark_returns
-from tapeloom.sources.workspace import stored
 from tapeloom.operators.shaping import align_to_calendar, walk_forward_splits
 
 # Feature, market and label columns of the panel.
@@ -206,45 +204,10 @@ def design_columns(target: str) -> list[str]:
     return [f"rank_{c}" for c in FEATURES] + [f"z_{c}" for c in MARKET] + ["log_vol_20"] + ([f"logit_{target}"] if target in TARGETS[:3] else [])
 
 
-def imputed(rows: DataFrame, cols: list[str]) -> tuple[DataFrame, list[str]]:
-    """Columns without holes, and flags for the features that early sessions or still stocks lack."""
-    filled = {f"x_{c}": F.coalesce(F.col(c), F.lit(0.0)) for c in cols}
-    flags = {f"no_{c}": F.col(c).isNull().cast("double") for c in cols if c.startswith(("z_", "logit_"))}
-    return rows.select("*", *[v.alias(n) for n, v in (filled | flags).items()]), [*filled, *flags]
-
-
-def fit_predict(rows: DataFrame, target: str, model: str, rounds: int = 100, least_leaf: int = 100 * HORIZON) -> DataFrame:
-    """Fit one model on the training rows of one year and predict each of its test rows.
-
-    ``logistic`` and ``gbm`` give probabilities; ``ridge`` fits log volatility and
-    corrects the mean of the lognormal.  Missing features are 0 and flagged.  Training
-    rows of one class give that class.
-    """
-    from pyspark.ml.classification import GBTClassifier, LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.regression import LinearRegression
-
-    full, cols = imputed(rows, design_columns(target))
-    v = VectorAssembler(inputCols=cols, outputCol="x").transform(full)
-    train = v.where(f"part = 'train' and {target} is not null")
-    test = v.where("part = 'test'")
-    if model == "ridge":
-        train = train.withColumn("y", F.ln(F.greatest(F.col(target), F.lit(1e-4))))
-        fitted = LinearRegression(featuresCol="x", labelCol="y", regParam=0.01, elasticNetParam=0.0).fit(train)
-        p = F.exp(F.col("prediction") + 0.5 * fitted.summary.meanSquaredError)
-        scored = fitted.transform(test)
-    else:
-        low, high = train.agg(F.min(target), F.max(target)).first()
-        if low == high:
-            scored, p = test, F.lit(low)
-        else:
-            # trees of depth 3 have 8 leaves
-            kind = (LogisticRegression(featuresCol="x", labelCol=target, regParam=0.001) if model == "logistic"
-                    else GBTClassifier(featuresCol="x", labelCol=target, maxIter=rounds, stepSize=0.05, maxDepth=3, minInstancesPerNode=least_leaf, seed=0))
-            scored, p = kind.fit(train).transform(test), vector_to_array("probability")[1]
-    return scored.select("test_year", "ticker", "date", F.lit(target).alias("target"), F.lit(model).alias("model"),
-                                         F.col(target).alias("y"), p.alias("p_model"))
+def flagged(rows: DataFrame, cols: list[str]) -> tuple[DataFrame, list[str]]:
+    """Flags for the features that early sessions or still stocks lack, next to the features."""
+    holes = [c for c in cols if c.startswith(("z_", "logit_"))]
+    return rows.select("*", *[F.col(c).isNull().cast("double").alias(f"no_{c}") for c in holes]), [f"no_{c}" for c in holes]
 
 
 def tested_years(panel: DataFrame, embargo: int = HORIZON) -> list[int]:
@@ -254,12 +217,18 @@ def tested_years(panel: DataFrame, embargo: int = HORIZON) -> list[int]:
     return sorted(r["test_year"] for r in trained.collect() if all(r[c] for c in TARGETS + ["fwd_rvol"]))
 
 
-def walk_forward_models(panel: DataFrame, years: list[int], jobs: list[tuple[str, str]]) -> DataFrame:
-    """Out-of-sample predictions of each (target, model) over the test years."""
-    d = stored(design(walk_forward_splits(panel, years, HORIZON)), "design")
-    parts = [fit_predict(d.where(F.col("test_year") == y), t, m) for y in years for t, m in jobs]
-    none = panel.sparkSession.createDataFrame([], "test_year int, ticker string, date date, target string, model string, y double, p_model double")
-    return reduce(DataFrame.unionByName, parts, none)
+def walk_forward_models(panel: DataFrame, years: list[int], jobs: list[tuple[str, str]], rounds: int = forecasters.ROUNDS, least_leaf: int = 100 * HORIZON) -> DataFrame:
+    """Out-of-sample predictions of each (target, model) over the test years.
+
+    ``logistic`` and ``gbm`` give probabilities; ``ridge`` fits log volatility and corrects the mean of the lognormal.  Missing features are
+    0 and flagged.  Training rows of one class give that class.
+    """
+    if not years:
+        return panel.sparkSession.createDataFrame([], "test_year int, ticker string, date date, target string, model string, y double, p_model double")
+    targets = sorted({t for t, _ in jobs})
+    rows, flags = flagged(design(walk_forward_splits(panel, years, HORIZON)), sorted({c for t in targets for c in design_columns(t)}))
+    columns = {t: [*design_columns(t), *(f for f in flags if f[3:] in design_columns(t))] for t in targets}
+    return forecasters.walk_forward(rows, columns, years, jobs, 1e-4, rounds, least_leaf)
 
 
 def compare_models(predictions: DataFrame, long: DataFrame) -> DataFrame:

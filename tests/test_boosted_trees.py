@@ -5,10 +5,12 @@ from __future__ import annotations
 import random
 from datetime import date, timedelta
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tapeloom.operators import panel
+from tapeloom.operators import forecasters, panel
 from tapeloom.plans.panel import MODEL_JOBS
 
 
@@ -39,11 +41,70 @@ def test_every_row_of_a_test_year_has_a_prediction(rows):
 
 
 def test_trees_and_one_class(rows):
-    split = panel.design(panel.walk_forward_splits(rows, [2012], panel.HORIZON))
-    trees = panel.fit_predict(split, "y_up10", "gbm", rounds=2, least_leaf=20)
-    assert trees.where("p_model between 0 and 1").count() == 600
-    alone = panel.fit_predict(split.withColumn("y_dn10", F.lit(1.0)), "y_dn10", "logistic")
-    assert alone.where("p_model = 1").count() == 600
+    got = panel.walk_forward_models(rows.withColumn("y_dn10", F.lit(1.0)), [2012], [("y_up10", "gbm"), ("y_dn10", "logistic")], rounds=2, least_leaf=20)
+    assert got.where("target = 'y_up10' AND p_model > 0 AND p_model < 1").count() == 600
+    assert got.where("target = 'y_dn10' AND p_model = 1").count() == 600
+
+
+@pytest.fixture(scope="module")
+def signals(spark):
+    """Rows of two years with a label that follows two features by a rule, a noisy one, and a continuous one."""
+    draw = np.random.default_rng(8)
+    n = 4000
+    a, b, c = draw.normal(size=(3, n))
+    table = pd.DataFrame({
+        "test_year": np.repeat([2001, 2002], n // 2), "part": np.where(np.arange(n) % 4 == 0, "test", "train"), "ticker": "T", "date": date(2001, 1, 1), "a": a, "b": b, "c": c,
+        "rule": ((a > 0.3) ^ (b > 0)).astype(float), "noise": (draw.random(n) < 0.3).astype(float), "size": np.exp(0.4 * a - 0.2 * c + draw.normal(size=n) / 10)})
+    return spark.createDataFrame(table), table
+
+
+def fitted(signals, fits, **settings):
+    columns = {t: ["a", "b", "c"] for t, _ in fits}
+    return forecasters.walk_forward(signals[0], columns, [2001, 2002], fits, 1e-4, **settings).toPandas()
+
+
+def test_linear_models_solve_their_equations(signals):
+    """The gradient of the penalised loss is 0 at the weights that the predictions show."""
+    _, t = signals
+    got = fitted(signals, [("rule", "logistic"), ("size", "ridge")])
+    for year in (2001, 2002):
+        train, test = (t[(t.test_year == year) & (t.part == p)] for p in ("train", "test"))
+        x, z = (np.c_[np.ones(len(d)), d[["a", "b", "c"]]] for d in (train, test))
+        p = got[(got.test_year == year) & (got.target == "rule")].p_model.to_numpy()
+        w = np.zeros(4)
+        for _ in range(30):
+            q = 1 / (1 + np.exp(-x @ w))
+            w -= np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + np.diag([0, 1, 1, 1]), x.T @ (q - train.rule) + np.r_[0, w[1:]])
+        assert np.allclose(np.sort(p), np.sort(1 / (1 + np.exp(-z @ w))), atol=1e-6)
+        y = np.log(train["size"])
+        w = np.linalg.solve(x.T @ x + np.diag([0, 1, 1, 1]), x.T @ y)
+        want = np.exp(z @ w + np.var(y - x @ w) / 2)
+        assert np.allclose(np.sort(got[(got.test_year == year) & (got.target == "size")].p_model), np.sort(want))
+
+
+def test_trees_learn_a_rule_that_no_line_separates(signals):
+    got = fitted(signals, [("rule", "gbm"), ("rule", "logistic"), ("noise", "gbm")], rounds=25, least_leaf=50)
+    loss = {k: ((d.y - d.p_model) ** 2).mean() for k, d in got.groupby(["target", "model"])}
+    assert loss["rule", "gbm"] < 0.11 < 0.2 < loss["rule", "logistic"]
+    assert loss["noise", "gbm"] < 1.15 * 0.21
+
+
+def test_margins_survive_a_refresh(signals, monkeypatch):
+    once = fitted(signals, [("rule", "gbm")], rounds=5, least_leaf=50)
+    monkeypatch.setattr(forecasters, "REFRESH", 2)
+    again = fitted(signals, [("rule", "gbm")], rounds=5, least_leaf=50)
+    assert np.allclose(np.sort(once.p_model), np.sort(again.p_model))
+
+
+def test_a_leaf_holds_enough_rows():
+    draw = np.random.default_rng(2)
+    hist = np.abs(draw.normal(size=(3, 4, forecasters.BINS, 3))) * [1, 1, 10]
+    feature, cut = forecasters.best_splits(hist, np.array([1, 2]), 150)
+    for node in range(3):
+        assert feature[node] in (1, 2)
+        rows = hist[node, feature[node], :, 2]
+        assert min(rows[: cut[node] + 1].sum(), rows[cut[node] + 1 :].sum()) >= 150
+    assert (forecasters.best_splits(hist, np.array([0]), 10**6)[1] == forecasters.BINS).all()
 
 
 def test_all_pairs_and_no_rows(rows):
