@@ -93,9 +93,9 @@ query("j25_terms_to_releases", "guid:i entry_date:d offering_type", f"WITH {FI}
 query("p53_risk_flag", "guid:i risk", f"WITH {RV} SELECT guid, CASE offering_type WHEN 'public_offering' THEN 'Public offering: a risk flag, not a signal.' END AS risk FROM terms")(
     lambda t: notes.terms_of(t.releases).withColumn("risk", notes.risk_flag("offering_type")))
 query("j24_share_count_asof", "guid:i as_of:d shares_outstanding:f",
-      """WITH @releases, f AS (SELECT event_type AS ticker, ts :: DATE AS filed, max(user_id) * 1000.0 AS shares FROM events WHERE event_id % 50 = 0 GROUP BY 1, 2)
+      """WITH @releases, f AS (SELECT event_type AS ticker, ts :: DATE AS filed, max(user_id) * 1000.0 AS shares FROM events GROUP BY 1, 2)
       SELECT guid, filed AS as_of, CASE WHEN ts :: DATE - filed <= 2 THEN shares END AS shares_outstanding FROM releases r ASOF LEFT JOIN f ON f.ticker = r.ticker AND r.ts :: DATE >= f.filed""")(
-    lambda t: notes.shares_before(t.releases, t.events.where("event_id % 50 = 0").groupBy(F.col("event_type").alias("ticker"), F.to_date("ts").alias("filed")).agg((F.max("user_id") * 1000.0).alias("shares")), 2))
+    lambda t: notes.shares_before(t.releases, t.events.groupBy(F.col("event_type").alias("ticker"), F.to_date("ts").alias("filed")).agg((F.max("user_id") * 1000.0).alias("shares")), 2))
 query("f7_stale_by_age", "guid:i stale:b", "WITH @releases SELECT guid, coalesce(guid % 9 <> 0 AND (SELECT max(ts) FROM releases) - ts > INTERVAL 7 DAY, false) AS stale FROM releases")(lambda t: notes.stale_releases(t.releases))
 query("f9_high_only_feeds", "guid:i feed materiality", "WITH @releases SELECT * FROM releases WHERE feed NOT IN ('feed1', 'feed3') OR materiality = 'high'")(
     lambda t: t.releases.where(~F.col("feed").isin("feed1", "feed3") | (F.col("materiality") == "high")))
@@ -132,7 +132,7 @@ query("f5_quality_predicate", "c_custkey:i", "SELECT c_custkey FROM customer WHE
 
 # --- demand -----------------------------------------------------------------------------------------------------
 
-FR["venue"] = """venue AS MATERIALIZED (SELECT p_brand AS ticker, date_trunc('week', l_shipdate) :: DATE AS week, sum(l_quantity) AS venue_shares FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber % 2 = 1 GROUP BY 1, 2),
+FR["venue"] = """venue AS MATERIALIZED (SELECT p_brand AS ticker, date_trunc('week', l_shipdate) :: DATE AS week, sum(l_quantity * (30 + round(l_discount * 100))) / 100 AS venue_shares FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
 weekvol AS MATERIALIZED (SELECT ticker, date_trunc('week', date) :: DATE AS week, sum(volume) AS total FROM bars WHERE isodow(date) < 7 GROUP BY 1, 2)"""
 query("a9_venue_volume", "ticker week:d venue_shares:f", "WITH @bars, @venue SELECT * FROM venue")(lambda t: demand.venue_volume(t.lineitem, t.part))
 query("a10_weekly_volume", "ticker week:d total:f", "WITH @bars, @venue SELECT * FROM weekvol")(lambda t: demand.weekly_volume(t.bars))
@@ -161,12 +161,12 @@ query("p49_option_signals", SG, "WITH @options SELECT * FROM optsig")(optsig)
 FR["demand"] = """insig AS (SELECT ticker, filing_date AS date, 'insider' AS source, 'insider_buy' AS signal_type, 'bullish' AS direction, 1.0 AS strength, 2 AS lag_days FROM form4 WHERE code = 'P'),
 dsig AS MATERIALIZED (SELECT * FROM dark UNION ALL SELECT * FROM shortsig UNION ALL SELECT * FROM optsig UNION ALL SELECT * FROM insig),
 dnew AS (SELECT * FROM dsig QUALIFY date = max(date) OVER (PARTITION BY ticker, source)),
-dg AS (SELECT ticker, count(*) FILTER (signal_type = 'darkpool_ratio_rising') > 0 AS dk, count(*) FILTER (signal_type = 'short_volume_covering') > 0 AS cov, count(*) FILTER (signal_type = 'short_volume_pressure') > 0 AS prs,
+dg AS (SELECT ticker, count(*) FILTER (signal_type = 'darkpool_ratio_rising') > 0 AS dk, monthname(max(date) FILTER (signal_type = 'darkpool_ratio_rising')) AS dkm, count(*) FILTER (signal_type = 'short_volume_covering') > 0 AS cov, count(*) FILTER (signal_type = 'short_volume_pressure') > 0 AS prs,
   count(*) FILTER (signal_type = 'unusual_call_volume') > 0 AS uc, count(*) FILTER (signal_type = 'unusual_put_volume') > 0 AS up, count(*) FILTER (signal_type = 'call_put_skew' AND direction = 'bullish') > 0 AS lc,
   count(*) FILTER (signal_type = 'call_put_skew' AND direction = 'bearish') > 0 AS lp, count(*) FILTER (signal_type = 'call_put_skew' AND direction = 'neutral') > 0 AS le FROM dnew GROUP BY 1),
 dh AS (SELECT g.*, (SELECT count(*) FROM insig i WHERE i.ticker = g.ticker) AS buys FROM dg g),
 di AS (SELECT *, (buys > 0) :: INT + dk :: INT + cov :: INT - prs :: INT + (uc AND NOT up) :: INT - (up AND NOT uc) :: INT + lc :: INT - lp :: INT AS score, buys > 0 OR dk OR cov OR prs OR uc OR up AS raised,
-  concat_ws('; ', CASE WHEN buys > 0 THEN 'insider buys: ' || buys END, CASE WHEN dk THEN 'dark pool rising' END, CASE WHEN cov THEN 'shorts covering' END,
+  concat_ws('; ', CASE WHEN buys > 0 THEN 'insider buys: ' || buys END, CASE WHEN dk THEN 'dark pool share rising for 3 weeks to ' || dkm END, CASE WHEN cov THEN 'shorts covering' END,
   CASE WHEN prs THEN 'shorts pressing' END, CASE WHEN uc AND up THEN 'option volume on both sides' END, CASE WHEN uc AND NOT up THEN 'call volume' END, CASE WHEN up AND NOT uc THEN 'put volume' END,
   CASE WHEN lc THEN 'calls lead' END, CASE WHEN lp THEN 'puts lead' END, CASE WHEN le THEN 'calls and puts level' END,
   CASE WHEN (lc OR lp OR le) AND NOT (buys > 0 OR dk OR cov OR prs OR uc OR up) THEN 'nothing unusual' END) AS reasons FROM dh)"""

@@ -99,11 +99,11 @@ def test_margins_survive_a_refresh(signals, monkeypatch):
 def test_a_leaf_holds_enough_rows():
     draw = np.random.default_rng(2)
     hist = np.abs(draw.normal(size=(3, 4, forecasters.BINS, 3))) * [1, 1, 10]
-    feature, cut = forecasters.best_splits(hist, np.array([1, 2]), 150)
+    feature, cut = forecasters.best_splits(hist, np.array([1, 2]), 60)
     for node in range(3):
         assert feature[node] in (1, 2)
         rows = hist[node, feature[node], :, 2]
-        assert min(rows[: cut[node] + 1].sum(), rows[cut[node] + 1 :].sum()) >= 150
+        assert min(rows[: cut[node] + 1].sum(), rows[cut[node] + 1 :].sum()) >= 60
     assert (forecasters.best_splits(hist, np.array([0]), 10**6)[1] == forecasters.BINS).all()
 
 
