@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -91,6 +93,67 @@ def bootstrap_means(values: DataFrame, value: str, replicates: int, seed: int, b
     return draws.join(values.select(F.col("pos").cast("bigint").alias("pos"), value), "pos").groupBy("b").agg(F.avg(value).alias("mean"))
 
 
+def poisson_weights(ids: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """Weight of each row (rows down) in each replicate: a Poisson draw of mean 1 from a hash of both, the same in any engine."""
+    low = np.uint64(0xFFFFFFFF)
+    z = (ids.astype(np.uint64)[:, None] * np.uint64(40503) + np.arange(replicates, dtype=np.uint64)[None, :] * np.uint64(2654435761) + np.uint64(seed)) & low
+    for shift, factor in ((16, 2246822507), (13, 3266489909)):
+        z = ((z ^ (z >> np.uint64(shift))) * np.uint64(factor)) & low
+    z ^= z >> np.uint64(16)
+    return np.searchsorted(np.array(POISSON_STEPS, np.uint64), z.ravel(), side="right").reshape(z.shape).astype(float)
+
+
+#: Where the weight rises by one on the scale of a 32-bit hash.
+POISSON_STEPS = [int(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * 2**32) for k in range(9)]
+
+
+def bootstrap_slices(rows: DataFrame, id_col: str, value: str, slices: Column, replicates: int, seed: int, level: float = 0.95) -> DataFrame:
+    """``slice, n, mean, low, high, low_all, high_all``: bootstrap intervals of the mean of every slice, and those corrected for their number.
+
+    ``slices`` lists the labels of a row.  Each row weighs in each replicate by a draw from its own hash, so a task adds up one sketch of
+    ``replicates`` sums a slice and only sketches travel; no row meets another one.
+    """
+    names = ["slice", "n", "total", "sums", "weights"]
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
+        for b in batches:
+            ids, x = b.column(0).to_numpy(), b.column(1).to_numpy()
+            labels = b.column(2).to_pylist()
+            for at in range(0, len(ids), 128):
+                w = poisson_weights(ids[at : at + 128], replicates, seed)
+                known = {s: k for k, s in enumerate(sorted({s for row in labels[at : at + 128] for s in row}))}
+                which = np.zeros((len(known), len(w)))
+                for i, row in enumerate(labels[at : at + 128]):
+                    which[[known[s] for s in row], i] = 1
+                mine = x[at : at + 128]
+                for s, n, total, sums, weights in zip(known, which.sum(axis=1), which @ mine, (which * mine) @ w, which @ w):
+                    was = held.get(s)
+                    held[s] = [n, total, sums, weights] if was is None else [p + q for p, q in zip(was, (n, total, sums, weights))]
+        cols = list(zip(*((s, int(v[0]), float(v[1]), v[2].tolist(), v[3].tolist()) for s, v in held.items()))) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64())))], names)
+
+    def joined(key, frame: pd.DataFrame) -> pd.DataFrame:
+        """The sketches of one slice, one a task, as its sorted replicate means."""
+        sums, weights = (np.sum(np.stack(frame[c].to_list()), axis=0) for c in ("sums", "weights"))
+        n = int(frame["n"].sum())
+        means = np.sort(sums[weights > 0] / weights[weights > 0])
+        return pd.DataFrame({"slice": [key[0]], "n": [n], "mean": [frame["total"].sum() / n], "means": [means]})
+
+    part = rows.where(F.col(value).isNotNull()).select(F.col(id_col).cast("long"), F.col(value).cast("double"), slices).mapInArrow(sketch, "slice string, n long, total double, sums array<double>, weights array<double>")
+    g = part.groupBy("slice").applyInPandas(joined, "slice string, n long, mean double, means array<double>")
+    g = g.withColumn("k", F.count("*").over(Window.partitionBy(F.lit(0))))
+
+    def at(share: Column) -> Column:
+        spot = share * (F.size("means") - 1)
+        lo = F.floor(spot).cast("int")
+        a, b = F.element_at("means", lo + 1), F.element_at("means", F.least(lo + 2, F.size("means")))
+        return a + (b - a) * (spot - lo)
+
+    tail = F.lit((1 - level) / 2)
+    return g.select("slice", "n", "mean", at(tail).alias("low"), at(1 - tail).alias("high"), at(tail / F.col("k")).alias("low_all"), at(1 - tail / F.col("k")).alias("high_all"))
+
+
 def interval(means: DataFrame, level: float = 0.95) -> DataFrame:
     tail = (1 - level) / 2
     return means.agg(F.count("*").alias("replicates"), F.percentile("mean", F.lit(tail)).alias("low"), F.percentile("mean", F.lit(1 - tail)).alias("high"))

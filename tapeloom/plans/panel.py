@@ -167,7 +167,24 @@ def boot_sql(block: int, seed: int) -> str:
       r AS (SELECT b, avg(x) AS mean FROM d JOIN monthx USING (pos) GROUP BY b) SELECT count(*) AS replicates, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM r"""
 
 
-query("v3_bootstrap_interval", "replicates:i low:f high:f", boot_sql(1, 20261027))(lambda t: stats.interval(stats.bootstrap_means(curves.monthly_excess(t), "x", 10000, 20261027)))
+# The hash and the Poisson draw of ``stats.poisson_weights``.
+MIX = ["((id * 40503 :: UBIGINT + b * 2654435761 :: UBIGINT + 20261027 :: UBIGINT) & 4294967295 :: UBIGINT)"]
+for shift, factor in ((16, 2246822507), (13, 3266489909)):
+    MIX.append(f"((xor(z, z >> {shift} :: UBIGINT) * {factor} :: UBIGINT) & 4294967295 :: UBIGINT)")
+DRAW = " + ".join(f"(z >= {t} :: UBIGINT) :: INT" for t in stats.POISSON_STEPS)
+FR["weighed"] = f"""wt0 AS (SELECT trade_id :: UBIGINT AS id, excess_realistic AS x, sector, regime FROM excess),
+wt1 AS (SELECT x, sector, regime, b, {MIX[0]} AS z FROM wt0 CROSS JOIN (SELECT range :: UBIGINT AS b FROM range(10000))),
+wt2 AS (SELECT x, sector, regime, b, {MIX[1]} AS z FROM wt1), wt3 AS (SELECT x, sector, regime, b, {MIX[2]} AS z FROM wt2), wt4 AS (SELECT x, sector, regime, b, xor(z, z >> 16 :: UBIGINT) AS z FROM wt3),
+weighed AS (SELECT b, CASE WHEN GROUPING(sector) = 0 THEN 'sector ' || sector WHEN GROUPING(regime) = 0 THEN 'regime ' || regime ELSE 'all' END AS slice, count(*) AS n, avg(x) AS mean, sum(x * w) / sum(w) AS m
+  FROM (SELECT *, {DRAW} AS w FROM wt4) GROUP BY GROUPING SETS ((b), (b, sector), (b, regime)))"""
+query("v3_bootstrap_interval", "slice n:i mean:f low:f high:f low_all:f high_all:f",
+      f"""WITH {EXCESS}, @weighed, g AS (SELECT slice, any_value(n) AS n, any_value(mean) AS mean, list(m ORDER BY m) AS ms FROM weighed WHERE m IS NOT NULL AND isfinite(m) GROUP BY slice), k AS (SELECT count(*) AS k FROM g),
+      q AS (SELECT slice, unnest(ms) AS m, k FROM g, k), p AS (SELECT slice, quantile_cont(m, [0.025, 0.975]) AS one, any_value(k) AS k FROM q GROUP BY slice)
+      SELECT g.slice, n, mean, one[1] AS low, one[2] AS high, """ + ", ".join(
+          f"ms[floor(({t}) * (len(ms) - 1)) :: INT + 1] + (ms[least(floor(({t}) * (len(ms) - 1)) :: INT + 2, len(ms))] - ms[floor(({t}) * (len(ms) - 1)) :: INT + 1]) * (({t}) * (len(ms) - 1) - floor(({t}) * (len(ms) - 1))) AS {n}"
+          for t, n in (("0.025 :: DOUBLE / k", "low_all"), ("1 - 0.025 :: DOUBLE / k", "high_all"))) + " FROM g JOIN p USING (slice)")(
+    lambda t: stats.bootstrap_slices(ledger.trade_excess(t.trades, t.bench, t.dividends, t.sectors), "trade_id", "excess_realistic",
+                                     F.array(F.lit("all"), F.concat(F.lit("sector "), "sector"), F.concat(F.lit("regime "), "regime")), 10000, 20261027))
 query("v4_block_bootstrap", "replicates:i low:f high:f", boot_sql(5, 7))(lambda t: stats.interval(stats.bootstrap_means(curves.monthly_excess(t), "x", 10000, 7, block=5)))
 FR["newey"] = "nwx AS (SELECT date, r FROM (SELECT date, avg(r) AS r FROM (SELECT *, close / lag(close) OVER[] - 1 AS r FROM bars) GROUP BY 1) WHERE r IS NOT NULL), " + newey_sql("newey", "nwx", "r", "date", 6, "")
 query("v5_newey_west", "n:i mean:f8 t:f4", "WITH @bars, @newey SELECT * FROM newey")(
