@@ -31,9 +31,28 @@ def exactly_once(releases: DataFrame, folder: str | None = None) -> DataFrame:
 
 
 query("r1_exactly_once_items", "guid:i ticker", "WITH @releases SELECT guid, ticker FROM releases")(lambda t: exactly_once(rules.repeated(stream(t))))
-query("r2_two_lanes", "slot lane n:i newest:i",
-      "WITH @releases SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS slot, CASE WHEN materiality = 'high' THEN 'now' ELSE 'hourly' END AS lane, count(*) AS n, max(guid) AS newest FROM releases GROUP BY 1, 2")(
-    lambda t: run_parts(stream(t), "r2", rules.lanes, rules.all_lanes))
+def routed(releases: DataFrame, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The tables of the two lanes; a batch that is run again replaces what it put into either."""
+    def each(df: DataFrame, i: int, out: str) -> None:
+        df = df.persist()
+        for rows, lane in zip(rules.lane_of(df), ("now", "hourly")):
+            write_version(rows, i, out, lane)
+        df.unpersist()
+
+    out = run_batches(releases, "r2", each, folder=folder)
+    return tuple(releases.sparkSession.read.parquet(f"{out}/{lane}").drop("batch") for lane in ("now", "hourly"))
+
+
+def both_lanes(t: Tables) -> DataFrame:
+    now, hourly = routed(stream(t))
+    one = now.select(F.lit("now").alias("lane"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("slot"), F.lit(1).alias("n"), F.col("guid").alias("newest"), "guid")
+    rest = rules.bundles(hourly).select(F.lit("hourly").alias("lane"), F.date_format("slot", "yyyy-MM-dd HH:mm:ss").alias("slot"), "n", F.element_at("guids", -1).alias("newest"), F.explode("guids").alias("guid"))
+    return one.unionByName(rest)
+
+
+query("r2_two_lanes", "lane slot n:i newest:i guid:i",
+      """WITH @releases SELECT 'now' AS lane, strftime(ts, '%Y-%m-%d %H:%M:%S') AS slot, 1 AS n, guid AS newest, guid FROM releases WHERE materiality = 'high'
+      UNION ALL SELECT 'hourly', strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S'), count(*) OVER w, max(guid) OVER w, guid FROM releases WHERE materiality IS DISTINCT FROM 'high' WINDOW w AS (PARTITION BY date_trunc('hour', ts))""")(both_lanes)
 
 
 def late_split(t: Tables) -> DataFrame:
@@ -50,13 +69,17 @@ def late_split(t: Tables) -> DataFrame:
 
 
 query("r3_late_drop", "guid:i output", "WITH @releases SELECT guid, CASE WHEN guid % 10 > 7 THEN 'stale' ELSE 'fresh' END AS output FROM releases")(late_split)
-query("r4_inbox_collapse", "user_id:i ticker guid:i category collapsed:i",
-      "WITH @releases SELECT user_id, ticker, max_by(guid, (ts, guid)) AS guid, max_by(category, (ts, guid)) AS category, count(*) AS collapsed FROM releases WHERE materiality = 'high' GROUP BY 1, 2")(
-    lambda t: run_latest(rules.inbox(stream(t)), "r4", ["user_id", "ticker"]))
+query("r4_inbox_collapse", "user_id:i ticker guid:i category collapsed:i status closed",
+      """WITH @releases, h AS (SELECT * FROM releases WHERE materiality = 'high'),
+      e AS (SELECT user_id, ticker, guid, category, 'release' AS kind, ts AS tm FROM h UNION ALL SELECT user_id, ticker, guid, category, 'review', ts + to_days((guid % 12) :: INT) FROM h WHERE guid % 7 <> 0),
+      p AS (SELECT *, coalesce(count_if(kind = 'review') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reviews,
+        min(CASE WHEN kind = 'review' THEN tm END) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS closed FROM e WINDOW w AS (PARTITION BY user_id, ticker ORDER BY tm, kind, guid))
+      SELECT user_id, ticker, max_by(guid, (tm, guid)) AS guid, max_by(category, (tm, guid)) AS category, count(*) AS collapsed, CASE WHEN max(closed) IS NULL THEN 'open' ELSE 'reviewed' END AS status,
+        strftime(max(closed), '%Y-%m-%d %H:%M:%S.%f') AS closed FROM p WHERE kind = 'release' GROUP BY user_id, ticker, reviews""")(
+    lambda t: run_parts(stream(t), "r4", rules.inbox_events, rules.inbox).withColumn("closed", F.date_format("closed", "yyyy-MM-dd HH:mm:ss.SSSSSS")))
 query("r5_state_expiry", "guid:i",
-      """WITH @releases, e AS (SELECT * FROM releases WHERE guid % 7 = 0 OR guid % 12 > 7)
-      SELECT guid FROM e WHERE ts + INTERVAL 7 DAY < (SELECT least(max(ts), max(ts) FILTER (guid % 7 <> 0)) FROM releases) - INTERVAL 1 HOUR""")(
-    lambda t: run_append(rules.expired(stream(t), rules.reviews_of(stream(t))), "r5"))
+      """WITH @releases SELECT guid FROM releases WHERE (guid % 7 = 0 OR guid % 12 > 7) AND ts + INTERVAL 7 DAY < (SELECT max(ts) FROM releases) - INTERVAL 1 HOUR""")(
+    lambda t: run_parts(stream(t), "r5", rules.expiry_events, rules.expired))
 query("r6_watched_prices", "item:i guid:i value:f",
       "WITH @releases, @hourly, @day_bars, @watch SELECT w.guid AS item, r.guid, r.value FROM releases r JOIN watch w ON w.user_id = r.user_id AND w.ticker = r.ticker AND status = 'watching' AND r.ts :: DATE >= flagged")(
     lambda t: run_append(rules.watched_prices(stream(t), notes.watch_items(t.releases)), "r6"))

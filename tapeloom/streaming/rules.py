@@ -28,16 +28,18 @@ def repeated(releases: DataFrame) -> DataFrame:
     return releases.withColumn("poll", F.explode(F.array(F.lit(1), F.lit(2))))
 
 
-def lanes(batch: DataFrame) -> DataFrame:
-    """Releases of a batch per lane and hour: high ones go at once, the rest in hourly bundles."""
-    lane = F.when(F.col("materiality") == "high", "now").otherwise("hourly")
-    return batch.groupBy(F.window("ts", "60 minutes").alias("w"), lane.alias("lane")).agg(F.count("*").alias("n"), F.max("guid").alias("newest")).select(
-        F.col("w.start").alias("slot"), "lane", "n", "newest")
+def lane_of(releases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Releases of a batch for the two lanes: high ones go at once, the rest into the bundle of their hour."""
+    high = F.col("materiality") == "high"
+    now = releases.where(high).select("guid", "ticker", "ts")
+    bundled = releases.where(~F.coalesce(high, F.lit(False))).select("guid", "ticker", "ts", F.date_trunc("hour", "ts").alias("slot"))
+    return now, bundled
 
 
-def all_lanes(parts: DataFrame) -> DataFrame:
-    """What the batches counted, added up."""
-    return parts.groupBy("slot", "lane").agg(F.sum("n").alias("n"), F.max("newest").alias("newest"))
+def bundles(bundled: DataFrame) -> DataFrame:
+    """One bundle per hour from what the batches put in: its releases in order, each once."""
+    once = bundled.groupBy("guid").agg(F.min(F.struct("slot", "ts", "ticker")).alias("r")).select("guid", "r.*")
+    return once.groupBy("slot").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.array_sort(F.collect_list("guid")).alias("guids"))
 
 
 def with_arrival(releases: DataFrame) -> DataFrame:
@@ -49,11 +51,27 @@ def is_stale(days: int = 7) -> Column:
     return F.col("arrived") - F.col("ts") > F.expr(f"INTERVAL {days} DAYS")
 
 
-def inbox(releases: DataFrame) -> DataFrame:
-    """One open item per user and ticker: the latest high release wins."""
-    newest = F.max(F.struct("ts", "guid", "category"))
-    return releases.where("materiality = 'high'").groupBy("user_id", "ticker").agg(newest.alias("r"), F.count("*").alias("collapsed")).select(
-        "user_id", "ticker", "r.guid", "r.category", "collapsed")
+def inbox_events(releases: DataFrame) -> DataFrame:
+    """What moves the inbox: high releases and the reviews of them, as rows of one kind each."""
+    review = F.when(F.col("guid") % 7 != 0, F.struct(F.lit("review").alias("kind"), (F.col("ts") + F.make_dt_interval((F.col("guid") % 12).cast("int"))).alias("at")))
+    both = F.array(F.struct(F.lit("release").alias("kind"), F.col("ts").alias("at")), review)
+    return releases.where("materiality = 'high'").select("user_id", "ticker", "guid", "category", F.explode(F.filter(both, lambda e: e.isNotNull())).alias("e")).select(
+        "user_id", "ticker", "guid", "category", "e.kind", "e.at")
+
+
+def inbox(events: DataFrame) -> DataFrame:
+    """Items per user and ticker: releases collapse into the open one, the latest wins, and a review closes what is open.
+
+    Events are put in order by their own time, so neither files in no order nor a batch that is run again change an item.
+    """
+    w = Window.partitionBy("user_id", "ticker").orderBy("at", "kind", "guid")
+    is_review = (F.col("kind") == "review").cast("int")
+    once = events.dropDuplicates(["user_id", "ticker", "kind", "guid"])
+    placed = once.withColumn("reviews", F.coalesce(F.sum(is_review).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn(
+        "closed", F.min(F.when(F.col("kind") == "review", F.col("at"))).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    newest = F.max(F.struct("at", "guid", "category"))
+    return placed.where("kind = 'release'").groupBy("user_id", "ticker", "reviews").agg(newest.alias("r"), F.count("*").alias("collapsed"), F.max("closed").alias("closed")).select(
+        "user_id", "ticker", "r.guid", "r.category", "collapsed", "closed", F.when(F.col("closed").isNull(), "open").otherwise("reviewed").alias("status"))
 
 
 def reviews_of(releases: DataFrame) -> DataFrame:
@@ -61,11 +79,19 @@ def reviews_of(releases: DataFrame) -> DataFrame:
     return releases.where("guid % 7 <> 0").select(F.col("guid").alias("r_guid"), (F.col("ts") + F.make_dt_interval((F.col("guid") % 12).cast("int"))).alias("reviewed"))
 
 
-def expired(items: DataFrame, reviews: DataFrame, days: int = 7, delay: str = "1 hour") -> DataFrame:
-    """Items with no review within ``days``, emitted once the watermark has passed their deadline."""
-    i, r = items.withWatermark("ts", delay), reviews.withWatermark("reviewed", delay)
-    within = (F.col("guid") == F.col("r_guid")) & (F.col("reviewed") >= F.col("ts")) & (F.col("reviewed") <= F.col("ts") + F.expr(f"INTERVAL {days} DAYS"))
-    return i.join(r, within, "left_outer").where("r_guid is null").select("guid", "ts")
+def expiry_events(releases: DataFrame) -> DataFrame:
+    """Items and reviews of a batch as rows ``guid, ts, reviewed``."""
+    items = releases.select("guid", "ts", F.lit(None).cast("timestamp").alias("reviewed"))
+    return items.unionByName(reviews_of(releases).select(F.col("r_guid").alias("guid"), F.lit(None).cast("timestamp").alias("ts"), "reviewed"))
+
+
+def expired(events: DataFrame, days: int = 7, delay: str = "1 HOUR") -> DataFrame:
+    """Items with no review within ``days`` whose deadline the newest item has passed by ``delay``; a review may come before or after its item."""
+    per_item = events.groupBy("guid").agg(F.min("ts").alias("ts"), F.min("reviewed").alias("reviewed"))
+    newest = events.agg(F.max("ts")).scalar()
+    deadline = F.col("ts") + F.expr(f"INTERVAL {days} DAYS")
+    missed = F.col("reviewed").isNull() | (F.col("reviewed") > deadline)
+    return per_item.where(F.col("ts").isNotNull() & missed & (deadline < newest - F.expr(f"INTERVAL {delay}"))).select("guid", "ts")
 
 
 def watched_prices(ticks: DataFrame, items: DataFrame) -> DataFrame:

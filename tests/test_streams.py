@@ -43,7 +43,7 @@ def test_pending_outcomes_come_back(spark, tmp_path):
     assert set(second.values()) == {"complete", "no_data"}
 
 
-@pytest.mark.parametrize("name", ["r2_two_lanes", "r9_session_volume", "r12_release_bursts"])
+@pytest.mark.parametrize("name", ["r2_two_lanes", "r4_inbox_collapse", "r5_state_expiry", "r9_session_volume", "r12_release_bursts"])
 def test_no_row_is_late_over_parts_in_no_order(spark, tmp_path, monkeypatch, name):
     """Three parts by time, the newest first, one a batch: the same rows as from one file."""
     events = spark.read.parquet(f"{SMALL}/events.parquet").withColumn("third", F.ntile(3).over(Window.orderBy("ts")))
@@ -62,3 +62,29 @@ def test_bursts_meet_across_batches(spark):
     batches = [rules.bursts(spark.createDataFrame(part, "user_id long, ticker string, ts timestamp")) for part in (rows[:2], rows[2:])]
     got = rules.closed_bursts(batches[0].unionByName(batches[1])).orderBy("start").select(F.date_format("start", "HH:mm"), "n").collect()
     assert [tuple(r) for r in got] == [("10:00", 3), ("11:10", 1)]
+
+
+def test_each_release_in_one_lane_after_a_restart_and_a_retry(spark, tmp_path):
+    """The tables of both lanes hold every release once, also when the last batch is run again."""
+    from tapeloom.streaming.runtime import write_version
+
+    out = str(tmp_path / "out")
+    streams.routed(parts(spark, tmp_path, [1]), out)
+    now, hourly = streams.routed(parts(spark, tmp_path, [0, 2]), out)
+    assert now.count() > 0 < hourly.count()
+    rows = {k: spark.read.parquet(f"{out}/{k}") for k in ("now", "hourly")}
+    for lane, df in rows.items():
+        last = df.agg(F.max("batch")).first()[0]
+        again = df.where(F.col("batch") == last).drop("batch").toPandas()
+        write_version(spark.createDataFrame(again, df.drop("batch").schema), last, out, lane)
+    ids = [r["guid"] for k in rows for r in spark.read.parquet(f"{out}/{k}").select("guid").collect()]
+    assert len(ids) == len(set(ids)) == spark.read.parquet(f"{SMALL}/events.parquet").count()
+
+
+def test_inbox_items_open_collapse_and_close(spark):
+    at = lambda day: datetime(2024, 1, day)
+    events = [(1, "release", at(1)), (2, "release", at(2)), (1, "review", at(3)), (3, "release", at(4)), (2, "review", at(5)), (3, "review", at(6)), (4, "release", at(7))]
+    rows = [(1, "A", g, f"c{g}", k, t) for g, k, t in events]
+    df = spark.createDataFrame(rows[::-1] + rows[:2], "user_id long, ticker string, guid long, category string, kind string, at timestamp")
+    got = sorted((r["guid"], r["collapsed"], r["status"], r["closed"]) for r in rules.inbox(df).collect())
+    assert got == [(2, 2, "reviewed", at(3)), (3, 1, "reviewed", at(5)), (4, 1, "open", None)]
