@@ -9,9 +9,11 @@ belong to the top are those whose sum is within that bound of the k-th; they are
 Queries are dealt into blocks as well, and every pair of a query block and a row block is one task's work; the ten best of each pair meet in
 a ranking per query, k rows a block.  Nothing is broadcast and nothing is collected.
 
-A vector that is null, empty, without an id, or has a null or non-finite component takes no part; neither has one with a component
-beyond 2**28 after scaling, whose products a long could not hold.  Only vectors of as many components as the query are compared.  Of
-rows that repeat an id the one with the smallest vector counts.  Ties go to the smaller id.
+A vector that is null, empty, without an id, or has a null or non-finite component takes no part.  Only vectors of as many components as
+the query are compared.  Rows that repeat an id are candidates one by one, and none of them is a candidate of a query with that id; what
+queries of one id find is ranked together.  Ties go to the smaller id.  Vectors with a component of 2**28 or more after scaling stay out of the
+index and are compared by integers of any size; a score that a long cannot hold becomes the nearest one that it can.  An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -32,12 +34,15 @@ LARGEST = 1 << 28
 
 
 def scaled(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``vec_id, v``: the integer vectors that take part."""
+    """``vec_id, v``: the vectors that take part, of whole numbers as doubles, which hold each of them exactly."""
     x = F.transform(F.col(f"`{vector_col}`"), lambda c: c.cast("double"))
-    fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float(LARGEST) / SCALE)))
+    fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     usable = F.col(f"`{id_col}`").isNotNull() & F.col(f"`{vector_col}`").isNotNull() & (F.size(F.col(f"`{vector_col}`")) > 0)
-    ints = F.transform(x, lambda c: F.floor(c * F.lit(float(SCALE))).cast("long"))
-    return vectors.where(F.when(usable, fine).otherwise(F.lit(False))).select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), ints.alias("v"))
+    # from 2**53 on a double is whole, and this side of it a long holds the floor
+    scaled_ = lambda c: F.when(F.abs(c) >= F.lit(2.0**43), c * F.lit(float(SCALE))).otherwise(F.floor(c * F.lit(float(SCALE))).cast("double"))
+    largest = F.lit(float(np.finfo(float).max))
+    held = lambda c: F.greatest(F.least(scaled_(c), largest), -largest)
+    return vectors.where(F.when(usable, fine).otherwise(F.lit(False))).select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.transform(x, held).alias("v"))
 
 
 def _blocks(rows: DataFrame, size: int, at_most: int) -> DataFrame:
@@ -46,11 +51,10 @@ def _blocks(rows: DataFrame, size: int, at_most: int) -> DataFrame:
 
     def build(key, frame: pd.DataFrame) -> pd.DataFrame:
         ordered = sorted(zip(frame["vec_id"], map(tuple, frame["v"])))
-        kept = [r for i, r in enumerate(ordered) if not i or r[0] != ordered[i - 1][0]]
-        ids, body = np.array([r[0] for r in kept], np.int64), np.array([r[1] for r in kept], np.int64)
+        ids, body = np.array([r[0] for r in ordered], np.int64), np.array([r[1] for r in ordered], float)
         return pd.DataFrame([(int(key[0]), int(key[1]), ids.tobytes(), body.tobytes())], columns=["dim", "slot", "ids", "body"])
 
-    dealt = rows.withColumn("dim", F.size("v")).withColumn("slot", F.pmod(F.xxhash64("vec_id"), F.lit(slots)).cast("int"))
+    dealt = rows.withColumn("dim", F.size("v")).withColumn("slot", F.pmod(F.xxhash64("vec_id", "v"), F.lit(slots)).cast("int"))
     return dealt.groupBy("dim", "slot").applyInPandas(build, "dim int, slot int, ids binary, body binary")
 
 
@@ -123,8 +127,9 @@ class BitSlices:
 
 
 def best_of_block(index: BitSlices, ids: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query the ids and scores of its k best rows of the block, its own left out."""
-    flags = index.candidates(queries, k + 1)  # its own row may be one of them
+    """For each query the ids and scores of its k best rows of the block, those with its own id left out."""
+    repeats = int(np.unique(ids, return_counts=True)[1].max())  # so many of the best may have its own id
+    flags = index.candidates(queries, k + repeats)
     for q in range(len(queries)):
         rows = np.flatnonzero(flags[q])
         rows = rows[ids[rows] != query_ids[q]]
@@ -133,6 +138,29 @@ def best_of_block(index: BitSlices, ids: np.ndarray, query_ids: np.ndarray, quer
         yield int(query_ids[q]), ids[rows][order], scores[order]
 
 
+def best_exact(ids: np.ndarray, body: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The same by integers of any size."""
+    whole = lambda m: [[int(x) for x in row] for row in m]
+    rows = whole(body)
+    for query_id, q in zip(query_ids, whole(queries)):
+        scores = ((max(min(sum(a * b for a, b in zip(q, r)), (1 << 63) - 1), -(1 << 63)), int(i)) for i, r in zip(ids, rows) if i != query_id)
+        best = sorted(scores, key=lambda s: (-s[0], s[1]))[:k]
+        yield int(query_id), np.array([i for _, i in best], np.int64), np.array([s for s, _ in best], np.int64)
+
+
+def best_of_pair(ids: np.ndarray, body: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """The k best rows of a block for each query: by the index where longs hold all products, else by integers of any size."""
+    small, small_q = (np.abs(m).max(axis=1) < LARGEST for m in (body, queries))
+    found: list[tuple[int, np.ndarray, np.ndarray]] = []
+    if small.any() and small_q.any():
+        found += best_of_block(BitSlices(body[small].astype(np.int64)), ids[small], query_ids[small_q], queries[small_q].astype(np.int64), k)
+    if not small.all() and small_q.any():
+        found += best_exact(ids[~small], body[~small], query_ids[small_q], queries[small_q], k)
+    if not small_q.all():
+        found += best_exact(ids, body, query_ids[~small_q], queries[~small_q], k)
+    return found
+
+
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best rows for each row whose id is divisible by ``every``."""
     rows = scaled(vectors, id_col, vector_col)
@@ -148,8 +176,8 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
         for b in batches:
             for r in b.to_pylist():
                 ids, query_ids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["query_ids"], np.int64)
-                body, queries = (np.frombuffer(r[c], np.int64).reshape(-1, r["dim"]) for c in ("body", "queries"))
-                found = list(best_of_block(BitSlices(body), ids, query_ids, queries, k))
+                body, queries = (np.frombuffer(r[c]).reshape(-1, r["dim"]) for c in ("body", "queries"))
+                found = best_of_pair(ids, body, query_ids, queries, k)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.full(len(i), q, np.int64) for q, i, _ in found])), pa.array(np.concatenate([i for _, i, _ in found])),
                                                   pa.array(np.concatenate([s for _, _, s in found]).astype(np.int64))], ["query_id", "vec_id", "score"])
 

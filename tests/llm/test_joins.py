@@ -165,18 +165,28 @@ def test_loser_tree_and_front_coding():
 
 
 def top_by_hand(rows, k, every):
-    ok = {}
-    for i, v in rows:
-        if i is not None and v and all(x is not None and np.isfinite(x) for x in v):
-            ok[i] = min(ok.get(i, [np.inf]), [int(np.floor(1024 * float(x))) for x in v])
+    """Every row counts, also those that repeat an id."""
+    ok = [(i, [int(np.floor(1024 * float(x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    held = lambda s: max(min(s, 2**63 - 1), -(2**63))
     out = set()
-    for q, a in ok.items():
-        if q % every == 0:
-            scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in ok.items() if i != q and len(b) == len(a))[:k]
-            out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)}
+    for q in {i for i, _ in ok if i % every == 0}:
+        scored = sorted((-held(sum(x * y for x, y in zip(a, b))), i) for p, a in ok if p == q for i, b in ok if i != q and len(b) == len(a))[:k]
+        out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)}
     return out
 
 
+def test_top_k_keeps_large_vectors_and_repeated_ids(spark, monkeypatch):
+    rows = [(0, [1.0, 2.0]), (1, [300000.0, 1.0]), (2, [1.0, 1.0]), (2, [3.0, 3.0])]
+    vectors = lambda r: spark.createDataFrame(r, "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.top_k(vectors(rows)).orderBy("rank").collect()] == [(0, 1, 1, 1024 * 1024 * 300002), (0, 2, 2, 1024 * 1024 * 9), (0, 3, 2, 1024 * 1024 * 3)]
+    monkeypatch.setattr(topk, "ROW_BLOCK", 4)
+    draw = np.random.default_rng(3)
+    rows = [(int(i), [float(x) for x in draw.normal(0, s, 3)]) for i in draw.integers(0, 40, 120) for s in (draw.choice([0.5, 0.5, 1e5, 1e9, 1e16]),)]
+    rows += [(100 * (i % 3), [0.25, 0.5, -0.125]) for i in range(30)] + [(7, [1e300, -1e300, 1.0]), (200, [1e300, 1.0, 1.0])]
+    got = {tuple(r) for r in topk.top_k(vectors(rows), 5, 10).select("query_id", "rank", "vec_id", "score").collect()}
+    assert got == top_by_hand(rows, 5, 10)
+
+
 def test_top_k_against_all_products(spark, monkeypatch):
     monkeypatch.setattr(topk, "ROW_BLOCK", 64)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 8)
