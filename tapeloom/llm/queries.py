@@ -160,8 +160,9 @@ hurt AS (
     unnest(CASE code WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM coded),
 judged AS (
   SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, substr(role, 1, 1) AS c, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
-    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut FROM hurt),
-r AS (SELECT *, blank OR again AS must, CAST(cut AS BIGINT) AS t, lag(c) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM judged),
+    NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut FROM hurt),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again FROM judged),
+r AS (SELECT *, blank OR again AS must, CAST(cut AS BIGINT) AS t, lag(c) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed),
 n AS (
   SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
     count(*) FILTER (cut AND NOT must) AS truncated, count(*) FILTER (before IS NOT NULL AND before || c NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id),
