@@ -1,10 +1,10 @@
 """Best-fit packing of tokenised documents into sequences of a fixed capacity, by exact-complement hashing.
 
-Only lengths decide a packing, and there are at most ``capacity`` of them.  So the plan is made on the histogram of piece lengths: for
-the longest length that is left, the gap to the capacity is looked up among single lengths, then among sums of two, then of three, and a
-combination that fills the gap exactly is used as often as the counts of its lengths allow.  What has no exact complement is filled by
-best fit, the longest length that still fits first.  Every step uses up at least one length, so a plan has at most ``capacity``
-patterns, whatever the number of documents.
+Only lengths decide a packing, and there are at most ``capacity`` of them.  So the plan is made on the histogram of piece lengths.  Sums of
+one, two and three lengths are indexed in tables.  From the longest length down, the gap to the capacity is looked up there, and a
+combination that fills it exactly is used as often as the counts of its lengths allow, until no length has an exact complement.  The
+residual lengths are packed by best fit, the longest that still fits first.  A pattern leaves fewer pieces of some length than it takes of
+it, so the number of patterns depends on ``capacity`` only, whatever the number of documents.
 
 The pieces then find their places without meeting: a piece needs its rank among the pieces of its length, and ranks come from counts by
 (length, salt) and a row number inside the salt, so a length that a third of all pieces share is spread over many groups.
@@ -50,37 +50,78 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int =
     return rows_per_batch(texts_of(docs, id_col, text_col)).mapInArrow(encode, PIECES)
 
 
-class Complements:
-    """The lengths that are left, looked up by the sum of one, two or three of them."""
+class SumTables:
+    """Sums of one, two and three lengths, kept in tables that are built once, with the counts that are left.
+
+    ``pairs[s]`` is the shorter length of the first pair of sum ``s`` that may still be used and ``triples[s]`` the longest length of
+    the first such triple, the more even pairs and the longer lengths first; 0 where there is none.  Counts only fall, so a combination
+    that is used up never comes back and an entry only moves on.
+    """
 
     def __init__(self, counts: np.ndarray):
         self.left = counts.astype(np.int64).copy()
+        capacity = len(counts) - 1
+        have = self.left > 0
+        self.pairs = np.zeros(capacity + 1, np.int64)
+        for s in range(2, capacity + 1):
+            a = np.arange(s // 2, 0, -1)
+            ok = have[a] & have[s - a] & ((a * 2 != s) | (self.left[a] > 1))
+            self.pairs[s] = a[np.argmax(ok)] if ok.any() else 0
+        self.triples = np.maximum(np.arange(capacity + 1) - 2, 0)
 
     def single(self, gap: int) -> tuple[int, ...] | None:
         return (gap,) if self.left[gap] > 0 else None
 
-    def pair(self, gap: int) -> tuple[int, ...] | None:
-        a = np.arange(gap // 2, 0, -1)  # the more even pairs first: they leave the small lengths for later
-        ok = (self.left[a] > 0) & (self.left[gap - a] > np.where(a == gap - a, 1, 0))
+    def _pair(self, total: int, left: np.ndarray) -> int:
+        """The shorter length of the first pair of this sum that ``left`` allows, from where the table stands."""
+        a = np.arange(self.pairs[total], 0, -1)
+        ok = (left[a] > 0) & (left[total - a] > (a * 2 == total))
         k = int(np.argmax(ok)) if len(ok) else 0
-        return (gap - int(a[k]), int(a[k])) if len(ok) and ok[k] else None
-
-    def triple(self, gap: int) -> tuple[int, ...] | None:
-        have = self.left[: gap + 1] > 0
-        size = 1 << (2 * gap + 1).bit_length()
-        sums = np.rint(np.fft.irfft(np.fft.rfft(have.astype(float), size) ** 2, size))[: gap + 1] > 0
-        for a in np.flatnonzero(have[1:gap] & sums[gap - 1 : 0 : -1])[::-1] + 1:
-            self.left[a] -= 1
-            rest = self.pair(gap - int(a))
-            self.left[a] += 1
+        return int(a[k]) if len(ok) and ok[k] else 0
+
+    def pair(self, gap: int, without: tuple[int, ...]) -> tuple[int, ...] | None:
+        """A pair of this sum beside the lengths ``without``, which the pattern takes already."""
+        if not self.pairs[gap]:
+            return None
+        self.pairs[gap] = self._pair(gap, self.left)
+        for n in without:
+            self.left[n] -= 1
+        a = self._pair(gap, self.left)
+        for n in without:
+            self.left[n] += 1
+        return (gap - a, a) if a else None
+
+    def triple(self, gap: int, without: tuple[int, ...]) -> tuple[int, ...] | None:
+        top = int(self.triples[gap])
+        a = np.arange(top, 0, -1)
+        passed = 0
+        for n in a[(self.left[a] > 0) & (self.pairs[gap - a] > 0)].tolist():
+            rest = self.pair(gap - n, (*without, n)) if self.left[n] > without.count(n) else None
             if rest:
-                return (int(a), *rest)
+                self.triples[gap] = min(top, passed or n)
+                return (n, *rest)
+            # an entry stays where only the lengths of this pattern are in the way
+            passed = passed or (n if self.pairs[gap - n] else 0)
+        self.triples[gap] = passed
         return None
 
-    def best_fit(self, gap: int) -> tuple[int, ...]:
-        """The longest length that fits, again and again."""
-        chosen: list[int] = []
+    def exact(self, longest: int) -> tuple[int, ...] | None:
+        """A pattern of up to four lengths, ``longest`` among them, that fills the capacity."""
+        gap = len(self.left) - 1 - longest
+        if gap == 0:
+            return (longest,)
+        used = (longest,)
+        self.left[longest] -= 1
+        rest = self.single(gap)
+        self.left[longest] += 1
+        rest = rest or self.pair(gap, used) or self.triple(gap, used)
+        return rest and (longest, *rest)
+
+    def best_fit(self, longest: int) -> tuple[int, ...]:
+        """``longest`` and then the longest length that fits, again and again."""
+        chosen, gap = [longest], len(self.left) - 1 - longest
         left = self.left.copy()
+        left[longest] -= 1
         while gap > 0:
             fits = np.flatnonzero(left[1 : gap + 1])
             if not len(fits):
@@ -92,26 +133,34 @@ class Complements:
             gap -= n * a
         return tuple(chosen)
 
+    def use(self, pattern: tuple[int, ...]) -> int:
+        """Take a pattern as often as the counts allow."""
+        lengths, uses = np.unique(pattern, return_counts=True)
+        copies = int((self.left[lengths] // uses).min())
+        self.left[lengths] -= copies * uses
+        return copies
 
-def plan(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of lengths and how often each is used; ``counts[n]`` pieces have length ``n`` and the capacity is the last index."""
-    index, capacity = Complements(counts), len(counts) - 1
+
+def _planned(counts: np.ndarray, exact_first: bool) -> list[tuple[tuple[int, ...], int]]:
+    tables = SumTables(counts)
+    either = lambda longest: tables.exact(longest) or tables.best_fit(longest)
     patterns: list[tuple[tuple[int, ...], int]] = []
-    for longest in range(capacity, 0, -1):
-        while index.left[longest] > 0:
-            index.left[longest] -= 1
-            gap = capacity - longest
-            rest = () if gap == 0 else index.single(gap) or index.pair(gap) or index.triple(gap)
-            if rest is None:
-                rest = index.best_fit(gap)
-            index.left[longest] += 1
-            lengths, uses = np.unique((longest, *rest), return_counts=True)
-            copies = int((index.left[lengths] // uses).min())
-            index.left[lengths] -= copies * uses
-            patterns.append(((longest, *rest), copies))
+    for find in (tables.exact, tables.best_fit) if exact_first else (either,):
+        for longest in range(len(counts) - 1, 0, -1):
+            while tables.left[longest] > 0 and (pattern := find(longest)):
+                patterns.append((pattern, tables.use(pattern)))
     return patterns
 
 
+def plan(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns of lengths and how often each is used; ``counts[n]`` pieces have length ``n`` and the capacity is the last index.
+
+    Either exact fills are used up before best fit packs the residual lengths, or a length without an exact fill is packed at once by best
+    fit, before shorter ones take what fits beside it.  The plan with fewer sequences is taken, the first of the two if both have as many.
+    """
+    return min((_planned(counts, first) for first in (True, False)), key=lambda patterns: sum(copies for _, copies in patterns))
+
+
 def slots(patterns: list[tuple[tuple[int, ...], int]]) -> pd.DataFrame:
     """Where the pieces of each length go, by their rank: ``copies`` ranks from ``first`` on, to sequences from ``sequence`` on."""
     next_rank: dict[int, int] = {}

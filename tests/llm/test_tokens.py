@@ -3,6 +3,8 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections import Counter
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -101,3 +103,38 @@ def test_bpe_round_trip_of_odd_rows(odd_docs, no_docs):
         assert r["n_tokens"] == len(r["ids"]) and r["decoded_sha256"] == hashlib.sha256(r["decoded"].encode()).hexdigest()
         assert r["ids_sha256"] == hashlib.sha256(np.array(r["ids"], "<u4").tobytes()).hexdigest()
     assert bpe.bpe_round_trip(no_docs, BYTE).count() == 0
+
+
+def test_small_packings_need_the_fewest_sequences():
+    """Against an exhaustive packer: every exact fill is found, and best fit loses nothing at this size."""
+
+    def fewest(lengths: tuple[int, ...], capacity: int) -> int:
+        @lru_cache(None)
+        def go(left: tuple[int, ...]) -> int:
+            if not left:
+                return 0
+            first, rest = left[-1], left[:-1]
+            best = len(left)
+            for k in range(len(rest) + 1):
+                for others in set(combinations(rest, k)):
+                    if sum(others) + first <= capacity:
+                        remaining = list(rest)
+                        for o in others:
+                            remaining.remove(o)
+                        best = min(best, 1 + go(tuple(remaining)))
+            return best
+
+        return go(tuple(sorted(lengths)))
+
+    for seed in range(40):
+        r = np.random.default_rng(seed)
+        capacity = int(r.integers(6, 16))
+        lengths = tuple(int(x) for x in r.integers(1, capacity + 1, int(r.integers(1, 8))))
+        counts = np.bincount(lengths, minlength=capacity + 1)
+        patterns = packing.plan(counts)
+        used = np.zeros(capacity + 1, np.int64)
+        for pattern, copies in patterns:
+            assert sum(pattern) <= capacity
+            np.add.at(used, list(pattern), copies)
+        assert used.tolist() == counts.tolist()
+        assert sum(copies for _, copies in patterns) == fewest(lengths, capacity), (seed, lengths, capacity)
