@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.llm.common import balanced, rows_per_batch, texts_of
-from tapeloom.llm.token_ids import ChunkIds
+from tapeloom.llm.token_ids import worker_ids
 from tapeloom.sources.workspace import stored
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Chunks that a worker keeps from task to task, about 200 bytes each.
+WORKER_REMEMBERS = 800_000
 #: Pieces of one length that are ranked together.
 RANKED_TOGETHER = 50_000
 
@@ -37,7 +39,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int =
     """Encode each document, add the end id, and cut only what is longer than the capacity."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = ChunkIds(vocabulary, lambda a: a.astype("<u4").tobytes())
+        ids = worker_ids(vocabulary, WORKER_REMEMBERS)
         end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for b in balanced(batches):
             out: list[tuple] = []

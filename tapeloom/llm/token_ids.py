@@ -10,7 +10,8 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterator
-from itertools import chain, filterfalse
+from functools import lru_cache
+from itertools import chain
 from unicodedata import is_normalized
 
 import numpy as np
@@ -42,6 +43,17 @@ def slices(text: str, most: int = LONG_TEXT) -> Iterator[str]:
     yield text[start:] if start else text
 
 
+def id_bytes(ids: np.ndarray) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return ids.astype("<u4").tobytes()
+
+
+@lru_cache(maxsize=2)
+def worker_ids(path: str, remembered: int) -> ChunkIds:
+    """The chunks that a Python worker remembers as bytes of ids, kept from task to task."""
+    return ChunkIds(path, id_bytes, remembered)
+
+
 class ChunkIds:
     """Ids of texts by remembered chunks.  ``store`` makes what is remembered of a chunk from its ids; joining chunks adds it up."""
 
@@ -96,23 +108,24 @@ class ChunkIds:
         ids = np.array(got.ids, dtype=np.uint32)
         cuts = np.flatnonzero(ids == self.mark).tolist()
         if len(cuts) == len(group) - 1:
-            parts = [ids[s:e] for s, e in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)])]
+            bounds = zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)])
+            if self.store is id_bytes:  # cut once as bytes
+                raw = id_bytes(ids)
+                self.known.update(zip(group, [raw[4 * s : 4 * e] for s, e in bounds]))
+            else:
+                self.known.update(zip(group, [self.store(ids[s:e]) for s, e in bounds]))
         else:  # not separable: each by itself
-            parts = [self.whole(c) for c in group]
-        store = self.store
-        self.known.update((c, store(p)) for c, p in zip(group, parts))
+            self.known.update((c, self.store(self.whole(c))) for c in group)
 
     def batch(self, texts: list[str]) -> Iterator[Iterator]:
         """What is stored for the chunks of each text, in order."""
         if len(self.known) > self.remembered:
             self.known.clear()
         cut = [[self.chunks(s) for s in slices(t)] for t in texts]
-        wanted: set[str] = set()
+        met: set[str] = set()
         for parts in cut:
-            for p in parts:
-                if p is not None:
-                    wanted.update(filterfalse(self.known.__contains__, p))
-        self.learn(wanted)
+            met.update(*filter(None, parts))
+        self.learn(met.difference(self.known))
         get = self.known.__getitem__
         for t, parts in zip(texts, cut):
             if any(p is None for p in parts):
