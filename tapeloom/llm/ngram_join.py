@@ -20,10 +20,10 @@ can be missing from a partner, which gives every bound below.
 No pairs of a group are listed: a group is read as one bitmap-like index per chunk of queries, and a query reports classes, not copies.
 
 A document without words, or with a null text, has an empty set, links with nothing and is its own class; with fewer words than ``width`` the
-whole sequence is its one shingle.  A null id is returned without a class.  Rows that repeat an id are one node: where their texts
-differ, one of them, the smallest by set, stands for the id in links.  An empty table gives an empty result.
+whole sequence is its one shingle.  A null id is returned without a class.  Rows that repeat an id are one document: where their texts
+differ, each text is searched for and the id has the links of all.  An empty table gives an empty result.
 
-The ids that stay are broadcast to their texts while there are at most ``BROADCAST_IDS`` of them, and joined by a shuffle beyond.
+The sets that stay are broadcast to their texts while there are at most ``BROADCAST_IDS`` of them, and joined by a shuffle beyond.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ QUARTER = np.uint64(1 << 62)
 WHOLE = 100
 #: Sets of one batch that may each send a token that they share.
 SENDERS = 2
-#: Ids that may be broadcast, 8 MB of them.
+#: Sets that may be broadcast by number, first id, hash of its text and signature, 40 MB of them.
 BROADCAST_IDS = 1 << 20
 GROUP_SIZE = 256
 QUERY_CHUNK = 1024
@@ -108,16 +108,16 @@ def _signature(raw: list[bytes]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n, s1, s2``: sizes and 128-bit signatures of the sets."""
+    """``doc_id, th, n, s1, s2``: sizes and 128-bit signatures of the sets, and a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in balanced(batches):
             raw = [shingles(t, width, hashes).tobytes() for t in b.column(1).to_pylist()]
             s = _signature(raw)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(r) // 8 for r in raw], pa.int64()), pa.array(s[:, 0]), pa.array(s[:, 1])], ["doc_id", "n", "s1", "s2"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(r) // 8 for r in raw], pa.int64()), pa.array(s[:, 0]), pa.array(s[:, 1])], ["doc_id", "th", "n", "s1", "s2"])
 
-    return rows_per_batch(docs).mapInArrow(run, "doc_id long, n long, s1 long, s2 long")
+    return rows_per_batch(docs.select("doc_id", "text", F.xxhash64("text").alias("th"))).mapInArrow(run, "doc_id long, th long, n long, s1 long, s2 long")
 
 
 def _index_rows(docs: DataFrame, width: int, similar: int) -> DataFrame:
@@ -162,22 +162,29 @@ def survivors(docs: DataFrame, width: int, similar: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n, family, tokens`` of rows ``doc_id, text, s1, s2`` whose set has that signature; ``family`` is the smallest token under a second hash."""
+    """``doc_id, n, family, tokens`` of rows ``node, text, s1, s2`` whose set has that signature, with the node as id.
+
+    ``family`` is the smallest token under a second hash.  A task gives a node once, however often its row repeats.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
+        given: set[int] = set()
         for b in balanced(batches):
             ids, n, family, raw = [], [], [], []
-            for doc_id, text, s1, s2 in zip(*(c.to_pylist() for c in b.columns)):
+            for node, text, s1, s2 in zip(*(c.to_pylist() for c in b.columns)):
+                if node in given:
+                    continue
                 tokens = shingles(text, width, hashes)
                 if len(tokens) and _signature([tokens.tobytes()])[0].tolist() == [s1, s2]:
-                    ids.append(doc_id)
+                    given.add(node)
+                    ids.append(node)
                     n.append(len(tokens))
                     family.append(int(_mixed(tokens + np.uint64(0x5851F42D4C957F2D)).min().view(np.int64)))
                     raw.append(tokens.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(family, pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "n", "family", "tokens"])
 
-    return rows_per_batch(docs.select("doc_id", "text", "s1", "s2")).mapInArrow(run, "doc_id long, n long, family long, tokens binary")
+    return rows_per_batch(docs.select("node", "text", "s1", "s2")).mapInArrow(run, "doc_id long, n long, family long, tokens binary")
 
 
 def _linked(n_a: int | np.ndarray, n_b: int | np.ndarray, common: int | np.ndarray, similar: int):
@@ -292,16 +299,28 @@ def _open(sets: DataFrame, groups: DataFrame, candidates: DataFrame, similar: in
 
 
 def _classes(texts: DataFrame, signed: DataFrame, width: int, similar: int) -> DataFrame:
-    firsts = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("first"))
-    copies = signed.where("n > 0 AND doc_id IS NOT NULL").join(firsts, ["s1", "s2", "n"]).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    one = firsts.groupBy("first").agg(F.min(F.struct("s1", "s2")).alias("s")).select(F.col("first").alias("doc_id"), "s.s1", "s.s2")
-    maybe = stored(one.join(survivors(texts, width, similar), "s1", "left_semi").select("doc_id", "s1", "s2"), "survivors")
+    """``doc_id, component_id`` of ids with a partner.
+
+    The nodes that are searched are sets, numbered as they are written: an id that stands for several texts has several.  Links between
+    sets become links between the first ids that hold them.
+    """
+    held = signed.where("n > 0 AND doc_id IS NOT NULL")
+    firsts = held.groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "th")).alias("at")).select("s1", "s2", "n", F.col("at.doc_id").alias("first"), "at.th")
+    copies = held.drop("th").join(firsts.drop("th"), ["s1", "s2", "n"]).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    searched = firsts.join(survivors(texts, width, similar), "s1", "left_semi")
+    maybe = stored(searched.select(F.monotonically_increasing_id().alias("node"), "first", F.col("th").alias("first_th"), "s1", "s2"), "survivors")
     few = maybe.count() <= BROADCAST_IDS
-    sets = stored(_sets(texts.join(F.broadcast(maybe) if few else maybe, "doc_id"), width), "sets")
+    bounded = lambda df: F.broadcast(df) if few else df
+    same_row = (F.col("doc_id") == F.col("first")) & (F.xxhash64("text") == F.col("first_th"))
+    sets = stored(_sets(texts.join(bounded(maybe), same_row), width), "sets")
     stars = stored(_stars(sets, similar), "stars")
     groups = stored(_grouped(stored(_shared_tokens(sets, stars, similar), "shared-tokens")), "groups")
     found = _open(sets, groups, stored(_candidates(groups), "candidates"), similar)
-    edges = stars.where("class <> doc_id").select(F.col("doc_id").alias("a"), F.col("class").alias("b")).union(found).union(copies)
+    between_sets = stars.where("class <> doc_id").select(F.col("doc_id").alias("a"), F.col("class").alias("b")).union(found)
+    for side in ("a", "b"):
+        ids = maybe.select(F.col("node").alias(side), F.col("first").alias(f"{side}_id"))
+        between_sets = between_sets.join(bounded(ids), side)
+    edges = between_sets.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).union(copies)
     return components(edges).select(F.col("node").alias("doc_id"), F.col("label").alias("component_id"))
 
 

@@ -56,6 +56,24 @@ def families(seed):
     return list(enumerate(rows))
 
 
+def test_an_id_with_several_texts_has_the_links_of_all(spark):
+    """Ids that repeat with other texts: all rows are compared by hand, and an id is one document."""
+    other, shared = (" ".join(f"{name}{k}" for k in range(200)) for name in "at")
+    near = shared.rsplit(" ", 1)[0]
+    rows = [(5, other), (5, shared), (7, shared), (8, shared), (9, near), (9, None), (3, "a b"), (3, "x y z"), (6, "X y z")]
+    rows += [(100 + i % 40, text) for i, text in families(9)]
+    by_row = classes_by_hand(list(enumerate(t for _, t in rows)), 4, 85)
+    label = {i: i for i, _ in rows}
+    links = [(rows[r][0], rows[top][0]) for r, (_, top) in by_row.items()]
+    for _ in rows:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    got = ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4, 85).collect()
+    assert len(got) == len(rows) and label[9] == label[8] == 5 and label[6] == 3
+    for r in got:
+        assert r["component_id"] == (label[r["doc_id"]] if r["n_shingles"] else r["doc_id"])
+
+
 @pytest.mark.parametrize(("seed", "width", "similar"), [(1, 4, 85), (2, 5, 80), (3, 2, 70)])
 def test_join_against_all_pairs(spark, seed, width, similar):
     rows = families(seed)
