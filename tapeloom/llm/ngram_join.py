@@ -162,7 +162,7 @@ def survivors(docs: DataFrame, width: int, similar: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n, family, tokens`` of rows ``node, text, s1, s2`` whose set has that signature, with the node as id.
+    """``doc_id, first, n, family, tokens`` of rows ``node, first, text, s1, s2`` whose set has that signature, with the node as id.
 
     ``family`` is the smallest token under a second hash.  A task gives a node once, however often its row repeats.
     """
@@ -171,20 +171,21 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
         hashes = WordHashes()
         given: set[int] = set()
         for b in balanced(batches):
-            ids, n, family, raw = [], [], [], []
-            for node, text, s1, s2 in zip(*(c.to_pylist() for c in b.columns)):
+            ids, firsts, n, family, raw = [], [], [], [], []
+            for node, first, text, s1, s2 in zip(*(c.to_pylist() for c in b.columns)):
                 if node in given:
                     continue
                 tokens = shingles(text, width, hashes)
                 if len(tokens) and _signature([tokens.tobytes()])[0].tolist() == [s1, s2]:
                     given.add(node)
                     ids.append(node)
+                    firsts.append(first)
                     n.append(len(tokens))
                     family.append(int(_mixed(tokens + np.uint64(0x5851F42D4C957F2D)).min().view(np.int64)))
                     raw.append(tokens.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(family, pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "n", "family", "tokens"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (ids, firsts, n, family)), pa.array(raw, pa.binary())], ["doc_id", "first", "n", "family", "tokens"])
 
-    return rows_per_batch(docs.select("node", "text", "s1", "s2")).mapInArrow(run, "doc_id long, n long, family long, tokens binary")
+    return rows_per_batch(docs.select("node", "first", "text", "s1", "s2")).mapInArrow(run, "doc_id long, first long, n long, family long, tokens binary")
 
 
 def _linked(n_a: int | np.ndarray, n_b: int | np.ndarray, common: int | np.ndarray, similar: int):
@@ -194,10 +195,10 @@ def _linked(n_a: int | np.ndarray, n_b: int | np.ndarray, common: int | np.ndarr
 def _stars(sets: DataFrame, similar: int) -> DataFrame:
     """``doc_id, class``: members that link to the leader of their family have the leader's id as class, others their own.
 
-    Only the sets of members of a family of two or more are moved.
+    The leader is the set of the smallest first id: where texts are changed copies of an earlier one, all of them link to that.  Only the sets of members of a family of two or more are moved.
     """
-    narrow = sets.select("doc_id", "family")
-    leaders = narrow.groupBy("family").agg(F.min("doc_id").alias("leader"))
+    narrow = sets.select("doc_id", "first", "family")
+    leaders = narrow.groupBy("family").agg(F.min(F.struct("first", "doc_id"))["doc_id"].alias("leader"))
     assigned = narrow.join(leaders, "family").select("doc_id", "leader").distinct()
     follow = assigned.where("leader <> doc_id").join(sets.select("doc_id", "tokens"), "doc_id")
     lead = sets.select(F.col("doc_id").alias("leader"), F.col("tokens").alias("leader_tokens"))
