@@ -16,19 +16,19 @@ def stored_curves(bars: DataFrame) -> DataFrame:
     """Equity curves (strategy, fold, date, equity): each ticker held through each year from its first open."""
     w = Window.partitionBy("ticker", F.year("date")).orderBy("date")
     first = F.first("open").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return bars.select(F.col("ticker").alias("strategy"), F.year("date").alias("fold"), "date", (CAPITAL * F.col("close") / first).alias("equity"))
+    return bars.select(F.col("ticker").alias("strategy"), F.year("date").alias("fold"), "date", ind.ratio(CAPITAL * F.col("close"), first).alias("equity"))
 
 
 def fold_returns(curve: DataFrame) -> DataFrame:
     """Daily returns, each fold starting from its own capital."""
     w = Window.partitionBy("strategy", "fold").orderBy("date")
-    return curve.withColumn("prev", F.coalesce(F.lag("equity").over(w), F.lit(CAPITAL))).withColumn("r", F.col("equity") / F.col("prev") - 1)
+    return curve.withColumn("prev", F.coalesce(F.lag("equity").over(w), F.lit(CAPITAL))).withColumn("r", ind.ratio("equity", "prev") - 1)
 
 
 def with_benchmark(returns: DataFrame, bench: DataFrame) -> DataFrame:
     """Benchmark return of the same days: open to close on a fold's first day, close to close after."""
     w = Window.partitionBy(F.lit(0)).orderBy("date")
-    b = bench.select("date", (F.col("close") / F.lag("close").over(w) - 1).alias("_c2c"), (F.col("close") / F.col("open") - 1).alias("_o2c"))
+    b = bench.select("date", (ind.ratio("close", F.lag("close").over(w)) - 1).alias("_c2c"), (ind.ratio("close", "open") - 1).alias("_o2c"))
     first = F.row_number().over(Window.partitionBy("strategy", "fold").orderBy("date")) == 1
     j = returns.join(b, "date", "left").withColumn("first_day", first)
     return j.withColumn("rb", F.coalesce(F.when(F.col("first_day"), F.col("_o2c")).otherwise(F.col("_c2c")), F.lit(0.0))).drop("_c2c", "_o2c")
@@ -37,7 +37,7 @@ def with_benchmark(returns: DataFrame, bench: DataFrame) -> DataFrame:
 def _drawdown(returns: DataFrame, keys: list[str]) -> DataFrame:
     so_far = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     c = returns.withColumn("curve", F.exp(F.sum(F.log1p("r")).over(so_far)))
-    return c.withColumn("dd", F.col("curve") / F.max("curve").over(so_far) - 1)
+    return c.withColumn("dd", ind.ratio("curve", F.max("curve").over(so_far)) - 1)
 
 
 def metrics(returns: DataFrame, keys: list[str], days: float = 252.0) -> DataFrame:
@@ -60,7 +60,7 @@ def pair_comparison(returns: DataFrame, against: str) -> DataFrame:
         F.count_if("win").alias("fold_wins"), F.count("*").alias("folds"))
     year = F.sqrt(F.lit(252.0))
     g = j.groupBy("strategy").agg(F.count("*").alias("n"), (F.avg("d") * 252 * 100).alias("annual_diff"), (F.stddev_samp("d") * year * 100).alias("tracking_error"),
-                                  (F.avg("d") / F.stddev_samp("d") * year).alias("info_ratio"))
+                                  (ind.ratio(F.avg("d"), F.stddev_samp("d")) * year).alias("info_ratio"))
     return g.join(wins, "strategy")
 
 
@@ -106,7 +106,7 @@ def variant_summary(returns: DataFrame) -> DataFrame:
 
 def paired_returns(bars: DataFrame, bench: DataFrame) -> DataFrame:
     w = Window.partitionBy(F.lit(0)).orderBy("date")
-    b = bench.select("date", (F.col("close") / F.lag("close").over(w) - 1).alias("x"))
+    b = bench.select("date", (ind.ratio("close", F.lag("close").over(w)) - 1).alias("x"))
     return bars.select("ticker", "date", ind.change_pct().alias("y")).join(b, "date")
 
 
@@ -121,5 +121,5 @@ def sector_tests(t) -> DataFrame:
     """Mean excess of each sector against zero, with a two-sided p-value."""
     x = ledger.trade_excess(t.trades, t.bench, t.dividends, t.sectors)
     n = F.count("*")
-    g = x.groupBy("sector").agg(n.alias("n"), (F.avg("excess_realistic") / (F.stddev_samp("excess_realistic") / F.sqrt(n))).alias("t"))
+    g = x.groupBy("sector").agg(n.alias("n"), ind.ratio(F.avg("excess_realistic"), F.stddev_samp("excess_realistic") / F.sqrt(n)).alias("t"))
     return g.withColumn("p", stats.p_value(F.col("t"), F.col("n") - 1))

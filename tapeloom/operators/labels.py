@@ -180,7 +180,7 @@ def board(bars: DataFrame) -> DataFrame:
         c("ema22").alias("ma22"), c("ema50").alias("ma50"), c("ema200").alias("ma200"), "ma_slope", "price_vs_ma", "value_zone",
         "macd_line", "macd_signal", "macd_hist", "macd_cross", "macd_hist_slope", "trend_health", "macd_hist_extreme",
         "macd_hist_divergence", "plus_di", "minus_di", "adx", "di_bias", "adx_trend", "adx_regime", "atr",
-        (c("atr") / c("close") * 100).alias("atr_pct"), "rsi", "rsi_zone", "rsi_divergence", "stoch_k", "stoch_d", "stoch_zone",
+        (ind.ratio("atr", "close") * 100).alias("atr_pct"), "rsi", "rsi_zone", "rsi_divergence", "stoch_k", "stoch_d", "stoch_zone",
         "stoch_k_divergence", "volume", "volume_vs_avg", "obv", "obv_trend", "obv_divergence", "ad", "ad_trend", "ad_divergence",
         "force_short", "force_short_zone", "force_short_divergence", "force_long", "force_long_bias", "force_long_divergence",
         "impulse_daily", F.coalesce("impulse_weekly", F.lit("Blue")).alias("impulse_weekly"),

@@ -28,7 +28,7 @@ def since_entry(positions: DataFrame, bars: DataFrame, arm_pct: float = 8.0, tra
     priced = averages(bars.withColumn("_tr", ind.true_range()), {"atr": (F.col("_tr"), wilder(14))}).drop("_tr")
     numbered = held.numbered(priced.select("ticker", "date", "high", "low", "close", "atr"))
     tree = stored(held.block_tree(numbered, trail_atr), "bar-blocks")
-    gained = (F.col("close") / F.col("entry_price") - 1) * 100 >= arm_pct
+    gained = (ind.ratio("close", "entry_price") - 1) * 100 >= arm_pct
     p = stored(held.located(positions, numbered).withColumn("tdays", F.col("b") - F.col("a") + 1), "located")
     p = stored(held.extremes(p, tree, gained), "located")
     m = held.first_at(p, tree, gained)
@@ -50,8 +50,8 @@ def exit_view(positions: DataFrame, bars: DataFrame, stop_atr: float, trail_atr:
     g = since_entry(positions, bars, arm_pct, trail_atr)
     atr_stop = F.col("entry_price") - stop_atr * F.col("z.atr")
     g = g.select("*", F.col("z.close").alias("last_close"), F.col("z.low").alias("last_low"), F.col("z.date").alias("last_date"),
-                 ((F.col("peak") / F.col("entry_price") - 1) * 100).alias("max_pnl_pct"),
-                 ((F.col("z.close") / F.col("entry_price") - 1) * 100).alias("pnl_pct"),
+                 ((ind.ratio("peak", "entry_price") - 1) * 100).alias("max_pnl_pct"),
+                 ((ind.ratio("z.close", "entry_price") - 1) * 100).alias("pnl_pct"),
                  F.coalesce("planned_stop", atr_stop).alias("initial_stop"),
                  (F.col("hh") - trail_atr * F.col("z.atr")).alias("_trail"))
     trail = F.greatest("_trail", F.coalesce("armed", F.col("_trail")))
@@ -75,29 +75,33 @@ def fixed_exits(positions: DataFrame, bars: DataFrame, max_days: int = 10) -> Da
     hit, top, late = F.col("z.low") <= F.col("stop_price"), F.col("z.high") >= F.col("target_price"), F.col("tdays") >= max_days
     fill = F.when(hit, F.col("stop_price")).when(top, F.col("target_price")).otherwise(F.col("z.close"))
     reason = F.when(hit, "STOP_HIT").when(top, "TARGET_HIT").when(late, "TIME_STOP").otherwise("OK")
-    return g.select("position_id", "ticker", "tdays", fill.alias("fill_price"), ((fill / F.col("entry_price") - 1) * 100).alias("pnl_pct"),
+    return g.select("position_id", "ticker", "tdays", fill.alias("fill_price"), ((ind.ratio(fill, "entry_price") - 1) * 100).alias("pnl_pct"),
                     F.when(reason == "OK", "HOLD").otherwise("SELL").alias("status"), reason.alias("reason"))
 
 
 def trailing_status(positions: DataFrame, bars: DataFrame, trail: float) -> DataFrame:
     g = since_entry(positions, bars).withColumn("current", F.col("z.close"))
-    drop = (F.col("peak") - F.col("current")) / F.col("peak")
+    drop = ind.ratio(F.col("peak") - F.col("current"), "peak")
     return g.select("position_id", "ticker", "peak", "current", drop.alias("drop_from_peak"),
-                    ((F.col("current") - F.col("entry_price")) / F.col("entry_price")).alias("gain"), (drop >= trail).alias("flagged"))
+                    ind.ratio(F.col("current") - F.col("entry_price"), "entry_price").alias("gain"), (drop >= trail).alias("flagged"))
 
 
 def dividends_in_hold(trades: DataFrame, dividends: DataFrame) -> DataFrame:
     """Dividends with an ex-date after the entry and up to the exit.
 
     The sum over a range is the difference of two running totals, so the range
-    join becomes two as-of look-ups.
+    join becomes two as-of look-ups.  Units that fit a decimal are added up exactly, so that no
+    difference loses digits; larger ones are added up apart from them, as doubles.
     """
     w = Window.partitionBy("ticker").orderBy("ex_date").rowsBetween(Window.unboundedPreceding, 0)
-    paid = dividends.withColumn("paid", F.sum("units").over(w)).select("ticker", "ex_date", "paid")
-    j = asof_join(trades, paid, "ticker", "entry_date", "ex_date", {"paid": "_before"})
-    j = asof_join(j, paid, "ticker", "exit_date", "ex_date", {"paid": "_after"}, points=trades)
-    units = F.coalesce("_after", F.lit(0)) - F.coalesce("_before", F.lit(0))
-    return j.withColumn("dividends", units * F.col("shares") / 10000).drop("_before", "_after")
+    u = F.col("units")
+    paid = dividends.select(
+        "ticker", "ex_date", F.sum(F.when(u < 9e18, u.cast("decimal(20,0)")).otherwise(0)).over(w).alias("paid"),
+        F.sum(F.when(u >= 9e18, u).otherwise(0.0)).over(w).alias("large"))
+    j = asof_join(trades, paid, "ticker", "entry_date", "ex_date", {"paid": "_before", "large": "_before_large"})
+    j = asof_join(j, paid, "ticker", "exit_date", "ex_date", {"paid": "_after", "large": "_after_large"}, points=trades)
+    since = lambda c: (F.coalesce(f"_after{c}", F.lit(0)) - F.coalesce(f"_before{c}", F.lit(0))).cast("double")
+    return j.withColumn("dividends", (since("") + since("_large")) * F.col("shares") / 10000).drop("_before", "_after", "_before_large", "_after_large")
 
 
 def latest_intent_within(trades: DataFrame, intents: DataFrame, tolerance: float = 1e-6) -> DataFrame:
@@ -143,11 +147,11 @@ def trade_excess(trades: DataFrame, bench: DataFrame, dividends: DataFrame, sect
     t = asof_join(t, r, None, "entry_date", "r_date", {"regime": "regime"}, strict=True, points=trades)
     t = t.join(sectors, "ticker", "left")
     n0, n1 = F.col("entry_price") * F.col("shares"), F.col("exit_price") * F.col("shares")
-    t = t.withColumn("entry_notional", n0).withColumn("bench_ret", F.col("b_close") / F.col("b_open") - 1)
+    t = t.withColumn("entry_notional", n0).withColumn("bench_ret", ind.ratio("b_close", "b_open") - 1)
     gross = n1 - n0 + F.col("dividends")
     t = t.withColumn("gross_pnl", gross).withColumn("bench_pnl", n0 * F.col("bench_ret"))
     for name, bps in SPREADS.items():
-        t = t.withColumn(f"excess_{name}", (F.col("gross_pnl") - F.col("bench_pnl") - (n0 + n1) * bps / 10000) / F.col("entry_notional") * 100)
+        t = t.withColumn(f"excess_{name}", ind.ratio(F.col("gross_pnl") - F.col("bench_pnl") - (n0 + n1) * bps / 10000, "entry_notional") * 100)
     stop_pct = (5 + F.col("trade_id") % 4).cast("double")
     return t.select("*", stop_pct.alias("stop_pct")).select(
         "trade_id", "ticker", "book", "entry_date", "exit_date", "entry_notional", "gross_pnl", "bench_ret", "bench_pnl", "dividends",
@@ -181,7 +185,7 @@ def trade_stats(trades: DataFrame, keys: list[str]) -> DataFrame:
     A mean without a trade is 0, and the profit factor without a loss is infinite.
     """
     pnl = (F.col("exit_price") - F.col("entry_price")) * F.col("shares")
-    pct = (F.col("exit_price") / F.col("entry_price") - 1) * 100
+    pct = (ind.ratio("exit_price", "entry_price") - 1) * 100
     t = trades.withColumn("pnl", pnl).withColumn("pct", pct)
     zero = F.lit(0.0)
     won = F.coalesce(F.sum(F.when(F.col("pnl") > 0, F.col("pnl"))), zero)
@@ -203,7 +207,7 @@ def mark_to_market(positions: DataFrame, bars: DataFrame, max_age: int = 10) ->
     price = F.when(fresh, F.col("last")).otherwise(F.col("entry_price"))
     cost, value = F.col("entry_price") * F.col("shares"), price * F.col("shares")
     return j.select("position_id", "book", "ticker", "shares", "entry_price", price.alias("price"), cost.alias("cost"), value.alias("value"),
-                    (value - cost).alias("unrealized"), ((price / F.col("entry_price") - 1) * 100).alias("unrealized_pct"))
+                    (value - cost).alias("unrealized"), ((ind.ratio(price, "entry_price") - 1) * 100).alias("unrealized_pct"))
 
 
 def portfolio_kpis(customers: DataFrame, transactions: DataFrame, marked: DataFrame) -> DataFrame:
@@ -222,7 +226,7 @@ def monthly_grid(curve: DataFrame) -> DataFrame:
     """Month-end returns of one equity curve as a year-by-month grid."""
     ends = curve.groupBy(F.year("date").alias("year"), F.month("date").alias("month")).agg(F.max_by("equity", "date").alias("equity"))
     w = Window.partitionBy(F.lit(0)).orderBy("year", "month")
-    r = ends.withColumn("ret", (F.col("equity") / F.lag("equity").over(w) - 1) * 100)
+    r = ends.withColumn("ret", (ind.ratio("equity", F.lag("equity").over(w)) - 1) * 100)
     grid = r.groupBy("year").pivot("month", list(range(1, 13))).agg(F.first("ret"))
     return grid.toDF("year", *[f"m{m}" for m in range(1, 13)])
 
@@ -289,7 +293,7 @@ def select_buys(queue: DataFrame, owned: DataFrame, sectors: DataFrame, min_date
     q = q.withColumn("_fits", fits).withColumn("_slot", F.sum(F.col("_fits").cast("int")).over(up()))
     left = F.lit(slots) - F.col("_held")
     price, stop = F.col("price"), F.col("stop_price")
-    shares = F.least(F.floor(F.lit(funds * risk_pct / 100) / (price - stop)), F.floor(F.lit(funds) / left / price))
+    shares = F.least(ind.whole(ind.ratio(F.lit(funds * risk_pct / 100), price - stop)), ind.whole(ind.ratio(F.lit(funds) / left, price)))
     # Once the slots are full every later open row is refused for that, whatever its sector.
     full = F.col("_slot") - F.col("_fits").cast("int") >= left
     gap = price > F.col("planned") * (1 + gap_pct / 100) if gap_pct is not None else F.lit(False)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tapeloom.functions import indicators as ind
 from tapeloom.functions import text
 from tapeloom.operators.asof import asof_join
 from tapeloom.operators.scans import latest, price_context
@@ -138,7 +139,7 @@ def release_events(releases: DataFrame) -> DataFrame:
 
 def financing_metrics(rows: DataFrame) -> DataFrame:
     """Discount to the last close before, dilution, and their buckets; rows carry terms and pre_close."""
-    d, s = F.col("issue_price") / F.col("pre_close") - 1, F.col("offered") / F.nullif("outstanding", F.lit(0.0))
+    d, s = ind.ratio("issue_price", "pre_close") - 1, F.col("offered") / F.nullif("outstanding", F.lit(0.0))
     bucket_d = (F.when(F.col("discount").isNull(), None).when(F.col("discount") >= 0, "a premium (>= 0%)").when(F.col("discount") > -0.10, "b 0 to -10%")
                 .when(F.col("discount") > -0.25, "c -10 to -25%").otherwise("d below -25%"))
     bucket_s = (F.when(F.col("dilution").isNull(), None).when(F.col("dilution") < 0.05, "a < 5%").when(F.col("dilution") < 0.15, "b 5-15%")
@@ -187,7 +188,7 @@ def watch_state(items: DataFrame, history: DataFrame) -> DataFrame:
     """Latest price of each item (the flag price without history), change and age."""
     last = history.groupBy("guid").agg(F.max_by("close", "date").alias("last_close"), F.max("date").alias("last_date"))
     j = items.join(last, "guid", "left").withColumn("price", F.coalesce("last_close", "flag_price"))
-    return j.withColumn("change_pct", (F.col("price") / F.col("flag_price") - 1) * 100).withColumn("days", F.coalesce(F.datediff("last_date", "flagged"), F.lit(0)))
+    return j.withColumn("change_pct", (ind.ratio("price", "flag_price") - 1) * 100).withColumn("days", F.coalesce(F.datediff("last_date", "flagged"), F.lit(0)))
 
 
 def first_listed(requests: DataFrame, known: DataFrame) -> DataFrame:

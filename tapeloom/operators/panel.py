@@ -32,8 +32,8 @@ def market_features(bench: DataFrame) -> DataFrame:
     sma = ind.sma("bench_close", 200, w)
     return m.select(
         "date", "bench_close", "bench_r", F.when(sma.isNotNull(), (F.col("bench_close") > sma).cast("double")).alias("mkt_above_200"),
-        ind.rolling_std("bench_r", 20, w).alias("mkt_vol_20"), (F.col("bench_close") / ind.lag("bench_close", 21, w) - 1).alias("mkt_ret_21"),
-        (F.lead("bench_close", HORIZON).over(w) / F.col("bench_close") - 1).alias("bench_fwd"))
+        ind.rolling_std("bench_r", 20, w).alias("mkt_vol_20"), (ind.ratio("bench_close", ind.lag("bench_close", 21, w)) - 1).alias("mkt_ret_21"),
+        (ind.ratio(F.lead("bench_close", HORIZON).over(w), "bench_close") - 1).alias("bench_fwd"))
 
 
 def sessions_to_report(sessions: DataFrame, earnings: DataFrame, tickers: DataFrame, clip: int = 30) -> DataFrame:
@@ -59,7 +59,7 @@ def features(bars: DataFrame, bench: DataFrame) -> DataFrame:
     """Aligned bars with every feature and label, before the liquidity filter."""
     px = align_to_calendar(bars, bench).join(market_features(bench), "date")
     px = px.withColumn("_tr", ind.true_range()).withColumn("lr", F.ln("close") - F.ln(ind.lag("close")))
-    px = px.withColumn("_dv", F.col("close") * F.col("volume")).withColumn("_gap", F.abs(F.col("open") / ind.lag("close") - 1))
+    px = px.withColumn("_dv", F.col("close") * F.col("volume")).withColumn("_gap", F.abs(ind.ratio("open", ind.lag("close")) - 1))
     px = averages_with_gaps(px, {"atr": (F.col("_tr"), wilder(14))})
     c = F.col("close")
     nz = lambda x: F.nullif(x, F.lit(0.0))
@@ -68,13 +68,13 @@ def features(bars: DataFrame, bench: DataFrame) -> DataFrame:
     px = px.withColumn("stop", F.when(c.isNotNull(), stop_level(c, F.col("atr"), ind.rolling_min("low", 20))))
     return px.select(
         "ticker", "date", "close", "traded", "stop", *MARKET,
-        *[(c / ind.lag("close", n) - 1).alias(f"ret_{n}") for n in (5, 21, 63)],
-        (ind.lag("close", 21) / ind.lag("close", 252) - 1).alias("mom_12_1"), *[ind.rolling_std("lr", n).alias(f"vol_{n}") for n in (5, 20, 60)],
-        (F.col("atr") / c).alias("atr_pct"), (F.col("stop") / c - 1).alias("stop_dist_pct"), (c / ind.rolling_max("high", 252) - 1).alias("dist_52w_high"),
-        (c / ind.rolling_min("low", 252) - 1).alias("dist_52w_low"), (F.col("volume") / nz(ind.prior_mean("volume", 20))).alias("vol_ratio_20"),
+        *[(ind.ratio(c, ind.lag("close", n)) - 1).alias(f"ret_{n}") for n in (5, 21, 63)],
+        (ind.ratio(ind.lag("close", 21), ind.lag("close", 252)) - 1).alias("mom_12_1"), *[ind.rolling_std("lr", n).alias(f"vol_{n}") for n in (5, 20, 60)],
+        ind.ratio("atr", c).alias("atr_pct"), (ind.ratio("stop", c) - 1).alias("stop_dist_pct"), (ind.ratio(c, ind.rolling_max("high", 252)) - 1).alias("dist_52w_high"),
+        (ind.ratio(c, ind.rolling_min("low", 252)) - 1).alias("dist_52w_low"), (F.col("volume") / nz(ind.prior_mean("volume", 20))).alias("vol_ratio_20"),
         (F.col("volume") / nz(ind.prior_mean("volume", 100))).alias("vol_ratio_100"), ind.sma("_gap", 20).alias("gap_abs_20"),
         F.when(paired, F.covar_samp("lr", "bench_r").over(f60) / nz(F.var_samp("bench_r").over(f60))).alias("beta_60"), ind.sma("_dv", 20).alias("dollar_vol_20"),
-        (ind.lead("close", HORIZON) / c - 1).alias("_fwd"), ind.full(F.min("close").over(fwd), "close", fwd, HORIZON).alias("_min"),
+        (ind.ratio(ind.lead("close", HORIZON), c) - 1).alias("_fwd"), ind.full(F.min("close").over(fwd), "close", fwd, HORIZON).alias("_min"),
         ind.full(F.stddev_samp("lr").over(fwd), "lr", fwd, HORIZON).alias("_rvol"), "bench_fwd")
 
 

@@ -43,14 +43,14 @@ def rolling_beta(bars: DataFrame, bench: DataFrame, n: int = 60) -> DataFrame:
     joined = with_benchmark(bars, benchmark_returns(bench), bench_r="bench_r").withColumn("r", log_return())
     f = ind.rows(-(n - 1), 0)
     ready = (F.count("r").over(f) >= n) & (F.count("bench_r").over(f) >= n)
-    beta = F.covar_samp("r", "bench_r").over(f) / F.var_samp("bench_r").over(f)
+    beta = ind.ratio(F.covar_samp("r", "bench_r").over(f), F.var_samp("bench_r").over(f))
     return joined.withColumn(f"beta_{n}", F.when(ready, beta))
 
 
 def relative_strength(bars: DataFrame, bench: DataFrame) -> DataFrame:
     """Excess return over the benchmark across the last 21 and 63 common bars."""
     j = with_benchmark(bars, bench, bench_close="close")
-    excess = lambda n: F.col("close") / ind.lag("close", n - 1) - F.col("bench_close") / ind.lag("bench_close", n - 1)
+    excess = lambda n: ind.ratio("close", ind.lag("close", n - 1)) - ind.ratio("bench_close", ind.lag("bench_close", n - 1))
     return j.withColumn("rs_1m", excess(21)).withColumn("rs_3m", excess(63))
 
 
@@ -85,8 +85,8 @@ def price_context(bars: DataFrame, need: int = 60) -> DataFrame:
     c, hi, lo = F.col("close"), F.col("high_52w"), F.col("low_52w")
     return out.where(F.col("n") >= need).select(
         "ticker", "date", "close", "high_52w", "low_52w",
-        (c / hi - 1).alias("pct_off_high"), F.when(hi > lo, (c - lo) / (hi - lo)).alias("range_pos"),
-        (c / F.col("c20") - 1).alias("ret_20d"), (c > F.col("s50")).alias("above_sma50"),
+        (ind.ratio(c, hi) - 1).alias("pct_off_high"), F.when(hi > lo, (c - lo) / (hi - lo)).alias("range_pos"),
+        (ind.ratio(c, "c20") - 1).alias("ret_20d"), (c > F.col("s50")).alias("above_sma50"),
         ((c > F.col("s20")) & (F.col("s20") > F.col("s20_5"))).alias("turning_up"),
     )
 

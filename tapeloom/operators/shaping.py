@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tapeloom.functions import indicators as ind
+
 
 def week_ending(date: Column) -> Column:
     """The Friday that closes the week (Saturday to Friday) of a date."""
@@ -99,7 +101,7 @@ def intraday_checkpoints(hourly: DataFrame, daily: DataFrame, hours: list[int])
         *[F.sum(F.when(cut(h), F.col("volume"))).alias(f"volume_{h}") for h in hours],
         *[F.max_by(F.when(cut(h), F.col("close")), F.when(cut(h), F.col("hour"))).alias(f"price_{h}") for h in hours])
     j = day.join(daily.select("ticker", F.col("date").alias("day"), "close"), ["ticker", "day"])
-    scale = F.col("close") / F.col("last_hourly")
+    scale = ind.ratio("close", "last_hourly")
     legs = F.array(*[F.struct(F.lit(h).alias("checkpoint"), F.col(f"volume_{h}").alias("cum_volume"),
                               (F.col(f"price_{h}") * scale).alias("price")) for h in hours])
     return j.select("ticker", "day", "close", F.explode(legs).alias("leg")).select("ticker", "day", "close", "leg.*").where(

@@ -13,12 +13,12 @@ from tapeloom.operators.asof import asof_join
 
 def close_returns(bars: DataFrame, holds: list[int], cost: float) -> DataFrame:
     """Close to k-th later close, net of a round-trip cost."""
-    return bars.select("*", *[(ind.lead("close", k) / F.col("close") - 1 - cost).alias(f"fwd_{k}") for k in holds])
+    return bars.select("*", *[(ind.ratio(ind.lead("close", k), "close") - 1 - cost).alias(f"fwd_{k}") for k in holds])
 
 
 def open_returns(bars: DataFrame, holds: list[int], cost: float) -> DataFrame:
     """Next open to k-th later close, net of a round-trip cost."""
-    return bars.select("*", *[(ind.lead("close", k) / ind.lead("open", 1) - 1 - cost).alias(f"hold_{k}") for k in holds])
+    return bars.select("*", *[(ind.ratio(ind.lead("close", k), ind.lead("open", 1)) - 1 - cost).alias(f"hold_{k}") for k in holds])
 
 
 def cool_down(events: DataFrame, days: int, keys: list[str]) -> DataFrame:
@@ -52,7 +52,7 @@ def trail_returns(points: DataFrame, bars: DataFrame, trail: float = 0.20, n: in
     out = (F.col("close") <= F.col("peak") * (1 - trail)) | (F.col("close") < F.col("stop0"))
     g = j.groupBy(*keys).agg(F.min(F.when(out, F.struct("j", "close"))).alias("x"), F.max(F.when(F.col("j") == n, F.col("close"))).alias("end"),
                              F.max(F.when(F.col("j") == 1, F.col("open"))).alias("entry"))
-    return g.select("ticker", "bar", (F.coalesce("x.close", "end") / F.col("entry") - 1 - cost).alias("trail"))
+    return g.select("ticker", "bar", (ind.ratio(F.coalesce("x.close", "end"), "entry") - 1 - cost).alias("trail"))
 
 
 def target_grid(points: DataFrame, bars: DataFrame, targets: list[int], holds: list[int], cost: float = 0.01) -> DataFrame:
@@ -75,7 +75,7 @@ def target_grid(points: DataFrame, bars: DataFrame, targets: list[int], holds: l
         js = F.when(F.col("s.j") <= h, F.col("s.j")) if stop else F.lit(None).cast("int")
         px = (F.when(js.isNotNull() & (jt.isNull() | (js <= jt)), F.least(F.col("s.open"), F.col("stop0")))
               .when(jt.isNotNull(), F.greatest(F.col(f"t{p}.open"), F.col("entry") * (1 + p / 100))).otherwise(F.col(f"c{h}")))
-        ret = F.when(F.col(f"c{h}").isNotNull(), px / F.col("entry") - 1 - cost)
+        ret = F.when(F.col(f"c{h}").isNotNull(), ind.ratio(px, "entry") - 1 - cost)
         return F.struct(F.lit(p).alias("target"), F.lit("signal_low" if stop else "none").alias("stop_mode"), F.lit(h).alias("hold"), ret.alias("ret"))
 
     cells = F.array(*[cell(p, s, h) for p in targets for s in (False, True) for h in holds])
@@ -102,7 +102,7 @@ def earnings_events(bars: DataFrame, earnings: DataFrame, react: float = 5.0, vo
     cols = {c: c for c in ("d", "bar", "base", "c_1", "c1", "volume", "v1", "next_date")}
     e = asof_join(earnings, right.select("ticker", F.col("d").alias("at"), *cols), "ticker", "report_date", "at", cols, direction="forward")
     e = e.where("c_1 is not null and c1 is not null and base > 0").select(
-        "ticker", "report_date", F.col("next_date").alias("date"), ((F.col("c1") / F.col("c_1") - 1) * 100).alias("reaction"),
+        "ticker", "report_date", F.col("next_date").alias("date"), ((ind.ratio("c1", "c_1") - 1) * 100).alias("reaction"),
         (F.greatest("volume", "v1") / F.col("base")).alias("volx"))
     r = F.col("reaction")
     tags = F.filter(F.array(F.lit("earn_all"), F.when(r >= react, F.lit("react_up")), F.when(r <= -react, F.lit("react_down")),
@@ -171,7 +171,7 @@ def entry_timings(bars: DataFrame, configs: DataFrame, holds: list[int]) -> Data
         entry("same_day", F.lit(True), "date", "close"), entry("confirmed_high", F.col("next_close") > F.col("high"), "next_date", "next_close"),
         entry("confirmed_mid", F.col("next_close") > mid, "next_date", "next_close")), lambda x: x.isNotNull())
     e = hits.select("config", "ticker", F.explode(legs).alias("e")).select("config", "ticker", "e.*").join(fwd, ["ticker", "date"])
-    return unpivot_returns(e.select("*", *[(F.col(f"c{k}") / F.col("price") - 1).alias(f"fwd_{k}") for k in holds]),
+    return unpivot_returns(e.select("*", *[(ind.ratio(f"c{k}", "price") - 1).alias(f"fwd_{k}") for k in holds]),
                            ["config", "timing", "ticker", "date"], [f"fwd_{k}" for k in holds])
 
 
@@ -184,7 +184,7 @@ def checkpoint_returns(reads: DataFrame, daily: DataFrame, n: int = 20, cost: fl
     j = reads.drop("close").join(d, ["ticker", "day"]).where("avg_volume > 0 and prior_close is not null")
     j = j.withColumn("is_event", (F.col("cum_volume") > F.col("avg_volume")) & (F.col("price") > F.col("prior_close")))
     j = j.withColumn("spike_pct", (F.col("cum_volume") / F.col("avg_volume") - 1) * 100)
-    ret = lambda x: F.col(x) / F.col("price") - 1 - cost
+    ret = lambda x: ind.ratio(x, "price") - 1 - cost
     names = {"same_session_close": "x0", "next_day_close": "x1", "2day_close": "x2"}
     legs = F.array(*[F.struct(F.lit(n_).alias("exit"), ret(x).alias("ret")) for n_, x in names.items()])
     keys = ["ticker", "day", "checkpoint", "spike_pct", "is_event"]
@@ -247,7 +247,7 @@ def _universe(bars: DataFrame, bench: DataFrame, cells: list[tuple[int, int, int
     at = lambda s, name: px.select("ticker", F.col("s").alias(s), F.col("close").alias(name))
     base = px.withColumnRenamed("s", "a").join(F.broadcast(legs), "a").where((F.col("n_dv") >= 80) & (F.col("dv") >= min_dollar) & (F.col("close") >= min_price))
     base = base.join(at("buy", "p0"), ["ticker", "buy"]).join(at("sell", "p1"), ["ticker", "sell"])
-    return base.withColumn("fwd", F.least(F.col("p1") / F.col("p0") - 1, F.lit(5.0))), px.select("ticker", "s", "close")
+    return base.withColumn("fwd", F.least(ind.ratio("p1", "p0") - 1, F.lit(5.0))), px.select("ticker", "s", "close")
 
 
 def _ranked(base: DataFrame, px: DataFrame, cells: list[tuple[int, int, int, bool]]) -> DataFrame:
@@ -330,8 +330,8 @@ def release_outcomes(releases: DataFrame, bars: DataFrame, bench: DataFrame, hor
     start = pairs
     for h in horizons:
         pairs = asof_join(pairs, b, "ticker", f"x{h}", "d", {"close": f"p{h}"}, points=start)
-    pairs = pairs.select("ticker", "entry_date", *[F.when(F.col(f"x{h}").isNotNull(), F.col(f"p{h}") / F.col("entry_open") - 1).alias(f"ret_{h}d") for h in horizons],
-                         *[(F.col(f"c{h}") / F.col("b_open") - 1).alias(f"bench_ret_{h}d") for h in horizons])
+    pairs = pairs.select("ticker", "entry_date", *[F.when(F.col(f"x{h}").isNotNull(), ind.ratio(f"p{h}", "entry_open") - 1).alias(f"ret_{h}d") for h in horizons],
+                         *[(ind.ratio(f"c{h}", "b_open") - 1).alias(f"bench_ret_{h}d") for h in horizons])
     out = r.join(pairs, ["ticker", "entry_date"])
     return out.withColumn("complete", F.col(f"ret_{horizons[-1]}d").isNotNull()).drop("_want", "_known")
 
@@ -349,8 +349,8 @@ def note_outcomes(subjects: DataFrame, bars: DataFrame, bench: DataFrame, horizo
     n = asof_join(n, bench_px, None, "entry_date", "bd", {"close": "b0"}, points=start)
     for h in horizons:
         n = asof_join(n, bench_px, None, f"x{h}", "bd", {"close": f"b{h}"}, points=start)
-    return n.select("report_id", "symbol", "published", "entry_date", "entry_close", *[(F.col(f"c{h}") / F.col("entry_close") - 1).alias(f"ret_{h}") for h in horizons],
-                    *[(F.col(f"b{h}") / F.col("b0") - 1).alias(f"bench_{h}") for h in horizons])
+    return n.select("report_id", "symbol", "published", "entry_date", "entry_close", *[(ind.ratio(f"c{h}", "entry_close") - 1).alias(f"ret_{h}") for h in horizons],
+                    *[(ind.ratio(f"b{h}", "b0") - 1).alias(f"bench_{h}") for h in horizons])
 
 
 def dedupe_outcomes(rows: DataFrame, keys: list[str], info: Column, version: str) -> DataFrame:

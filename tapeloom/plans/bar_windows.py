@@ -124,8 +124,8 @@ query("w19_prior_volume", "ticker date:d avg_volume:f volume_ratio:f",
 
 query("w20_year_extremes", "ticker date:d dist_high:f dist_low:f",
       over_bars(f"close / ({full('max(high)', 'high', -251, 0, 252)}) - 1 AS dist_high, close / ({full('min(low)', 'low', -251, 0, 252)}) - 1 AS dist_low"))(
-    lambda t: bars_with(t, dist_high=F.col("close") / ind.rolling_max("high", 252) - 1,
-                        dist_low=F.col("close") / ind.rolling_min("low", 252) - 1))
+    lambda t: bars_with(t, dist_high=ind.ratio("close", ind.rolling_max("high", 252)) - 1,
+                        dist_low=ind.ratio("close", ind.rolling_min("low", 252)) - 1))
 
 query("w21_momentum", "ticker date:d ret_5:f ret_21:f ret_63:f mom_12_1:f",
       over_bars("close / lag(close, 5) OVER[] - 1 AS ret_5, close / lag(close, 21) OVER[] - 1 AS ret_21, "
@@ -175,7 +175,7 @@ query("w28_days_stale", "ticker last_date:d days_stale:i",
 
 query("w29_drawdown", "ticker date:d peak:f drawdown:f",
       over_bars("max(close) OVER[u,0] AS peak, close / max(close) OVER[u,0] - 1 AS drawdown"))(
-    lambda t: bars_with(t, peak=F.max("close").over(ind.to_date())).withColumn("drawdown", F.col("close") / F.col("peak") - 1))
+    lambda t: bars_with(t, peak=F.max("close").over(ind.to_date())).withColumn("drawdown", ind.ratio("close", "peak") - 1))
 
 query("w30_strict_runs", "ticker date:d rising:b falling:b",
       """WITH @bars, x AS (SELECT *, lag(close) OVER[] AS p, lag(close, 2) OVER[] AS pp FROM bars)
