@@ -24,24 +24,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import balanced, rows_per_batch, texts_of
-from tapeloom.llm.token_ids import worker_ids
+from tapeloom.llm.common import BATCH_BYTES, balanced, rows_per_batch, texts_of
+from tapeloom.llm.token_ids import ChunkIds, id_bytes, worker_ids
 from tapeloom.sources.workspace import stored
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Chunks that a worker keeps from task to task, about 200 bytes each.
 WORKER_REMEMBERS = 800_000
+#: Chunks that a task remembers, and bytes of text that it cuts at once, where workers keep nothing.  A cut text needs about ten times its bytes.
+TASK_REMEMBERS = 100_000
+SMALL_BATCH = 1 << 20
 #: Pieces of one length that are ranked together.
 RANKED_TOGETHER = 50_000
 
 
-def pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode each document, add the end id, and cut only what is longer than the capacity."""
+def pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", keep_chunks: bool = True) -> DataFrame:
+    """Encode each document, add the end id, and cut only what is longer than the capacity.
+
+    With ``keep_chunks`` a worker remembers chunks from task to task; without, it remembers fewer of them, takes less text at once and
+    gives that memory back after each task.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = worker_ids(vocabulary, WORKER_REMEMBERS)
+        ids = worker_ids(vocabulary, WORKER_REMEMBERS) if keep_chunks else ChunkIds(vocabulary, id_bytes, TASK_REMEMBERS)
         end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
-        for b in balanced(batches):
+        for b in balanced(batches, most=BATCH_BYTES if keep_chunks else SMALL_BATCH):
             out: list[tuple] = []
             for doc_id, parts in zip(b.column(0).to_pylist(), ids.batch(b.column(1).to_pylist())):
                 raw = b"".join(parts) + end
@@ -207,6 +214,7 @@ def pack(pieces_df: DataFrame, capacity: int = 4096) -> DataFrame:
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(place, f"{PIECES}, sequence_id long, offset long")
 
 
-def best_fit_packing(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def best_fit_packing(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text",
+                     keep_chunks: bool = True) -> DataFrame:
     """Documents to places in sequences; the pieces are written once, since the plan needs all their lengths first."""
-    return pack(stored(pieces(docs, vocabulary, capacity, end_id, id_col, text_col), "pieces"), capacity)
+    return pack(stored(pieces(docs, vocabulary, capacity, end_id, id_col, text_col, keep_chunks), "pieces"), capacity)
