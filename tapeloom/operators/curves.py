@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -34,9 +34,14 @@ def with_benchmark(returns: DataFrame, bench: DataFrame) -> DataFrame:
     return j.withColumn("rb", F.coalesce(F.when(F.col("first_day"), F.col("_o2c")).otherwise(F.col("_c2c")), F.lit(0.0))).drop("_c2c", "_o2c")
 
 
+def log_growth(r: str) -> Column:
+    """ln(1 + r); a total loss is minus infinity, where Spark's own function is NULL and the loss would drop out of a sum."""
+    return F.when(F.col(r) == -1, F.lit(float("-inf"))).otherwise(F.log1p(r))
+
+
 def _drawdown(returns: DataFrame, keys: list[str]) -> DataFrame:
     so_far = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    c = returns.withColumn("curve", F.exp(F.sum(F.log1p("r")).over(so_far)))
+    c = returns.withColumn("curve", F.exp(F.sum(log_growth("r")).over(so_far)))
     return c.withColumn("dd", ind.ratio("curve", F.max("curve").over(so_far)) - 1)
 
 
@@ -56,7 +61,7 @@ def pair_comparison(returns: DataFrame, against: str) -> DataFrame:
     """Every strategy against one: annualised difference, tracking error, information ratio and fold wins."""
     b = returns.where(F.col("strategy") == against).select("date", F.col("r").alias("r_b"))
     j = returns.where(F.col("strategy") != against).join(b, "date").withColumn("d", F.col("r") - F.col("r_b"))
-    wins = j.groupBy("strategy", "fold").agg((F.sum(F.log1p("r")) > F.sum(F.log1p("r_b"))).alias("win")).groupBy("strategy").agg(
+    wins = j.groupBy("strategy", "fold").agg((F.sum(log_growth("r")) > F.sum(log_growth("r_b"))).alias("win")).groupBy("strategy").agg(
         F.count_if("win").alias("fold_wins"), F.count("*").alias("folds"))
     year = F.sqrt(F.lit(252.0))
     g = j.groupBy("strategy").agg(F.count("*").alias("n"), (F.avg("d") * 252 * 100).alias("annual_diff"), (F.stddev_samp("d") * year * 100).alias("tracking_error"),

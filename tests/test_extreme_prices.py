@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from bar_frames import bar_frame
 from tapeloom.functions import indicators as ind
-from tapeloom.operators import ledger, patterns, scans, studies
+from tapeloom.operators import curves, ledger, patterns, scans, studies
 from tapeloom.sources import bridge
 
 DAY = datetime.date(2020, 1, 2)
@@ -63,3 +63,9 @@ def test_swing_high_just_beyond_two_risks(spark):
     got = patterns.with_levels(signals, bars).first()
     assert got["entry"] == 0.43 and got["stop"] == 0.43 * 0.93
     assert got["resistance_based"] and got["target_2r"] == 0.4902
+
+
+def test_total_loss_stays_in_the_curve(spark):
+    rows = [("A", 2020, datetime.date(2020, 1, d), r) for d, r in ((1, 0.5), (2, -1.0), (3, 0.1))]
+    got = curves.metrics(spark.createDataFrame(rows, "strategy string, fold int, date date, r double"), ["strategy"]).first()
+    assert got["total"] == -100.0 and got["max_dd"] == -100.0
