@@ -240,26 +240,31 @@ def fundamentals(facts: DataFrame, stale_days: int = 120) -> DataFrame:
     """
     metric = F.create_map(*[F.lit(x) for m, ts in METRIC_TAGS.items() for t in ts for x in (t, m)])
     order = F.create_map(*[F.lit(x) for m, ts in METRIC_TAGS.items() for i, t in enumerate(ts) for x in (t, i)])
+    # Spread by company before anything is parsed: one task may hold all texts of a small file.  Every later step stays on this partitioning.
+    facts = facts.select("cik", "json").repartition("cik")
     nested = F.get_json_object("json", "$.facts.us-gaap")
     tags = facts.select("cik", F.explode(F.from_json(F.coalesce(nested, F.col("json")), FACTS)).alias("tag", "f"))
     units = tags.select("cik", "tag", F.explode("f.units").alias("unit", "entries"))
     e = units.select("cik", "tag", "unit", F.explode("entries").alias("x")).select(
         "cik", metric[F.col("tag")].alias("metric"), order[F.col("tag")].alias("rank"), "tag", "unit", "x.val", F.to_date("x.end").alias("end"),
         F.datediff(F.to_date("x.end"), F.to_date("x.start")).alias("days")).where("metric is not null and val is not null and end is not null")
-    anchor = e.where("metric = 'assets'").groupBy("cik").agg(F.max("end").alias("anchor"))
-    e = e.join(anchor, "cik", "left")
-    flow = F.col("metric").isin(*FLOWS)
+    m = F.col("metric")
+    company = Window.partitionBy("cik").orderBy("metric").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    e = e.withColumn("anchor", F.max(F.when(m == "assets", F.col("end"))).over(company))
+    flow = m.isin(*FLOWS)
     quarter = F.coalesce(F.col("days").between(80, 100), F.lit(False))
     usable = e.where(flow | F.col("anchor").isNull() | (F.abs(F.datediff("anchor", "end")) <= stale_days))
     best = F.max_by(F.struct("tag", "unit", "val", "end", "days"), F.struct(F.when(flow & quarter, 1).otherwise(0), F.col("end"), -F.col("rank")))
-    picked = usable.groupBy("cik", "metric").agg(best.alias("b")).select("cik", "metric", "b.*")
-    side = lambda m: picked.where(F.col("metric") == m).select("cik", F.col("val").alias(f"{m}_val"), F.col("end").alias(f"{m}_end"), F.col("tag").alias(f"{m}_tag"), "unit")
-    both = side("assets").join(side("equity").drop("unit"), "cik").join(side("liabilities").drop("unit"), "cik", "left")
-    derived = both.where("assets_end = equity_end and (liabilities_tag is null or liabilities_tag = 'LiabilitiesAndStockholdersEquity')").select(
-        "cik", F.lit("liabilities").alias("metric"), F.lit("DERIVED(assets-equity)").alias("tag"), "unit", (F.col("assets_val") - F.col("equity_val")).alias("val"),
-        F.col("assets_end").alias("end"), F.lit(None).cast("int").alias("days"))
-    kept = picked.join(derived.select("cik", "metric"), ["cik", "metric"], "left_anti")
-    return kept.unionByName(derived)
+    picked = usable.groupBy("cik", "metric").agg(best.alias("b"))
+    side = lambda name: F.max(F.when(m == name, F.col("b"))).over(company).alias(name)
+    sides = picked.select("cik", "metric", "b", side("assets"), side("equity"), side("liabilities"))
+    named = F.col("liabilities.tag")
+    derive = F.coalesce((F.col("assets.end") == F.col("equity.end")) & (named.isNull() | (named == "LiabilitiesAndStockholdersEquity")), F.lit(False))
+    derived = F.struct(F.lit("liabilities").alias("metric"), F.lit("DERIVED(assets-equity)").alias("tag"), F.col("assets.unit").alias("unit"),
+                       (F.col("assets.val") - F.col("equity.val")).alias("val"), F.col("assets.end").alias("end"), F.lit(None).cast("int").alias("days"))
+    kept = F.struct("metric", "b.*")
+    rows = F.filter(F.array(F.when(~(derive & (m == "liabilities")), kept), F.when(derive & (m == "assets"), derived)), lambda x: x.isNotNull())
+    return sides.select("cik", F.explode(rows).alias("r")).select("cik", "r.*")
 
 
 def clean_labels(raw: DataFrame, fields: dict[str, tuple[list[str], str]]) -> DataFrame:
