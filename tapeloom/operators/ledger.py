@@ -19,6 +19,17 @@ def last_bars(positions: DataFrame, bars: DataFrame) -> DataFrame:
     return p.withColumn("tdays", F.col("b") - F.col("a") + 1)
 
 
+def positions_with_buys(transactions: DataFrame) -> DataFrame:
+    """Every open position (status O) with each buy booked under its trade: position_id, tx_id, reason.
+
+    A position is an open trade and its trade's buys are rows of the same table, so one pass puts them together; the trades are not
+    worked out once for either side of a join.
+    """
+    buys = transactions.where("side = 'BUY'").select(F.col("trade_id").alias("position_id"), "status", "tx_id", "reason")
+    booked = F.collect_list(F.struct("tx_id", "reason")).over(Window.partitionBy("position_id"))
+    return buys.withColumn("_buys", booked).where("status = 'O'").select("position_id", F.explode("_buys").alias("x")).select("position_id", "x.*")
+
+
 def since_entry(positions: DataFrame, bars: DataFrame, arm_pct: float = 8.0, trail_atr: float = 2.5) -> DataFrame:
     """Positions with their last bar ``z``, ``tdays``, the highest high ``hh`` and close ``peak`` since entry, and the ratcheting trail ``armed``.
 
