@@ -87,6 +87,15 @@ def open_market_buys(transactions: DataFrame) -> DataFrame:
     return transactions.where("code = 'P'")
 
 
+# A code that starts with P, an entity, CDATA, a comment or an instruction; every filing with an open-market purchase has one.
+BUY_CODE = r"<(?:[^<>\s]*:)?(?i:code)(?:\s[^<]*)?>\s*(?:P|&|<!|<\?)"
+
+
+def filed_buys(filings: DataFrame) -> DataFrame:
+    """The open-market purchases of filings; the text of a filing that can't hold one is searched but not parsed."""
+    return open_market_buys(form4_transactions(filings.where(F.col("xml").rlike(BUY_CODE))))
+
+
 def insider_clusters(buys: DataFrame, min_owners: int = 2) -> DataFrame:
     """Company-days with several distinct buyers."""
     g = buys.groupBy("ticker", "filing_date").agg(F.countDistinct("owner").alias("owners"), F.count("*").alias("lots"), F.sum("shares").alias("shares"))

@@ -120,7 +120,7 @@ query("j22_first_listed_symbol", "guid:i symbol",
       """WITH k AS (SELECT DISTINCT 'U' || user_id || CASE user_id % 3 WHEN 0 THEN '.V' WHEN 1 THEN '.CN' ELSE '' END AS symbol, user_id FROM events)
       SELECT event_id AS guid, k.symbol FROM events e JOIN k USING (user_id) WHERE e.ts :: DATE > (SELECT min(ts) :: DATE FROM events)""")(lambda t: notes.listed_requests(t.events))
 query("j27_insider_evidence", "ticker accession sector:s", "WITH @form4 SELECT f.ticker, accession, 'T' || length(f.ticker) AS sector FROM form4 f WHERE code = 'P'")(
-    lambda t: documents.open_market_buys(documents.form4_transactions(raw.form4_filings(t.events))).join(
+    lambda t: documents.filed_buys(raw.form4_filings(t.events)).join(
         t.events.select(F.col("event_type").alias("ticker")).distinct().withColumn("sector", F.concat(F.lit("T"), F.length("ticker").cast("string"))), "ticker"))
 query("a27_coverage_counts", "category releases:i parsed:i analysed:i", f"WITH {RV} SELECT category, count(*) AS releases, count(headline) AS parsed, count(verdict) AS analysed FROM relview GROUP BY 1")(
     lambda t: notes.release_view(t.releases).groupBy("category").agg(F.count("*").alias("releases"), F.count("headline").alias("parsed"), F.count("verdict").alias("analysed")))
@@ -171,7 +171,7 @@ di AS (SELECT *, (buys > 0) :: INT + dk :: INT + cov :: INT - prs :: INT + (uc A
   CASE WHEN lc THEN 'calls lead' END, CASE WHEN lp THEN 'puts lead' END, CASE WHEN le THEN 'calls and puts level' END,
   CASE WHEN (lc OR lp OR le) AND NOT (buys > 0 OR dk OR cov OR prs OR uc OR up) THEN 'nothing unusual' END) AS reasons FROM dh)"""
 signals = lambda t: dark(t).unionByName(shortsig(t)).unionByName(optsig(t)).unionByName(
-    demand.insider_signals(documents.open_market_buys(documents.form4_transactions(raw.form4_filings(t.events)))))
+    demand.insider_signals(documents.filed_buys(raw.form4_filings(t.events))))
 DM = "@bars, @venue, @dark, @shortvol, @shortsig, @options, @form4, @demand"
 query("p50_demand_composite", "ticker label score:i reasons",
       f"WITH {DM} SELECT ticker, CASE WHEN reasons = '' THEN 'no data' WHEN score > 0 THEN CASE WHEN raised THEN 'bullish' ELSE 'mild bullish' END WHEN score < 0 THEN CASE WHEN raised THEN 'bearish' ELSE 'mild bearish' END "
