@@ -172,7 +172,7 @@ def board(bars: DataFrame) -> DataFrame:
     daily = adx_regime(with_divergences(daily_set(bars), BOARD_DIVERGENCES))
     # The other labels look back at most 120 bars, so only those go on.
     recent = label_columns(last_bars(daily, 140))
-    labelled = recent.select("*", (c("close") / ind.lag("close") - 1).alias("_r"), zone("rsi").alias("rsi_zone"), zone("stoch_k").alias("stoch_zone"))
+    labelled = recent.select("*", ind.change_pct().alias("_r"), zone("rsi").alias("rsi_zone"), zone("stoch_k").alias("stoch_zone"))
     week = scans.latest(weekly_labels(bars)).drop("date")
     out = labelled.where("back = 1").join(week, "ticker", "left")
     return out.select(

@@ -258,7 +258,7 @@ def _ranked(base: DataFrame, px: DataFrame, cells: list[tuple[int, int, int, boo
         *[F.max(F.when(F.col("k") == k, F.col("then"))).alias(f"c_{k}") for k in looks])
     close = lambda k: F.col("close") if k == 0 else F.col(f"c_{k}")
     legs = F.array(*[F.struct(F.lit(i).alias("cell"), F.lit(n).alias("top_n"), F.when(
-        F.lit(not trend) | (F.col("close") > F.col("ma200")), close(sk) / close(lb) - 1).alias("mom")) for i, (lb, sk, n, trend) in enumerate(cells)])
+        F.lit(not trend) | (F.col("close") > F.col("ma200")), ind.ratio(close(sk), close(lb)) - 1).alias("mom")) for i, (lb, sk, n, trend) in enumerate(cells)])
     scored = base.join(past, ["ticker", "a"], "left").select("month", "a", "ticker", "fwd", F.explode(legs).alias("x")).select("month", "a", "ticker", "fwd", "x.*").where("mom is not null")
     top = Window.partitionBy("month", "cell").orderBy(F.col("mom").desc(), "ticker")
     picks = scored.withColumn("place", F.row_number().over(top)).where(F.col("place") <= F.col("top_n"))

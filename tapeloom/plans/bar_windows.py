@@ -131,7 +131,7 @@ query("w21_momentum", "ticker date:d ret_5:f ret_21:f ret_63:f mom_12_1:f",
       over_bars("close / lag(close, 5) OVER[] - 1 AS ret_5, close / lag(close, 21) OVER[] - 1 AS ret_21, "
                 "close / lag(close, 63) OVER[] - 1 AS ret_63, lag(close, 21) OVER[] / lag(close, 252) OVER[] - 1 AS mom_12_1"))(
     lambda t: bars_with(t, ret_5=ind.change_pct(n=5), ret_21=ind.change_pct(n=21), ret_63=ind.change_pct(n=63),
-                        mom_12_1=ind.lag("close", 21) / ind.lag("close", 252) - 1))
+                        mom_12_1=ind.ratio(ind.lag("close", 21), ind.lag("close", 252)) - 1))
 
 query("w22_log_volatility", "ticker date:d vol_5:f vol_20:f vol_60:f",
       "WITH @bars, x AS (SELECT *, ln(close) - ln(lag(close) OVER[]) AS r FROM bars) SELECT *, "
@@ -150,7 +150,7 @@ query("w23_rolling_beta", "ticker date:d beta_60:f",
 
 query("w24_mean_gap", "ticker date:d gap_abs_20:f",
       f"WITH @bars, x AS (SELECT *, abs(open / lag(close) OVER[] - 1) AS g FROM bars) SELECT *, {full('avg(g)', 'g', -19, 0, 20)} AS gap_abs_20 FROM x")(
-    lambda t: bars_with(t, g=F.abs(F.col("open") / ind.lag("close") - 1)).withColumn("gap_abs_20", ind.sma("g", 20)))
+    lambda t: bars_with(t, g=F.abs(ind.ratio("open", ind.lag("close")) - 1)).withColumn("gap_abs_20", ind.sma("g", 20)))
 
 query("w25_worst_day", "ticker date:d worst_126:f",
       "WITH @bars, x AS (SELECT *, close / lag(close) OVER[] - 1 AS r FROM bars) SELECT *, min(r) OVER[-125,0] AS worst_126 FROM x")(
