@@ -120,15 +120,19 @@ def latest_intent_within(trades: DataFrame, intents: DataFrame, tolerance: float
 
     Prices meet on a bucket of the tolerance's width; intents enter their own bucket
     and both neighbours, so the join is an equi-join and the exact test is a residual.
+    A bucket is a whole double, as a long ends at prices of 9e12: where no double lies beside it, prices
+    are further apart than the tolerance and only equal ones meet.  Each distinct price is looked up once, a table as small as the bars.
     """
-    bucket = lambda c: F.floor(F.col(c) / tolerance)
+    bucket = lambda c: ind.whole(F.col(c) / tolerance)
     per_price = intents.where("intent_status = 'EXECUTED'").groupBy("ticker", "executed_price").agg(
         F.max(F.struct("processed_at", "intent_id", "stop_price")).alias("i"))
-    spread = per_price.withColumn("_k", F.explode(F.array(bucket("executed_price") - 1, bucket("executed_price"), bucket("executed_price") + 1)))
-    j = trades.withColumn("_k", bucket("entry_price")).join(spread, ["ticker", "_k"], "left")
-    near = F.when(F.abs(F.col("executed_price") - F.col("entry_price")) < tolerance, F.col("i"))
-    return j.groupBy(*trades.columns).agg(F.max(near).alias("i")).select(*trades.columns, F.col("i.intent_id").alias("intent_id"),
-                                                                        F.col("i.stop_price").alias("stop_price"))
+    around = F.array_distinct(F.array(bucket("executed_price") - 1, bucket("executed_price"), bucket("executed_price") + 1))
+    spread = per_price.withColumn("_k", F.explode(around))
+    asked = trades.select("ticker", "entry_price").distinct().withColumn("_k", bucket("entry_price"))
+    near = F.abs(F.col("executed_price") - F.col("entry_price")) < tolerance
+    found = asked.join(spread, ["ticker", "_k"]).where(near).groupBy("ticker", "entry_price").agg(F.max("i").alias("i"))
+    return trades.join(found, ["ticker", "entry_price"], "left").select(*trades.columns, F.col("i.intent_id").alias("intent_id"),
+                                                                      F.col("i.stop_price").alias("stop_price"))
 
 
 def exit_category(c: str) -> Column:
