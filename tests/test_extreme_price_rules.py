@@ -6,7 +6,12 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tapeloom.operators import ledger
+from bar_frames import bar_frame
+from check import compare, connect
+from tapeloom.operators import curves, ledger, screener
+from tapeloom.plans import catalogue
+from tapeloom.sources import bridge
+from test_extreme_price_queries import extreme  # noqa: F401
 
 DAY = datetime.date(2020, 1, 2)
 
@@ -18,3 +23,14 @@ def test_intents_at_prices_beyond_a_long(spark):
                                     "intent_id long, ticker string, intent_status string, executed_price double, processed_at date, stop_price double")
     got = {r["trade_id"]: r["intent_id"] for r in ledger.latest_intent_within(trades, intents).collect()}
     assert got == {1: 10, 2: 10, 3: 30, 4: 40, 5: 99, 6: None, 7: None}
+
+
+def test_walk_price_is_rounded_from_the_nearest_double(spark):
+    walks = [3792, 3930, 5898, 6313, 9780, 47160]  # the JVM's exp is beside the nearest double for these
+    got = [r[0] for r in spark.createDataFrame([(w,) for w in walks], "w long").select(bridge.walk_price(F.col("w"))).collect()]
+    assert got == [8574195492.0519, 17094506737.5665, 320859036964754.44, 2555496706706949.5, 8.629192739781003e22, 1.2752896560794273e104]
+
+
+def test_twin_of_amounts_at_extreme_prices(spark, extreme):  # noqa: F811
+    verdict = compare(spark, connect(extreme), catalogue()["a26_cash_reconciliation"], extreme)
+    assert verdict.startswith("ok"), verdict
