@@ -92,7 +92,7 @@ def candidates(reports: DataFrame, subjects: DataFrame, tags: DataFrame, symbol_
     notes = company_notes(reports).select("report_id").join(tags.where("tone = 'bullish'"), "report_id").join(subjects, "report_id")
     ctx = latest_context(bars).withColumn("market_symbol", F.concat("ticker", F.lit(".TO"))).drop("ticker", "date")
     j = notes.join(symbol_map, ["symbol", "exchange", "company"], "left").join(ctx, "market_symbol", "left").join(note_prices(subjects, bars), "report_id", "left")
-    return j.withColumn("since_note", F.col("close") / F.nullif("base_close", F.lit(0.0)) - 1)
+    return j.withColumn("since_note", ind.ratio("close", "base_close") - 1)
 
 
 def candidate_table(rows: DataFrame) -> DataFrame:

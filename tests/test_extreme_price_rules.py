@@ -39,3 +39,9 @@ def test_twin_of_amounts_at_extreme_prices(spark, extreme):  # noqa: F811
 def test_score_of_a_ticker_without_a_price(spark):
     got = screener.breakout_score(bar_frame(spark, [0.0] * 260, spread=0.0)).first()
     assert got["breakout_score"] == 100.0
+
+
+@pytest.mark.parametrize("name", ["j18_candidate_rows"])
+def test_twin_of_notes_before_a_price_of_zero(spark, extreme, name):  # noqa: F811
+    verdict = compare(spark, connect(extreme), catalogue()[name], extreme)
+    assert verdict.startswith("ok"), verdict
