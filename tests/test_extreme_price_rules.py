@@ -41,7 +41,7 @@ def test_score_of_a_ticker_without_a_price(spark):
     assert got["breakout_score"] == 100.0
 
 
-@pytest.mark.parametrize("name", ["j18_candidate_rows", "j18_candidate_table"])
+@pytest.mark.parametrize("name", ["j18_candidate_rows", "j18_candidate_table", "j29_highlight_rows"])
 def test_twin_of_notes_before_a_price_of_zero(spark, extreme, name):  # noqa: F811
     verdict = compare(spark, connect(extreme), catalogue()[name], extreme)
     assert verdict.startswith("ok"), verdict
