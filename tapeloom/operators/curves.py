@@ -53,8 +53,8 @@ def metrics(returns: DataFrame, keys: list[str], days: float = 252.0) -> DataFra
     cagr = F.pow(F.col("end"), days / F.col("days")) - 1
     year = F.sqrt(F.lit(days))
     return g.select(*keys, "days", (cagr * 100).alias("cagr"), ((F.col("end") - 1) * 100).alias("total"), (F.col("dd") * 100).alias("max_dd"),
-                    (F.col("m") / F.nullif("sd", F.lit(0.0)) * year).alias("sharpe"), (F.col("m") / F.nullif("down", F.lit(0.0)) * year).alias("sortino"),
-                    (cagr / F.nullif(F.abs("dd"), F.lit(0.0))).alias("calmar"), "ulcer")
+                    (ind.ratio("m", "sd") * year).alias("sharpe"), (ind.ratio("m", "down") * year).alias("sortino"),
+                    ind.ratio(cagr, F.abs("dd")).alias("calmar"), "ulcer")
 
 
 def pair_comparison(returns: DataFrame, against: str) -> DataFrame:
@@ -96,9 +96,13 @@ def ab_comparison(returns: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def winner_votes(returns: DataFrame) -> DataFrame:
-    """Strategies by how often they won a fold, with the mean return of the fold that followed."""
+    """Strategies by how often they won a fold, with the mean return of the fold that followed.
+
+    A Sharpe ratio that is NaN counts as the highest.  Of equal ones the first strategy by name wins.
+    """
     m = fold_metrics(returns)
-    won = m.groupBy("fold").agg(F.max_by("strategy", F.round("sharpe", 9)).alias("strategy"))
+    best = Window.partitionBy("fold").orderBy(F.round("sharpe", 9).desc_nulls_last(), "strategy")
+    won = m.withColumn("_place", F.row_number().over(best)).where("_place = 1").select("fold", F.when(F.col("sharpe").isNotNull(), F.col("strategy")).alias("strategy"))
     later = m.select("strategy", (F.col("fold") - 1).alias("fold"), F.col("ret").alias("next_ret"))
     return won.join(later, ["strategy", "fold"], "left").groupBy("strategy").agg(F.count("*").alias("votes"), F.avg("next_ret").alias("oos_ret"))
 

@@ -45,3 +45,11 @@ def test_score_of_a_ticker_without_a_price(spark):
 def test_twin_of_notes_before_a_price_of_zero(spark, extreme, name):  # noqa: F811
     verdict = compare(spark, connect(extreme), catalogue()[name], extreme)
     assert verdict.startswith("ok"), verdict
+
+
+def test_winner_of_equal_folds(spark):
+    day = lambda d: datetime.date(2020, 1, d)
+    flat = [(s, 2020, day(d), 0.0) for s in ("C", "A", "B") for d in (1, 2, 3)]
+    rising = [("D", 2020, day(d), r) for d, r in ((1, 0.1), (2, 0.2), (3, 0.1))]
+    got = curves.winner_votes(spark.createDataFrame(flat + rising, "strategy string, fold int, date date, r double")).collect()
+    assert [(r["strategy"], r["votes"]) for r in got] == [("A", 1)]
