@@ -53,3 +53,9 @@ def test_winner_of_equal_folds(spark):
     rising = [("D", 2020, day(d), r) for d, r in ((1, 0.1), (2, 0.2), (3, 0.1))]
     got = curves.winner_votes(spark.createDataFrame(flat + rising, "strategy string, fold int, date date, r double")).collect()
     assert [(r["strategy"], r["votes"]) for r in got] == [("A", 1)]
+
+
+@pytest.mark.parametrize("name", ["m1_bars", "a3_mark_to_market"])
+def test_output_is_rounded_as_in_its_twin(spark, extreme, name):  # noqa: F811
+    verdict = compare(spark, connect(extreme), catalogue()[name], extreme)
+    assert verdict.startswith("ok"), verdict
