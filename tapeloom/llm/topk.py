@@ -6,8 +6,9 @@ these bitmaps with bitmap arithmetic, for many queries at once, into bit slices
 slice downward selects the k largest rows without looking at any value.  What quantisation left out is bounded, so the rows that could still
 belong to the top are those whose sum is within that bound of the k-th; they are resolved by the exact integer product.
 
-Queries are dealt into blocks as well, and every pair of a query block and a row block is one task's work; the ten best of each pair meet in
-a ranking per query, k rows a block.  Nothing is broadcast and nothing is collected.
+Rows are dealt into parts of several blocks, which travel once; queries are dealt into blocks as well, and a copy of each goes to every part.
+A part and at most ``PART_QUERIES`` query blocks meet in a cogroup, whatever their sizes are thought to be, so nothing is broadcast and nothing
+is collected.  The k best of each part meet in a ranking per query.
 
 A vector that is null, empty, without an id, or has a null or non-finite component takes no part.  Only vectors of as many components as
 the query are compared.  Rows that repeat an id are candidates one by one, and none of them is a candidate of a query with that id; what
@@ -22,12 +23,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ROW_BLOCK = 1024
+#: Blocks of a part, once there are as many parts as ``FEW_PARTS``; a task holds one part.
+PART_BLOCKS = 16
+FEW_PARTS = 64
 QUERY_BLOCK = 512
+#: Query blocks that meet a part at once, 16 MB of 64 components; a part is copied for each further so many.
+PART_QUERIES = 64
 BITS = 6
 SCALE = 1024
 LARGEST = 1 << 28
@@ -45,9 +50,12 @@ def scaled(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return vectors.where(F.when(usable, fine).otherwise(F.lit(False))).select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.transform(x, held).alias("v"))
 
 
-def _blocks(rows: DataFrame, size: int, at_most: int) -> DataFrame:
-    """``dim, slot, slots, ids, body``: blocks of about ``size`` vectors of one length, sorted by id, as binary."""
-    slots = max(1, -(-at_most // size))
+def _slots(n: int, size: int) -> int:
+    return max(1, -(-n // size))
+
+
+def _blocks(rows: DataFrame, slots: int) -> DataFrame:
+    """``dim, slot, ids, body``: vectors of one length dealt over ``slots`` blocks, sorted by id, as binary."""
 
     def build(key, frame: pd.DataFrame) -> pd.DataFrame:
         ordered = sorted(zip(frame["vec_id"], map(tuple, frame["v"])))
@@ -161,26 +169,43 @@ def best_of_pair(ids: np.ndarray, body: np.ndarray, query_ids: np.ndarray, queri
     return found
 
 
+def _first(found: list[tuple[int, np.ndarray, np.ndarray]], k: int) -> pd.DataFrame:
+    """``query_id, vec_id, score``: the k best of what was found for each query id."""
+    q = np.concatenate([np.full(len(ids), query, np.int64) for query, ids, _ in found])
+    ids, scores = (np.concatenate([f[c] for f in found]).astype(np.int64) for c in (1, 2))
+    order = np.lexsort((ids, ~scores, q))  # ~ turns the order round for every long
+    q, ids, scores = q[order], ids[order], scores[order]
+    starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, np.int64)
+    place = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
+    keep = place < k
+    return pd.DataFrame({"query_id": q[keep], "vec_id": ids[keep], "score": scores[keep]})
+
+
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best rows for each row whose id is divisible by ``every``."""
     rows = scaled(vectors, id_col, vector_col)
     asked = rows.where(F.col("vec_id") % every == 0)
     n_rows, n_asked = rows.count(), asked.count()
-    row_blocks, query_blocks = _blocks(rows, ROW_BLOCK, n_rows), _blocks(asked, QUERY_BLOCK, n_asked)
-    row_slots, query_slots = (max(1, -(-n // s)) for n, s in ((n_rows, ROW_BLOCK), (n_asked, QUERY_BLOCK)))
-    left = row_blocks.withColumn("query_slot", F.explode(F.sequence(F.lit(0), F.lit(query_slots - 1))))
-    right = query_blocks.select("dim", F.col("slot").alias("query_slot"), F.col("ids").alias("query_ids"), F.col("body").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(row_slots - 1))).alias("slot"))
-    pairs = left.join(right, ["dim", "slot", "query_slot"]).select("dim", "ids", "body", "query_ids", "queries")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                ids, query_ids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["query_ids"], np.int64)
-                body, queries = (np.frombuffer(r[c]).reshape(-1, r["dim"]) for c in ("body", "queries"))
-                found = best_of_pair(ids, body, query_ids, queries, k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.full(len(i), q, np.int64) for q, i, _ in found])), pa.array(np.concatenate([i for _, i, _ in found])),
-                                                  pa.array(np.concatenate([s for _, _, s in found]).astype(np.int64))], ["query_id", "vec_id", "score"])
-
-    best = pairs.mapInArrow(search, "query_id long, vec_id long, score long")
+    row_slots = min(_slots(n_rows, ROW_BLOCK), max(FEW_PARTS, _slots(n_rows, ROW_BLOCK * PART_BLOCKS)))
+    query_slots = _slots(n_asked, QUERY_BLOCK)
+    block = ROW_BLOCK  # the size that holds here goes to the tasks
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    parts = _blocks(rows, row_slots).withColumn("share", upto(_slots(query_slots, PART_QUERIES)))
+    queries = _blocks(asked, query_slots).select("dim", F.floor(F.col("slot") / PART_QUERIES).cast("int").alias("share"), "ids", "body").withColumn("slot", upto(row_slots))
+
+    def search(held: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+        best: list[pd.DataFrame] = []
+        for ids, body, dim in zip(held["ids"], held["body"], held["dim"]):
+            ids, body = np.frombuffer(ids, np.int64), np.frombuffer(body).reshape(-1, dim)
+            pieces = np.array_split(np.arange(len(ids)), max(1, round(len(ids) / block)))  # even ones, a small rest costs as much as a block
+            for query_ids, q in zip(asking["ids"], asking["body"]):
+                query_ids, q = np.frombuffer(query_ids, np.int64), np.frombuffer(q).reshape(-1, dim)
+                found = [f for at in pieces for f in best_of_pair(ids[at], body[at], query_ids, q, k)]
+                if found:
+                    best.append(_first(found, k))
+        return pd.concat(best) if best else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query_id", "vec_id", "score")})
+
+    keys = ["dim", "slot", "share"]
+    best = parts.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

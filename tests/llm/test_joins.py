@@ -216,3 +216,20 @@ def test_top_k_against_all_products(spark, monkeypatch):
     got = {tuple(r) for r in topk.top_k(vectors, 10, 10).select("query_id", "rank", "vec_id", "score").collect()}
     assert got == top_by_hand([(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows], 10, 10)
     assert topk.top_k(vectors.limit(0)).count() == 0
+
+
+def test_top_k_broadcasts_nothing_however_small_its_queries_look(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(topk, "ROW_BLOCK", 16)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(topk, "PART_QUERIES", 2)
+    monkeypatch.setattr(topk, "FEW_PARTS", 2)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        rows = [(i, [float(i % 7), float(i % 5)]) for i in range(200)]
+        spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/vectors")
+        best = topk.top_k(spark.read.parquet(f"{tmp_path}/vectors"), 3, 10)
+        assert len(best.collect()) == 60
+        assert "Broadcast" not in best._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
